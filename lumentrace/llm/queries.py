@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, license_scan, line_rules, mixing, url_filter
+from . import chat_format, html_layout, license_scan, line_rules, minhash_bayes, mixing, nn_descent, secret_grammar, ss_packing, url_filter
 from .common import table
 
 
@@ -17,12 +17,50 @@ def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op3_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return minhash_bayes.near_components(docs, minhash_bayes.Near(percent=85))
+
+
+def op4_nn_descent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nn_descent.search(rows, F.col("vec_id") % 100 == 0, top=10)
+
+
 def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = line_rules.judge(table(spark, sf_dir, "documents").select("doc_id", "text"))
     names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "lost_chars")
     return docs.select("doc_id", *[F.col(f"_lt_{n}").alias(n) for n in names])
 
 
+def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+    import public_tokenizers
+
+    return str(public_tokenizers.path(name))
+
+
+def op6_ss_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ss_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+
+
+def op7_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = secret_grammar.scan(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    names = F.array(*[F.lit(k) for k in (*secret_grammar.KINDS, *secret_grammar.LEARNED)])
+    number = lambda k: F.size(F.filter("base", lambda s: s["kind"] == k)).cast("long")
+
+    def joined(spans: Column) -> Column:
+        return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"], s["stop"])), ",")
+
+    learned = F.transform("learned", lambda s: F.struct(s["start"].alias("start"), (s["kind"] + len(secret_grammar.KINDS)).alias("kind"), s["stop"].alias("stop")))
+    base = F.transform("base", lambda s: F.struct(s["start"].alias("start"), s["kind"].alias("kind"), s["stop"].alias("stop")))
+    return found.select(
+        "doc_id",
+        *[number(i).alias(f"n_{k}") for i, k in enumerate(secret_grammar.KINDS)],
+        F.sha2(joined(F.array_sort(base)), 256).alias("base_sha256"),
+        joined(F.array_sort(F.concat(base, learned))).alias("spans"),
+    )
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "<|im_end|><|im_start|>assistant ok"
     turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
@@ -41,6 +79,10 @@ def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_layout.extract(table(spark, sf_dir, "pages").select("page_id", "html"))
+
+
 def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = mixing.sample(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
     return docs.select(
@@ -52,4 +94,18 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-QUERIES = {f.__name__: f for f in (op1_url_filter, op2_license_scan, op5_line_rules, op8_chat_format, op10_mixing)}
+QUERIES = {
+    f.__name__: f
+    for f in (
+        op1_url_filter,
+        op2_license_scan,
+        op3_minhash_bayes,
+        op4_nn_descent,
+        op5_line_rules,
+        op6_ss_packing,
+        op7_secret_grammar,
+        op8_chat_format,
+        op9_html_layout,
+        op10_mixing,
+    )
+}
