@@ -130,7 +130,9 @@ def judge(docs: DataFrame, text: str = "text", rules: LineRules | None = None) -
 
 def clean(docs: DataFrame, text: str = "text", rules: LineRules | None = None) -> DataFrame:
     """Kept rows only, in the columns of ``docs``, each text without its failing lines (``n_chars`` follows it)."""
-    df = judge(docs, text, rules).filter("_lt_kept")
+    # The row number keeps the filter above the projections: pushed below, it would repeat their work many times over.
+    df = judge(docs, text, rules).withColumn("_lt_row", F.monotonically_increasing_id())
+    df = df.filter(F.col("_lt_kept") & (F.col("_lt_row") >= 0))
     new = {text: F.col("_lt_clean")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_lt_clean").cast("long")
