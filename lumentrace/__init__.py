@@ -1,0 +1 @@
+"""Network-fault analytics on Spark: topology, alarm propagation, metric series, root causes, evaluation."""

@@ -2,10 +2,25 @@
 
 from __future__ import annotations
 
+from importlib import import_module
+
+MODULES = ("topology_queries",)
+
+
+def _all(name: str) -> dict:
+    out: dict = {}
+    for m in MODULES:
+        out |= getattr(import_module(f"lumentrace.plans.{m}"), name)
+    return out
+
 
 def queries() -> dict:
-    return {}
+    return _all("Q")
 
 
 def oracle_sql() -> dict:
-    return {}
+    return _all("O")
+
+
+def entry(spark, sf_dir: str):
+    return queries()["flow_summary"](spark, sf_dir)
