@@ -75,7 +75,7 @@ def rules(spark: SparkSession) -> DataFrame:
 
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "events").select("event_id", "ts", F.col("user_id").alias("board"), F.col("event_type").alias("alarm"), "value")
+    return table(spark, sf_dir, "events").select("event_id", F.col("ts").cast("timestamp").alias("ts"), F.col("user_id").alias("board"), F.col("event_type").alias("alarm"), "value")
 
 
 _kind_sql = "['" + "','".join(KINDS) + "']"
