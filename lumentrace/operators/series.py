@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-SERIES = W.partitionBy("board").orderBy("t")
-ALL = W.partitionBy("board")
+
+def in_order() -> WindowSpec:
+    return W.partitionBy("board").orderBy("t")
+
+
+def whole() -> WindowSpec:
+    return W.partitionBy("board")
 
 
 def board_max(m: DataFrame) -> DataFrame:
@@ -29,28 +34,28 @@ def threshold(peak: Column) -> Column:
 
 
 def board_metrics(m: DataFrame) -> DataFrame:
-    w = m.withColumn("peak", F.max("bbe").over(ALL))
+    w = m.withColumn("peak", F.max("bbe").over(whole()))
     return w.groupBy("board").agg(F.max("bbe").alias("bbe_max"), F.count(F.lit(1)).alias("samples"), F.count_if(F.col("bbe") > threshold(F.col("peak"))).alias("elevated"), F.avg(F.when(F.col("bbe") > threshold(F.col("peak")), 1.0).otherwise(0.0)).alias("elevated_frac"))
 
 
 def islands(m: DataFrame, high: Column, keep=()) -> DataFrame:
     """Maximal runs of samples with ``high``: board, start, stop (exclusive), length."""
     df = m.withColumn("_high", high.cast("int"))
-    df = df.withColumn("_new", F.when((F.col("_high") == 1) & (F.coalesce(F.lag("_high").over(SERIES), F.lit(0)) == 0), 1).otherwise(0))
-    df = df.withColumn("_run", F.sum("_new").over(SERIES)).filter("_high = 1")
+    df = df.withColumn("_new", F.when((F.col("_high") == 1) & (F.coalesce(F.lag("_high").over(in_order()), F.lit(0)) == 0), 1).otherwise(0))
+    df = df.withColumn("_run", F.sum("_new").over(in_order())).filter("_high = 1")
     return df.groupBy("board", "_run", *keep).agg(F.min("t").alias("start"), (F.max("t") + 1).alias("stop"), F.count(F.lit(1)).alias("length"))
 
 
 def burst_regions(m: DataFrame) -> DataFrame:
     """Runs above half the peak: their number, and the longest one's share."""
-    df = m.withColumn("peak", F.max("bbe").over(ALL))
+    df = m.withColumn("peak", F.max("bbe").over(whole()))
     g = islands(df, F.col("bbe") > threshold(F.col("peak"))).groupBy("board").agg(F.count(F.lit(1)).alias("burst_regions"), (F.max("length") / F.sum("length")).alias("longest_burst_frac"))
     return m.select("board").distinct().join(g, "board", "left").select("board", F.coalesce("burst_regions", F.lit(0)).alias("burst_regions"), F.coalesce("longest_burst_frac", F.lit(0.0)).alias("longest_burst_frac"))
 
 
 def pattern_kind(m: DataFrame, gap: int = 500, width: int = 15, least: int = 100) -> DataFrame:
     """step, ramp, step_recovery or burst, from the runs above 0.9 of the peak in their widest cluster."""
-    df = m.withColumns({"peak": F.max("bbe").over(ALL), "samples": F.count(F.lit(1)).over(ALL)}).filter(F.col("samples") >= least)
+    df = m.withColumns({"peak": F.max("bbe").over(whole()), "samples": F.count(F.lit(1)).over(whole())}).filter(F.col("samples") >= least)
     runs = islands(df, F.col("bbe") > F.col("peak") * 0.9)
     w = W.partitionBy("board").orderBy("start")
     runs = runs.withColumn("apart", F.when(F.col("start") - F.lag("stop").over(w) > gap, 1).otherwise(0)).withColumn("cluster", F.sum("apart").over(w))
@@ -68,14 +73,14 @@ def pattern_kind(m: DataFrame, gap: int = 500, width: int = 15, least: int = 100
 
 def local_alarms(m: DataFrame) -> DataFrame:
     """SPIKE or SHIFT where a value is high and has risen; the first sample has not."""
-    d = F.coalesce(F.col("bbe") - F.lag("bbe").over(SERIES), F.lit(0.0))
+    d = F.coalesce(F.col("bbe") - F.lag("bbe").over(in_order()), F.lit(0.0))
     kind = F.when((F.col("bbe") >= 4) & (F.col("d") >= 2), "SPIKE").when((F.col("bbe") >= 2) & (F.col("d") >= 1), "SHIFT")
     return m.withColumn("d", d).withColumn("alarm", kind).filter("alarm is not null").select("board", "t", "bbe", "alarm", F.when(F.col("alarm") == "SPIKE", "Major").otherwise("Minor").alias("severity"))
 
 
 def smooth(m: DataFrame) -> DataFrame:
     """Ten-sample moving sum over -5..+4, zeros beyond the ends, divided by ten."""
-    return m.withColumn("smooth", F.sum("bbe").over(SERIES.rowsBetween(-5, 4)) / 10)
+    return m.withColumn("smooth", F.sum("bbe").over(in_order().rowsBetween(-5, 4)) / 10)
 
 
 def derive_bber_es(m: DataFrame) -> DataFrame:
@@ -87,14 +92,14 @@ def derive_bber_es(m: DataFrame) -> DataFrame:
 def zscore_baseline(m: DataFrame, before: int) -> DataFrame:
     """Distance from the mean of the samples before ``before``, in their sample deviations (0 counts as 1)."""
     base = F.when(F.col("t") < before, F.col("bbe"))
-    sd = F.stddev_samp(base).over(ALL)
-    return m.select("board", "t", (F.abs(F.col("bbe") - F.avg(base).over(ALL)) / F.when(sd > 0, sd).otherwise(1.0)).alias("z"))
+    sd = F.stddev_samp(base).over(whole())
+    return m.select("board", "t", (F.abs(F.col("bbe") - F.avg(base).over(whole())) / F.when(sd > 0, sd).otherwise(1.0)).alias("z"))
 
 
 def pseudo_anomaly(m: DataFrame, k: int) -> DataFrame:
     """The k most unusual samples of each board by global z-score; earliest first among equals."""
-    sd = F.greatest(F.stddev_pop("bbe").over(ALL), F.lit(1e-9))
-    z = m.withColumn("z", F.round(F.abs(F.col("bbe") - F.avg("bbe").over(ALL)) / sd, 6))
+    sd = F.greatest(F.stddev_pop("bbe").over(whole()), F.lit(1e-9))
+    z = m.withColumn("z", F.round(F.abs(F.col("bbe") - F.avg("bbe").over(whole())) / sd, 6))
     return z.withColumn("place", F.row_number().over(W.partitionBy("board").orderBy(F.desc("z"), "t"))).filter(F.col("place") <= k).select("board", "t", "z", "place")
 
 
@@ -104,7 +109,7 @@ def series_stats(m: DataFrame) -> DataFrame:
 
 def threshold_spans(m: DataFrame, k: float, least: int) -> DataFrame:
     """Runs of ``least`` samples or more above mean + k deviations."""
-    df = m.withColumns({"mu": F.avg("bbe").over(ALL), "sd": F.stddev_pop("bbe").over(ALL)})
+    df = m.withColumns({"mu": F.avg("bbe").over(whole()), "sd": F.stddev_pop("bbe").over(whole())})
     return islands(df, F.col("bbe") >= F.round(F.col("mu") + F.col("sd") * k, 9)).filter(F.col("length") >= least).select("board", "start", "stop", "length")
 
 

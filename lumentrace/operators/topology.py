@@ -8,14 +8,17 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumentrace.functions import scalars as S
 
 FTYPES = ("ODUk-Creation", "ODUk-Termination", "OTUk-Relay", "OTUk-RegenIn", "OTUk-RegenOut")
-PATH = W.partitionBy("path_id").orderBy("pos")
+
+
+def in_path() -> WindowSpec:
+    return W.partitionBy("path_id").orderBy("pos")
 
 
 def role_map(hops: DataFrame) -> DataFrame:
@@ -31,7 +34,7 @@ def typed_boards(boards: DataFrame, hops: DataFrame) -> DataFrame:
 
 def pairs(hops: DataFrame) -> DataFrame:
     """Consecutive hops."""
-    nxt = {f"dst{s}": F.lead(c).over(PATH) for s, c in (("", "board"), ("_kind", "kind"), ("_node", "node"))}
+    nxt = {f"dst{s}": F.lead(c).over(in_path()) for s, c in (("", "board"), ("_kind", "kind"), ("_node", "node"))}
     df = hops.withColumns(nxt).filter(F.col("dst").isNotNull())
     return df.select("path_id", "pos", F.col("board").alias("src"), F.col("kind").alias("src_kind"), F.col("node").alias("src_node"), "dst", "dst_kind", "dst_node")
 
@@ -76,8 +79,8 @@ def nearest_of_type(hops: DataFrame, typed: DataFrame, sectioned: bool = False)
 
 def node_path(hops: DataFrame) -> DataFrame:
     """Nodes of a path without consecutive repeats: path_id, step, node."""
-    df = hops.withColumn("prev", F.lag("node").over(PATH)).filter(F.col("prev").isNull() | (F.col("prev") != F.col("node")))
-    return df.select("path_id", F.row_number().over(PATH).alias("step"), "node")
+    df = hops.withColumn("prev", F.lag("node").over(in_path())).filter(F.col("prev").isNull() | (F.col("prev") != F.col("node")))
+    return df.select("path_id", F.row_number().over(in_path()).alias("step"), "node")
 
 
 def node_graph(hops: DataFrame) -> DataFrame:
@@ -110,7 +113,7 @@ def services(hops: DataFrame) -> DataFrame:
 
 def query_topology(hops: DataFrame, keys: DataFrame) -> DataFrame:
     """Per asked board: its neighbours and how many paths and places hold it. ``keys`` (board) may be of any size."""
-    w = hops.withColumns({"up": F.lag("board").over(PATH), "down": F.lead("board").over(PATH)}).join(keys, "board", "left_semi")
+    w = hops.withColumns({"up": F.lag("board").over(in_path()), "down": F.lead("board").over(in_path())}).join(keys, "board", "left_semi")
     g = w.groupBy("board").agg(
         F.array_join(F.transform(F.sort_array(F.collect_set("up")), lambda x: x.cast("string")), ",").alias("upstream"),
         F.array_join(F.transform(F.sort_array(F.collect_set("down")), lambda x: x.cast("string")), ",").alias("downstream"),
@@ -133,7 +136,7 @@ def downstream_index(hops: DataFrame, least: int = 1) -> DataFrame:
 
 def downstream_region(hops: DataFrame, k: int) -> DataFrame:
     """Per board the k boards from it on along a path: the longest such run, the smallest path among equals."""
-    run = F.collect_list("board").over(PATH.rowsBetween(0, k - 1))
+    run = F.collect_list("board").over(in_path().rowsBetween(0, k - 1))
     df = hops.select("path_id", "pos", "board", run.alias("run"))
     best = df.groupBy("board").agg(F.min_by("run", F.struct(-F.size("run"), "path_id", "pos")).alias("run"))
     return best.select("board", F.size("run").alias("size"), F.array_join(F.transform("run", lambda x: x.cast("string")), ",").alias("region"))
