@@ -1,15 +1,16 @@
 """Near-duplicate documents: banded MinHash, sequential Bayesian verification, exact confirmation.
 
 1. One pass reduces a document to its number of distinct shingles, a digest of the set and a signature of
-   ``hashes`` 16-bit minima. Equal digests form a class; from here on a class is one representative.
+   ``hashes`` minima, 8 bits of each. Equal digests form a class; from here on a class is one representative.
 2. Bands of ``rows`` minima give candidate buckets; their number follows from the chosen miss probability.
 3. Buckets are compared as stars first: every member with the smallest member. Signatures are compared batch
    by batch, and a pair is dropped once the posterior probability that its similarity reaches the threshold
    is below ``miss``. Survivors are confirmed on the full sets, read again from the texts.
 4. Members of a bucket that are linked by now need no comparison. Those outside its largest component are
-   compared with all others of the bucket, in blocks of bounded size, signatures inside the task: first the best
-   partner per component, then, after linking, all survivors. No cap: blocks cover every pair between
-   components, and no pairs are written but those to confirm.
+   compared with all others of the bucket, in blocks of bounded size: a first pass over signatures keeps the
+   members with a surviving partner in another component, a second one confirms on their full sets inside the
+   task and writes one link per member and component. No cap: blocks cover every pair between components; no
+   pairs are written, a pair is looked at in the first band it shares only.
 5. Links are merged into components by alternating large and small stars.
 
 Defined results: null or empty texts have an empty set, are linked with nothing and are kept; texts of fewer
@@ -22,6 +23,7 @@ from __future__ import annotations
 
 import hashlib
 import math
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -95,7 +97,7 @@ def signature(h: np.ndarray, mul: np.ndarray, xor: np.ndarray) -> bytes:
     for lo in range(0, len(low), 1024):
         np.minimum(best, ((low[lo : lo + 1024, None] ^ xor) * mul).min(axis=0), out=best)
     # The minima of large sets are small numbers: their low bits tell them apart.
-    return ((best * np.uint32(0x9E3779B1)) >> np.uint32(16)).astype("<u2").tobytes()
+    return ((best * np.uint32(0x9E3779B1)) >> np.uint32(24)).astype("u1").tobytes()
 
 
 def sketches(docs: DataFrame, how: Near, id_col: str, text_col: str) -> DataFrame:
@@ -122,6 +124,7 @@ def least_matches(how: Near) -> np.ndarray:
     P(s >= t | m of n match) = P(Binomial(n + 1, t) <= m).
     """
     t, out = how.percent / 100, []
+    t += (1 - t) / 256  # bytes of different minima agree by chance
     for n in range(how.batch, how.hashes + 1, how.batch):
         tail, m = 0.0, -1
         while tail < how.miss:
@@ -143,39 +146,56 @@ def survives(a: np.ndarray, b: np.ndarray, how: Near, least: np.ndarray) -> tupl
 
 
 def bayes_prune(pairs: DataFrame, sigs: DataFrame, how: Near) -> DataFrame:
-    """Pairs (a, b) whose signatures pass the sequential test."""
-    left = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"))
-    right = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"))
+    """Pairs (a, b) whose sizes allow the threshold and whose signatures pass the sequential test."""
+    left = sigs.select(F.col("rep").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"))
+    right = sigs.select(F.col("rep").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"))
+    fits = F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * how.percent
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = least_matches(how)
         for batch in batches:
-            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "<u2").reshape(-1, how.hashes) for c in (2, 3))
+            a, b = (np.frombuffer(b"".join(batch.column(c).to_pylist()), "u1").reshape(-1, how.hashes) for c in (2, 3))
             alive = pa.array(survives(a, b, how, least)[0])
             yield pa.RecordBatch.from_arrays([batch.column(0).take(alive), batch.column(1).take(alive)], ["a", "b"])
 
-    return pairs.join(left, "b").join(right, "a").select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
+    return pairs.join(left, "b").join(right, "a").filter(fits).select("a", "b", "sig_a", "sig_b").mapInArrow(run, "a long, b long")
 
 
-def confirm(pairs: DataFrame, docs: DataFrame, how: Near, id_col: str, text_col: str) -> DataFrame:
+def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``rep`` and compressed text ``z`` of the documents in ``wanted`` (rep)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            z = [None if (t := v.as_py()) is None else zlib.compress(t.encode("utf-8", "surrogatepass"), 1) for v in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["rep", "z"])
+
+    rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(run, "rep long, z binary")
+    return rows.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+
+
+def unpacked(z: bytes | None, how: Near, known: WordHash) -> np.ndarray:
+    return shingles(zlib.decompress(z).decode("utf-8", "surrogatepass") if z else None, how.shingle, known)
+
+
+def confirm(pairs: DataFrame, texts: DataFrame, how: Near) -> DataFrame:
     """Pairs whose full sets reach the threshold."""
-    texts = docs.select(F.col(id_col).cast("long").alias("a"), F.col(text_col).alias("text_a"))
-    other = texts.select(F.col("a").alias("b"), F.col("text_a").alias("text_b"))
+    one = texts.select(F.col("rep").alias("a"), F.col("z").alias("z_a"))
+    other = texts.select(F.col("rep").alias("b"), F.col("z").alias("z_b"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known, last, of_last = WordHash(), None, None
         for batch in batches:
             good = []
-            for a, text_a, text_b in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
+            for a, z_a, z_b in zip(batch.column(0), batch.column(2), batch.column(3), strict=True):
                 if a != last:
-                    last, of_last = a, shingles(text_a.as_py(), how.shingle, known)
-                h = shingles(text_b.as_py(), how.shingle, known)
+                    last, of_last = a, unpacked(z_a.as_py(), how, known)
+                h = unpacked(z_b.as_py(), how, known)
                 both = len(np.intersect1d(of_last, h, assume_unique=True))
                 good.append(100 * both >= how.percent * (len(of_last) + len(h) - both))
             good = pa.array(good, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(0).filter(good), batch.column(1).filter(good)], ["a", "b"])
 
-    return pairs.join(other, "b").join(texts, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long")
+    return pairs.join(other, "b").join(one, "a").select("a", "b", "z_a", "z_b").mapInArrow(run, "a long, b long")
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -199,46 +219,95 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots.select("node", F.col("node").alias("component")))
 
 
-def rest_of_buckets(multi: DataFrame, sigs: DataFrame, parts: DataFrame, how: Near, best_only: bool) -> DataFrame:
-    """Candidate pairs between the components of a bucket that still has several.
+class Block:
+    """Members of one bucket's block as arrays."""
 
-    The members outside the bucket's largest component meet all members, block by block.
-    """
-    rows = multi.select("key", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
-    rows = materialise(rows.withColumn("component", F.coalesce("component", "rep")), "bucket-rows")
+    def __init__(self, column: pa.Array, how: Near):
+        flat = column.flatten()
+        self.id, self.part = flat.field("rep").to_numpy(), flat.field("component").to_numpy()
+        self.sig = np.frombuffer(b"".join(flat.field("sig").to_pylist()), "u1").reshape(-1, how.hashes)
+        self.band = self.sig[:, : how.bands * how.rows].reshape(len(self.id), how.bands, how.rows)
+        self.z = flat.field("z")
+
+
+def partners(few: Block, k: int, every: Block, band: int, how: Near, least: np.ndarray) -> np.ndarray:
+    """Members of ``every`` in another component that survive against member ``k`` and share no earlier band with it."""
+    other = np.flatnonzero(every.part != few.part[k])
+    other = other[survives(np.broadcast_to(few.sig[k], (len(other), how.hashes)), every.sig[other], how, least)[0]]
+    shared = (every.band[other] == few.band[k]).all(axis=2)
+    return other[shared.argmax(axis=1) == band]
+
+
+def blocks(rows: DataFrame, how: Near) -> DataFrame:
+    """(band, few, all): per open bucket each block of members outside its largest component with each block of all members."""
     per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     keys = per.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    blocks = (F.col("members") / how.block + 1).cast("int")
-    open_rows = rows.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("rep"), blocks)).join(sigs, "rep")
-    member = F.struct("rep", "component", "sig")
+    spread = F.pmod(F.xxhash64("rep"), (F.col("members") / how.block + 1).cast("int"))
+    open_rows = rows.join(keys, "key").withColumn("part", spread)
+    member = F.struct("rep", "component", "sig", "z")
     every = open_rows.groupBy("key", "part").agg(F.collect_list(member).alias("all"))
-    few = open_rows.filter(F.col("component") != F.col("largest")).groupBy("key", F.col("part").alias("p")).agg(F.collect_list(member).alias("few"))
+    few = open_rows.filter(F.col("component") != F.col("largest")).groupBy("key", "band", F.col("part").alias("p")).agg(F.collect_list(member).alias("few"))
+    return few.join(every, "key").select("key", "band", "few", "all")
+
+
+def open_rows(multi: DataFrame, sigs: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of ``multi`` in buckets of several components, with component and signature."""
+    rows = multi.select("key", "band", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
+    rows = rows.withColumn("component", F.coalesce("component", "rep"))
+    mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
+    return rows.join(mixed, "key", "left_semi").join(sigs, "rep")
+
+
+def alive_rows(rows: DataFrame, how: Near) -> DataFrame:
+    """(key, rep) with a partner in another component that the sequential test does not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         least = least_matches(how)
+        for batch in batches:
+            keys, ids = [], []
+            for i in range(len(batch)):
+                few, every = (Block(batch.column(c).slice(i, 1), how) for c in (2, 3))
+                alive: set[int] = set()
+                for k in range(len(few.id)):
+                    near = partners(few, k, every, batch.column(1)[i].as_py(), how, least)
+                    alive.update([int(few.id[k]), *every.id[near].tolist()] if len(near) else ())
+                keys += [batch.column(0)[i].as_py()] * len(alive)
+                ids += alive
+            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "rep"])
+
+    return blocks(rows.withColumn("z", F.lit(None).cast("binary")), how).mapInArrow(run, "key long, rep long").distinct()
 
-        def unpack(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-            flat = column.flatten()
-            sig = np.frombuffer(b"".join(flat.field("sig").to_pylist()), "<u2").reshape(-1, how.hashes)
-            return flat.field("rep").to_numpy(), flat.field("component").to_numpy(), sig
 
+def links_of_rest(rows: DataFrame, how: Near) -> DataFrame:
+    """Links between the components of a bucket, confirmed on full sets: one per member and component."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        least, known = least_matches(how), WordHash()
         for batch in batches:
-            out: set[tuple[int, int]] = set()
+            a, b = [], []
             for i in range(len(batch)):
-                few_id, few_part, few_sig = unpack(batch.column(0).slice(i, 1))
-                all_id, all_part, all_sig = unpack(batch.column(1).slice(i, 1))
-                for k in range(len(few_id)):
-                    other = np.flatnonzero(all_part != few_part[k])
-                    alive, matches = survives(np.broadcast_to(few_sig[k], (len(other), how.hashes)), all_sig[other], how, least)
-                    other = other[alive]
-                    if best_only:
-                        order = np.lexsort((all_id[other], -matches))
-                        other = other[order]
-                        other = other[np.unique(all_part[other], return_index=True)[1]]
-                    out.update((min(few_id[k], x), max(few_id[k], x)) for x in all_id[other].tolist())
-            yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in sorted(out)], pa.int64()) for j in (0, 1)], ["a", "b"])
-
-    return few.join(every, "key").select("few", "all").mapInArrow(run, "a long, b long").distinct()
+                few, every = (Block(batch.column(c).slice(i, 1), how) for c in (2, 3))
+                sets: dict[int, np.ndarray] = {}
+                of_few: dict[int, np.ndarray] = {}
+                for k in range(len(few.id)):
+                    near = partners(few, k, every, batch.column(1)[i].as_py(), how, least)
+                    if not len(near):
+                        continue
+                    for x in near.tolist():
+                        if x not in sets:
+                            sets[x] = unpacked(every.z[x].as_py(), how, known)
+                    own = of_few.setdefault(k, unpacked(few.z[k].as_py(), how, known))
+                    sizes = np.array([len(sets[x]) for x in near.tolist()])
+                    flat = np.concatenate([sets[x] for x in near.tolist()])
+                    at = np.minimum(np.searchsorted(own, flat), len(own) - 1)
+                    both = np.add.reduceat(own[at] == flat, np.concatenate(([0], np.cumsum(sizes)[:-1])), dtype=np.int64)
+                    near = near[100 * both >= how.percent * (len(own) + sizes - both)]
+                    near = near[np.unique(every.part[near], return_index=True)[1]]
+                    a += [int(few.id[k])] * len(near)
+                    b += every.id[near].tolist()
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
+
+    return blocks(rows, how).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, how: Near | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -246,25 +315,22 @@ def near_components(docs: DataFrame, how: Near | None = None, id_col: str = "doc
     how = how or Near()
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sketch = materialise(sketches(docs, how, id_col, text_col), "sketches")
-    classes = materialise(sketch.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.first("n_shingles").alias("n")), "classes")
+    classes = materialise(sketch.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketch.filter("digest is not null").select(F.col("doc_id").alias("rep"), "digest", "n_shingles", "sig").dropDuplicates(["rep", "digest"])
     sigs = materialise(reps.join(classes.select("rep", "digest"), ["rep", "digest"], "left_semi").select("rep", "n_shingles", "sig"), "signatures")
 
-    width = 2 * how.rows
-    keys = F.array(*[F.xxhash64(F.lit(j), F.substring("sig", 1 + j * width, width)) for j in range(how.bands)])
-    bands = sigs.select("rep", F.col("n_shingles").alias("n"), F.explode(keys).alias("key"))
-    heads = bands.groupBy("key").agg(F.min(F.struct("rep", "n")).alias("head"), F.max("rep").alias("other")).filter(F.col("head.rep") != F.col("other"))
+    keys = F.array(*[F.xxhash64(F.lit(j), F.substring("sig", 1 + j * how.rows, how.rows)) for j in range(how.bands)])
+    bands = sigs.select("rep", F.posexplode(keys).alias("band", "key"))
+    heads = bands.groupBy("key").agg(F.min("rep").alias("head"), F.max("rep").alias("other")).filter("head <> other")
     multi = materialise(bands.join(heads.select("key", "head"), "key"), "buckets")
-    sigs = sigs.select("rep", "sig")
+    texts = materialise(packed_texts(docs, multi.select("rep").distinct(), id_col, text_col), "texts")
 
-    fits = F.least("n", "head.n") * 100 >= F.greatest("n", "head.n") * how.percent
-    stars = multi.filter((F.col("rep") != F.col("head.rep")) & fits).select(F.col("head.rep").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialise(confirm(bayes_prune(stars, sigs, how), docs, how, id_col, text_col), "links")
+    stars = multi.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
+    links = materialise(confirm(bayes_prune(stars, sigs, how), texts, how), "links")
+    rows = materialise(open_rows(multi, sigs.select("rep", "sig"), components(links)), "bucket-rows")
+    alive = rows.join(alive_rows(rows, how), ["key", "rep"], "left_semi").join(texts, "rep")
+    links = links.unionByName(materialise(links_of_rest(alive, how), "links"))
     parts = materialise(components(links), "components")
-    for best_only in (True, False):
-        pairs = rest_of_buckets(multi, sigs, parts, how, best_only)
-        links = links.unionByName(materialise(confirm(pairs, docs, how, id_col, text_col), "links"))
-        parts = materialise(components(links), "components")
 
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
