@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumentrace.llm import line_rules, minhash_bayes, mixing, secret_grammar, ss_packing
 from lumentrace.llm.common import materialise, table
-from lumentrace.llm.queries import tokenizer_path
+from lumentrace.llm.queries import byte_bpe
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,7 +32,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return ss_packing.pack(docs, tokenizer_path())
+    return ss_packing.pack(docs, *byte_bpe())
 
 
 STAGES = [

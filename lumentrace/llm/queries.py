@@ -33,14 +33,15 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[F.col(f"_lt_{n}").alias(n) for n in names])
 
 
-def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
+def byte_bpe() -> tuple[str, str]:
+    """Ranks file and pattern of the public byte-level tokenizer."""
     import public_tokenizers
 
-    return str(public_tokenizers.path(name))
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
 
 
 def op6_ss_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ss_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), tokenizer_path())
+    return ss_packing.pack(table(spark, sf_dir, "documents").select("doc_id", "text"), *byte_bpe())
 
 
 def op7_secret_grammar(spark: SparkSession, sf_dir: str) -> DataFrame:

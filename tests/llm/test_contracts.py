@@ -134,7 +134,9 @@ def test_op5(spark, docs):
 def test_op6(spark, docs):
     from tokenizers import Tokenizer
 
-    encode = Tokenizer.from_file(queries.tokenizer_path())
+    import public_tokenizers
+
+    encode = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     rows = queries.op6_ss_packing(spark, SF).collect()
     pieces, sequences = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -160,6 +162,25 @@ def test_op6(spark, docs):
     assert padding <= 0.001 * used
 
 
+def test_op6_ids_equal_the_tokenizers_file():
+    import public_tokenizers
+    from hypothesis import given, settings
+    from hypothesis import strategies as st
+    from tokenizers import Tokenizer
+
+    slow = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
+    fast = ss_packing.load_encoder(*queries.byte_bpe())
+
+    @settings(max_examples=300, deadline=None)
+    @given(st.text(st.characters(exclude_categories=["Cs"], max_codepoint=0x2FFF), max_size=200))
+    def same(text):
+        assert fast(text) == slow.encode(text, add_special_tokens=False).ids
+
+    same()
+    same_long = "x" * 5_000 + " " * 5_000 + "y\n\n z" * 1_000
+    assert fast(same_long) == slow.encode(same_long, add_special_tokens=False).ids
+
+
 def test_op6_levels_minimise_the_sum_of_squares():
     rng = np.random.default_rng(1)
     levels, fill, fresh = ss_packing.Levels(64), {}, 0
