@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("topology_queries", "series_queries", "evaluation_queries")
+MODULES = ("topology_queries", "series_queries", "evaluation_queries", "text_queries")
 
 
 def _all(name: str) -> dict:
