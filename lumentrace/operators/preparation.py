@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from lumentrace.sources.storage import materialise
+
 
 def draw(key: Column, seed: int) -> Column:
     """A fixed pseudo-random order of non-negative ids."""
@@ -16,9 +18,10 @@ def ranked(df: DataFrame, *order: Column) -> DataFrame:
     """``k`` from 1 along ``order``, and ``n`` rows in all.
 
     Ranks come from a range-partitioned sort: rows are numbered inside their partitions and shifted by the counts
-    of those before, so no task sees more than its range.
+    of those before, so no task sees more than its range. The partitions are written down, as the ranges are
+    drawn anew whenever they are computed.
     """
-    placed = df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id())
+    placed = materialise(df.repartitionByRange(*order).withColumn("_p", F.spark_partition_id()), "ranges")
     inner = placed.withColumn("_k", F.row_number().over(W.partitionBy("_p").orderBy(*order)))
     counts = placed.groupBy("_p").agg(F.count(F.lit(1)).alias("_c"))
     w = W.orderBy("_p")

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumentrace.functions import scalars as S
@@ -319,4 +318,4 @@ def catalog_export(s, d):
     e = T.edges(B.hops(s, d)).filter("src <> dst")
     f = e.select(F.concat_ws("_", F.least("src", "dst"), F.greatest("src", "dst")).alias("name")).distinct().withColumn("what", F.lit("fibre"))
     x = B.boards(s, d).select("name", F.lit("board").alias("what")).unionByName(f)
-    return x.withColumn("id", F.row_number().over(W.orderBy("what", "name")))
+    return D.ranked(x, F.col("what"), F.col("name")).select("name", "what", F.col("k").cast("int").alias("id"))
