@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 @dataclass(frozen=True)
@@ -210,7 +210,8 @@ def components(links: DataFrame) -> DataFrame:
         # Small star: a node and its smaller neighbours point to the smallest of them.
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(least, "u").filter(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        old, edges = edges, materialise(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct(), "cc")
+        discard(old)
         now = edges.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if now == before:
             break
@@ -242,12 +243,14 @@ def blocks(rows: DataFrame, how: Near) -> DataFrame:
     """(band, few, all): per open bucket each block of members outside its largest component with each block of all members."""
     per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
     keys = per.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    spread = F.pmod(F.xxhash64("rep"), (F.col("members") / how.block + 1).cast("int"))
-    open_rows = rows.join(keys, "key").withColumn("part", spread)
+    keys = keys.withColumn("n_parts", (F.col("members") / how.block + 1).cast("int"))
+    open_rows = rows.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_parts")).cast("int"))
     member = F.struct("rep", "component", "sig", "z")
     every = open_rows.groupBy("key", "part").agg(F.collect_list(member).alias("all"))
-    few = open_rows.filter(F.col("component") != F.col("largest")).groupBy("key", "band", F.col("part").alias("p")).agg(F.collect_list(member).alias("few"))
-    return few.join(every, "key").select("key", "band", "few", "all")
+    few = open_rows.filter(F.col("component") != F.col("largest")).groupBy("key", "band", "n_parts", F.col("part").alias("p")).agg(F.collect_list(member).alias("few"))
+    # A copy for every block of the bucket, so that the bucket's blocks meet in many tasks.
+    few = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    return few.join(every, ["key", "part"]).select("key", "band", "few", "all")
 
 
 def open_rows(multi: DataFrame, sigs: DataFrame, parts: DataFrame) -> DataFrame:
@@ -326,11 +329,12 @@ def near_components(docs: DataFrame, how: Near | None = None, id_col: str = "doc
     texts = materialise(packed_texts(docs, multi.select("rep").distinct(), id_col, text_col), "texts")
 
     stars = multi.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialise(confirm(bayes_prune(stars, sigs, how), texts, how), "links")
-    rows = materialise(open_rows(multi, sigs.select("rep", "sig"), components(links)), "bucket-rows")
+    first = materialise(confirm(bayes_prune(stars, sigs, how), texts, how), "links")
+    rows = materialise(open_rows(multi, sigs.select("rep", "sig"), components(first)), "bucket-rows")
     alive = rows.join(alive_rows(rows, how), ["key", "rep"], "left_semi").join(texts, "rep")
-    links = links.unionByName(materialise(links_of_rest(alive, how), "links"))
-    parts = materialise(components(links), "components")
+    second = materialise(links_of_rest(alive, how), "links")
+    parts = materialise(components(first.unionByName(second)), "components")
+    discard(sigs, multi, texts, first, second, rows)
 
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
     out = sketch.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
