@@ -29,25 +29,25 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 
 @dataclass(frozen=True)
 class Descent:
     #: Neighbours a node.
-    k: int = 16
+    k: int = 32
     leaf: int = 128
-    trees: int = 5
-    rounds: int = 4
+    trees: int = 4
+    rounds: int = 5
     #: Share of edges that must still change for another round.
-    least_change: float = 0.02
+    least_change: float = 0.01
     #: Edges of a node that are compared with each other at once.
-    block: int = 96
+    block: int = 160
     #: Better partners that one block may name for a node.
-    emit: int = 5
-    beam: int = 48
+    emit: int = 10
+    beam: int = 128
     #: Nodes expanded for a query in one round.
-    width: int = 16
+    width: int = 32
     search_rounds: int = 10
 
 
@@ -195,7 +195,8 @@ def build_graph(nodes: DataFrame, how: Descent) -> DataFrame:
     """Edges (``node``, ``nbr``, ``dist``, ``fresh``), at most ``how.k`` a node."""
     graph = materialise(_best_edges(first_graph(nodes, how), how.k).drop("place").withColumn("fresh", F.lit(True)), "graph")
     for _ in range(how.rounds):
-        graph = materialise(descend(graph, nodes, how), "graph")
+        old, graph = graph, materialise(descend(graph, nodes, how), "graph")
+        discard(old)
         counts = graph.agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("fresh")).first()
         if counts["fresh"] <= how.least_change * counts["n"]:
             break
@@ -223,6 +224,7 @@ def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, how: Descent) ->
     beam = materialise(queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("dist"), F.lit(False).alias("seen")), "beam")
     order = W.partitionBy("q").orderBy("dist", "node")
     for _ in range(how.search_rounds):
+        old_beam = beam
         unseen = beam.filter(~F.col("seen")).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= how.width).select("q", "node")
         reached = unseen.join(edges, "node").select("q", F.col("nbr").alias("node")).distinct()
         reached = reached.join(beam.select("q", "node"), ["q", "node"], "left_anti")
@@ -230,6 +232,7 @@ def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, how: Descent) ->
         marked = beam.join(unseen.withColumn("now", F.lit(True)), ["q", "node"], "left").select("q", "node", "dist", (F.col("seen") | F.coalesce("now", F.lit(False))).alias("seen"))
         beam = marked.unionByName(found).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= how.beam).drop("turn")
         beam = materialise(beam, "beam")
+        discard(old_beam)
         if beam.filter(~F.col("seen")).isEmpty():
             break
     return beam.select("q", "node", "dist")
