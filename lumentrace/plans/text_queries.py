@@ -138,20 +138,38 @@ def reasoning(s, d):
 @add("impact_spread", sql("WITH e2 AS (SELECT src AS a, dst AS b FROM edges WHERE (src + dst) % 7 = 0 UNION SELECT dst, src FROM edges WHERE (src + dst) % 7 = 0), r AS (SELECT board AS root, board, 0 AS hop FROM boards WHERE board % 10 = 1 UNION SELECT r.root, e2.b, hop + 1 FROM r JOIN e2 ON r.board = e2.a WHERE hop < 3) SELECT board, min(hop) AS hop, min(hop) * 2 AS arrival_s, round(power(0.5, min(hop)), 6) AS scale FROM r GROUP BY board", "boards", "edges", recursive=True))
 def impact(s, d):
     thin = materialise(T.edges(B.hops(s, d)).filter("(src + dst) % 7 = 0"), "edges")
-    reach = T.khop_region(thin, B.boards(s, d).filter("board % 10 = 1").select("board"), 3, materialise)
+    return _spread(thin, B.boards(s, d).filter("board % 10 = 1").select("board"))
+
+
+def _spread(edges, roots):
+    reach = T.khop_region(edges, roots, 3, materialise)
     g = reach.groupBy("board").agg(F.min("hop").alias("hop"))
     return g.select("board", "hop", (F.col("hop") * 2).alias("arrival_s"), F.round(F.pow(F.lit(0.5), F.col("hop")), 6).alias("scale"))
 
 
 @add("bounded_shortest_path", sql("WITH n AS (SELECT DISTINCT least(src_node, dst_node) AS a, greatest(src_node, dst_node) AS b FROM pairs WHERE src_node <> dst_node AND (src + dst) % 11 = 0), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n), one AS (SELECT a AS src, b AS dst, 1 AS hops FROM e), two AS (SELECT x.a AS src, y.b AS dst, 2 AS hops FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b) SELECT src, dst, min(hops) AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY src, dst", "pairs"))
 def shortest(s, d):
-    p = T.pairs(B.hops(s, d)).filter("src_node <> dst_node and (src + dst) % 11 = 0")
+    return _shortest(T.pairs(B.hops(s, d)).filter("src_node <> dst_node and (src + dst) % 11 = 0"))
+
+
+def _shortest(p):
     e = p.select(F.explode(F.array(F.struct(F.col("src_node").alias("a"), F.col("dst_node").alias("b")), F.struct(F.col("dst_node").alias("a"), F.col("src_node").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
     one = e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("hops"))
     two = e.join(e.select(F.col("a").alias("b"), F.col("b").alias("c")), "b").filter("a <> c").select(F.col("a").alias("src"), F.col("c").alias("dst"), F.lit(2).alias("hops"))
     return one.unionByName(two).groupBy("src", "dst").agg(F.min("hops").alias("hops"))
 
 
+@add("impact_spread_whole", sql("WITH e2 AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT board AS root, board, 0 AS hop FROM boards WHERE board IN (SELECT board FROM ev WHERE alarm = 'error') UNION SELECT r.root, e2.b, hop + 1 FROM r JOIN e2 ON r.board = e2.a WHERE hop < 3) SELECT board, min(hop) AS hop, min(hop) * 2 AS arrival_s, round(power(0.5, min(hop)), 6) AS scale FROM r GROUP BY board", "boards", "edges", "ev", recursive=True))
+def impact_whole(s, d):
+    failed = B.boards(s, d).select("board").join(B.events(s, d).filter("alarm = 'error'").select("board"), "board", "left_semi")
+    return _spread(materialise(T.edges(B.hops(s, d)), "edges"), failed)
+
+
+@add("bounded_shortest_path_whole", sql("WITH n AS (SELECT DISTINCT least(src_node, dst_node) AS a, greatest(src_node, dst_node) AS b FROM pairs WHERE src_node <> dst_node), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n), one AS (SELECT a AS src, b AS dst, 1 AS hops FROM e), two AS (SELECT x.a AS src, y.b AS dst, 2 AS hops FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b) SELECT src, dst, min(hops) AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY src, dst", "pairs"))
+def shortest_whole(s, d):
+    return _shortest(T.pairs(B.hops(s, d)).filter("src_node <> dst_node"))
+
+
 @add("partial_rules", sql("WITH r AS (SELECT *, CASE WHEN action LIKE 'Transmit%' THEN 0 ELSE 1 END AS c, (o_orderkey * 2654435761 + 3) % 1000003 AS h FROM (SELECT o_orderkey, CASE WHEN o_orderkey % 3 = 0 THEN 'Transmit Up' ELSE 'Report Locally' END AS action FROM orders)), k AS (SELECT *, row_number() OVER (ORDER BY c DESC, h, o_orderkey) AS k, count(*) OVER () AS n FROM r) SELECT o_orderkey AS rule, action FROM k WHERE k <= floor(n * 0.5)"))
 def partial_rules(s, d):
     r = B.table(s, d, "orders").select(F.col("o_orderkey").alias("rule"), F.when(F.col("o_orderkey") % 3 == 0, "Transmit Up").otherwise("Report Locally").alias("action"))

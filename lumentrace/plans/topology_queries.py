@@ -178,6 +178,12 @@ def stream_sets(s, d):
     return T.stream_sides(B.hops(s, d), failed).groupBy("failed", "side").agg(F.count(F.lit(1)).alias("n"), F.min("board").alias("first_board"))
 
 
+@add("upstream_downstream_sets_whole", sql("WITH f AS (SELECT DISTINCT board FROM ev WHERE alarm = 'error'), x AS (SELECT DISTINCT a.board AS failed, CASE WHEN b.pos < a.pos THEN 'up' ELSE 'down' END AS side, b.board FROM hops a JOIN f ON a.board = f.board JOIN hops b ON a.path_id = b.path_id AND a.pos <> b.pos) SELECT failed, side, count(*) AS n, min(board) AS first_board FROM x GROUP BY failed, side", "hops", "ev"))
+def stream_sets_whole(s, d):
+    failed = B.events(s, d).filter("alarm = 'error'").select("board").distinct()
+    return T.stream_sides(B.hops(s, d), failed).groupBy("failed", "side").agg(F.count(F.lit(1)).alias("n"), F.min("board").alias("first_board"))
+
+
 @add("topology_summary", sql("SELECT count(DISTINCT path_id) AS n_paths, count(DISTINCT board) AS n_boards, count(*) FILTER (role = 'SRC') AS n_src, count(*) FILTER (role = 'TERMINATION') AS n_term, max(n) AS max_hops, count(*) AS n_hops FROM hops", "hops"))
 def topology_summary(s, d):
     return T.topology_summary(B.hops(s, d))
@@ -260,6 +266,19 @@ def khop_region(s, d):
     return T.khop_region(thin, B.boards(s, d).filter("board % 10 = 1").select("board"), 2, materialise)
 
 
+_ALL_UND = "e2 AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
+
+
+@add("connected_components_whole", sql("WITH " + _ALL_UND + ", r AS (SELECT board, board AS root FROM boards UNION SELECT e2.b, r.root FROM r JOIN e2 ON r.board = e2.a) SELECT board, min(root) AS component FROM r GROUP BY board", "boards", "edges", recursive=True))
+def connected_components_whole(s, d):
+    return T.connected_components(materialise(T.edges(B.hops(s, d)), "edges"), B.boards(s, d), materialise)
+
+
+@add("khop_region_whole", sql("WITH " + _ALL_UND + ", r AS (SELECT board AS root, board, 0 AS hop FROM boards UNION SELECT r.root, e2.b, hop + 1 FROM r JOIN e2 ON r.board = e2.a WHERE hop < 2) SELECT root, board, min(hop) AS hop FROM r GROUP BY root, board", "boards", "edges", recursive=True))
+def khop_region_whole(s, d):
+    return T.khop_region(materialise(T.edges(B.hops(s, d)), "edges"), B.boards(s, d).select("board"), 2, materialise)
+
+
 _REACT = (
     _SECTION
     + """, has AS (SELECT board, ftype, r.* FROM typed JOIN rules r ON ftype = from_type), react AS (
