@@ -4,8 +4,8 @@ Equal vectors are one node. A first graph comes from leaves of random-hyperplane
 the neighbours of a node together (forward and backward edges), compare them with each other where one of the two
 is new, and keep each node's ``k`` best. Queries walk the graph: the nearest nodes not yet looked at are expanded,
 round by round, until none of the ``beam`` nearest is left to expand. Distances in the graph are computed on
-half-precision copies, which keeps shuffles small; the scores returned are computed on the original vectors in
-double precision.
+single-precision copies with an exponent each, which keeps shuffles small and leaves vectors of any magnitude their
+digits; the scores returned are computed on the original vectors in double precision.
 
 Leaves and the edge lists of hubs are split into blocks of bounded size, so no task holds an unbounded group;
 what reaches the driver are ``2 * trees * depth`` vectors for the hyperplanes (depth is the logarithm of the
@@ -70,22 +70,37 @@ def _rows(column: pa.Array, kind: str) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), kind).reshape(len(column), -1)
 
 
+def _packed(m: np.ndarray) -> np.ndarray:
+    """Rows as a binary exponent and single-precision digits."""
+    power = np.frexp(np.abs(m).max(axis=1))[1].astype("<i4")[:, None]
+    return np.hstack([power.view("<f4"), np.ldexp(m, -power).astype("<f4")])
+
+
+def _unpacked(column: pa.Array) -> np.ndarray:
+    raw = _rows(column, "<f4")
+    return np.ldexp(raw[:, 1:].astype("f8"), raw[:, :1].copy().view("<i4"))
+
+
 def nodes_of(rows: DataFrame, copies: int) -> tuple[DataFrame, DataFrame]:
-    """Nodes (``node``, ``v`` as doubles, ``h`` as halves) and their members (``node``, ``vec_id``), the ``copies`` smallest ids of each."""
+    """Nodes (``node``, ``v`` as doubles, ``h`` packed for the graph) and their members (``node``, ``vec_id``), the ``copies`` smallest ids of each."""
     same = W.partitionBy("v")
     some = rows.withColumn("place", F.row_number().over(same.orderBy("vec_id"))).filter(F.col("place") <= copies)
     some = materialise(some.withColumn("node", F.min("vec_id").over(same)), "vectors")
     largest = some.agg(F.max(F.array_max(F.transform("v", F.abs)))).first()[0]
-    scale = 1.0 / float(largest) if largest else 1.0
+    # A power of two keeps squares finite; the middle of a few nodes as origin saves the digits of vectors far from zero.
+    power = 490 - int(np.frexp(float(largest or 1.0))[1])
+    firsts = some.filter("place = 1")
+    few = [r["v"] for r in firsts.orderBy(F.xxhash64("node"), "node").limit(101).select("v").collect()]
+    middle = np.median(np.ldexp(np.array(few, "f8"), power), axis=0) if few else 0.0
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if len(batch):
                 m = _rows(batch.column(1), "").astype("<f8")
-                halves = (m * scale).astype("<f2")
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in m], pa.binary()), pa.array([x.tobytes() for x in halves], pa.binary())], ["node", "v", "h"])
+                packed = _packed(np.ldexp(m, power) - middle)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x.tobytes() for x in m], pa.binary()), pa.array([x.tobytes() for x in packed], pa.binary())], ["node", "v", "h"])
 
-    nodes = some.filter("place = 1").select("node", "v").mapInArrow(run, "node long, v binary, h binary")
+    nodes = firsts.select("node", "v").mapInArrow(run, "node long, v binary, h binary")
     return materialise(nodes, "nodes"), some.select("node", "vec_id")
 
 
@@ -101,26 +116,26 @@ def _distances(m: np.ndarray) -> np.ndarray:
     return np.maximum(d, 0, out=d)
 
 
-EDGE = "node long, nbr long, dist float"
+EDGE = "node long, nbr long, dist double"
 
 
 def _edge_batch(a: list, b: list, d: list) -> pa.RecordBatch:
     cat = lambda x, kind: np.concatenate(x).astype(kind) if x else np.empty(0, kind)
-    return pa.RecordBatch.from_arrays([pa.array(cat(a, np.int64)), pa.array(cat(b, np.int64)), pa.array(cat(d, np.float32))], ["node", "nbr", "dist"])
+    return pa.RecordBatch.from_arrays([pa.array(cat(a, np.int64)), pa.array(cat(b, np.int64)), pa.array(cat(d, np.float64))], ["node", "nbr", "dist"])
 
 
 def first_graph(nodes: DataFrame, how: Descent) -> DataFrame:
     """Each node's best partners in the leaves it falls into."""
     depth = max(0, math.ceil(math.log2(max(1, nodes.count()) / how.leaf)))
-    ends = [np.frombuffer(r["h"], "<f2").astype("f4") for r in nodes.orderBy(F.xxhash64("node"), "node").limit(2 * how.trees * depth).select("h").collect()]
-    planes = np.array([a - b for a, b in zip(ends[::2], ends[1::2], strict=False)], "f4").reshape(-1, len(ends[0]) if ends else 1)
-    shifts = np.array([((a + b) / 2) @ (a - b) for a, b in zip(ends[::2], ends[1::2], strict=False)], "f4")
+    ends = [_unpacked(pa.array([r["h"]]))[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(2 * how.trees * depth).select("h").collect()]
+    planes = np.array([a - b for a, b in zip(ends[::2], ends[1::2], strict=False)]).reshape(-1, len(ends[0]) if ends else 1)
+    shifts = np.array([((a + b) / 2) @ (a - b) for a, b in zip(ends[::2], ends[1::2], strict=False)])
 
     def codes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not len(batch):
                 continue
-            bits = (_rows(batch.column(1), "<f2").astype("f4") @ planes.T > shifts).astype(np.int64) if depth else np.zeros((len(batch), 0), np.int64)
+            bits = (_unpacked(batch.column(1)) @ planes.T > shifts).astype(np.int64) if depth else np.zeros((len(batch), 0), np.int64)
             for t in range(how.trees if depth else 1):
                 own = bits[:, t * depth : (t + 1) * depth]
                 code = (own << np.arange(own.shape[1])).sum(axis=1)
@@ -137,7 +152,7 @@ def first_graph(nodes: DataFrame, how: Descent) -> DataFrame:
             a, b, d = [], [], []
             for i in range(len(batch)):
                 flat = batch.column(0).slice(i, 1).flatten()
-                ids, m = flat.field("node").to_numpy(), _rows(flat.field("h"), "<f2").astype("f4")
+                ids, m = flat.field("node").to_numpy(), _unpacked(flat.field("h"))
                 dist = _distances(m)
                 k = min(how.k, len(ids) - 1)
                 if k > 0:
@@ -152,7 +167,7 @@ def first_graph(nodes: DataFrame, how: Descent) -> DataFrame:
 
 def descend(graph: DataFrame, nodes: DataFrame, how: Descent) -> DataFrame:
     """One round: neighbours of every node are compared with each other."""
-    worst = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= how.k, F.max("dist")).otherwise(float("inf")).cast("float").alias("worst"))
+    worst = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= how.k, F.max("dist")).otherwise(float("inf")).alias("worst"))
     both = graph.select("node", "nbr", "fresh").unionByName(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "fresh"))
     around = both.groupBy("node", "nbr").agg(F.max("fresh").alias("fresh"))
     degree = around.groupBy("node").agg(F.count(F.lit(1)).alias("n"), F.max("fresh").alias("any")).filter("any")
@@ -162,7 +177,7 @@ def descend(graph: DataFrame, nodes: DataFrame, how: Descent) -> DataFrame:
         .withColumn("part", F.pmod(F.xxhash64("nbr"), F.ceil(F.col("n") / how.block)))
         .join(about, "nbr")
         .groupBy("node", "part")
-        .agg(F.collect_list(F.struct("nbr", "fresh", F.coalesce("worst", F.lit(float("inf"))).cast("float").alias("worst"), "h")).alias("m"))
+        .agg(F.collect_list(F.struct("nbr", "fresh", F.coalesce("worst", F.lit(float("inf"))).alias("worst"), "h")).alias("m"))
     )
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -173,7 +188,7 @@ def descend(graph: DataFrame, nodes: DataFrame, how: Descent) -> DataFrame:
                 ids, fresh = flat.field("nbr").to_numpy(), flat.field("fresh").to_numpy(zero_copy_only=False)
                 if len(ids) < 2 or not fresh.any():
                     continue
-                dist = _distances(_rows(flat.field("h"), "<f2").astype("f4"))
+                dist = _distances(_unpacked(flat.field("h")))
                 dist[~(fresh[:, None] | fresh[None, :])] = np.inf
                 dist[dist >= flat.field("worst").to_numpy()[:, None]] = np.inf
                 k = min(how.emit, len(ids) - 1)

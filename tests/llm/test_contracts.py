@@ -114,6 +114,29 @@ def test_op4_recall(spark):
     assert hits >= 0.9 * total
 
 
+def _op4_recall(spark, m, how, top=10):
+    """Share of the true nearest rows found, over queries 0, 10, 20...; every query must give ``top`` rows."""
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in nn_descent.search(df, F.col("vec_id") % 10 == 0, top, how).collect():
+        got[r["query_id"]].append(r["vec_id"])
+    hits = asked = 0
+    for q in range(0, len(m), 10):
+        d = np.sqrt(((m - m[q]) ** 2).sum(axis=1))
+        d[q] = np.inf
+        assert len(got[q]) == top, q
+        hits += len(set(np.argsort(d)[:top].tolist()) & set(got[q]))
+        asked += top
+    return hits / asked
+
+
+@pytest.mark.parametrize(("huge", "shift"), [(1e8, 0.0), (1e200, 0.0), (1.0, 1e4)])
+def test_op4_recall_beside_a_huge_vector_and_far_from_zero(spark, huge, shift):
+    m = np.random.default_rng(7).normal(size=(1500, 8)) + shift
+    m[777] = huge
+    assert _op4_recall(spark, m, nn_descent.Descent(k=16, leaf=32, beam=32, rounds=3)) >= 0.9
+
+
 def test_op4_awkward_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [0.0, 2.0]), (8, [1.0, 2.0, 3.0]), (100, [1.0, 0.0]), (200, [0.0, 0.0])]
