@@ -1,9 +1,11 @@
 """Approximate nearest neighbours: NN-descent builds the graph, greedy search answers queries.
 
-Equal vectors are one node. A first graph comes from leaves of random-hyperplane trees; then rounds of joins bring
+Equal vectors are one node. A first graph comes from leaves of random-hyperplane trees and from groups drawn by
+hash, so that a node alone in its leaves has edges too; then rounds of joins bring
 the neighbours of a node together (forward and backward edges), compare them with each other where one of the two
-is new, and keep each node's ``k`` best. Queries walk the graph: the nearest nodes not yet looked at are expanded,
-round by round, until none of the ``beam`` nearest is left to expand. Distances in the graph are computed on
+is new, and keep each node's ``k`` best. Queries walk the graph from their own node and a few drawn ones: the nearest nodes not yet looked at are expanded,
+round by round, until none of the ``beam`` nearest is left to expand. A query that still lacks rows is compared with
+all nodes, in blocks. Distances in the graph are computed on
 single-precision copies with an exponent each, which keeps shuffles small and leaves vectors of any magnitude their
 digits; the scores returned are computed on the original vectors in double precision.
 
@@ -49,6 +51,8 @@ class Descent:
     #: Nodes expanded for a query in one round.
     width: int = 32
     search_rounds: int = 10
+    #: Drawn nodes from which every walk starts too.
+    entries: int = 16
 
 
 def _valid(v: Column) -> Column:
@@ -126,7 +130,8 @@ def _edge_batch(a: list, b: list, d: list) -> pa.RecordBatch:
 
 def first_graph(nodes: DataFrame, how: Descent) -> DataFrame:
     """Each node's best partners in the leaves it falls into."""
-    depth = max(0, math.ceil(math.log2(max(1, nodes.count()) / how.leaf)))
+    count = nodes.count()
+    depth = max(0, math.ceil(math.log2(max(1, count) / how.leaf)))
     ends = [_unpacked(pa.array([r["h"]]))[0] for r in nodes.orderBy(F.xxhash64("node"), "node").limit(2 * how.trees * depth).select("h").collect()]
     planes = np.array([a - b for a, b in zip(ends[::2], ends[1::2], strict=False)]).reshape(-1, len(ends[0]) if ends else 1)
     shifts = np.array([((a + b) / 2) @ (a - b) for a, b in zip(ends[::2], ends[1::2], strict=False)])
@@ -141,9 +146,17 @@ def first_graph(nodes: DataFrame, how: Descent) -> DataFrame:
                 code = (own << np.arange(own.shape[1])).sum(axis=1)
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.full(len(batch), t, np.int32)), pa.array(code.astype(np.int64))], ["node", "tree", "code"])
 
-    placed = materialise(nodes.select("node", "h").mapInArrow(codes, "node long, tree int, code long"), "leaves")
+    placed = nodes.select("node", "h").mapInArrow(codes, "node long, tree int, code long")
+    mates = max(how.leaf, 2 * how.k)
+    if depth:
+        # Whoever the hyperplanes leave alone meets others here, in groups of about ``mates``.
+        groups = max(1, count // mates)
+        drawn = F.pmod(F.xxhash64("node", F.lit(how.trees)), F.lit(groups))
+        placed = placed.unionByName(nodes.select("node", F.lit(how.trees).cast("int").alias("tree"), drawn.cast("long").alias("code")))
+    placed = materialise(placed, "leaves")
     sizes = placed.groupBy("tree", "code").agg(F.count(F.lit(1)).alias("n"))
-    spread = F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / (2 * how.leaf)))
+    room = F.when(F.col("tree") < how.trees, 2 * how.leaf).otherwise(2 * mates)
+    spread = F.pmod(F.xxhash64("node", "tree"), F.ceil(F.col("n") / room))
     leaves = placed.join(sizes, ["tree", "code"]).withColumn("part", spread).join(nodes.select("node", "h"), "node")
     leaves = leaves.groupBy("tree", "code", "part").agg(F.collect_list(F.struct("node", "h")).alias("m"))
 
@@ -165,8 +178,8 @@ def first_graph(nodes: DataFrame, how: Descent) -> DataFrame:
     return leaves.select("m").mapInArrow(compare, EDGE).groupBy("node", "nbr").agg(F.min("dist").alias("dist"))
 
 
-def descend(graph: DataFrame, nodes: DataFrame, how: Descent) -> DataFrame:
-    """One round: neighbours of every node are compared with each other."""
+def descend(graph: DataFrame, nodes: DataFrame, how: Descent, turn: int) -> DataFrame:
+    """One round: neighbours of every node are compared with each other, a hub's in blocks that each ``turn`` deals anew."""
     worst = graph.groupBy("node").agg(F.when(F.count(F.lit(1)) >= how.k, F.max("dist")).otherwise(float("inf")).alias("worst"))
     both = graph.select("node", "nbr", "fresh").unionByName(graph.select(F.col("nbr").alias("node"), F.col("node").alias("nbr"), "fresh"))
     around = both.groupBy("node", "nbr").agg(F.max("fresh").alias("fresh"))
@@ -174,7 +187,9 @@ def descend(graph: DataFrame, nodes: DataFrame, how: Descent) -> DataFrame:
     about = nodes.select(F.col("node").alias("nbr"), "h").join(worst.withColumnRenamed("node", "nbr"), "nbr", "left")
     lists = (
         around.join(degree, "node")
-        .withColumn("part", F.pmod(F.xxhash64("nbr"), F.ceil(F.col("n") / how.block)))
+        .withColumn("part", F.pmod(F.xxhash64("nbr", F.lit(turn)), F.ceil(F.col("n") / how.block)))
+        # Two old edges of a hub may meet in a block for the first time.
+        .withColumn("fresh", F.col("fresh") | (F.col("n") > how.block))
         .join(about, "nbr")
         .groupBy("node", "part")
         .agg(F.collect_list(F.struct("nbr", "fresh", F.coalesce("worst", F.lit(float("inf"))).alias("worst"), "h")).alias("m"))
@@ -209,8 +224,8 @@ def descend(graph: DataFrame, nodes: DataFrame, how: Descent) -> DataFrame:
 def build_graph(nodes: DataFrame, how: Descent) -> DataFrame:
     """Edges (``node``, ``nbr``, ``dist``, ``fresh``), at most ``how.k`` a node."""
     graph = materialise(_best_edges(first_graph(nodes, how), how.k).drop("place").withColumn("fresh", F.lit(True)), "graph")
-    for _ in range(how.rounds):
-        old, graph = graph, materialise(descend(graph, nodes, how), "graph")
+    for turn in range(how.rounds):
+        old, graph = graph, materialise(descend(graph, nodes, how, turn), "graph")
         discard(old)
         counts = graph.agg(F.count(F.lit(1)).alias("n"), F.count_if("fresh").alias("fresh")).first()
         if counts["fresh"] <= how.least_change * counts["n"]:
@@ -236,7 +251,10 @@ def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, how: Descent) ->
     edges = materialise(edges, "edges")
     vectors = nodes.select("node", "v")
     queries = materialise(starts.distinct().join(vectors, "node").select(F.col("node").alias("q"), F.col("v").alias("qv")), "queries")
-    beam = materialise(queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("dist"), F.lit(False).alias("seen")), "beam")
+    own = queries.select("q", F.col("q").alias("node"), F.lit(0.0).alias("dist"), F.lit(False).alias("seen"))
+    entries = F.broadcast(vectors.orderBy(F.xxhash64("node"), "node").limit(how.entries))
+    drawn = _measure(queries.crossJoin(entries).filter(F.col("q") != F.col("node"))).withColumn("seen", F.lit(False))
+    beam = materialise(own.unionByName(drawn), "beam")
     order = W.partitionBy("q").orderBy("dist", "node")
     for _ in range(how.search_rounds):
         old_beam = beam
@@ -253,6 +271,29 @@ def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, how: Descent) ->
     return beam.select("q", "node", "dist")
 
 
+def exactly(nodes: DataFrame, starts: DataFrame, keep: int) -> DataFrame:
+    """The ``keep`` nearest nodes of each of ``starts`` (node) among all, as (q, node, dist): blocks of nodes against blocks of queries."""
+    queries = materialise(starts.distinct().join(nodes.select("node", "v"), "node"), "short")
+
+    def blocks(df: DataFrame, size: int, name: str) -> DataFrame:
+        part = F.pmod(F.xxhash64("node"), F.lit(math.ceil(max(1, df.count()) / size)))
+        return df.groupBy(part.alias("part")).agg(F.collect_list(F.struct("node", "v")).alias(name)).select(name)
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(len(batch)):
+                asked, some = batch.column(0).slice(i, 1).flatten(), batch.column(1).slice(i, 1).flatten()
+                ids, m = some.field("node").to_numpy(), _rows(some.field("v"), "<f8")
+                for q, v in zip(asked.field("node").to_numpy(), _rows(asked.field("v"), "<f8"), strict=True):
+                    dist = np.sqrt(((m - v) ** 2).sum(axis=1))
+                    best = np.lexsort((ids, dist))[:keep]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(ids[best]), pa.array(dist[best])], ["q", "node", "dist"])
+
+    pairs = blocks(queries, 16, "asked").crossJoin(blocks(nodes.select("node", "v"), 128, "some"))
+    found = pairs.select("asked", "some").mapInArrow(compare, "q long, node long, dist double")
+    return found.withColumn("turn", F.row_number().over(W.partitionBy("q").orderBy("dist", "node"))).filter(F.col("turn") <= keep).drop("turn")
+
+
 def search(rows: DataFrame, is_query: Column, top: int = 10, how: Descent | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``top`` nearest other rows of every row that ``is_query`` (on ``vec_id``) picks: query_id, rank, vec_id, score."""
     how = how or Descent()
@@ -263,7 +304,15 @@ def search(rows: DataFrame, is_query: Column, top: int = 10, how: Descent | None
     firsts = nodes_key(valid)
     asked = materialise(asked.join(firsts, "v").select("query_id", F.col("node").alias("q")), "asked")
     found = walk(build_graph(nodes, how), nodes, asked.select(F.col("q").alias("node")), how)
-    near = _best(found.withColumnRenamed("dist", "score").join(members, "node").select("q", "score", "vec_id"), "q", top + 1)
+
+    def members_of(found: DataFrame) -> DataFrame:
+        return _best(found.withColumnRenamed("dist", "score").join(members, "node").select("q", "score", "vec_id"), "q", top + 1)
+
+    near = materialise(members_of(found), "near")
+    short = near.groupBy("q").count().filter(F.col("count") < min(top + 1, valid.count())).select("q")
+    if not short.isEmpty():
+        whole = exactly(nodes, short.select(F.col("q").alias("node")), top + 1)
+        near = near.join(short, "q", "left_anti").unionByName(members_of(whole).select(near.columns))
     pairs = asked.join(near, "q").filter(F.col("vec_id") != F.col("query_id"))
     return _best(pairs, "query_id", top, "rank").select("query_id", "rank", "vec_id", "score")
 

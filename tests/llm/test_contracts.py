@@ -137,6 +137,21 @@ def test_op4_recall_beside_a_huge_vector_and_far_from_zero(spark, huge, shift):
     assert _op4_recall(spark, m, nn_descent.Descent(k=16, leaf=32, beam=32, rounds=3)) >= 0.9
 
 
+def test_op4_isolated_vectors_and_small_far_clusters(spark):
+    m = np.random.default_rng(8).normal(size=(1200, 16))
+    for i in range(0, 50, 10):
+        m[i] = 0
+        m[i, i // 10] = 300 + i  # alone
+    m[60:64] = 1e3 + np.random.default_rng(9).normal(size=(4, 16))
+    m[70:74] = -1e3 + np.random.default_rng(10).normal(size=(4, 16))
+    assert _op4_recall(spark, m, nn_descent.Descent(k=8, leaf=1, trees=1, beam=32, rounds=3)) >= 0.9
+
+
+def test_op4_short_queries_are_searched_exactly(spark, monkeypatch):
+    monkeypatch.setattr(nn_descent, "walk", lambda graph, nodes, starts, how: starts.select(F.col("node").alias("q"), "node", F.lit(0.0).alias("dist")))
+    assert _op4_recall(spark, np.random.default_rng(11).normal(size=(300, 4)), nn_descent.Descent(rounds=1)) == 1
+
+
 def test_op4_awkward_vectors(spark):
     nan = float("nan")
     rows = [(0, [1.0, 0.0]), (1, [1.0, 0.0]), (2, [1.0, 0.0]), (3, [0.0, 0.0]), (4, None), (5, [nan, 1.0]), (6, [None, 1.0]), (7, [0.0, 2.0]), (8, [1.0, 2.0, 3.0]), (100, [1.0, 0.0]), (200, [0.0, 0.0])]
