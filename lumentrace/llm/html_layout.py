@@ -23,7 +23,18 @@ from pyspark.sql import functions as F
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never shown.
-HIDDEN = frozenset("head script style template noscript iframe object svg math datalist audio video canvas".split())
+HIDDEN = frozenset("head script style template noscript iframe object datalist audio video canvas".split())
+#: Inside SVG, elements whose content is not drawn; of the others, text is drawn inside ``text`` and foreignObject only.
+UNDRAWN = frozenset("title desc metadata defs symbol clippath mask pattern marker lineargradient radialgradient filter".split())
+#: Inside MathML, elements whose content is not shown; and those whose parts stand apart.
+UNSHOWN = frozenset("annotation annotation-xml mphantom".split())
+APART = frozenset("mfrac mtable mtr mlabeledtr".split())
+#: Elements of SVG and MathML whose content is HTML again.
+HTML_AGAIN = frozenset("foreignobject desc title mi mo mn ms mtext annotation-xml".split())
+#: HTML elements that end an open svg or math.
+BREAKOUT = frozenset("b big blockquote body br center code dd div dl dt em embed h1 h2 h3 h4 h5 h6 head hr i img li menu nobr ol p pre ruby s small span strike strong sub sup table tt u ul var".split())
+#: Inputs that show their value as a label.
+BUTTONS = frozenset(("submit", "button", "reset"))
 #: Elements on lines of their own, and those with a blank line around them.
 BLOCK = frozenset("html body address article aside details dialog dd div dl dt fieldset figcaption figure footer form header hgroup li main nav ol option section summary table ul tr caption thead tbody tfoot legend center".split())
 SPACED = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre ul ol dl table hr figure".split())
@@ -64,6 +75,14 @@ class Tree(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.root = Node("", {})
         self.open = [self.root]
+        #: Open elements at which SVG or MathML begins, or HTML again, with their depth.
+        self.borders: list[tuple[int, Node]] = []
+
+    def _foreign(self) -> bool:
+        """Whether what follows stands directly in SVG or MathML."""
+        while self.borders and (self.borders[-1][0] >= len(self.open) or self.open[self.borders[-1][0]] is not self.borders[-1][1]):
+            self.borders.pop()
+        return bool(self.borders) and self.borders[-1][1].tag in ("svg", "math")
 
     def _end(self, tags, stops) -> None:
         """Close the innermost element of ``tags``, and what is in it, unless a stop comes first."""
@@ -75,6 +94,11 @@ class Tree(HTMLParser):
                 return
 
     def handle_starttag(self, tag: str, attrs) -> None:
+        while tag in BREAKOUT and self._foreign():
+            del self.open[self.borders[-1][0] :]
+        if self._foreign():
+            self._push(tag, dict(attrs))
+            return
         if tag in IMPLIED_END:
             tags, stops = IMPLIED_END[tag]
             before = -1
@@ -91,11 +115,17 @@ class Tree(HTMLParser):
 
     def _push(self, tag: str, attrs: dict) -> None:
         node = Node(tag, attrs)
+        if tag in ("svg", "math") or (tag in HTML_AGAIN and self._foreign()):
+            self._foreign()
+            self.borders.append((len(self.open), node))
         self.open[-1].children.append(node)
         self.open.append(node)
 
     def handle_startendtag(self, tag: str, attrs) -> None:
+        alone = tag in ("svg", "math") or (tag not in BREAKOUT and self._foreign())
         self.handle_starttag(tag, attrs)
+        if alone:
+            self.open.pop()
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "br":
@@ -118,6 +148,22 @@ def visible(node: Node) -> bool:
     )
 
 
+def drawn(node: Node, scope: str) -> bool:
+    """Whether an element of SVG or MathML shows its content."""
+    if scope == "math":
+        return node.tag not in UNSHOWN
+    return scope not in ("svg", "text") or not (node.tag in UNDRAWN or node.attrs.get("display") == "none" or node.attrs.get("visibility") in ("hidden", "collapse"))
+
+
+def inner_scope(tag: str, scope: str) -> str | None:
+    """What the content of an element stands in, if not in the same as the element."""
+    if tag in ("svg", "math"):
+        return tag
+    if scope == "svg" and tag in ("text", "foreignobject"):
+        return "text" if tag == "text" else ""
+    return None
+
+
 class Flow:
     """Text under construction: lines, and what is due before the next word."""
 
@@ -181,20 +227,34 @@ def render(html: str) -> str:
     tree.feed(html)
     tree.close()
     flows, tables, lists, pre = [Flow()], [], [], 0
+    #: What the place is in: "" for HTML, "math", "svg" (nothing drawn), "text" (of SVG).
+    scopes: list[tuple[Node | None, str]] = [(None, "")]
+    labels = False
     todo: list[tuple[Node | str, bool]] = [(tree.root, True)]
     while todo:
         node, entering = todo.pop()
         flow = flows[-1]
         if isinstance(node, str):
+            if scopes[-1][1] == "svg":
+                continue
             (flow.raw if pre else flow.text)(node)
             continue
         tag = node.tag
         cell = tag in ("td", "th") and bool(tables)
         if entering:
-            if not visible(node):
+            scope = scopes[-1][1]
+            if not visible(node) or not drawn(node, scope):
                 continue
             todo.append((node, False))
-            todo += [(c, True) for c in reversed(node.children)]
+            parts = node.children
+            if scope == "math" and tag in APART:
+                parts = [x for c in parts for x in (c, " ")][:-1]
+            todo += [(c, True) for c in reversed(parts)]
+            if (inner := inner_scope(tag, scope)) is not None:
+                scopes.append((node, inner))
+                # Labels of a drawing stand apart.
+                flow.space = flow.space or (inner == "text" and bool(flow.parts) and not flow.breaks and labels)
+                labels = inner == "text" or (labels and tag != "svg")
             if cell:
                 flows.append(Flow())
             elif tag in SPACED:
@@ -217,9 +277,14 @@ def render(html: str) -> str:
                 tables[-1].append([])
             elif tag == "pre":
                 pre += 1
+            elif tag == "input" and (node.attrs.get("type") or "").lower() in BUTTONS:
+                flow.text(node.attrs.get("value") or "")
             elif tag == "img" and (node.attrs.get("alt") or "").strip():
                 flow.text(node.attrs["alt"])
-        elif cell:
+            continue
+        if scopes[-1][0] is node:
+            scopes.pop()
+        if cell:
             if not tables[-1]:
                 tables[-1].append([])
             tables[-1][-1].append(flows.pop().done())

@@ -24,6 +24,13 @@ CASES = [
     ("<select><option>a<option>b</select>", "a\nb"),
     ("<dl><dt>t<dd>d<dt>u<dd>e</dl>", "t\nd\nu\ne"),
     ("<img alt='a cat'> sat", "a cat sat"),
+    ("where <math><mi>x</mi><mo>=</mo><mfrac><mn>1</mn><mn>2</mn></mfrac><annotation>no</annotation></math>, so", "where x=1 2, so"),
+    ("<math><semantics><mi>y</mi><annotation encoding='t'>\\y</annotation></semantics></math>", "y"),
+    ("<p>a <svg><title>no</title><defs><text>no</text></defs><path d='m'/><g>no<text>Sales</text><text>20<tspan>24</tspan></text></g></svg> b", "a Sales 2024 b"),
+    ("<svg><foreignObject><div>in</div></foreignObject><text display='none'>no</text></svg>", "in"),
+    ("<svg><rect><p>after an open svg", "after an open svg"),
+    ("<svg/>a<math/>b", "ab"),
+    ("<input type=submit value='Send it'> <input type=hidden value=no><input type=reset value=Clear>", "Send it Clear"),
     ("<p>" * 3000 + "deep" + "<i>" * 3000, "deep"),
 ]
 
