@@ -3,11 +3,12 @@
 The patterns give the base spans and, with them, labelled credentials. For each kind a prefix tree is built over
 the character classes of at most ``labelled`` distinct credentials, and its states are merged where their
 statistics are compatible (red-blue order, Hoeffding bound), which leaves a small probabilistic automaton. Every
-other long token of every text is scored by all automata with its mean log-probability a symbol, and becomes a
-span if it is as likely as the labelled ones are and far likelier than under the classes' overall frequencies.
+other token of every text that is written in the labelled credentials' alphabet and as long as the shortest of them
+is scored by all automata with its mean log-probability a symbol, and becomes a span if it is as likely as the
+labelled ones are and far likelier than under the classes' frequencies in all texts.
 
-One pass over the texts extracts spans and tokens; the rest works on these. The labelled sample is the only
-thing that reaches the driver, and its bound is the parameter ``labelled``.
+One pass over the texts extracts the spans and counts the classes, a second one scores the tokens. The labelled
+sample, bounded by the parameter ``labelled``, and a row per class are all that reaches the driver.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned each; positions count code
 points; a kind without labelled credentials gets no automaton; an empty table gives an empty table; other
@@ -35,8 +36,11 @@ PATTERNS = (
     (re.compile(r"AKIA[A-Z0-9]+"), 0, 20, ("akia",)),
     (re.compile(r"[0-9a-f]{24,}"), 0, 24, ()),
 )
-#: Tokens that are scored.
-TOKEN = re.compile(r"[A-Za-z0-9+/_=-]{12,}")
+#: What tokens are written in, by class.
+SIGNS = "+/_.=-"
+ALPHABET = {"0": "0-9", "a": "a-f", "z": "g-z", "A": "A-F", "Z": "G-Z"} | {c: re.escape(c) for c in SIGNS}
+#: Tokens of this length are scored even if every labelled credential is longer.
+LONG = 12
 LEARNED = tuple(f"like_{k}" for k in KINDS)
 FOUND = "array<struct<kind:int,start:int,stop:int,value:string>>"
 
@@ -58,6 +62,16 @@ def classes(value: str) -> str:
     return "".join("0" if c.isdigit() else ("a" if c in "abcdef" else "z") if c.islower() else ("A" if c in "ABCDEF" else "Z") if c.isupper() else c for c in value)
 
 
+#: Classes by translation, for ASCII; other characters become a space.
+_CLASS = {i: (classes(chr(i)) if chr(i).isalnum() or chr(i) in SIGNS else " ") for i in range(128)}
+
+
+def class_counts(text: str) -> dict[str, int]:
+    """Characters of all tokens of a text by class."""
+    marks = text.translate(_CLASS)
+    return {c: n for c in ALPHABET if (n := marks.count(c))}
+
+
 class Automaton:
     """A probabilistic automaton: per state the visits, the endings, and per symbol the target and its count."""
 
@@ -152,19 +166,51 @@ class Model:
     automata: dict[int, tuple[Automaton, float]]
     background: dict[str, float]
     gain: float
+    #: Tokens that can be credentials by alphabet and length.
+    token: re.Pattern
+    least: int
+
+    def __post_init__(self) -> None:
+        self._known: dict[str, int | None] = {}
 
     def kind(self, value: str) -> int | None:
         """The kind whose format the token has most likely, if any."""
-        word = classes(value)
-        if "0" not in word:
-            return None
+        if value not in self._known:
+            if len(self._known) >= 200_000:
+                self._known.clear()
+            self._known[value] = self._kind(classes(value))
+        return self._known[value]
+
+    def _kind(self, word: str) -> int | None:
         plain = sum(self.background.get(c, -10.0) for c in word) / len(word)
         scored = [(a.score(word), k) for k, (a, least) in self.automata.items() if (s := a.score(word)) >= least and s >= plain + self.gain]
         return max(scored)[1] if scored else None
 
-
-def learn(labelled: dict[int, list[str]], how: Grammar) -> Model:
-    """``labelled``: credentials by the number of their kind."""
+    def spans(self, text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
+        """Learned spans outside the base spans: whole tokens, else without outer dots, else the parts between dots."""
+        out = []
+        if not self.automata:
+            return out
+        for m in self.token.finditer(text):
+            start, value = m.start(), m[0]
+            for at, part in _pieces(value) if "." in value else ((0, value),):
+                a, b = start + at, start + at + len(part)
+                if len(part) < self.least or (out and a < out[-1][2]):
+                    continue
+                if (kind := self.kind(part)) is not None and not any(x < b and a < y for _, x, y, _ in base):
+                    out.append((kind, a, b, part))
+        return out
+
+
+def _pieces(value: str) -> list[tuple[int, str]]:
+    """A token with dots, the token without outer dots, and its parts, with their places; none twice."""
+    inner = value.strip(".")
+    found = [(0, value), (len(value) - len(value.lstrip(".")), inner)] + [(m.start(), m[0]) for m in re.finditer(r"[^.]+", value)]
+    return list(dict.fromkeys(found))
+
+
+def learn(labelled: dict[int, list[str]], how: Grammar, overall: dict[str, int] | None = None) -> Model:
+    """``labelled``: credentials by the number of their kind; ``overall``: characters of all texts' tokens by class (those of the credentials if missing)."""
     automata = {}
     for kind, values in sorted(labelled.items()):
         words = [classes(v) for v in sorted(values)]
@@ -172,8 +218,12 @@ def learn(labelled: dict[int, list[str]], how: Grammar) -> Model:
         scores = sorted(automaton.score(w) for w in words)
         automata[kind] = (automaton, scores[int(how.miss * len(scores))])
     seen = Counter(c for values in labelled.values() for v in values for c in classes(v))
-    total = sum(seen.values())
-    return Model(automata, {c: math.log2(n / total) for c, n in seen.items()}, how.gain)
+    alphabet = "".join(ALPHABET[c] for c in sorted(seen)) or "0-9"
+    least = min([LONG, *(len(v) for values in labelled.values() for v in values)])
+    counts = overall or seen
+    total = sum(counts.values())
+    background = {c: math.log2(n / total) for c, n in counts.items()}
+    return Model(automata, background, how.gain, re.compile(f"[{alphabet}]{{{least},}}"), least)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -187,15 +237,6 @@ def base_spans(text: str) -> list[tuple[int, int, int, str]]:
     return sorted(out, key=lambda s: (s[1], s[0]))
 
 
-def tokens(text: str, spans: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
-    """Long tokens with a digit outside all spans; their kind is still -1."""
-    out = []
-    for m in TOKEN.finditer(text):
-        if any(c.isdigit() for c in m[0]) and not any(a < m.end() and m.start() < b for _, a, b, _ in spans):
-            out.append((-1, m.start(), m.end(), m[0]))
-    return out
-
-
 def _structs(rows: list[list[tuple]]) -> pa.Array:
     kind = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("stop", pa.int32()), ("value", pa.string())])
     names = [f.name for f in kind]
@@ -203,43 +244,47 @@ def _structs(rows: list[list[tuple]]) -> pa.Array:
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, ``base`` spans and ``tokens`` of every row."""
+    """Id and ``base`` spans of every row; ``counts`` of classes, a batch's in one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, other = [], []
+            base, counts = [], Counter()
             for value in batch.column(1):
                 text = value.as_py() or ""
                 base.append(base_spans(text))
-                other.append(tokens(text, base[-1]))
-            yield pa.RecordBatch.from_arrays([batch.column(0), _structs(base), _structs(other)], ["doc_id", "base", "tokens"])
+                counts.update(class_counts(text))
+            rows = [list(counts.items()), *[[]] * (len(batch) - 1)] if len(batch) else []
+            yield pa.RecordBatch.from_arrays([batch.column(0), _structs(base), pa.array(rows, pa.map_(pa.string(), pa.int64()))], ["doc_id", "base", "counts"])
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, base {FOUND}, tokens {FOUND}")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, base {FOUND}, counts map<string,long>")
 
 
 def train(found: DataFrame, how: Grammar) -> Model:
-    """Automata from at most ``how.labelled`` distinct base credentials a kind."""
+    """Automata from at most ``how.labelled`` distinct base credentials a kind, held against the classes of all tokens."""
     values = found.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
     labelled = {}
     for kind in range(len(KINDS)):
         some = values.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(how.labelled)
         if rows := [r["value"] for r in some.select("value").collect()]:
             labelled[kind] = rows
-    return learn(labelled, how)
+    overall = found.select(F.explode("counts").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n"))
+    return learn(labelled, how, {r["c"]: r["n"] for r in overall.collect()})
 
 
 def scan(docs: DataFrame, how: Grammar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``base`` spans and ``learned`` spans of every row; kinds are numbers of ``KINDS``."""
     docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
-    found = materialise(extract(docs, id_col, text_col), "secrets")
-    model = train(found, how or Grammar())
+    model = train(materialise(extract(docs, id_col, text_col), "secrets"), how or Grammar())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            learned = [[(k, t["start"], t["stop"], t["value"]) for t in row.as_py() if (k := model.kind(t["value"])) is not None] for row in batch.column(2)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), _structs(learned)], ["doc_id", "base", "learned"])
+            texts = [t.as_py() or "" for t in batch.column(1)]
+            base = [base_spans(t) for t in texts]
+            learned = [model.spans(t, b) for t, b in zip(texts, base, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), _structs(base), _structs(learned)], ["doc_id", "base", "learned"])
 
-    return found.mapInArrow(run, f"doc_id long, base {FOUND}, learned {FOUND}")
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    return rows.mapInArrow(run, f"doc_id long, base {FOUND}, learned {FOUND}")
 
 
 def redact(docs: DataFrame, how: Grammar | None = None, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
@@ -253,7 +298,7 @@ def redact(docs: DataFrame, how: Grammar | None = None, id_col: str = "doc_id",
         if not text:
             return text
         spans = base_spans(text)
-        spans = sorted((a, b) for _, a, b, _ in spans + [t for t in tokens(text, spans) if model.kind(t[3]) is not None])
+        spans = sorted((a, b) for _, a, b, _ in spans + model.spans(text, spans))
         out, done = [], 0
         for a, b in spans:
             if b > done:

@@ -262,6 +262,22 @@ def test_op7_held_out_accuracy():
     assert sum(model.kind(w) is not None for w in plain) <= 10
 
 
+def test_op7_learns_where_one_kind_dominates(spark):
+    """Free-form passwords only: held against all texts' classes, unlabelled ones are found, short, dotted and digitless too, and prose is not."""
+    rng = np.random.default_rng(6)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    mixed = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    words = ["".join(rng.choice(list("etaoinshrdlu"), rng.integers(3, 12))) for _ in range(400)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    rows = [(i, f"{prose(60)} password={draw(mixed + "....", rng.integers(8, 20))} {prose(20)}.") for i in range(200)]
+    hidden = ["Qx7RtKz93P", "GQKZWXHVPJYM", "K3VX.9QZT7.WX4R", "7KQ2ZX9W"]
+    rows += [(1000 + i, f"{prose(10)} {h} {prose(10)}.") for i, h in enumerate(hidden)]
+    rows += [(2000 + i, "see password=abc123.") for i in range(5)]
+    out = {r["doc_id"]: [s["value"] for s in r["learned"]] for r in secret_grammar.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert [out[1000 + i] for i in range(len(hidden))] == [[h] for h in hidden]
+    assert sum(map(len, out.values())) <= len(hidden) + 5
+
+
 def test_op8(spark):
     out = by_id(queries.op8_chat_format(spark, SF), "conv_id")
     chats = defaultdict(list)
