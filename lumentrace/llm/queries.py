@@ -33,11 +33,11 @@ def op5_line_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs.select("doc_id", *[F.col(f"_lt_{n}").alias(n) for n in names])
 
 
-def byte_bpe() -> tuple[str, str]:
-    """Ranks file and pattern of the public byte-level tokenizer."""
+def byte_bpe() -> tuple[str, str, str]:
+    """Ranks file, pattern and tokenizers file of the public byte-level tokenizer."""
     import public_tokenizers
 
-    return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN
+    return str(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN, str(public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op6_ss_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

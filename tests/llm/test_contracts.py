@@ -209,16 +209,32 @@ def test_op6_ids_equal_the_tokenizers_file():
     slow = Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json")))
     fast = ss_packing.load_encoder(*queries.byte_bpe())
 
-    @settings(max_examples=300, deadline=None)
-    @given(st.text(st.characters(exclude_categories=["Cs"], max_codepoint=0x2FFF), max_size=200))
+    piece = st.one_of(st.text(st.characters(exclude_categories=["Cs"]), max_size=40), st.sampled_from(["<|endoftext|>", "<|endof", " ", "\n", "\u3000", "\x1f", "'ll"]))
+
+    @settings(max_examples=400, deadline=None)
+    @given(st.lists(piece, max_size=12).map("".join))
     def same(text):
         assert fast(text) == slow.encode(text, add_special_tokens=False).ids
 
     same()
+    assert fast("<|endoftext|> a") == [50256, 257]
     same_long = "x" * 5_000 + " " * 5_000 + "y\n\n z" * 1_000
     assert fast(same_long) == slow.encode(same_long, add_special_tokens=False).ids
 
 
+@pytest.mark.parametrize("run", [" ", "\n", "a", "\u3000", "-"])
+def test_op6_takes_very_long_runs(run):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    text = "start " + run * 2_000_000 + " end"
+    assert queries_encoder()(text) == Tokenizer.from_file(str(public_tokenizers.path("byte_bpe_50k.json"))).encode(text, add_special_tokens=False).ids
+
+
+def queries_encoder():
+    return ss_packing.load_encoder(*queries.byte_bpe())
+
+
 def test_op6_levels_minimise_the_sum_of_squares():
     rng = np.random.default_rng(1)
     levels, fill, fresh = ss_packing.Levels(64), {}, 0
