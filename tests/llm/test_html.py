@@ -1,8 +1,14 @@
 """Rendering rules, one small page each."""
 
+import time
+
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
+from lumentrace.llm import queries
 from lumentrace.llm.html_layout import extract, render
+from tests.llm.brute_html import html_text
 
 CASES = [
     ("", ""),
@@ -45,3 +51,82 @@ def test_rows(spark):
     got = sorted((tuple(r) for r in extract(df).collect()), key=repr)
     assert got == sorted([(1, None, 0, 0), (None, "a", 1, 1), (2, "", 0, 0), (2, "", 0, 0)], key=repr)
     assert extract(df.limit(0)).count() == 0
+
+
+def test_all_pages_equal_the_plain_renderer(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    want = {r["page_id"]: None if r["html"] is None else html_text(r["html"]) for r in pages.collect()}
+    got = {r["page_id"]: r["text"] for r in queries.op9_html_layout(spark, "/root/testdata/sf0.01").collect()}
+    assert got == want and len(got) == pages.count()
+
+
+@st.composite
+def parts(draw, depth=3, inline=False):
+    """Markup of paragraphs, lists and tables, with optional end tags left out."""
+    word = st.sampled_from(["a", "bb", "long word", " x ", "é &amp; f", "7 &lt; 8"])
+    if depth == 0 or inline:
+        return draw(st.lists(st.one_of(word, word.map(lambda w: f"<b>{w}</b>"), word.map(lambda w: f"{w}<br>{w}"), st.just("<span hidden>no</span>")), min_size=1, max_size=3).map("".join))
+    inner = parts(depth - 1)
+    flat = parts(0)
+    kind = draw(st.sampled_from(["p", "div", "ul", "ol", "table", "h1", "text", "script"]))
+    if kind in ("p", "h1"):
+        return f"<{kind}>{draw(flat)}</{kind}>" if kind == "h1" or draw(st.booleans()) else f"<p>{draw(flat)}<p>{draw(flat)}"
+    if kind == "div":
+        return "<div>" + draw(inner) + "</div>" + draw(inner)
+    if kind in ("ul", "ol"):
+        return f"<{kind}>" + "".join("<li>" + x for x in draw(st.lists(flat, min_size=1, max_size=3))) + f"</{kind}>"
+    if kind == "table":
+        cell = st.tuples(st.sampled_from(["", " colspan=2", " rowspan=2", " colspan=2 rowspan=3"]), flat).map(lambda c: f"<td{c[0]}>{c[1]}")
+        return "<table>" + "".join("<tr>" + "".join(r) for r in draw(st.lists(st.lists(cell, min_size=1, max_size=3), min_size=1, max_size=4))) + "</table>"
+    return draw(flat) if kind == "text" else "<script>if (a<b) x()</script>"
+
+
+@settings(max_examples=400, deadline=None)
+@given(st.lists(parts(), min_size=1, max_size=4).map("".join))
+def test_random_pages_equal_the_plain_renderer(html):
+    assert render(html) == html_text(html)
+
+
+@pytest.mark.parametrize(
+    ("html", "text"),
+    [
+        ("<table><tr><th colspan=2>Head over two<th>C<tr><td>a<td>b<td>c</table>", "Head over two  C\na  b           c"),
+        ("<table><tr><td rowspan=2>r<td>1<td>2<tr><td>3<td>4</table>", "r  1  2\n   3  4"),
+        ("<title>no</title>a<title>no</title>b", "ab"),
+        ("<input value='typed'> <input type=password value=no><input placeholder=hint><input type=checkbox value=no>", "typed hint"),
+        ("<style>.x{color:red} .gone, #too {display:none} p.y{visibility:hidden}</style><p class='a gone'>no<p id=too>no<p class=y>no<div class=y>yes</div>", "yes"),
+        ("<style>.a{display:none}.a{display:block}@media print{.b{display:none}}/* .b{display:none} */</style><i class=a>a</i><i class=b>b</i>", "ab"),
+        ("<style>.a{display:none}</style><i class=a style='display:inline'>a</i>", "a"),
+        ("a<b title='x>y'>c</b>", "ac"),
+        ("a &#99999999999999999999; b", "a � b"),
+        ("x &#" + "9" * 5000 + "; y", "x � y"),
+        ("a < b <3", "a < b <3"),
+        ("a<p title='never closed>b", "a"),
+        ("<textarea>\n&lt;b></textarea><xmp><b></xmp>", "<b><b>"),
+        ("a<!-->b<!-- <p> --!>c<?php x ?>d</ x>e</>f", "abcdef"),
+    ],
+)
+def test_more_rules(html, text):
+    assert render(html) == text
+
+
+HOSTILE = {
+    "end tags without start": "<b>" * 40_000 + "</i>" * 200_000,
+    "blocks in open inline": "<b>" * 40_000 + "<h1>x</h1>" * 80_000,
+    "tags without end": "<a " * 340_000,
+    "comments without end": "<!--" * 250_000,
+    "attributes": "<p " + "a=1 " * 250_000 + ">x",
+    "nested tables": "<table><tr><td>x" * 62_000,
+    "nested lists": "<ul><li>x" * 110_000,
+    "spans": "<table><tr>" + "<td rowspan=65534 colspan=1000>x" * 20_000 + "<tr><td>y" * 50_000,
+    "a wide cell": "<table><tr><td>" + "w" * 500_000 + "<tr><td>a<td>b" * 30_000,
+    "style comments": "<style>" + "/*" * 500_000,
+    "less-than signs": "<" * 1_000_000,
+}
+
+
+@pytest.mark.parametrize("name", HOSTILE)
+def test_a_megabyte_of_anything_takes_seconds(name):
+    start = time.monotonic()
+    assert len(render(HOSTILE[name])) < 15_000_000
+    assert time.monotonic() - start < 40
