@@ -5,10 +5,11 @@ the character classes of at most ``labelled`` distinct credentials, and its stat
 statistics are compatible (red-blue order, Hoeffding bound), which leaves a small probabilistic automaton. Every
 other token of every text that is written in the labelled credentials' alphabet and as long as the shortest of them
 is scored by all automata with its mean log-probability a symbol, and becomes a span if it is as likely as the
-labelled ones are and far likelier than under the classes' frequencies in all texts.
+labelled ones are and far likelier than by the classes that follow one another in all texts: words, numbers, names and
+dates are what these foresee, credentials are not.
 
-One pass over the texts extracts the spans and counts the classes, a second one scores the tokens. The labelled
-sample, bounded by the parameter ``labelled``, and a row per class are all that reaches the driver.
+One pass over the texts extracts the spans and counts the pairs of classes, a second one scores the tokens. The labelled
+sample, bounded by the parameter ``labelled``, and a row per pair of classes are all that reaches the driver.
 
 Defined results: null and empty texts have no spans; repeated rows are scanned each; positions count code
 points; a kind without labelled credentials gets no automaton; an empty table gives an empty table; other
@@ -22,7 +23,9 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from statistics import NormalDist, median
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,6 +44,8 @@ SIGNS = "+/_.=-"
 ALPHABET = {"0": "0-9", "a": "a-f", "z": "g-z", "A": "A-F", "Z": "G-Z"} | {c: re.escape(c) for c in SIGNS}
 #: Tokens of this length are scored even if every labelled credential is longer.
 LONG = 12
+#: Bits below which the spread of labelled credentials is not taken at its word.
+LEAST_SPREAD = 0.1
 LEARNED = tuple(f"like_{k}" for k in KINDS)
 FOUND = "array<struct<kind:int,start:int,stop:int,value:string>>"
 
@@ -51,10 +56,10 @@ class Grammar:
     labelled: int = 300
     #: Confidence of the merge test: smaller merges more.
     alpha: float = 0.01
-    #: Share of labelled credentials that may score below the threshold.
+    #: Share of credentials that may score below the threshold.
     miss: float = 0.02
-    #: Bits a symbol by which the automaton must beat the classes' overall frequencies.
-    gain: float = 0.25
+    #: Bits a symbol by which the automaton must beat the pairs of classes of all texts.
+    gain: float = 0.6
 
 
 def classes(value: str) -> str:
@@ -62,14 +67,29 @@ def classes(value: str) -> str:
     return "".join("0" if c.isdigit() else ("a" if c in "abcdef" else "z") if c.islower() else ("A" if c in "ABCDEF" else "Z") if c.isupper() else c for c in value)
 
 
-#: Classes by translation, for ASCII; other characters become a space.
-_CLASS = {i: (classes(chr(i)) if chr(i).isalnum() or chr(i) in SIGNS else " ") for i in range(128)}
+#: Class number of every byte of UTF-8; 0 is what stands between tokens.
+SYMBOLS = " " + "".join(ALPHABET)
+_NUMBER = np.array([SYMBOLS.index(classes(chr(i))) if i < 128 and (chr(i).isalnum() or chr(i) in SIGNS) else 0 for i in range(256)], np.int64)
+_PIECE = 1 << 20
 
 
-def class_counts(text: str) -> dict[str, int]:
-    """Characters of all tokens of a text by class."""
-    marks = text.translate(_CLASS)
-    return {c: n for c in ALPHABET if (n := marks.count(c))}
+def pair_counts(text: str) -> np.ndarray:
+    """How often each class follows each other in a text, its ends counted as gaps; by number."""
+    n, total = len(SYMBOLS), np.zeros(len(SYMBOLS) ** 2, np.int64)
+    codes = text.encode("utf-8", "replace") + b" "
+    last = 0
+    for at in range(0, len(codes), _PIECE):
+        some = _NUMBER[np.frombuffer(codes[at : at + _PIECE], np.uint8)]
+        total += np.bincount(np.concatenate(([last], some[:-1])) * n + some, minlength=n * n)
+        last = some[-1]
+    total[0] = 0
+    return total
+
+
+def follow_bits(counts: dict[str, int]) -> dict[str, float]:
+    """log2 of the probability of a pair's second class after its first."""
+    after = {a: sum(counts.get(a + b, 0) + 1 for b in SYMBOLS) for a in SYMBOLS}
+    return {a + b: math.log2((counts.get(a + b, 0) + 1) / after[a]) for a in SYMBOLS for b in SYMBOLS if a + b != "  "}
 
 
 class Automaton:
@@ -150,22 +170,44 @@ class Automaton:
         self.states = len(red)
 
     def score(self, word: str, floor: float = 1e-3) -> float:
-        """Mean log2-probability a symbol, the end included; what was never seen has probability ``floor``."""
+        """Mean log2-probability a symbol; from a symbol never seen in its place on, and where no credential ends, it is that of ``floor``."""
         at, total = 0, 0.0
         for k, symbol in enumerate(word):
             move = self.moves[at].get(symbol)
             if move is None:
-                return (total + (len(word) - k + 1) * math.log2(floor)) / (len(word) + 1)
+                return (total + (len(word) - k) * math.log2(floor)) / len(word)
             total += math.log2(move[1] / self.visits[at])
             at = move[0]
-        return (total + math.log2(max(self.ends[at] / self.visits[at], floor))) / (len(word) + 1)
+        return total / len(word) if self.ends[at] else math.log2(floor)
+
+
+@dataclass(frozen=True)
+class Format:
+    """An automaton with its labelled credentials' middle score and that score's spread for one symbol, both by medians."""
+
+    automaton: Automaton
+    middle: float
+    spread: float
+
+    @classmethod
+    def fit(cls, words: list[str], alpha: float) -> Format:
+        automaton = Automaton.fit(words, alpha)
+        scores = [automaton.score(w) for w in words]
+        middle = median(scores)
+        # The median of a normal spread is 0.6745 standard deviations.
+        spread = median(abs(x - middle) * math.sqrt(len(w)) for x, w in zip(scores, words, strict=True)) / 0.6745
+        return cls(automaton, middle, max(spread, LEAST_SPREAD))
+
+    def least(self, length: int, miss: float) -> float:
+        """The score that all but a share ``miss`` of credentials of this length reach."""
+        return self.middle - NormalDist().inv_cdf(1 - miss) * self.spread / math.sqrt(length)
 
 
 @dataclass
 class Model:
-    automata: dict[int, tuple[Automaton, float]]
+    automata: dict[int, Format]
     background: dict[str, float]
-    gain: float
+    how: Grammar
     #: Tokens that can be credentials by alphabet and length.
     token: re.Pattern
     least: int
@@ -182,9 +224,9 @@ class Model:
         return self._known[value]
 
     def _kind(self, word: str) -> int | None:
-        plain = sum(self.background.get(c, -10.0) for c in word) / len(word)
-        scored = [(a.score(word), k) for k, (a, least) in self.automata.items() if (s := a.score(word)) >= least and s >= plain + self.gain]
-        return max(scored)[1] if scored else None
+        plain = sum(self.background[a + b] for a, b in zip(" " + word, word, strict=False)) / len(word)
+        scored = [(f.automaton.score(word), k, f.least(len(word), self.how.miss)) for k, f in self.automata.items()]
+        return max(((s, k) for s, k, least in scored if s >= max(least, plain + self.how.gain)), default=(0, None))[1]
 
     def spans(self, text: str, base: list[tuple[int, int, int, str]]) -> list[tuple[int, int, int, str]]:
         """Learned spans outside the base spans: whole tokens, else without outer dots, else the parts between dots."""
@@ -210,20 +252,12 @@ def _pieces(value: str) -> list[tuple[int, str]]:
 
 
 def learn(labelled: dict[int, list[str]], how: Grammar, overall: dict[str, int] | None = None) -> Model:
-    """``labelled``: credentials by the number of their kind; ``overall``: characters of all texts' tokens by class (those of the credentials if missing)."""
-    automata = {}
-    for kind, values in sorted(labelled.items()):
-        words = [classes(v) for v in sorted(values)]
-        automaton = Automaton.fit(words, how.alpha)
-        scores = sorted(automaton.score(w) for w in words)
-        automata[kind] = (automaton, scores[int(how.miss * len(scores))])
+    """``labelled``: credentials by the number of their kind; ``overall``: pairs of classes in all texts (if missing, any class may follow any other)."""
+    automata = {kind: Format.fit([classes(v) for v in sorted(values)], how.alpha) for kind, values in labelled.items()}
     seen = Counter(c for values in labelled.values() for v in values for c in classes(v))
     alphabet = "".join(ALPHABET[c] for c in sorted(seen)) or "0-9"
     least = min([LONG, *(len(v) for values in labelled.values() for v in values)])
-    counts = overall or seen
-    total = sum(counts.values())
-    background = {c: math.log2(n / total) for c, n in counts.items()}
-    return Model(automata, background, how.gain, re.compile(f"[{alphabet}]{{{least},}}"), least)
+    return Model(automata, follow_bits(overall or {}), how, re.compile(f"[{alphabet}]{{{least},}}"), least)
 
 
 def base_spans(text: str) -> list[tuple[int, int, int, str]]:
@@ -244,23 +278,24 @@ def _structs(rows: list[list[tuple]]) -> pa.Array:
 
 
 def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and ``base`` spans of every row; ``counts`` of classes, a batch's in one row."""
+    """Id and ``base`` spans of every row; ``counts`` of pairs of classes, a batch's in one row."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            base, counts = [], Counter()
+            base, counts = [], np.zeros(len(SYMBOLS) ** 2, np.int64)
             for value in batch.column(1):
                 text = value.as_py() or ""
                 base.append(base_spans(text))
-                counts.update(class_counts(text))
-            rows = [list(counts.items()), *[[]] * (len(batch) - 1)] if len(batch) else []
+                counts += pair_counts(text)
+            found = [(SYMBOLS[k // len(SYMBOLS)] + SYMBOLS[k % len(SYMBOLS)], int(counts[k])) for k in np.flatnonzero(counts)]
+            rows = [found, *[[]] * (len(batch) - 1)] if len(batch) else []
             yield pa.RecordBatch.from_arrays([batch.column(0), _structs(base), pa.array(rows, pa.map_(pa.string(), pa.int64()))], ["doc_id", "base", "counts"])
 
     return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, base {FOUND}, counts map<string,long>")
 
 
 def train(found: DataFrame, how: Grammar) -> Model:
-    """Automata from at most ``how.labelled`` distinct base credentials a kind, held against the classes of all tokens."""
+    """Automata from at most ``how.labelled`` distinct base credentials a kind, held against the pairs of classes in all texts."""
     values = found.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
     labelled = {}
     for kind in range(len(KINDS)):
@@ -273,7 +308,6 @@ def train(found: DataFrame, how: Grammar) -> Model:
 
 def scan(docs: DataFrame, how: Grammar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``base`` spans and ``learned`` spans of every row; kinds are numbers of ``KINDS``."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     model = train(materialise(extract(docs, id_col, text_col), "secrets"), how or Grammar())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -289,7 +323,6 @@ def scan(docs: DataFrame, how: Grammar | None = None, id_col: str = "doc_id", te
 
 def redact(docs: DataFrame, how: Grammar | None = None, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span's text replaced by ``mask``; ``n_chars`` follows the text."""
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     model = train(materialise(extract(docs, id_col, text_col), "secrets"), how or Grammar())
     names = docs.columns
     at, chars = names.index(text_col), names.index("n_chars") if "n_chars" in names else None

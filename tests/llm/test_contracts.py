@@ -294,6 +294,47 @@ def test_op7_learns_where_one_kind_dominates(spark):
     assert sum(map(len, out.values())) <= len(hidden) + 5
 
 
+def test_op7_planted_credentials_that_no_pattern_knows(spark):
+    """End to end on a table: formats that stand labelled elsewhere are found bare; numbers, names, dates and links are not."""
+    rng = np.random.default_rng(12)
+    draw = lambda letters, n: "".join(rng.choice(list(letters), n))
+    digits, low = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    made = {
+        "key": lambda: "AKIA" + draw(low.upper() + "234567", 16),
+        "hex": lambda: draw("0123456789abcdef", rng.integers(24, 41)),
+        "mixed": lambda: draw(low + low.upper() + digits, 24),
+    }
+    bare = {"key": lambda: "ASIA" + made["key"]()[4:], "hex": lambda: draw("0123456789abcdef", 22), "mixed": made["mixed"]}
+    plain = (
+        lambda: draw(digits, 16),
+        lambda: f"{rng.integers(1990, 2030)}-{rng.integers(10, 13)}-{rng.integers(10, 29)}T{draw(digits, 6)}",
+        lambda: draw(low, 14).capitalize(),
+        lambda: f"https://{draw(low, 9)}.{draw(low, 3)}/{draw(low, 6)}/{draw(low, 12)}",
+        lambda: f"{draw(low, 7)}_{draw(low, 8)}_{draw(low, 5)}",
+        lambda: f"{draw(low, 6)}.{draw(low, 7)}.{draw(low, 4)}",
+        lambda: draw(low, 7) + draw(low, 6).capitalize() + draw(low, 5).capitalize(),
+        lambda: draw(digits, 4) + "-" + draw(digits, 4) + "-" + draw(digits, 4),
+        lambda: draw(low.upper(), 13),
+    )
+    words = [draw("etaoinshrdlucmfwyp", rng.integers(2, 12)) for _ in range(800)]
+    prose = lambda n: " ".join(rng.choice(words, n))
+    rows, hidden = [], {}
+    for i in range(300):
+        named = {"key": made["key"], "hex": made["hex"], "mixed": lambda: f"api_key={made['mixed']()}"}[("key", "hex", "mixed")[i % 3]]()
+        rows.append((i, f"{prose(40)} {named} {prose(10)} {plain[i % len(plain)]()} {prose(20)}"))
+    for i in range(150):
+        hidden[1000 + i] = bare[("key", "hex", "mixed")[i % 3]]()
+        rows.append((1000 + i, f"{prose(15)} {hidden[1000 + i]} {prose(15)}"))
+    for i in range(900):
+        rows.append((2000 + i, f"{prose(15)} {plain[i % len(plain)]()} {prose(5)} {plain[(i // 7) % len(plain)]()}."))
+    got = {r["doc_id"]: [s["value"] for s in r["learned"]] for r in secret_grammar.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for k, kind in enumerate(bare):
+        own = [i for i in hidden if (i - 1000) % 3 == k]
+        assert sum(hidden[i] in got[i] for i in own) >= 0.9 * len(own), kind
+    found = sum(map(len, got.values()))
+    assert sum(hidden[i] in got[i] for i in hidden) >= 0.9 * found
+
+
 def test_op8(spark):
     out = by_id(queries.op8_chat_format(spark, SF), "conv_id")
     chats = defaultdict(list)
