@@ -1,12 +1,14 @@
 """License scan: exact set-similarity join of text blocks with license templates.
 
-A block is a paragraph (text between blank lines), a template one characteristic sentence of a license.
-A block carries a template's label if it holds at least ``threshold`` of the template's distinct words.
-The join is exact and filtered: only words that stand in some template can add to an overlap, so blocks
-shrink to these; words are ordered by their frequency over the blocks of the whole corpus, rarest first;
-and a pair is a candidate only if a word of the block's prefix meets one of the template's prefix, if the
-block has words enough (length filter), and if what is left after the meeting point can still reach the
-threshold (positional filter). Survivors are confirmed on the full sets.
+A template is one characteristic sentence of a license; a block is a passage of a paragraph (text between blank lines),
+as many words long as the template's words may be spread over: their number over ``threshold``, rounded up. A text
+carries a template's label if one of its passages holds at least ``threshold`` of the template's distinct words.
+The join is exact and filtered, paragraphs first: only words that stand in some template can add to an overlap, so
+paragraphs shrink to these; words are ordered by their frequency over the paragraphs of the whole corpus, rarest
+first; and a pair is a candidate only if a word of the paragraph's prefix meets one of the template's prefix, if the
+paragraph has words enough (length filter), and if what is left after the meeting point can still reach the threshold
+(positional filter). Survivors are confirmed on the full sets, then passage by passage on the words in their order.
+Only paragraphs that hold a word of some template's prefix are read for that, and only those are ever shuffled.
 
 Templates are a parameter of at most ``MAX_TEMPLATES`` sentences, so what is collected (a frequency for each
 of their words) and broadcast (their prefixes) has a fixed bound. All steps are native columns.
@@ -23,7 +25,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import discard, materialise
 
 SEPARATORS = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Phrase and label; each occurrence counts.
@@ -81,46 +83,64 @@ def phrase_places(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     )
 
 
-def template_sets(templates=TEMPLATES) -> list[tuple[int, str, list[str]]]:
+def template_sets(templates=TEMPLATES) -> list[tuple[int, str, list[str], int]]:
+    """Number, label, distinct words and number of words of every template."""
     if len(templates) > MAX_TEMPLATES:
         raise ValueError(f"at most {MAX_TEMPLATES} templates")
-    return [(i, label, sorted({w for w in re.split(SEPARATORS, text.lower()) if w})) for i, (label, text) in enumerate(templates)]
+    words = [[w for w in re.split(SEPARATORS, text.lower()) if w] for _, text in templates]
+    return [(i, label, sorted(set(w)), len(w)) for i, ((label, _), w) in enumerate(zip(templates, words, strict=True))]
 
 
-def block_sets(docs: DataFrame, vocabulary: list[str], id_col: str, text_col: str) -> DataFrame:
-    """One row per block with a word of the vocabulary: id and the distinct words that templates know."""
-    blocks = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\n[\x20\x09\x0B-\x0D]*\n", -1)
-    known = F.array(*[F.lit(w) for w in vocabulary])
-    return (
-        docs.select(F.col(id_col), F.explode(blocks).alias("_lt_block"))
-        .select(id_col, F.array_intersect(F.split("_lt_block", SEPARATORS, -1), known).alias("tokens"))
-        .filter(F.size("tokens") > 0)
-    )
+def needed(template: tuple[int, str, list[str], int], threshold: float) -> tuple[int, int]:
+    """Distinct words that a passage must hold, and its length."""
+    return max(1, math.ceil(threshold * len(template[2]) - 1e-9)), math.ceil(template[3] / threshold - 1e-9)
+
+
+def paragraphs(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """``_lt_id``, the paragraph's number and its lower-cased text."""
+    split = F.split(F.lower(F.coalesce(F.col(text_col), F.lit(""))), r"\n[\x20\x09\x0B-\x0D]*\n", -1)
+    return docs.select(F.col(id_col).alias("_lt_id"), F.posexplode(split).alias("_lt_at", "_lt_par"))
+
+
+def strings(values: list[str]) -> Column:
+    return F.array(*[F.lit(w) for w in values]).cast("array<string>")
+
+
+def best_passage(words: Column, wanted: Column, length: Column) -> Column:
+    """Most distinct words of ``wanted`` in ``length`` words in a row; only passages that begin with one of them need a look."""
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda h: F.array_contains(wanted, h["w"]))
+
+    def held(all_hits: Column) -> Column:
+        near = lambda h, i: F.filter(F.slice(all_hits, i + 1, length), lambda g: g["at"] < h["at"] + length)
+        return F.transform(all_hits, lambda h, i: F.size(F.array_distinct(F.transform(near(h, i), lambda g: g["w"]))))
+
+    return F.coalesce(F.array_max(held(hits)), F.lit(0))
 
 
 def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id, template label and containment of every block that meets the threshold."""
+    """Id, template's label and the containment of its best passage, for every paragraph and template that meet the threshold."""
     spark = docs.sparkSession
     sets = template_sets(templates)
-    need = {i: max(1, math.ceil(threshold * len(t) - 1e-9)) for i, _, t in sets}
-    vocabulary = sorted({w for _, _, t in sets for w in t})
-    blocks = materialise(block_sets(docs, vocabulary, id_col, text_col), "license-blocks")
+    need = {t[0]: needed(t, threshold)[0] for t in sets}
+    vocabulary = sorted({w for _, _, t, _ in sets for w in t})
+    split = F.split("_lt_par", SEPARATORS, -1)
+    blocks = paragraphs(docs, id_col, text_col).select("_lt_id", "_lt_at", F.array_intersect(split, strings(vocabulary)).alias("tokens"))
+    blocks = materialise(blocks.filter(F.size("tokens") > 0), "license-blocks")
     counted = blocks.select(F.explode("tokens").alias("w")).groupBy("w").count().collect()  # a row per word of the templates
     frequency = {r["w"]: r["count"] for r in counted}
     order = {w: k for k, w in enumerate(sorted(vocabulary, key=lambda w: (frequency.get(w, 0), w)))}
 
     prefixes = [
-        (i, label, len(t), need[i], p, order_of, [order[w] for w in t])
-        for i, label, t in sets
+        (i, len(t), need[i], p, order_of, [order[w] for w in t])
+        for i, _, t, _ in sets
         for p, order_of in enumerate(sorted(order[w] for w in t)[: len(t) - need[i] + 1])
     ]
-    index = spark.createDataFrame(prefixes, "template int, label string, t_size int, need int, t_pos int, w int, t_words array<int>")
+    index = spark.createDataFrame(prefixes, "template int, t_size int, need int, t_pos int, w int, t_words array<int>")
     rank = F.create_map(*[F.lit(x) for w, k in order.items() for x in (w, k)])
     least_need = min(need.values())
     ranked = blocks.filter(F.size("tokens") >= least_need).select(
-        F.col(id_col), F.sort_array(F.transform("tokens", lambda w: F.element_at(rank, w))).alias("b_words")
+        "_lt_id", "_lt_at", F.sort_array(F.transform("tokens", lambda w: F.element_at(rank, w))).alias("b_words")
     )
-    ranked = ranked.withColumn("_lt_key", F.monotonically_increasing_id())
     # The least overlap asked for by any template bounds the block's prefix.
     starts = ranked.select("*", F.posexplode(F.slice("b_words", F.lit(1), F.size("b_words") - least_need + 1)).alias("b_pos", "w"))
     pairs = starts.join(F.broadcast(index), "w").filter(
@@ -129,12 +149,17 @@ def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
         & (F.least(F.col("t_size") - F.col("t_pos"), F.size("b_words") - F.col("b_pos")) >= F.col("need"))  # position
     )
     overlap = F.size(F.array_intersect("b_words", "t_words"))
-    return (
-        pairs.select(id_col, "label", "need", overlap.alias("o"), (overlap / F.col("t_size")).alias("containment"))
-        .filter(F.col("o") >= F.col("need"))
-        .select(id_col, "label", "containment")
-        .distinct()
-    )
+    pairs = materialise(pairs.filter(overlap >= F.col("need")).select("_lt_id", "_lt_at", "template").distinct(), "license-pairs")
+    discard(blocks)
+
+    wanted = spark.createDataFrame([(t[0], t[1], t[2], *needed(t, threshold)) for t in sets], "template int, label string, t_words array<string>, need int, length int")
+    by_rank = {k: w for w, k in order.items()}
+    held = strings(sorted({by_rank[p[4]] for p in prefixes}))
+    texts = paragraphs(docs, id_col, text_col).filter(F.arrays_overlap(split, held))
+    same = pairs["_lt_id"].eqNullSafe(texts["_lt_id"]) & (pairs["_lt_at"] == texts["_lt_at"])
+    near = texts.join(pairs, same).join(F.broadcast(wanted), "template")
+    near = near.select(texts["_lt_id"].alias(id_col), "label", "need", "t_words", best_passage(F.array_remove(split, ""), F.col("t_words"), F.col("length")).alias("o"))
+    return near.filter(F.col("o") >= F.col("need")).select(id_col, "label", (F.col("o") / F.size("t_words")).alias("containment")).distinct()
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -43,7 +43,7 @@ FROM v LEFT JOIN s{how.rounds} s ON v.host = s.host"""
 
 
 def op2() -> str:
-    """All pairs of blocks and templates, without filters."""
+    """All pairs of paragraphs and templates, and all passages of those whose sets meet, without an order of words."""
     import math
 
     seps = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
@@ -52,13 +52,14 @@ def op2() -> str:
     )
     labels = ", ".join(f"CASE WHEN len(p{n}) > 0 THEN '{label}' END" for n, (_, label) in enumerate(license_scan.PHRASES))
     every = " || ".join(f"p{n}" for n in range(len(license_scan.PHRASES)))
-    rows = ", ".join(f"({i}, '{label}', {t}, {max(1, math.ceil(license_scan.THRESHOLD * len(t) - 1e-9))})" for i, label, t in license_scan.template_sets())
+    rows = ", ".join(f"({t[0]}, '{t[1]}', {t[2]}, {', '.join(map(str, license_scan.needed(t, license_scan.THRESHOLD)))})" for t in license_scan.template_sets())
     return f"""WITH d AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '{seps}'), lambda x: x <> '') AS w FROM documents),
 p AS (SELECT doc_id, len(w) AS n_words, {places} FROM d), q AS (SELECT doc_id, n_words, {every} AS places, list_filter([{labels}], lambda x: x IS NOT NULL) AS base FROM p),
-t AS (SELECT * FROM (VALUES {rows}) v(i, label, words, need)),
+t AS (SELECT * FROM (VALUES {rows}) v(i, label, words, need, l)),
 b AS (SELECT doc_id, unnest(regexp_split_to_array(lower(coalesce(text, '')), '\\n[\\x20\\x09\\x0B-\\x0D]*\\n')) AS block FROM documents),
-s AS (SELECT doc_id, list_distinct(regexp_split_to_array(block, '{seps}')) AS w FROM b),
-m AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(len(list_intersect(w, words)) / len(words)) AS score FROM s JOIN t ON len(list_intersect(w, words)) >= need GROUP BY doc_id)
+s AS (SELECT doc_id, list_filter(regexp_split_to_array(block, '{seps}'), lambda x: x <> '') AS w FROM b),
+r AS (SELECT doc_id, label, len(words) AS n, need, list_max(list_transform(range(1, len(w) + 1), lambda i: len(list_intersect(w[i:i + l - 1], words)))) AS o FROM s JOIN t ON len(list_intersect(w, words)) >= need),
+m AS (SELECT doc_id, list_distinct(list(label)) AS labels, max(o / n) AS score FROM r WHERE o >= need GROUP BY doc_id)
 SELECT q.doc_id, n_words::BIGINT AS n_words, len(places)::BIGINT AS n_base, (list_min(places) - 1)::BIGINT AS first_word, (list_max(places) - 1)::BIGINT AS last_word,
 array_to_string(list_sort(list_distinct(base)), ',') AS base_labels, array_to_string(list_sort(list_distinct(base || coalesce(labels, []))), ',') AS labels,
 CASE WHEN len(base) > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score FROM q LEFT JOIN m ON q.doc_id = m.doc_id"""

@@ -60,19 +60,43 @@ def test_op2_similar_blocks_equal_all_pairs(spark, docs):
     rows = [(d, t) for d, t, _ in docs]
     templates = license_scan.template_sets()
     got = {(r["doc_id"], r["label"], round(r["containment"], 9)) for r in license_scan.similar_blocks(spark.createDataFrame(rows, "doc_id long, text string"), threshold=0.5).collect()}
-    import math
     import re
 
     want = set()
     for d, text in rows:
-        for block in re.split(r"\n[\x20\x09\x0B-\x0D]*\n", text.lower()):
-            words = set(brute.ALNUM.findall(block))
-            for _, label, t in templates:
-                if len(words & set(t)) >= max(1, math.ceil(0.5 * len(t))):
-                    want.add((d, label, round(len(words & set(t)) / len(t), 9)))
+        for paragraph in re.split(r"\n[\x20\x09\x0B-\x0D]*\n", text.lower()):
+            words = brute.ALNUM.findall(paragraph)
+            for template in templates:
+                need, length = license_scan.needed(template, 0.5)
+                best = max((len({*words[i : i + length]} & {*template[2]}) for i in range(len(words))), default=0)
+                if best >= need:
+                    want.add((d, template[1], round(best / len(template[2]), 9)))
     assert got == want and got
 
 
+def test_op2_labels_only_what_stands_together(spark):
+    filler = " ".join(f"wort{i}" for i in range(30))
+    rows = [
+        (1, f"Licensed under the Apache License, Version 2.0 {filler} und mit allen"),
+        (2, f"{filler} Released under the\nMIT License. {filler}"),
+        (3, f"released {filler} under {filler} the {filler} mit {filler} license"),
+        (4, f"released under the\n\nmit license {filler}"),
+        (None, "Released under the MIT License"),
+    ]
+    out = {r["doc_id"]: r["labels"] for r in license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert out == {1: "apache", 2: "mit", 3: "", 4: "mit", None: "mit"}
+
+
+def test_op2_gives_texts_with_another_license_no_mit(spark):
+    """Every label of the larger table is borne out by its text."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text")
+    texts = {r["doc_id"]: " ".join(brute.ALNUM.findall((r["text"] or "").lower())) for r in docs.collect()}
+    named = {"mit": "mit license", "apache": "apache license", "gpl": "general public license", "cc-by-nc": "cc by nc"}
+    for r in license_scan.scan(docs).collect():
+        for label in filter(None, r["labels"].split(",")):
+            assert named[label] in texts[r["doc_id"]], (r["doc_id"], label)
+
+
 def test_op3(spark, docs):
     parts, sizes = brute.near([(d, t) for d, t, _ in docs], 85)
     out = by_id(queries.op3_minhash_bayes(spark, SF))
