@@ -46,8 +46,9 @@ class Near:
     #: Chance that a pair at the threshold meets in no band, and that one batch drops it.
     miss: float = 1e-7
     batch: int = 32
-    #: Members of a bucket in one block.
-    block: int = 256
+    #: Members of a bucket in one block, and bytes of their compressed texts.
+    block: int = 512
+    block_bytes: int = 4 << 20
 
     @property
     def bands(self) -> int:
@@ -162,7 +163,7 @@ def bayes_prune(pairs: DataFrame, sigs: DataFrame, how: Near) -> DataFrame:
 
 
 def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """``rep`` and compressed text ``z`` of the documents in ``wanted`` (rep)."""
+    """``rep``, compressed text ``z`` and its length ``bytes`` of the documents in ``wanted`` (rep)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -170,7 +171,7 @@ def packed_texts(docs: DataFrame, wanted: DataFrame, id_col: str, text_col: str)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(z, pa.binary())], ["rep", "z"])
 
     rows = docs.select(F.col(id_col).cast("long").alias("rep"), F.col(text_col).alias("text")).mapInArrow(run, "rep long, z binary")
-    return rows.join(wanted, "rep", "left_semi").dropDuplicates(["rep"])
+    return rows.join(wanted, "rep", "left_semi").dropDuplicates(["rep"]).withColumn("bytes", F.length("z"))
 
 
 def unpacked(z: bytes | None, how: Near, known: WordHash) -> np.ndarray:
@@ -239,29 +240,38 @@ def partners(few: Block, k: int, every: Block, band: int, how: Near, least: np.n
     return other[shared.argmax(axis=1) == band]
 
 
-def blocks(rows: DataFrame, how: Near) -> DataFrame:
-    """(band, few, all): per open bucket each block of members outside its largest component with each block of all members."""
-    per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"))
-    keys = per.groupBy("key").agg(F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("members"), F.count(F.lit(1)).alias("parts")).filter("parts > 1")
-    keys = keys.withColumn("n_parts", (F.col("members") / how.block + 1).cast("int"))
-    open_rows = rows.join(keys, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_parts")).cast("int"))
+def blocks(rows: DataFrame, payload: DataFrame, how: Near) -> DataFrame:
+    """(band, few, all): per open bucket each block of members outside its largest component with each block of all members.
+
+    ``rows`` (key, band, rep, component, bytes) are dealt to blocks first and get ``payload`` (rep, sig, z) then, so a
+    bucket's members never meet in one task; blocks are bounded in members and bytes.
+    """
+    per = rows.groupBy("key", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("bytes"))
+    keys = per.groupBy("key").agg(
+        F.max(F.struct("n", "component"))["component"].alias("largest"), F.sum("n").alias("members"), F.sum("bytes").alias("bytes"), F.count(F.lit(1)).alias("parts")
+    )
+    n_parts = F.greatest(F.col("members") / how.block, F.col("bytes") / how.block_bytes)
+    keys = keys.filter("parts > 1").select("key", "largest", (n_parts + 1).cast("int").alias("n_parts"))
+    dealt = rows.drop("bytes").join(keys, "key").withColumn("part", F.pmod(F.xxhash64("rep"), F.col("n_parts")).cast("int")).join(payload, "rep")
+    # Spread by bucket and block: the join above has put a bucket's rows together.
+    dealt = dealt.repartition("key", "part")
     member = F.struct("rep", "component", "sig", "z")
-    every = open_rows.groupBy("key", "part").agg(F.collect_list(member).alias("all"))
-    few = open_rows.filter(F.col("component") != F.col("largest")).groupBy("key", "band", "n_parts", F.col("part").alias("p")).agg(F.collect_list(member).alias("few"))
+    every = dealt.groupBy("key", "part").agg(F.collect_list(member).alias("all"))
+    few = dealt.filter(F.col("component") != F.col("largest")).groupBy("key", "part", "band", "n_parts").agg(F.collect_list(member).alias("few"))
     # A copy for every block of the bucket, so that the bucket's blocks meet in many tasks.
-    few = few.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
+    few = few.drop("part").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)))
     return few.join(every, ["key", "part"]).select("key", "band", "few", "all")
 
 
-def open_rows(multi: DataFrame, sigs: DataFrame, parts: DataFrame) -> DataFrame:
-    """Rows of ``multi`` in buckets of several components, with component and signature."""
+def open_rows(multi: DataFrame, parts: DataFrame) -> DataFrame:
+    """Rows of ``multi`` in buckets of several components, with component."""
     rows = multi.select("key", "band", "rep").join(parts.select(F.col("node").alias("rep"), "component"), "rep", "left")
     rows = rows.withColumn("component", F.coalesce("component", "rep"))
     mixed = rows.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).filter("lo <> hi").select("key")
-    return rows.join(mixed, "key", "left_semi").join(sigs, "rep")
+    return rows.join(mixed, "key", "left_semi")
 
 
-def alive_rows(rows: DataFrame, how: Near) -> DataFrame:
+def alive_rows(rows: DataFrame, sigs: DataFrame, how: Near) -> DataFrame:
     """(key, rep) with a partner in another component that the sequential test does not rule out."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -278,10 +288,11 @@ def alive_rows(rows: DataFrame, how: Near) -> DataFrame:
                 ids += alive
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(ids, pa.int64())], ["key", "rep"])
 
-    return blocks(rows.withColumn("z", F.lit(None).cast("binary")), how).mapInArrow(run, "key long, rep long").distinct()
+    payload = sigs.select("rep", "sig", F.lit(None).cast("binary").alias("z"))
+    return blocks(rows.withColumn("bytes", F.lit(how.hashes)), payload, how).mapInArrow(run, "key long, rep long").distinct()
 
 
-def links_of_rest(rows: DataFrame, how: Near) -> DataFrame:
+def links_of_rest(rows: DataFrame, payload: DataFrame, how: Near) -> DataFrame:
     """Links between the components of a bucket, confirmed on full sets: one per member and component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -310,13 +321,12 @@ def links_of_rest(rows: DataFrame, how: Near) -> DataFrame:
                     b += every.id[near].tolist()
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], ["a", "b"])
 
-    return blocks(rows, how).mapInArrow(run, "a long, b long").distinct()
+    return blocks(rows, payload, how).mapInArrow(run, "a long, b long").distinct()
 
 
 def near_components(docs: DataFrame, how: Near | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Per row: ``doc_id``, ``n_shingles``, ``component_id`` and ``kept``."""
     how = how or Near()
-    docs.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     sketch = materialise(sketches(docs, how, id_col, text_col), "sketches")
     classes = materialise(sketch.filter("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sketch.filter("digest is not null").select(F.col("doc_id").alias("rep"), "digest", "n_shingles", "sig").dropDuplicates(["rep", "digest"])
@@ -330,14 +340,16 @@ def near_components(docs: DataFrame, how: Near | None = None, id_col: str = "doc
 
     stars = multi.filter("rep <> head").select(F.col("head").alias("a"), F.col("rep").alias("b")).distinct()
     first = materialise(confirm(bayes_prune(stars, sigs, how), texts, how), "links")
-    rows = materialise(open_rows(multi, sigs.select("rep", "sig"), components(first)), "bucket-rows")
-    alive = rows.join(alive_rows(rows, how), ["key", "rep"], "left_semi").join(texts, "rep")
-    second = materialise(links_of_rest(alive, how), "links")
+    rows = materialise(open_rows(multi, components(first)), "bucket-rows")
+    alive = rows.join(alive_rows(rows, sigs, how), ["key", "rep"], "left_semi").join(texts.select("rep", "bytes"), "rep")
+    second = materialise(links_of_rest(alive, sigs.select("rep", "sig").join(texts.select("rep", "z"), "rep"), how), "links")
     parts = materialise(components(first.unionByName(second)), "components")
     discard(sigs, multi, texts, first, second, rows)
 
     of_class = classes.join(parts.withColumnRenamed("node", "rep"), "rep", "left").select("digest", F.coalesce("component", "rep").alias("component"))
-    out = sketch.select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left")
+    # Texts without a set stand apart: their null digests would meet in one task.
+    sets = sketch.filter("digest is not null").select("doc_id", "n_shingles", "digest").join(of_class, "digest", "left").drop("digest")
+    out = sets.unionByName(sketch.filter("digest is null").select("doc_id", "n_shingles", F.lit(None).cast("long").alias("component")))
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id")).withColumn(
         "kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False))
     )

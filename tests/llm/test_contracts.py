@@ -119,6 +119,21 @@ def test_op3_cloud_of_near_copies(spark):
     assert {d: r["component_id"] for d, r in out.items()} == brute.near(rows, 85)[0]
 
 
+def test_op3_cloud_about_the_threshold(spark):
+    """Many texts whose similarities lie closely below and above the threshold, in blocks bounded by bytes."""
+    rng = np.random.default_rng(4)
+    base = [f"w{i}" for i in range(200)]
+    rows = []
+    for d in range(300):
+        words = list(base)
+        at = rng.integers(0, 190)
+        words[at : at + 10] = [f"x{d}y{k}" for k in range(rng.integers(7, 12))]
+        rows.append((d, " ".join(words)))
+    how = minhash_bayes.Near(percent=85, block=64, block_bytes=20_000)
+    out = by_id(minhash_bayes.near_components(spark.createDataFrame(rows, "doc_id long, text string"), how))
+    assert {d: r["component_id"] for d, r in out.items()} == brute.near(rows, 85)[0]
+
+
 def test_op4_recall(spark):
     rows = spark.read.parquet(f"{SF}/embeddings.parquet").collect()
     ids = np.array([r["vec_id"] for r in rows])
