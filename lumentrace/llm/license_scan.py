@@ -106,15 +106,16 @@ def strings(values: list[str]) -> Column:
     return F.array(*[F.lit(w) for w in values]).cast("array<string>")
 
 
-def best_passage(words: Column, wanted: Column, length: Column) -> Column:
-    """Most distinct words of ``wanted`` in ``length`` words in a row; only passages that begin with one of them need a look."""
-    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda h: F.array_contains(wanted, h["w"]))
+def best_passage(df: DataFrame, words: Column, name: str) -> DataFrame:
+    """``df`` (with t_words and length) with the most distinct words of t_words in ``length`` words in a row as ``name``.
 
-    def held(all_hits: Column) -> Column:
-        near = lambda h, i: F.filter(F.slice(all_hits, i + 1, length), lambda g: g["at"] < h["at"] + length)
-        return F.transform(all_hits, lambda h, i: F.size(F.array_distinct(F.transform(near(h, i), lambda g: g["w"]))))
-
-    return F.coalesce(F.array_max(held(hits)), F.lit(0))
+    Only passages that begin with a wanted word need a look. Wanted words and their places are a column of their own,
+    so that they are looked up once a row.
+    """
+    hits = F.filter(F.transform(words, lambda w, i: F.struct(i.alias("at"), w.alias("w"))), lambda h: F.array_contains("t_words", h["w"]))
+    near = lambda h, i: F.filter(F.slice("_lt_hits", i + 1, F.col("length")), lambda g: g["at"] < h["at"] + F.col("length"))
+    held = F.transform("_lt_hits", lambda h, i: F.size(F.array_distinct(F.transform(near(h, i), lambda g: g["w"]))))
+    return df.withColumn("_lt_hits", hits).withColumn(name, F.coalesce(F.array_max(held), F.lit(0)))
 
 
 def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -158,7 +159,7 @@ def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     texts = paragraphs(docs, id_col, text_col).filter(F.arrays_overlap(split, held))
     same = pairs["_lt_id"].eqNullSafe(texts["_lt_id"]) & (pairs["_lt_at"] == texts["_lt_at"])
     near = texts.join(pairs, same).join(F.broadcast(wanted), "template")
-    near = near.select(texts["_lt_id"].alias(id_col), "label", "need", "t_words", best_passage(F.array_remove(split, ""), F.col("t_words"), F.col("length")).alias("o"))
+    near = best_passage(near.select(texts["_lt_id"].alias(id_col), "_lt_par", "label", "need", "t_words", "length"), F.array_remove(split, ""), "o")
     return near.filter(F.col("o") >= F.col("need")).select(id_col, "label", (F.col("o") / F.size("t_words")).alias("containment")).distinct()
 
 
