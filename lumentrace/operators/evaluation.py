@@ -32,6 +32,52 @@ def composite(event: Column, board: Column, board_f1: Column, alarm: Column, for
     return 0.3 * event + 0.2 * board + 0.2 * board_f1 + 0.2 * alarm + 0.1 * form
 
 
+def root_metrics(pred: Column, truth: Column) -> dict[str, Column]:
+    """All roots named, share of them named, share of what is named that is no root; arrays are distinct."""
+    both, np, nt = F.size(F.array_intersect(pred, truth)), F.size(pred), F.size(truth)
+    return {
+        "all_roots_identified": F.when(nt == 0, F.when(np == 0, 1.0).otherwise(0.0)).otherwise(F.when(both == nt, 1.0).otherwise(0.0)),
+        "partial_root_accuracy": F.when(nt == 0, 1.0).otherwise(both / nt),
+        "false_positive_rate": F.when((nt == 0) | (np == 0), 0.0).otherwise((np - both) / np),
+    }
+
+
+def example_summary(rows: DataFrame, *by: str) -> DataFrame:
+    """Means of score rows as ``per_example`` gives them, overall or by columns; roots over examples of several failures only."""
+    means = {"event_accuracy": "event_correct", "board_accuracy": "board_correct", "category_accuracy": "category_correct", "board_f1_mean": "board_f1", "alarm_f1_mean": "alarm_f1", "severity_f1_mean": "severity_f1", "format_score_mean": "format_score", "e2e_score_mean": "e2e_score", "all_roots_identified": "all_roots_identified", "partial_root_accuracy": "partial_root_accuracy"}
+    return rows.groupBy(*by).agg(F.count(F.lit(1)).alias("n_examples"), F.count("all_roots_identified").alias("n_multi_failure"), *[F.round(F.avg(c), 4).alias(n) for n, c in means.items()])
+
+
+def main_results(runs: DataFrame, order: list[str], metrics: list[str]) -> DataFrame:
+    """Last run of every method as rows (method, place, metric, value, best): known methods in order, others after them by name.
+
+    ``best`` marks the largest value of a metric, if above zero; ties to the earlier place. The ranking reads a row per
+    method and metric.
+    """
+    last = runs.groupBy("method").agg(F.max_by(F.struct(*metrics), F.struct("at", "run")).alias("m")).select("method", "m.*")
+    known = F.coalesce(*[F.when(F.col("method") == m, i) for i, m in enumerate(order)], F.lit(len(order)))
+    long = last.withColumn("place", known).unpivot(["method", "place"], metrics, "metric", "value")
+    top = long.groupBy("metric").agg(F.min_by("method", F.struct(-F.col("value"), "place", "method")).alias("top"))
+    return long.join(top, "metric").select("method", "place", "metric", "value", ((F.col("method") == F.col("top")) & (F.col("value") > 0)).alias("best"))
+
+
+def uneven_groups(rewards: DataFrame, by: str, size: int) -> DataFrame:
+    """Groups whose number of rewards is no multiple of ``size``: advantages over them are not defined."""
+    return rewards.groupBy(by).agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") % size != 0)
+
+
+def training_curve(log: DataFrame) -> DataFrame:
+    """Step, reward and loss of training logs: (run, step, reward, rewards_mean, mean_reward, loss); the first reward given counts, runs without any value drop out."""
+    value = F.coalesce("reward", "rewards_mean", "mean_reward")
+    df = log.select("run", "step", value.alias("reward"), "loss").filter("step is not null and (reward is not null or loss is not null)")
+    return df.select("run", "step", "reward", "loss")
+
+
+def per_count_table(rows: DataFrame, counts: list[int]) -> DataFrame:
+    """Per method the accuracy at each number of failures, side by side; ``counts`` is a fixed list."""
+    return rows.groupBy("method").pivot("n_failures", counts).agg(F.round(F.avg("correct"), 4))
+
+
 def summary(scores: DataFrame) -> DataFrame:
     """Overall and per category in one pass; the overall row has category ``(all)``."""
     g = scores.rollup("category").agg(F.grouping_id().alias("g"), F.count(F.lit(1)).alias("n"), F.avg("correct").alias("accuracy"), F.avg(F.when(F.col("n_failures") > 1, F.col("correct"))).alias("multi_accuracy"))

@@ -33,9 +33,9 @@ def mask_boards(m: DataFrame, frac: float, seed: int) -> DataFrame:
     """Drop all samples of a fraction of the boards, the one with the highest peak always among them."""
     g = m.groupBy("board").agg(F.max("bbe").alias("peak"))
     top = g.agg(F.max_by("board", F.struct("peak", -F.col("board"))).alias("top"))
-    w = W.orderBy(F.when(F.col("board") == F.col("top"), 0).otherwise(1), draw(F.col("board"), seed), "board")
-    r = g.join(F.broadcast(top)).select("board", F.row_number().over(w).alias("k"), F.count(F.lit(1)).over(W.partitionBy()).alias("n"))
-    return m.join(r.filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * frac))), "board", "left_anti")
+    first = F.when(F.col("board") == F.col("top"), 0).otherwise(1)
+    r = ranked(g.crossJoin(F.broadcast(top)), first, draw(F.col("board"), seed), F.col("board"))  # one row on the right
+    return m.join(r.filter(F.col("k") <= F.greatest(F.lit(1), F.floor(F.col("n") * frac))).select("board"), "board", "left_anti")
 
 
 def train_val_split(df: DataFrame, id_col: str, frac: float, seed: int) -> DataFrame:

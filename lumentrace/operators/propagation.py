@@ -82,22 +82,6 @@ def lookup_rule(rules: DataFrame, asked: DataFrame) -> DataFrame:
     return exact.select("q_type", "q_event", "rule_idx", "fuzzy").unionByName(like.select("q_type", "q_event", "rule_idx", "fuzzy"))
 
 
-def cascade_candidates(failed: DataFrame, boards: DataFrame, hops: DataFrame) -> DataFrame:
-    """Boards that may fail next: same node, adjacent node, and the next and previous hop on a path."""
-    from pyspark.sql import Window as W
-
-    path = W.partitionBy("path_id").orderBy("pos")
-    b = boards.select(F.col("board").alias("other"), "node")
-    f = failed.join(boards.select("board", "node"), "board")
-    same = f.join(b, "node").filter(F.col("board") != F.col("other")).select("board", "other", F.lit("same_node").alias("relation"))
-    steps = hops.withColumns({"down": F.lead("board").over(path), "up": F.lag("board").over(path)}).join(failed, "board", "left_semi")
-    out = same
-    for name in ("down", "up"):
-        side = steps.filter(F.col(name).isNotNull() & (F.col(name) != F.col("board")))
-        out = out.unionByName(side.select("board", F.col(name).alias("other"), F.lit("downstream" if name == "down" else "upstream").alias("relation")))
-    return out.distinct()
-
-
 def regen_compliance(flow: DataFrame, typed: DataFrame) -> DataFrame:
     """Per root: OTUk alarms beyond hop 0 on termination boards, and regenerator alarms without a termination alarm."""
     f = flow.join(typed.select("board", "ftype"), "board")

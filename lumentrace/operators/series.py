@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, WindowSpec
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from .preparation import ranked
+
 
 def in_order() -> WindowSpec:
     return W.partitionBy("board").orderBy("t")
@@ -20,9 +22,8 @@ def board_max(m: DataFrame) -> DataFrame:
 
 
 def board_rank(m: DataFrame) -> DataFrame:
-    """Rank of each board by its maximum. One row per board reaches the single ordering task."""
-    w = W.orderBy(F.desc("bbe_max"), "board")
-    return board_max(m).select("board", "bbe_max", F.row_number().over(w).alias("rank"), F.count(F.lit(1)).over(W.partitionBy()).alias("n_boards"))
+    """Rank of each board by its maximum, from a range-partitioned sort."""
+    return ranked(board_max(m), F.desc("bbe_max"), F.col("board")).select("board", "bbe_max", F.col("k").cast("int").alias("rank"), F.col("n").alias("n_boards"))
 
 
 def top_boards(m: DataFrame, n: int) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumentrace.functions import scalars as S
+from lumentrace.operators import preparation as D
 from lumentrace.operators import rootcause as R
 from lumentrace.operators import series as M
 
@@ -152,13 +153,6 @@ def overlay(s, d):
     return M.overlay(m, w)
 
 
-@add("sum_deltas", sql("WITH w AS (SELECT board, t AS start, t + 9 AS stop, 1.5 AS amp FROM metrics WHERE t % 7 = 3) SELECT m.board, m.t, m.bbe + 1.5 * count(w.amp) AS bbe FROM metrics m LEFT JOIN w ON m.board = w.board AND m.t >= w.start AND m.t < w.stop GROUP BY m.board, m.t, m.bbe", "metrics"))
-def sum_deltas(s, d):
-    m = B.metrics(s, d).select("board", "t", "bbe")
-    w = m.filter("t % 7 = 3").select("board", F.explode(F.sequence(F.col("t"), F.col("t") + 8)).alias("t")).groupBy("board", "t").agg(F.count(F.lit(1)).alias("n"))
-    return m.join(w, ["board", "t"], "left").select("board", "t", (F.col("bbe") + 1.5 * F.coalesce("n", F.lit(0))).alias("bbe"))
-
-
 @add("session_bursts", sql("WITH x AS (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY board ORDER BY ts) < INTERVAL 2 HOUR THEN 0 ELSE 1 END AS nw FROM ev), y AS (SELECT *, sum(nw) OVER (PARTITION BY board ORDER BY ts) AS sid FROM x) SELECT board, min(ts) AS start, max(ts) + INTERVAL 2 HOUR AS stop, count(*) AS n, max(value) AS peak FROM y GROUP BY board, sid", "ev"))
 def sessions(s, d):
     x = M.stream_alarms_sessions(B.events(s, d), "2 hours")
@@ -250,6 +244,6 @@ def softplus(s, d):
 @add("flow_chains", sql("WITH x AS (SELECT board, alarm, ts, event_id, value FROM ev) SELECT dense_rank() OVER (ORDER BY board, alarm)::INT AS chain, (row_number() OVER (PARTITION BY board, alarm ORDER BY ts, event_id))::INT AS step, event_id FROM x", "ev"))
 def alarm_chains(s, d):
     e = B.events(s, d)
-    keys = e.select("board", "alarm").distinct().withColumn("chain", F.row_number().over(W.orderBy("board", "alarm")))
+    keys = D.ranked(e.select("board", "alarm").distinct(), F.col("board"), F.col("alarm")).select("board", "alarm", F.col("k").cast("int").alias("chain"))
     w = W.partitionBy("board", "alarm").orderBy("ts", "event_id")
     return e.join(keys, ["board", "alarm"]).select("chain", F.row_number().over(w).alias("step"), "event_id")

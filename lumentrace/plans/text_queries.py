@@ -65,40 +65,6 @@ def extract_all(s, d):
     return EV.texts(s, d).select("board", F.array_join(X.all_events(F.col("text")), ",").alias("events"))
 
 
-def _flows(s, d):
-    e = B.events(s, d)
-    w = W.partitionBy("board").orderBy("ts", "event_id")
-    r = e.withColumn("n", F.row_number().over(w)).filter("n <= 6")
-    row = F.concat_ws(",", F.col("board").cast("string"), "alarm", F.col("n").cast("string"), F.lit("x"), F.when(F.col("n") == 3, F.lit("y")).otherwise(F.lit("y,z")))
-    g = r.groupBy("board").agg(F.sort_array(F.collect_list(F.struct("n", row.alias("row")))).alias("x"))
-    body = F.array_join(F.transform("x", lambda t: t["row"]), "\n")
-    return g.select("board", F.concat(F.lit("Here it is.\n```csv\nSourceBoard,SourceAlarm,Hop,A,B,C\n"), body, F.lit("\n```\nANSWER: done")).alias("text"))
-
-
-_FLOWS = "r AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY board ORDER BY ts, event_id) AS n FROM ev) WHERE n <= 6)"
-
-
-@add("parse_csv_rows", sql(f"WITH {_FLOWS}, v AS (SELECT board, (n - 1)::INT AS n, unnest(['SourceBoard','SourceAlarm','Hop','A','B','C']) AS \"column\", unnest([board::VARCHAR, alarm, n::VARCHAR, 'x', 'y', 'z']) AS value FROM r WHERE n <> 3) SELECT * FROM v", "ev"))
-def csv_rows(s, d):
-    return X.csv_rows(_flows(s, d).select("board", X.csv_block(F.col("text")).alias("block")), "board", "block")
-
-
-@add("alarm_counts_from_csv", sql(f"WITH {_FLOWS} SELECT board, alarm, count(*) AS n FROM r WHERE n <> 3 GROUP BY board, alarm", "ev"))
-def csv_counts(s, d):
-    rows = X.csv_rows(_flows(s, d).select("board", X.csv_block(F.col("text")).alias("block")), "board", "block")
-    return rows.filter(F.col("column") == "SourceAlarm").groupBy("board", F.col("value").alias("alarm")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@add("format_score", sql(f"WITH {_FLOWS}, g AS (SELECT board, count(*) AS n FROM r GROUP BY board) SELECT board, 0.25 + 0.5 + 0.25 * least(n, 6) / greatest(n, 6) AS score FROM g", "ev"))
-def format_score(s, d):
-    return _flows(s, d).select("board", X.format_score(F.col("text"), F.lit(6)).alias("score"))
-
-
-@add("header_coverage", sql("SELECT DISTINCT board, 3 / 9 AS share FROM ev", "ev"))
-def header_coverage(s, d):
-    return _flows(s, d).select("board", X.header_coverage(F.col("text")).alias("share"))
-
-
 @add("truncate_rows_text", "SELECT doc_id, CASE WHEN len(string_split(text, chr(10))) > 3 THEN array_to_string(string_split(text, chr(10))[1:3], chr(10)) || chr(10) || '(truncated ' || (len(string_split(text, chr(10))) - 3) || ' rows)' ELSE text END AS text FROM documents")
 def truncate(s, d):
     return B.table(s, d, "documents").select("doc_id", X.truncate_rows(F.col("text"), 3).alias("text"))
@@ -135,23 +101,6 @@ def reasoning(s, d):
     return B.boards(s, d).select("board", X.reasoning_line(S.board_category(F.col("kind")), p).alias("line"))
 
 
-@add("impact_spread", sql("WITH e2 AS (SELECT src AS a, dst AS b FROM edges WHERE (src + dst) % 7 = 0 UNION SELECT dst, src FROM edges WHERE (src + dst) % 7 = 0), r AS (SELECT board AS root, board, 0 AS hop FROM boards WHERE board % 10 = 1 UNION SELECT r.root, e2.b, hop + 1 FROM r JOIN e2 ON r.board = e2.a WHERE hop < 3) SELECT board, min(hop) AS hop, min(hop) * 2 AS arrival_s, round(power(0.5, min(hop)), 6) AS scale FROM r GROUP BY board", "boards", "edges", recursive=True))
-def impact(s, d):
-    thin = materialise(T.edges(B.hops(s, d)).filter("(src + dst) % 7 = 0"), "edges")
-    return _spread(thin, B.boards(s, d).filter("board % 10 = 1").select("board"))
-
-
-def _spread(edges, roots):
-    reach = T.khop_region(edges, roots, 3, materialise)
-    g = reach.groupBy("board").agg(F.min("hop").alias("hop"))
-    return g.select("board", "hop", (F.col("hop") * 2).alias("arrival_s"), F.round(F.pow(F.lit(0.5), F.col("hop")), 6).alias("scale"))
-
-
-@add("bounded_shortest_path", sql("WITH n AS (SELECT DISTINCT least(src_node, dst_node) AS a, greatest(src_node, dst_node) AS b FROM pairs WHERE src_node <> dst_node AND (src + dst) % 11 = 0), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n), one AS (SELECT a AS src, b AS dst, 1 AS hops FROM e), two AS (SELECT x.a AS src, y.b AS dst, 2 AS hops FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b) SELECT src, dst, min(hops) AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY src, dst", "pairs"))
-def shortest(s, d):
-    return _shortest(T.pairs(B.hops(s, d)).filter("src_node <> dst_node and (src + dst) % 11 = 0"))
-
-
 def _shortest(p):
     e = p.select(F.explode(F.array(F.struct(F.col("src_node").alias("a"), F.col("dst_node").alias("b")), F.struct(F.col("dst_node").alias("a"), F.col("src_node").alias("b")))).alias("e")).select("e.a", "e.b").distinct()
     one = e.select(F.col("a").alias("src"), F.col("b").alias("dst"), F.lit(1).alias("hops"))
@@ -159,13 +108,7 @@ def _shortest(p):
     return one.unionByName(two).groupBy("src", "dst").agg(F.min("hops").alias("hops"))
 
 
-@add("impact_spread_whole", sql("WITH e2 AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges), r AS (SELECT board AS root, board, 0 AS hop FROM boards WHERE board IN (SELECT board FROM ev WHERE alarm = 'error') UNION SELECT r.root, e2.b, hop + 1 FROM r JOIN e2 ON r.board = e2.a WHERE hop < 3) SELECT board, min(hop) AS hop, min(hop) * 2 AS arrival_s, round(power(0.5, min(hop)), 6) AS scale FROM r GROUP BY board", "boards", "edges", "ev", recursive=True))
-def impact_whole(s, d):
-    failed = B.boards(s, d).select("board").join(B.events(s, d).filter("alarm = 'error'").select("board"), "board", "left_semi")
-    return _spread(materialise(T.edges(B.hops(s, d)), "edges"), failed)
-
-
-@add("bounded_shortest_path_whole", sql("WITH n AS (SELECT DISTINCT least(src_node, dst_node) AS a, greatest(src_node, dst_node) AS b FROM pairs WHERE src_node <> dst_node), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n), one AS (SELECT a AS src, b AS dst, 1 AS hops FROM e), two AS (SELECT x.a AS src, y.b AS dst, 2 AS hops FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b) SELECT src, dst, min(hops) AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY src, dst", "pairs"))
+@add("bounded_shortest_path", sql("WITH n AS (SELECT DISTINCT least(src_node, dst_node) AS a, greatest(src_node, dst_node) AS b FROM pairs WHERE src_node <> dst_node), e AS (SELECT a, b FROM n UNION SELECT b, a FROM n), one AS (SELECT a AS src, b AS dst, 1 AS hops FROM e), two AS (SELECT x.a AS src, y.b AS dst, 2 AS hops FROM e x JOIN e y ON x.b = y.a WHERE x.a <> y.b) SELECT src, dst, min(hops) AS hops FROM (SELECT * FROM one UNION ALL SELECT * FROM two) GROUP BY src, dst", "pairs"))
 def shortest_whole(s, d):
     return _shortest(T.pairs(B.hops(s, d)).filter("src_node <> dst_node"))
 
@@ -187,11 +130,6 @@ def chain_pairs(s, d):
     return c.filter("score > 0.5").join(truth, ["x", "y"], "left_semi").select("event_id", "x", "y")
 
 
-@add("flow_boards", sql("SELECT board, count(DISTINCT alarm) AS alarms, min(event_id) AS first_event, string_agg(DISTINCT alarm, ',' ORDER BY alarm) AS kinds FROM ev GROUP BY board", "ev"))
-def flow_boards(s, d):
-    return B.events(s, d).groupBy("board").agg(F.countDistinct("alarm").alias("alarms"), F.min("event_id").alias("first_event"), F.array_join(F.sort_array(F.collect_set("alarm")), ",").alias("kinds"))
-
-
 @add("multi_root_metrics", "WITH g AS (SELECT l_orderkey AS id, list_distinct(list(l_suppkey) FILTER (l_linenumber <= 2)) AS p, list_distinct(list(l_suppkey) FILTER (l_quantity > 20)) AS t FROM lineitem GROUP BY 1), x AS (SELECT id, coalesce(p, []) AS p, coalesce(t, []) AS t FROM g) SELECT id, CASE WHEN len(list_intersect(t, p)) = len(t) THEN 1 ELSE 0 END AS all_roots, CASE WHEN len(t) = 0 THEN 0.0 ELSE len(list_intersect(t, p)) / len(t) END AS partial, CASE WHEN len(p) = 0 THEN 0.0 ELSE (len(p) - len(list_intersect(t, p))) / len(p) END AS false_rate FROM x")
 def multi_root(s, d):
     g = B.table(s, d, "lineitem").groupBy(F.col("l_orderkey").alias("id")).agg(F.collect_set(F.when(F.col("l_linenumber") <= 2, F.col("l_suppkey"))).alias("p"), F.collect_set(F.when(F.col("l_quantity") > 20, F.col("l_suppkey"))).alias("t"))
@@ -218,12 +156,6 @@ def composite(s, d):
     return EV.scores(s, d).select("sample", "method", F.round(c, 9).alias("score"))
 
 
-@add("reward_discrete", sql("SELECT sample, method, CASE WHEN correct = 1 THEN 0.25 WHEN pred IN ('F', 'P') AND truth IN ('F', 'P') THEN 0.10 WHEN pred IS NOT NULL THEN 0.03 ELSE 0.0 END AS reward FROM scores", "scores"))
-def reward(s, d):
-    related = F.col("pred").isin("F", "P") & F.col("truth").isin("F", "P")
-    return EV.scores(s, d).select("sample", "method", F.when(F.col("correct") == 1, 0.25).when(related, 0.10).when(F.col("pred").isNotNull(), 0.03).otherwise(0.0).alias("reward"))
-
-
 @add("stress_matrix", sql("SELECT n_failures AS scenario, avg(correct) FILTER (method = 'base') AS base, avg(correct) FILTER (method = 'bucket') AS bucket, avg(correct) FILTER (method = 'mod') AS mod FROM scores GROUP BY 1", "scores"))
 def stress(s, d):
     return EV.scores(s, d).groupBy(F.col("n_failures").alias("scenario")).pivot("method", EV.METHODS).agg(F.avg("correct"))
@@ -242,16 +174,11 @@ def sequences(s, d):
     return g.groupBy("sequence").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "sequence").limit(10)
 
 
-@add("flow_ground_truth", sql("SELECT board, count(DISTINCT alarm) AS kinds, least(count(*), 20) AS rows_kept, max(value) AS peak, string_agg(DISTINCT alarm, '|' ORDER BY alarm) AS alarms FROM ev GROUP BY board", "ev"))
-def ground_truth(s, d):
-    return B.events(s, d).groupBy("board").agg(F.countDistinct("alarm").alias("kinds"), F.least(F.count(F.lit(1)), F.lit(20)).alias("rows_kept"), F.max("value").alias("peak"), F.array_join(F.sort_array(F.collect_set("alarm")), "|").alias("alarms"))
-
-
 @add("unused_endpoints", sql("WITH ends AS (SELECT DISTINCT board FROM hops WHERE pos = 1 OR pos = n) SELECT board, (row_number() OVER (ORDER BY board))::INT AS id FROM boards WHERE kind IN ('TRIB', 'LINE') AND board NOT IN (SELECT board FROM ends)", "boards", "hops"))
 def unused(s, d):
     ends = B.hops(s, d).filter("pos = 1 or pos = n").select("board").distinct()
     b = B.boards(s, d).filter("kind in ('TRIB', 'LINE')").select("board").join(ends, "board", "left_anti")
-    return b.withColumn("id", F.row_number().over(W.orderBy("board")))
+    return D.ranked(b, F.col("board")).select("board", F.col("k").cast("int").alias("id"))
 
 
 @add("resolve_failure_location", sql("WITH q AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'b' || board ELSE board || '_' || (board + 1) END AS place, board FROM ev WHERE alarm = 'error') SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (SELECT name FROM boards b WHERE b.board = q.board) ELSE (SELECT 'fibre ' || least(q.board, q.board + 1) || '_' || greatest(q.board, q.board + 1) WHERE EXISTS (SELECT 1 FROM edges e WHERE (e.src = q.board AND e.dst = q.board + 1) OR (e.dst = q.board AND e.src = q.board + 1))) END AS element FROM q", "ev", "boards", "edges"))

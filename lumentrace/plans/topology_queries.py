@@ -178,7 +178,7 @@ def stream_sets(s, d):
     return T.stream_sides(B.hops(s, d), failed).groupBy("failed", "side").agg(F.count(F.lit(1)).alias("n"), F.min("board").alias("first_board"))
 
 
-@add("upstream_downstream_sets_whole", sql("WITH f AS (SELECT DISTINCT board FROM ev WHERE alarm = 'error'), x AS (SELECT DISTINCT a.board AS failed, CASE WHEN b.pos < a.pos THEN 'up' ELSE 'down' END AS side, b.board FROM hops a JOIN f ON a.board = f.board JOIN hops b ON a.path_id = b.path_id AND a.pos <> b.pos) SELECT failed, side, count(*) AS n, min(board) AS first_board FROM x GROUP BY failed, side", "hops", "ev"))
+@add("upstream_downstream_sets", sql("WITH f AS (SELECT DISTINCT board FROM ev WHERE alarm = 'error'), x AS (SELECT DISTINCT a.board AS failed, CASE WHEN b.pos < a.pos THEN 'up' ELSE 'down' END AS side, b.board FROM hops a JOIN f ON a.board = f.board JOIN hops b ON a.path_id = b.path_id AND a.pos <> b.pos) SELECT failed, side, count(*) AS n, min(board) AS first_board FROM x GROUP BY failed, side", "hops", "ev"))
 def stream_sets_whole(s, d):
     failed = B.events(s, d).filter("alarm = 'error'").select("board").distinct()
     return T.stream_sides(B.hops(s, d), failed).groupBy("failed", "side").agg(F.count(F.lit(1)).alias("n"), F.min("board").alias("first_board"))
@@ -251,30 +251,15 @@ def traverse_coverage(s, d):
     return T.traverse_coverage(B.hops(s, d), B.boards(s, d))
 
 
-_UND = "e2 AS (SELECT src AS a, dst AS b FROM edges WHERE src <= 40 AND dst <= 40 AND (src + dst) % 7 = 0 UNION SELECT dst, src FROM edges WHERE src <= 40 AND dst <= 40 AND (src + dst) % 7 = 0)"
-
-
-@add("connected_components", sql("WITH " + _UND.replace("src <= 40 AND dst <= 40 AND ", "") + ", r AS (SELECT board, board AS root FROM boards UNION SELECT e2.b, r.root FROM r JOIN e2 ON r.board = e2.a) SELECT board, min(root) AS component FROM r GROUP BY board", "boards", "edges", recursive=True))
-def connected_components(s, d):
-    thin = T.edges(B.hops(s, d)).filter("(src + dst) % 7 = 0")
-    return T.connected_components(materialise(thin, "edges"), B.boards(s, d), materialise)
-
-
-@add("khop_region", sql("WITH " + _UND.replace("src <= 40 AND dst <= 40 AND ", "") + ", r AS (SELECT board AS root, board, 0 AS hop FROM boards WHERE board % 10 = 1 UNION SELECT r.root, e2.b, hop + 1 FROM r JOIN e2 ON r.board = e2.a WHERE hop < 2) SELECT root, board, min(hop) AS hop FROM r GROUP BY root, board", "boards", "edges", recursive=True))
-def khop_region(s, d):
-    thin = materialise(T.edges(B.hops(s, d)).filter("(src + dst) % 7 = 0"), "edges")
-    return T.khop_region(thin, B.boards(s, d).filter("board % 10 = 1").select("board"), 2, materialise)
-
-
 _ALL_UND = "e2 AS (SELECT src AS a, dst AS b FROM edges UNION SELECT dst, src FROM edges)"
 
 
-@add("connected_components_whole", sql("WITH " + _ALL_UND + ", r AS (SELECT board, board AS root FROM boards UNION SELECT e2.b, r.root FROM r JOIN e2 ON r.board = e2.a) SELECT board, min(root) AS component FROM r GROUP BY board", "boards", "edges", recursive=True))
+@add("connected_components", sql("WITH " + _ALL_UND + ", r AS (SELECT board, board AS root FROM boards UNION SELECT e2.b, r.root FROM r JOIN e2 ON r.board = e2.a) SELECT board, min(root) AS component FROM r GROUP BY board", "boards", "edges", recursive=True))
 def connected_components_whole(s, d):
     return T.connected_components(materialise(T.edges(B.hops(s, d)), "edges"), B.boards(s, d), materialise)
 
 
-@add("khop_region_whole", sql("WITH " + _ALL_UND + ", r AS (SELECT board AS root, board, 0 AS hop FROM boards UNION SELECT r.root, e2.b, hop + 1 FROM r JOIN e2 ON r.board = e2.a WHERE hop < 2) SELECT root, board, min(hop) AS hop FROM r GROUP BY root, board", "boards", "edges", recursive=True))
+@add("khop_region", sql("WITH " + _ALL_UND + ", r AS (SELECT board AS root, board, 0 AS hop FROM boards UNION SELECT r.root, e2.b, hop + 1 FROM r JOIN e2 ON r.board = e2.a WHERE hop < 2) SELECT root, board, min(hop) AS hop FROM r GROUP BY root, board", "boards", "edges", recursive=True))
 def khop_region_whole(s, d):
     return T.khop_region(materialise(T.edges(B.hops(s, d)), "edges"), B.boards(s, d).select("board"), 2, materialise)
 
@@ -387,10 +372,3 @@ def lookup_rule(s, d):
 @add("uncovered_events", sql("SELECT DISTINCT alarm FROM ev WHERE alarm NOT IN (SELECT from_alarm FROM rules)", "ev", "rules"))
 def uncovered_events(s, d):
     return B.events(s, d).select("alarm").distinct().join(F.broadcast(B.rules(s).select(F.col("from_alarm").alias("alarm"))), "alarm", "left_anti")
-
-
-@add("cascade_candidates", sql("WITH f AS (SELECT DISTINCT ev.board FROM ev JOIN boards ON ev.board = boards.board WHERE alarm = 'error'), w AS (SELECT *, lag(board) OVER p AS up, lead(board) OVER p AS down FROM hops WINDOW p AS (PARTITION BY path_id ORDER BY pos)) SELECT a.board, b.board AS other, 'same_node' AS relation FROM f JOIN boards a ON a.board = f.board JOIN boards b ON a.node = b.node AND a.board <> b.board UNION SELECT board, down, 'downstream' FROM w WHERE down IS NOT NULL AND down <> board AND board IN (SELECT board FROM f) UNION SELECT board, up, 'upstream' FROM w WHERE up IS NOT NULL AND up <> board AND board IN (SELECT board FROM f)", "boards", "hops", "ev"))
-def cascade_candidates(s, d):
-    b = B.boards(s, d)
-    failed = B.events(s, d).filter("alarm = 'error'").select("board").distinct().join(b.select("board"), "board", "left_semi")
-    return P.cascade_candidates(failed, b, B.hops(s, d))

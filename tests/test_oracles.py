@@ -14,8 +14,12 @@ def con():
     return connect(SF)
 
 
+#: Text likeness by matching blocks has no SQL; test_answers holds it against plain loops.
+NO_SQL = {"reward_continuous"}
+
+
 def test_every_query_has_sql():
-    assert set(registry.queries()) == set(SQL)
+    assert set(registry.queries()) == set(SQL) | NO_SQL
 
 
 @pytest.mark.parametrize("name", sorted(SQL))

@@ -99,10 +99,3 @@ def test_regen_compliance(spark):
     seeds = spark.createDataFrame([(5, 5, "Fiber_Cut")], "root long, board long, alarm string")
     row = P.regen_compliance(P.propagate(seeds, react, 4, materialise), typed).first()
     assert row["compliant"] and row["regen_ais"] == 1
-
-
-def test_cascades(spark):
-    boards, hops, *_ = make(spark, PLAIN)
-    out = P.cascade_candidates(spark.createDataFrame([(4,)], "board long"), boards, hops)
-    assert {r["other"] for r in out.filter("relation = 'downstream'").collect()} == {5}
-    assert {r["other"] for r in out.filter(F.col("relation") == "same_node").collect()} == {0, 1, 2, 3, 5}

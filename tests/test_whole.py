@@ -28,9 +28,8 @@ def rows(spark, tables, name):
 
 def test_topology_takes_all_edges_and_boards(spark, tables):
     parts = {b: b for b in range(1, 41)} | {2: 1, 3: 1, 31: 30}
-    assert rows(spark, tables, "connected_components_whole") == set(parts.items())
+    assert rows(spark, tables, "connected_components") == set(parts.items())
     near = {(b, b, 0) for b in range(1, 41)} | {(a, b, abs(a - b)) for a in (1, 2, 3) for b in (1, 2, 3)} | {(30, 31, 1), (31, 30, 1)}
-    assert rows(spark, tables, "khop_region_whole") == near
-    assert rows(spark, tables, "impact_spread_whole") == {(31, 0, 0, 1.0), (30, 1, 2, 0.5)}
-    assert rows(spark, tables, "bounded_shortest_path_whole") == {(a, b, abs(a - b)) for a in (1, 2, 3) for b in (1, 2, 3) if a != b} | {(30, 31, 1), (31, 30, 1)}
-    assert rows(spark, tables, "upstream_downstream_sets_whole") == {(31, "up", 1, 30)}
+    assert rows(spark, tables, "khop_region") == near
+    assert rows(spark, tables, "bounded_shortest_path") == {(a, b, abs(a - b)) for a in (1, 2, 3) for b in (1, 2, 3) if a != b} | {(30, 31, 1), (31, 30, 1)}
+    assert rows(spark, tables, "upstream_downstream_sets") == {(31, "up", 1, 30)}
