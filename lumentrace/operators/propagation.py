@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from lumentrace.functions import scalars as S
 
+from .preparation import ranked
+
 
 def root_event(ftype: Column) -> Column:
     """The failure assumed for a board of a function type, where none is given."""
@@ -30,17 +32,30 @@ def reactions(rules: DataFrame, typed: DataFrame, targets: DataFrame, adjacency:
     return local.select(*cols).unionByName(regen.select(*cols)).unionByName(far.select(*cols)).distinct()
 
 
+#: Roots that travel together, a bit each.
+ROOTS = 60
+
+
 def propagate(seeds: DataFrame, react: DataFrame, max_hops: int, materialise) -> DataFrame:
     """Untimed walk from ``seeds`` (root, board, alarm): distinct (root, board, alarm, hop).
 
-    What a row causes depends on its board and alarm only, so repeats of a level are dropped before the next join.
+    What a row causes depends on its board and alarm only, so the roots of a block of ``ROOTS`` travel as one bit mask per
+    board and alarm: a hop joins states with reactions and takes the union of masks, whose partial form is combined
+    before the shuffle. Masks become rows at the end, where no shuffle follows.
     """
-    level = flow = seeds.select("root", "board", "alarm", F.lit(0).alias("hop"))
+    roots = ranked(seeds.select("root").distinct(), F.col("root")).select("root", F.floor((F.col("k") - 1) / ROOTS).alias("block"), ((F.col("k") - 1) % ROOTS).cast("int").alias("bit"))
+    roots = materialise(roots, "roots")
+    causes = react.select("board", "from_alarm", "to_board", "to_alarm").distinct()
+    own = F.expr("shiftleft(CAST(1 AS BIGINT), bit)")
+    level = seeds.join(roots, "root").groupBy("block", "board", "alarm").agg(F.bit_or(own).alias("mask")).withColumn("hop", F.lit(0))
+    level = walked = materialise(level, "flow")
     for h in range(1, max_hops + 1):
-        nxt = level.select("root", "board", F.col("alarm").alias("from_alarm")).join(react, ["board", "from_alarm"])
-        level = materialise(nxt.select("root", F.col("to_board").alias("board"), F.col("to_alarm").alias("alarm")).distinct().withColumn("hop", F.lit(h)), "flow")
-        flow = flow.unionByName(level)
-    return flow
+        nxt = level.select("block", "board", F.col("alarm").alias("from_alarm"), "mask").join(causes, ["board", "from_alarm"])
+        nxt = nxt.groupBy("block", F.col("to_board").alias("board"), F.col("to_alarm").alias("alarm")).agg(F.bit_or("mask").alias("mask"))
+        level = materialise(nxt.withColumn("hop", F.lit(h)), "flow")
+        walked = walked.unionByName(level)
+    bits = F.explode(F.expr(f"filter(sequence(0, {ROOTS - 1}), i -> (shiftright(mask, i) & 1) = 1)"))
+    return walked.select("block", "board", "alarm", "hop", bits.alias("bit")).join(roots, ["block", "bit"]).select("root", "board", "alarm", "hop")
 
 
 def timed(flow_seeds: DataFrame, react: DataFrame, max_hops: int, delay_s: int, materialise) -> DataFrame:
@@ -61,15 +76,15 @@ def timed(flow_seeds: DataFrame, react: DataFrame, max_hops: int, delay_s: int,
 
 
 def flow_summary(flow: DataFrame) -> DataFrame:
-    return flow.groupBy("root").agg(
-        F.count(F.lit(1)).alias("rows"),
-        F.countDistinct("board").alias("boards"),
-        F.countDistinct("alarm").alias("alarms"),
-        F.max("hop").alias("max_hop"),
-        F.count_if(S.alarm_family(F.col("alarm")) == "OTUk").alias("otuk"),
-        F.count_if(S.severity_of_alarm(F.col("alarm")) == "Critical").alias("critical"),
-        F.count_if(S.severity_of_alarm(F.col("alarm")) == "Major").alias("major"),
+    """Per root: rows, boards, alarms, last hop, rows by family and severity; counts per alarm first, so that few rows are exchanged."""
+    kinds = flow.groupBy("root", "alarm").agg(F.count(F.lit(1)).alias("n"), F.max("hop").alias("hop"))
+    over = lambda cond: F.coalesce(F.sum(F.when(cond, F.col("n"))), F.lit(0))
+    severity = S.severity_of_alarm(F.col("alarm"))
+    sums = kinds.groupBy("root").agg(
+        F.sum("n").alias("rows"), F.count(F.lit(1)).alias("alarms"), F.max("hop").alias("max_hop"), over(S.alarm_family(F.col("alarm")) == "OTUk").alias("otuk"), over(severity == "Critical").alias("critical"), over(severity == "Major").alias("major")
     )
+    boards = flow.select("root", "board").distinct().groupBy("root").agg(F.count(F.lit(1)).alias("boards"))
+    return sums.join(boards, "root")
 
 
 def lookup_rule(rules: DataFrame, asked: DataFrame) -> DataFrame:

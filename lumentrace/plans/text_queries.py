@@ -161,12 +161,6 @@ def stress(s, d):
     return EV.scores(s, d).groupBy(F.col("n_failures").alias("scenario")).pivot("method", EV.METHODS).agg(F.avg("correct"))
 
 
-@add("tool_heatmap", "SELECT lang AS scenario, avg(CASE WHEN source = 'src0' THEN 1.0 ELSE 0.0 END) AS src0, avg(CASE WHEN source = 'src1' THEN 1.0 ELSE 0.0 END) AS src1 FROM documents GROUP BY lang")
-def heatmap(s, d):
-    share = lambda v: F.avg(F.when(F.col("source") == v, 1.0).otherwise(0.0)).alias(v)
-    return B.table(s, d, "documents").groupBy(F.col("lang").alias("scenario")).agg(share("src0"), share("src1"))
-
-
 @add("top_sequences", "WITH g AS (SELECT conv_id, string_agg(role, '>' ORDER BY turn) AS sequence FROM conversations GROUP BY conv_id) SELECT sequence, count(*) AS n FROM g GROUP BY sequence ORDER BY n DESC, sequence LIMIT 10")
 def sequences(s, d):
     g = B.table(s, d, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role"))).alias("x"))
