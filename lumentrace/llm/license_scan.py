@@ -159,8 +159,10 @@ def similar_blocks(docs: DataFrame, templates=TEMPLATES, threshold: float = THRE
     texts = paragraphs(docs, id_col, text_col).filter(F.arrays_overlap(split, held))
     same = pairs["_lt_id"].eqNullSafe(texts["_lt_id"]) & (pairs["_lt_at"] == texts["_lt_at"])
     near = texts.join(pairs, same).join(F.broadcast(wanted), "template")
-    near = best_passage(near.select(texts["_lt_id"].alias(id_col), "_lt_par", "label", "need", "t_words", "length"), F.array_remove(split, ""), "o")
-    return near.filter(F.col("o") >= F.col("need")).select(id_col, "label", (F.col("o") / F.size("t_words")).alias("containment")).distinct()
+    near = best_passage(near.select(texts["_lt_id"].alias(id_col), texts["_lt_at"].alias("_lt_at"), "_lt_par", "template", "label", "need", "t_words", "length"), F.array_remove(split, ""), "o")
+    # The grouping keeps the filter above the passages: pushed below, it would look them up once a word.
+    near = near.groupBy(id_col, "_lt_at", "template", "label", "need", F.size("t_words").alias("t_size")).agg(F.max("o").alias("o"))
+    return near.filter(F.col("o") >= F.col("need")).select(id_col, "label", (F.col("o") / F.col("t_size")).alias("containment")).distinct()
 
 
 def scan(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
