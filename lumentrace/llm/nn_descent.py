@@ -50,7 +50,6 @@ class Descent:
     beam: int = 128
     #: Nodes expanded for a query in one round.
     width: int = 32
-    search_rounds: int = 10
     #: Drawn nodes from which every walk starts too.
     entries: int = 16
 
@@ -256,7 +255,7 @@ def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, how: Descent) ->
     drawn = _measure(queries.crossJoin(entries).filter(F.col("q") != F.col("node"))).withColumn("seen", F.lit(False))
     beam = materialise(own.unionByName(drawn), "beam")
     order = W.partitionBy("q").orderBy("dist", "node")
-    for _ in range(how.search_rounds):
+    while True:
         old_beam = beam
         unseen = beam.filter(~F.col("seen")).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= how.width).select("q", "node")
         reached = unseen.join(edges, "node").select("q", F.col("nbr").alias("node")).distinct()
@@ -266,9 +265,11 @@ def walk(graph: DataFrame, nodes: DataFrame, starts: DataFrame, how: Descent) ->
         beam = marked.unionByName(found).withColumn("turn", F.row_number().over(order)).filter(F.col("turn") <= how.beam).drop("turn")
         beam = materialise(beam, "beam")
         discard(old_beam)
+        # Every round marks what it expands, and a beam only gets nearer, so this ends.
         if beam.filter(~F.col("seen")).isEmpty():
             break
-    return beam.select("q", "node", "dist")
+    discard(edges, queries)
+    return materialise(beam.select("q", "node", "dist"), "walked")
 
 
 def exactly(nodes: DataFrame, starts: DataFrame, keep: int) -> DataFrame:
@@ -297,7 +298,6 @@ def exactly(nodes: DataFrame, starts: DataFrame, keep: int) -> DataFrame:
 def search(rows: DataFrame, is_query: Column, top: int = 10, how: Descent | None = None, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """The ``top`` nearest other rows of every row that ``is_query`` (on ``vec_id``) picks: query_id, rank, vec_id, score."""
     how = how or Descent()
-    rows.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1000")
     valid = materialise(usable(rows, id_col, vector_col), "usable")
     nodes, members = nodes_of(valid, top + 1)
     asked = valid.filter(is_query).select(F.col("vec_id").alias("query_id"), "v")

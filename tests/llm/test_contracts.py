@@ -176,6 +176,41 @@ def test_op4_recall_beside_a_huge_vector_and_far_from_zero(spark, huge, shift):
     assert _op4_recall(spark, m, nn_descent.Descent(k=16, leaf=32, beam=32, rounds=3)) >= 0.9
 
 
+@pytest.mark.parametrize("odd", [None, 1e9, 1e-9])
+def test_op4_recall_on_ten_thousand_vectors(spark, odd):
+    """Production parameters, a hundred queries; a very large or very small vector changes nothing."""
+    rng = np.random.default_rng(13)
+    m = rng.normal(size=(100, 32))[rng.integers(0, 100, 10_000)] + 0.4 * rng.normal(size=(10_000, 32))
+    if odd:
+        m[4321] = odd
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(m)], "vec_id long, embedding array<double>")
+    got = defaultdict(set)
+    for r in nn_descent.search(df, F.col("vec_id") % 100 == 0).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    hits = 0
+    for q in range(0, 10_000, 100):
+        d = ((m - m[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        assert len(got[q]) == 10
+        hits += len(got[q] & set(np.argsort(d)[:10].tolist()))
+    assert hits >= 900
+
+
+def test_op4_recall_on_the_larger_table(spark):
+    rows = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").collect()
+    ids, m = np.array([r["vec_id"] for r in rows]), np.array([r["embedding"] for r in rows], np.float64)
+    got = defaultdict(set)
+    for r in queries.op4_nn_descent(spark, "/root/testdata/sf0.1").collect():
+        got[r["query_id"]].add(r["vec_id"])
+    asked = [i for i in ids if i % 100 == 0]
+    hits = 0
+    for q in asked:
+        d = np.sqrt(((m - m[ids == q][0]) ** 2).sum(axis=1))
+        best = [int(ids[k]) for k in np.lexsort((ids, d)) if ids[k] != q][:10]
+        hits += len(got[q] & set(best))
+    assert hits >= 0.9 * 10 * len(asked)
+
+
 def test_op4_isolated_vectors_and_small_far_clusters(spark):
     m = np.random.default_rng(8).normal(size=(1200, 16))
     for i in range(0, 50, 10):
@@ -487,3 +522,18 @@ def test_url_propagation(spark):
         t, d = trust + how.damping * m.T @ t, distrust + how.damping * m @ d
     for i, h in enumerate(names):
         assert abs(got[h]["trust"] - t[i]) < 1e-9 and abs(got[h]["distrust"] - d[i]) < 1e-9
+
+
+def test_op1_links_across_hosts_turn_verdicts(spark):
+    """Pages without a rule follow their links: to blocked hosts they are blocked, unless trusted hosts link to them as much."""
+    link = lambda *hosts: " ".join(f'<a href="http://{h}/x">' for h in hosts)
+    rows = [(1, "http://bad.com/en/1", ""), (2, "http://bad.com/en/2", ""), (3, "http://example.com/en/7/a", link("liked.org", "liked.org", "plain.org"))]
+    rows += [(10, "http://fan.org/a", link("bad.com")), (11, "http://fan.org/b", link("bad.com", "fan.org"))]
+    rows += [(12, "http://liked.org/a", link("bad.com", "BAD.com")), (13, "http://plain.org/a", link("else.org")), (14, "http://far.org/a", link("fan.org")), (15, "http://half.org/a", link("bad.com", "else.org"))]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    out = by_id(url_filter.filter_urls(df), "page_id")
+    verdicts = {i: r["verdict"] for i, r in out.items()}
+    assert verdicts == {1: "block", 2: "block", 3: "allow", 10: "block", 11: "block", 12: "allow", 13: "allow", 14: "block", 15: "allow"}
+    assert abs(out[10]["distrust"] - 0.85) < 1e-9 and abs(out[14]["distrust"] - 0.85**2) < 1e-9
+    unlinked = by_id(url_filter.filter_urls(df.withColumn("html", F.lit(""))), "page_id")
+    assert [unlinked[i]["verdict"] for i in (10, 11, 14)] == ["allow"] * 3
