@@ -151,10 +151,10 @@ def compact_rules(s, d):
     return R.compact(B.table(s, d, "part").select("p_partkey", line.alias("line")))
 
 
-@add("merge_rule_rows", "SELECT DISTINCT p_mfgr AS board, p_type AS event, p_brand AS output_board, 'transmit downstream' AS output_type, 'A' || (p_size % 3) AS output FROM part WHERE p_size % 4 > 0")
+@add("merge_rule_rows", "SELECT DISTINCT p_name AS board, p_type AS event, p_brand AS output_board, 'transmit downstream' AS output_type, 'A' || (p_size % 3) AS output FROM part WHERE p_size % 4 > 0")
 def merge_rule_rows(s, d):
     p = B.table(s, d, "part")
-    board = F.when(F.col("p_size") % 4 == 0, "OTUk").otherwise(F.col("p_mfgr"))
+    board = F.when(F.col("p_size") % 4 == 0, "OTUk").otherwise(F.col("p_name"))
     rows = p.select(board.alias("board"), F.col("p_type").alias("event"), F.col("p_brand").alias("output_board"), F.lit("transmit downstream").alias("output_type"), F.concat(F.lit("A"), (F.col("p_size") % 3).cast("string")).alias("output"))
     return R.merged(rows, rows.filter(F.col("output") == "A1"))
 
