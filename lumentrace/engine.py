@@ -52,15 +52,8 @@ class Engine:
 
 
 def register_functions(spark: SparkSession) -> None:
-    """``chunk_text(text, size, overlap)`` as a SQL table function."""
-    from pyspark.sql.functions import udtf
-
-    @udtf(returnType="chunk int, part string")
-    class ChunkText:
-        def eval(self, text: str, size: int, overlap: int):
-            step = max(1, size - overlap)
-            for k, at in enumerate(range(0, len(text or ""), step)):
-                if text[at : at + size].strip():
-                    yield k, text[at : at + size]
-
-    spark.udtf.register("chunk_text", ChunkText)
+    """``chunk_text(text, size, overlap)`` as a SQL table function, in SQL itself."""
+    spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(text STRING, size INT, overlap INT) RETURNS TABLE (chunk INT, part STRING)
+RETURN SELECT chunk, part FROM (SELECT c.pos AS chunk, substring(chunk_text.text, c.col + 1, chunk_text.size) AS part
+FROM (SELECT 1) LATERAL VIEW posexplode(sequence(0, greatest(length(chunk_text.text) - 1, 0), greatest(1, chunk_text.size - chunk_text.overlap))) c AS pos, col
+WHERE length(chunk_text.text) > 0) WHERE part RLIKE '[^\\x20\\x09-\\x0D]'""")

@@ -21,9 +21,8 @@ def reactions(rules: DataFrame, typed: DataFrame, targets: DataFrame, adjacency:
     Three kinds of action: report locally; transmit to the nearest boards of a type up or down; start anew on the
     regenerator's other side. All boards and alarms at once, so a propagation is a plain self-join afterwards.
     """
-    r = F.broadcast(rules)  # a rule file: some hundred rows
     action = F.lower("action")
-    has = typed.select("board", "ftype").join(r, F.col("ftype") == F.col("from_type"))
+    has = typed.select("board", "ftype").join(rules, F.col("ftype") == F.col("from_type"))
     cols = ["board", "from_alarm", "to_board", "to_alarm", "rule_idx", "direction", "edge_type"]
     local = has.filter(action.contains("report locally")).withColumns({"to_board": F.col("board"), "direction": F.lit(""), "edge_type": F.lit("")})
     regen = has.filter(action.contains("regenout")).join(adjacency.filter((F.col("edge_type") == "regen_boundary") & (F.col("direction") == "D")), "board").withColumnRenamed("neighbour", "to_board")
@@ -90,10 +89,9 @@ def flow_summary(flow: DataFrame) -> DataFrame:
 def lookup_rule(rules: DataFrame, asked: DataFrame) -> DataFrame:
     """(ftype, event) -> rules by exact match (empty type: any); failing that, rules whose event holds the text, flagged fuzzy."""
     same_type = (F.col("q_type") == "") | (F.col("q_type") == F.col("from_type"))
-    r = F.broadcast(rules)
-    exact = asked.join(r, (F.col("q_event") == F.col("from_alarm")) & same_type).withColumn("fuzzy", F.lit(False))
+    exact = asked.join(rules, (F.col("q_event") == F.col("from_alarm")) & same_type).withColumn("fuzzy", F.lit(False))
     rest = asked.join(exact.select("q_type", "q_event").distinct(), ["q_type", "q_event"], "left_anti")
-    like = rest.join(r, F.lower("from_alarm").contains(F.lower("q_event")) & same_type).withColumn("fuzzy", F.lit(True))
+    like = rest.join(rules, F.lower("from_alarm").contains(F.lower("q_event")) & same_type).withColumn("fuzzy", F.lit(True))
     return exact.select("q_type", "q_event", "rule_idx", "fuzzy").unionByName(like.select("q_type", "q_event", "rule_idx", "fuzzy"))
 
 

@@ -47,12 +47,21 @@ def root_cause(category: Column, pattern: Column, peak: Column) -> Column:
     return F.coalesce(pattern_event(category, pattern), nearest_event(peak, category), default)
 
 
+#: Cases of a bucket for which one more salt is used.
+PER_SALT = 5_000
+#: Queries up to which the stated set is broadcast, and vectors in a block beyond.
+MAX_QUERIES, BLOCK = 2_000, 2_000
+
+
 def similar_cases(cases: DataFrame, asked: DataFrame, span: float, top: int) -> DataFrame:
     """Best cases of each question by pattern, kind and peak. Peak buckets of width ``span`` are the equi key of the range."""
     bucket = F.floor(F.col("peak") / span)
-    c = cases.select("case_id", F.col("kind").alias("c_kind"), F.col("pattern").alias("c_pattern"), F.col("peak").alias("c_peak"), bucket.alias("bucket"))
-    q = asked.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1)))
-    j = q.join(c, "bucket").filter((F.abs(F.col("peak") - F.col("c_peak")) <= span) & (F.col("case_id") != F.col("q_id")))
+    # A common peak's bucket is dealt to as many salts as it has thousands of cases; a question looks into all of them.
+    salts = cases.groupBy(bucket.alias("bucket")).agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
+    c = cases.select("case_id", F.col("kind").alias("c_kind"), F.col("pattern").alias("c_pattern"), F.col("peak").alias("c_peak"), bucket.alias("bucket")).join(salts, "bucket")
+    c = c.withColumn("salt", F.pmod(F.xxhash64("case_id"), F.col("salts")).cast("int")).drop("salts")
+    q = asked.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).join(salts, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
+    j = q.join(c, ["bucket", "salt"]).filter((F.abs(F.col("peak") - F.col("c_peak")) <= span) & (F.col("case_id") != F.col("q_id")))
     score = F.when(F.col("pattern") == F.col("c_pattern"), 0.4).otherwise(0.0) + F.when(F.col("kind") == F.col("c_kind"), 0.3).otherwise(0.0) + 0.3 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("peak") - F.col("c_peak")) / span)
     j = j.withColumn("score", F.round(score, 9))
     w = W.partitionBy("q_id").orderBy(F.desc("score"), "case_id")
@@ -71,12 +80,19 @@ def chunk_text(texts: DataFrame, id_col: str, size: int, overlap: int) -> DataFr
 def topk_inner_product(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
     """Exact search of a stated set of queries against all rows; scores are cosines.
 
-    Queries are few and broadcast; each partition keeps its own best before anything is exchanged.
+    Up to ``MAX_QUERIES`` queries are broadcast, which the count of the stated set decides; more are dealt to blocks that
+    meet blocks of rows under a common key. Partitions keep their own best before anything is exchanged.
     """
     unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
     n = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
     q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("qv"))
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    j = n.join(F.broadcast(q), F.col("vec_id") != F.col("query_id")).select("query_id", "vec_id", F.round(dot, 9).alias("score"))
+    if queries.count() <= MAX_QUERIES:
+        met = n.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
+    else:
+        parts = max(1, -(-vectors.count() // BLOCK))
+        dealt = n.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
+        met = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(dealt, "part").filter(F.col("vec_id") != F.col("query_id"))
+    j = met.select("query_id", "vec_id", F.round(dot, 9).alias("score"))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)

@@ -235,13 +235,12 @@ def connected_components(edges_df: DataFrame, boards: DataFrame, materialise) ->
     """board, component (its smallest board), isolated boards included: smallest label of the neighbourhood, then of the label's own."""
     both = edges_df.select(F.col("src").alias("a"), F.col("dst").alias("b")).unionByName(edges_df.select(F.col("dst").alias("a"), F.col("src").alias("b"))).distinct()
     label = boards.select("board", F.col("board").alias("component"))
-    total = None
     while True:
         near = both.join(label, F.col("a") == F.col("board")).groupBy("b").agg(F.min("component").alias("m"))
-        label = label.join(near, F.col("board") == F.col("b"), "left").select("board", F.least("component", "m").alias("component"))
+        label = label.join(near, F.col("board") == F.col("b"), "left").select("board", F.least("component", "m").alias("component"), F.col("component").alias("before"))
         jump = label.select(F.col("board").alias("component"), F.col("component").alias("further"))
-        label = materialise(label.join(jump, "component", "left").select("board", F.least("component", "further").alias("component")), "components")
-        now = label.agg(F.sum("component")).first()[0]
-        if now == total:
+        label = materialise(label.join(jump, "component", "left").select("board", F.least("component", "further").alias("component"), "before"), "components")
+        changed = label.filter(F.col("component") != F.col("before"))
+        label = label.drop("before")
+        if changed.isEmpty():
             return label
-        total = now

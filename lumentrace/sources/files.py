@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lumentrace.functions import scalars as S
+from lumentrace.operators.preparation import ranked
 
 RULE_COLUMNS = ("from_type", "from_alarm", "action", "to_type", "to_alarm")
 METRIC_SCHEMA = "t int, board string, BBE double, BBER double, ES double"
@@ -46,8 +46,13 @@ def read_rules(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_lightpaths(spark: SparkSession, path: str) -> DataFrame:
-    """Hops of one path per line: path_id, pos, n, board, node, kind, role."""
-    lines = spark.read.text(path, wholetext=True).select(F.posexplode(F.filter(F.split("value", "\r?\n"), lambda x: F.trim(x) != "")).alias("path_id", "line"))
+    """Hops of one path per line: path_id, pos, n, board, node, kind, role.
+
+    Files are read in splits; paths are numbered from 0 by file, split and place in it, over range partitions.
+    """
+    at = F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.file_block_start").alias("s"), F.monotonically_increasing_id().alias("i"))
+    lines = spark.read.text(path).select(F.col("value").alias("line"), at.alias("at")).filter(F.trim("line") != "")
+    lines = ranked(lines, F.col("at")).select((F.col("k") - 1).cast("int").alias("path_id"), "line")
     tokens = F.filter(F.transform(F.split("line", ","), lambda x: F.trim(x)), lambda x: x != "")
     df = lines.select("path_id", tokens.alias("x")).select("path_id", F.size("x").alias("n"), F.posexplode("x").alias("pos", "token"))
     board, role = S.split_role(F.col("token"))
@@ -121,8 +126,8 @@ def graph_tables(boards: DataFrame, edges: DataFrame) -> tuple[DataFrame, DataFr
 
 
 def numbered(df: DataFrame, *order: str) -> DataFrame:
-    """Continuous ids along ``order`` for a catalogue."""
-    return df.withColumn("id", F.row_number().over(W.orderBy(*order)))
+    """Continuous ids along ``order`` for a catalogue, over range partitions."""
+    return ranked(df, *map(F.col, order)).withColumnRenamed("k", "id").drop("n")
 
 
 def from_json_fields(df: DataFrame, column: str, schema: str | T.DataType) -> DataFrame:
