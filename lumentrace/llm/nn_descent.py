@@ -47,7 +47,7 @@ class Descent:
     block: int = 160
     #: Better partners that one block may name for a node.
     emit: int = 10
-    beam: int = 128
+    beam: int = 192
     #: Nodes expanded for a query in one round.
     width: int = 32
     #: Drawn nodes from which every walk starts too.
