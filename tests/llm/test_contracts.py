@@ -537,3 +537,15 @@ def test_op1_links_across_hosts_turn_verdicts(spark):
     assert abs(out[10]["distrust"] - 0.85) < 1e-9 and abs(out[14]["distrust"] - 0.85**2) < 1e-9
     unlinked = by_id(url_filter.filter_urls(df.withColumn("html", F.lit(""))), "page_id")
     assert [unlinked[i]["verdict"] for i in (10, 11, 14)] == ["allow"] * 3
+
+
+def test_op4_and_op8_leave_clashing_columns_out(spark):
+    clash = {n: F.lit("x") for n in ("node", "nbr", "dist", "q", "v", "score", "rank", "turns", "learned", "formatted", "valid")}
+    vectors = spark.createDataFrame([(i, [float(i), 1.0]) for i in range(0, 300, 10)], "vec_id long, embedding array<double>").withColumns(clash)
+    got = [(r["query_id"], r["rank"], r["vec_id"]) for r in nn_descent.search(vectors, F.col("vec_id") % 100 == 0, 2).orderBy("query_id", "rank").collect()]
+    assert got == [(0, 1, 10), (0, 2, 20), (100, 1, 90), (100, 2, 110), (200, 1, 190), (200, 2, 210)]
+    turns = [(1, 0, "user", "a"), (1, 1, "assistant", "b"), (1, 1, "assistant", "b")]
+    chats = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    plain, mixed = (chat_format.read_back(chat_format.format_chats(df)).collect() for df in (chats, chats.withColumns(clash)))
+    assert [tuple(r[c] for c in ("conv_id", "turns", "learned", "valid")) for r in plain] == [tuple(r[c] for c in ("conv_id", "turns", "learned", "valid")) for r in mixed]
+    assert chat_format.read_back(chat_format.format_chats(chats.limit(0))).count() == 0
