@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_layout, license_scan, line_rules, minhash_bayes, mixing, nn_descent, secret_grammar, ss_packing, url_filter
-from .common import table
+from . import chat_format, html_layout, license_scan, line_rules, minhash_bayes, mixing, nn_descent, periodic_runs, secret_grammar, ss_packing, url_filter, whitening
+from .common import table, words
 
 
 def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,6 +95,38 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def with_periods(docs: DataFrame) -> DataFrame:
+    """Documents (doc_id, text) in which one in ten, drawn by a checksum of the id, repeats its words from some place on."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    rows = docs.select("doc_id", "text", words(F.col("text")).alias("w"), (F.floor(h / 10)).alias("g"), (h % 10 == 0).alias("drawn"))
+    rows = rows.withColumn("n", F.size("w").cast("long"))
+    rows = rows.withColumn("a", F.when(F.col("drawn") & (F.col("n") > 0), F.col("g") % F.col("n")))
+    rows = rows.withColumn("p", F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1)
+    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
+    moved = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", source(i).cast("int")))
+    return rows.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(moved, " ")).alias("text"))
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = periodic_runs.collapse(docs)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    return out.select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-longest["start"]).alias("start"),
+        longest["length"].alias("length"),
+        (-longest["period"]).alias("period"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    ).withColumn("exponent_milli", F.floor(F.col("length") * 1000 / F.col("period")))
+
+
+def op13_gkl_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -108,5 +140,7 @@ QUERIES = {
         op8_chat_format,
         op9_html_layout,
         op10_mixing,
+        op12_periodic_runs,
+        op13_gkl_whitening,
     )
 }
