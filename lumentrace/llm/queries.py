@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, html_layout, license_scan, line_rules, minhash_bayes, mixing, nn_descent, periodic_runs, secret_grammar, ss_packing, url_filter, whitening
+from . import chat_format, golay_simhash, html_layout, license_scan, line_rules, minhash_bayes, mixing, nn_descent, periodic_runs, secret_grammar, ss_packing, url_filter, whitening
 from .common import table, words
 
 
@@ -95,6 +95,10 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op11_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return golay_simhash.near_components(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def with_periods(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) in which one in ten, drawn by a checksum of the id, repeats its words from some place on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
@@ -140,6 +144,7 @@ QUERIES = {
         op8_chat_format,
         op9_html_layout,
         op10_mixing,
+        op11_golay_simhash,
         op12_periodic_runs,
         op13_gkl_whitening,
     )
