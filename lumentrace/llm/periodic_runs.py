@@ -24,8 +24,9 @@ from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -127,7 +128,7 @@ def _suspects(text: np.ndarray, bounds: np.ndarray, m: int, window: int) -> np.n
     return bounds[found]
 
 
-def _intervals(tile: np.ndarray, bounds: list[int], m: int) -> dict[int, list[list[int]]]:
+def _intervals(tile: np.ndarray, bounds: list[int], m: int, how: Runs) -> dict[int, list[list[int]]]:
     """Per period that is no multiple of a shorter one: intervals of places equal to the one a period on, joined where they touch."""
     found: dict[int, list[list[int]]] = {}
     numbers = tile.tolist()
@@ -137,15 +138,16 @@ def _intervals(tile: np.ndarray, bounds: list[int], m: int) -> dict[int, list[li
             continue
         right = _agree(ahead)
         # Read backwards from the octave's end: where the last numbers before the boundary stand a period further on.
-        behind = numbers[max(0, b - m) : b][::-1]
-        around = behind + [-1] + numbers[max(0, b - m) : b + m][::-1]
-        left, size = _agree(around), len(around)
+        first = max(0, b - m)
+        behind = numbers[first:b][::-1]
+        left = _agree([*behind, -1, *numbers[first : b + m][::-1]])
+        most, end = len(behind), len(left) - (b - first)
         for q in range(m // 2, min(m, len(ahead))):
             on = min(right[q], m)
             # Place b - 1 + q is read this far from the end of the reversed stretch.
-            at = size - (b - max(0, b - m)) - q
-            before = left[at] if at > len(behind) else 0
-            if on + before < m // 2 or any(right[d] >= q - d for d in _shorter(q)):
+            before = left[end - q] if end - q > most else 0
+            # A run reaches over a whole octave to one side, or lies between two.
+            if on + before < m and on + before < how.need(q) or any(right[d] >= q - d for d in _shorter(q)):
                 continue
             low, high = b - before, b + on
             spans = found.setdefault(q, [])
@@ -172,7 +174,7 @@ def _solve(tiles: list[tuple], how: Runs) -> Iterator[tuple]:
     for i in np.unique(of).tolist():
         doc, n, _, at, ids = tiles[i]
         shift = max(0, at - m)
-        for q, spans in _intervals(ids, (bounds[of == i] - starts[i]).tolist(), m).items():
+        for q, spans in _intervals(ids, (bounds[of == i] - starts[i]).tolist(), m, how).items():
             for low, high in spans:
                 low, high = low + shift, high + shift
                 if high - low >= how.need(q) or (low <= shift and shift > 0) or (high >= at + core and high < n - q):
@@ -253,10 +255,19 @@ def runs_of(docs: DataFrame, how: Runs | None = None, id_col: str = "doc_id", te
     return stitched(fragments(_keyed(docs, id_col, text_col), how), how)
 
 
-def collapsed(runs: Column, found: Column) -> Column:
-    """The words of array ``found`` outside what each of ``runs`` holds after its first period."""
-    kept = F.filter(F.sequence(F.lit(0), F.size(found) - 1), lambda i: ~F.exists(runs, lambda r: (i >= r["start"] + r["period"]) & (i < r["start"] + r["length"])))
-    return F.when(F.size(found) > 0, F.transform(kept, lambda i: F.get(found, i.cast("int")))).otherwise(found)
+def collapsed(text: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
+    """The words of each text, joined by single spaces, without those from a ``low`` up to its ``high``; null for null."""
+
+    def one(value: str | None, lows: np.ndarray, highs: np.ndarray) -> str | None:
+        if value is None:
+            return None
+        found = value.encode("utf-8", "surrogatepass").split()
+        edge = np.zeros(len(found) + 1, np.int64)
+        np.add.at(edge, lows, 1)
+        np.add.at(edge, highs, -1)
+        return b" ".join([w for w, gone in zip(found, np.cumsum(edge).tolist(), strict=False) if not gone]).decode("utf-8", "surrogatepass")
+
+    return pd.Series([one(*row) for row in zip(text, low, high, strict=True)], dtype=object)
 
 
 def collapse(docs: DataFrame, how: Runs | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -270,6 +281,6 @@ def collapse(docs: DataFrame, how: Runs | None = None, id_col: str = "doc_id", t
     rows = rows.withColumn("key", F.xxhash64("body"))
     joined = rows.join(per, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
     none = F.array().cast("array<struct<start:bigint,period:bigint,length:bigint>>")
-    split = words(F.col("body"))
-    text = F.array_join(F.when(F.col("runs").isNull(), split).otherwise(collapsed(F.col("runs"), split)), " ")
+    drop = F.when(F.col("runs").isNotNull(), F.col("body")), F.transform("runs", lambda r: r["start"] + r["period"]), F.transform("runs", lambda r: r["start"] + r["length"])
+    text = F.coalesce(F.pandas_udf(collapsed, "string")(*drop), F.array_join(words(F.col("body")), " "))
     return joined.select("row", F.coalesce("runs", none).alias("runs"), text.alias("collapsed")).select("row.*", "runs", "collapsed")

@@ -106,8 +106,10 @@ def with_periods(docs: DataFrame) -> DataFrame:
     rows = rows.withColumn("n", F.size("w").cast("long"))
     rows = rows.withColumn("a", F.when(F.col("drawn") & (F.col("n") > 0), F.col("g") % F.col("n")))
     rows = rows.withColumn("p", F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1)
-    source = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p"))
-    moved = F.transform(F.sequence(F.lit(0).cast("long"), F.col("n") - 1), lambda i: F.get("w", source(i).cast("int")))
+    times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
+    unit = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
+    again = F.slice(F.flatten(F.array_repeat(unit, times)), F.lit(1), (F.col("n") - F.col("a")).cast("int"))
+    moved = F.concat(F.slice("w", F.lit(1), F.col("a").cast("int")), again)
     return rows.select("doc_id", F.when(F.col("a").isNull(), F.col("text")).otherwise(F.array_join(moved, " ")).alias("text"))
 
 
