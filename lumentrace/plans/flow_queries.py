@@ -177,17 +177,24 @@ B.CTES["first_errors"] = (
     """SELECT id, board, event, epoch(ts)::BIGINT AS start_s, CASE WHEN id % 5 > 0 THEN (id % 30000 + 1000) / 1000.0::DOUBLE ELSE 15.0 END AS duration_s FROM (SELECT min((ts, event_id))[2] AS id, date_trunc('second', min(ts)) AS ts, t.board,
 CASE WHEN ftype = 'ODUk-Creation' THEN 'Line_Disconnect' WHEN ftype = 'ODUk-Termination' THEN 'ODUk_PM_AIS' ELSE 'Fiber_Cut' END AS event FROM ev JOIN typed t ON ev.board = t.board WHERE alarm = 'error' GROUP BY t.board, ftype) WHERE id % 17 > 0""",
 )
-_TIMED = (
-    TQ._REACT
-    + """, q0 AS (SELECT board, event AS alarm, start_s AS arrival_s, 0 AS hop, board AS root, [id::BIGINT] AS ord, event AS root_event, event, start_s, duration_s, NULL::BIGINT AS prev, -1 AS rule_idx, '' AS edge_type, '' AS direction, 0 AS delay_s FROM first_errors)"""
-    + "".join(
-        f""", n{h} AS (SELECT r.to_board AS board, r.to_alarm AS alarm, q.arrival_s + CASE WHEN r.direction = '' THEN 0 WHEN r.edge_type = 'regen_boundary' THEN 1 ELSE 4 END AS arrival_s, {h} AS hop, q.root, q.ord || [r.rule_idx::BIGINT, r.to_board::BIGINT] AS ord, q.root_event, q.alarm AS event,
-q.arrival_s AS start_s, q.duration_s, q.board AS prev, r.rule_idx, r.edge_type, r.direction, CASE WHEN r.direction = '' THEN 0 WHEN r.edge_type = 'regen_boundary' THEN 1 ELSE 4 END AS delay_s FROM q{h - 1} q JOIN react r ON r.board = q.board AND r.from_alarm = q.alarm),
-q{h} AS (SELECT * FROM n{h} QUALIFY row_number() OVER (PARTITION BY board, alarm, arrival_s ORDER BY ord) = 1)"""
-        for h in (1, 2)
+_WAIT = "CASE WHEN r.direction = '' THEN 0 WHEN r.edge_type = 'regen_boundary' THEN 1 ELSE 4 END"
+_HOPS = 4
+
+
+def _flow_sql(name: str, only: str = "true") -> str:
+    """CTEs of a queue's levels, the order kept as a growing list, over the reactions that ``only`` leaves."""
+    q = lambda h: f"{name}_q{h}"
+    head = f""", {q(0)} AS (SELECT board, event AS alarm, start_s AS arrival_s, 0 AS hop, board AS root, [id::BIGINT] AS ord, event AS root_event, event, start_s, duration_s, NULL::BIGINT AS prev, -1 AS rule_idx, '' AS edge_type, '' AS direction, 0 AS delay_s FROM first_errors)"""
+    levels = "".join(
+        f""", {name}_n{h} AS (SELECT r.to_board AS board, r.to_alarm AS alarm, q.arrival_s + {_WAIT} AS arrival_s, {h} AS hop, q.root, q.ord || [r.rule_idx::BIGINT, r.to_board::BIGINT] AS ord, q.root_event, q.alarm AS event,
+q.arrival_s AS start_s, q.duration_s, q.board AS prev, r.rule_idx, r.edge_type, r.direction, {_WAIT} AS delay_s FROM {q(h - 1)} q JOIN react r ON r.board = q.board AND r.from_alarm = q.alarm WHERE {only}),
+{q(h)} AS MATERIALIZED (SELECT * FROM {name}_n{h} QUALIFY row_number() OVER (PARTITION BY board, alarm, arrival_s ORDER BY ord) = 1)"""
+        for h in range(1, _HOPS + 1)
     )
-    + ", aflow AS (SELECT * FROM q0 UNION ALL SELECT * FROM q1 UNION ALL SELECT * FROM q2)"
-)
+    return head + levels + f", {name} AS (" + " UNION ALL ".join(f"SELECT * FROM {q(h)}" for h in range(_HOPS + 1)) + ")"
+
+
+_TIMED = TQ._REACT + _flow_sql("aflow")
 _NEEDS = ("hops", "typed", "edges", "rules", "ev", "first_errors")
 
 
@@ -201,12 +208,12 @@ def _timed(s, d, regen: bool = True):
     )
     if not regen:
         react = react.filter("edge_type <> 'regen_boundary'")
-    return hops, typed, W.alarm_flow(W.seeds_of(failures, typed.select("board", "role")), react, typed.select("board", "role"), materialise, max_hops=2)
+    return hops, typed, W.alarm_flow(W.seeds_of(failures, typed.select("board", "role")), react, materialise, max_hops=_HOPS)
 
 
 @add("alarm_flow", sql(_TIMED + " SELECT board, alarm, arrival_s, hop, root, root_event, event, start_s, duration_s, prev, rule_idx, edge_type, direction, delay_s FROM aflow", *_NEEDS, recursive=True))
 def alarm_flow(s, d):
-    return _timed(s, d)[2].drop("ord")
+    return _timed(s, d)[2]
 
 
 _SEV = "CASE WHEN regexp_matches({0}, '(?i)LOS|LOF|AIS') THEN 'Critical' WHEN regexp_matches({0}, '(?i)BDI') THEN 'Major' WHEN regexp_matches({0}, '(?i)DEG') THEN 'Minor' ELSE '' END"
@@ -276,9 +283,7 @@ def flow_analysis(s, d):
     return W.flow_analysis(flow, typed)
 
 
-_PLAIN = _TIMED.replace("q0 AS", "p0 AS").replace("n1 AS", "m1 AS").replace("n2 AS", "m2 AS").replace("FROM n1", "FROM m1").replace("FROM n2", "FROM m2").replace("q1 AS", "p1 AS").replace("q2 AS", "p2 AS")
-_PLAIN = _PLAIN.replace("FROM q0", "FROM p0").replace("FROM q1", "FROM p1").replace("FROM q2", "FROM p2").replace("aflow AS", "bflow AS").replace("r.from_alarm = q.alarm)", "r.from_alarm = q.alarm WHERE r.edge_type <> 'regen_boundary')")
-_PLAIN = _PLAIN[_PLAIN.index(", p0 AS") :]
+_PLAIN = _flow_sql("bflow", "r.edge_type <> 'regen_boundary'")
 _NAMES = ("total", "unique_boards", "otuk_count", "oduk_count", "regen_count", "otuk_at_term", "critical", "max_hop")
 
 
