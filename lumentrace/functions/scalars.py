@@ -24,6 +24,26 @@ def board_name(node: Column, kind: Column, index: Column) -> Column:
     return F.concat(F.lit("ROADM"), node.cast("string"), F.lit("-"), kind, pad(index.cast("string"), 3), F.lit("$0"))
 
 
+def fixed(x: Column, digits: int) -> Column:
+    """``x`` with ``digits`` (0 to 7) places, rounded by its exact binary value, ties to even.
+
+    The product with a power of ten is taken with its rounding error (from two halves of the number, whose products are exact),
+    which says on what side of the middle the value lies. Numbers beyond 1e8 have the formatter's rounding.
+    """
+    scale, a = F.lit(float(10**digits)), F.abs(x.cast("double"))
+    product, spread = a * scale, a * 134217729.0
+    high = spread - (spread - a)
+    error = (high * scale - product) + (a - high) * scale
+    down = F.floor(product)
+    beyond = (product - down - 0.5) + error
+    number = down + F.when((beyond > 0) | ((beyond == 0) & (down % 2 == 1)), 1).otherwise(0)
+    text = pad(number.cast("string"), digits + 1)
+    if digits:
+        text = F.regexp_replace(text, f"(\\d{{{digits}}})$", ".$1")
+    text = F.concat(F.when(x.cast("string").startswith("-"), "-").otherwise(""), text)
+    return F.when(F.isnan(x) | (a >= 1e8), F.format_string(f"%.{digits}f", x.cast("double"))).otherwise(text)
+
+
 def pad(digits: Column, width: int) -> Column:
     """Zeros in front; longer numbers stay whole."""
     return F.when(F.length(digits) >= width, digits).otherwise(F.lpad(digits, width, "0"))
@@ -147,9 +167,13 @@ def slug(text: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(F.lower(text), "[^a-z0-9]+", "-"), "^-+|-+$", "")
 
 
+#: Lines of an answer that name its event, and what stands before its board.
+EVENT_LINES = (r"[Rr]oot\s*[Cc]ause.*", r"[Ee]vent\s*:\s*.*", r"[Ff]ailure\s*[Tt]ype\s*:\s*.*", r"[Rr]oot\s*[Ee]vent\s*:\s*.*")
+BOARD_LINES = (r"[Bb]oard\s*:\s*", r"[Rr]oot\s*[Cc]ause\s*[Bb]oard\s*:\s*", r"[Pp]eak[_ ]?board\s*:\s*", r"[Ss]ource[_ ]?[Bb]oard\s*:\s*", "")
+
+
 def event_in_text(text: Column) -> Column:
     """First known event near a root-cause or event line, then anywhere, then in any case; the list's order breaks ties."""
-    near = [r"[Rr]oot\s*[Cc]ause.*", r"[Ee]vent\s*:\s*.*", r"[Ff]ailure\s*[Tt]ype\s*:\s*.*", r"[Rr]oot\s*[Ee]vent\s*:\s*.*"]
 
     def first(hay: Column, up: bool = False) -> Column:
         out = F.lit(None).cast("string")
@@ -158,13 +182,12 @@ def event_in_text(text: Column) -> Column:
             out = F.when(hay.contains(name) | hay.contains(name.replace("_", " ")), e).otherwise(out)
         return out
 
-    return F.coalesce(*[first(F.regexp_extract(text, p, 0)) for p in near], first(text), first(F.upper(text), True))
+    return F.coalesce(*[first(F.regexp_extract(text, p, 0)) for p in EVENT_LINES], first(text), first(F.upper(text), True))
 
 
 def board_in_text(text: Column) -> Column:
     board = r"(ROADM\d+-\w+\$\d+)"
-    near = [r"[Bb]oard\s*:\s*", r"[Rr]oot\s*[Cc]ause\s*[Bb]oard\s*:\s*", r"[Pp]eak[_ ]?board\s*:\s*", r"[Ss]ource[_ ]?[Bb]oard\s*:\s*", ""]
-    return F.coalesce(*[F.nullif(F.regexp_extract(text, p + board, 1), F.lit("")) for p in near])
+    return F.coalesce(*[F.nullif(F.regexp_extract(text, p + board, 1), F.lit("")) for p in BOARD_LINES])
 
 
 def feature_in_text(text: Column, name: str) -> Column:

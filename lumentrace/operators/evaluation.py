@@ -67,10 +67,27 @@ def uneven_groups(rewards: DataFrame, by: str, size: int) -> DataFrame:
 
 
 def training_curve(log: DataFrame) -> DataFrame:
-    """Step, reward and loss of training logs: (run, step, reward, rewards_mean, mean_reward, loss); the first reward given counts, runs without any value drop out."""
-    value = F.coalesce("reward", "rewards_mean", "mean_reward")
-    df = log.select("run", "step", value.alias("reward"), "loss").filter("step is not null and (reward is not null or loss is not null)")
-    return df.select("run", "step", "reward", "loss")
+    """Step, reward and loss of training logs (run, step, reward, reward_mean, mean_reward, loss): the first reward that is given and not 0
+    counts, else the last one; entries without a step drop out, and so do runs without any reward and loss."""
+    reward = F.coalesce(F.nullif("reward", F.lit(0.0)), F.nullif("reward_mean", F.lit(0.0)), "mean_reward")
+    df = log.filter("step is not null").select("run", "step", reward.alias("reward"), "loss")
+    some = df.groupBy("run").agg(F.count_if(F.col("reward").isNotNull() | F.col("loss").isNotNull()).alias("n")).filter("n > 0").select("run")
+    return df.join(some, "run", "left_semi")
+
+
+def training_logs(files: DataFrame) -> DataFrame:
+    """The curve of raw logs (run, content): one object with a ``log_history``, or an object a line.
+
+    A text that is no single object is read line by line, and lines that are none are skipped. Entries are variants, as logs name
+    their fields differently: ``step`` or ``global_step``, ``loss`` or ``train_loss``, three names of rewards.
+    """
+    whole = files.withColumn("v", F.try_parse_json(F.trim("content")))
+    nested = whole.filter("v is not null").select("run", F.explode(F.expr("try_variant_get(v, '$.log_history', 'array<variant>')")).alias("e"))
+    lines = whole.filter("v is null").select("run", F.explode(F.split("content", "\n")).alias("line")).select("run", F.try_parse_json(F.trim("line")).alias("e")).filter("e is not null")
+    get = lambda name, kind="double": F.expr(f"try_variant_get(e, '$.{name}', '{kind}')")
+    named = lambda a, b, kind: F.when(F.expr(f"try_variant_get(e, '$.{a}', 'variant')").isNotNull(), get(a, kind)).otherwise(get(b, kind))
+    rewards = [get(n).alias(n) for n in ("reward", "reward_mean", "mean_reward")]
+    return training_curve(nested.unionByName(lines).select("run", named("step", "global_step", "long").alias("step"), *rewards, named("loss", "train_loss", "double").alias("loss")))
 
 
 def per_count_table(rows: DataFrame, counts: list[int]) -> DataFrame:

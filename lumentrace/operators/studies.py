@@ -142,10 +142,13 @@ def triage(prompt: Column) -> tuple[Column, Column]:
     return board, F.coalesce(S.board_category(S.parse_board(board)["kind"]), F.lit("unknown"))
 
 
-def hits_block(hits: DataFrame, by: str, preview: int = 280) -> DataFrame:
-    """Ranked hits (rank, score, path, chunk, text) of each query as one text with scores and places."""
+def hits_block(hits: DataFrame, by: str, top: int, preview: int = 280) -> DataFrame:
+    """The ``top`` ranked hits (rank, score, path, chunk, text) of each query as one text with scores and places.
+
+    The cut comes before texts are gathered, so a query's text has a bounded number of lines.
+    """
     flat = F.trim(F.replace("text", F.lit("\n"), F.lit(" ")))
     body = F.when(F.length(flat) > preview, F.concat(F.left(flat, F.lit(preview)), F.lit("..."))).otherwise(flat)
-    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] score="), F.format_string("%.4f", "score"), F.lit(" path="), F.col("path").cast("string"), F.lit(" chunk="), F.col("chunk").cast("string"), F.lit("\n  "), body)
-    g = hits.select(by, "rank", line.alias("line")).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("x"))
+    line = F.concat(F.lit("["), F.col("rank").cast("string"), F.lit("] score="), S.fixed(F.col("score"), 4), F.lit(" path="), F.col("path").cast("string"), F.lit(" chunk="), F.col("chunk").cast("string"), F.lit("\n  "), body)
+    g = hits.filter(F.col("rank") <= top).select(by, "rank", line.alias("line")).groupBy(by).agg(F.sort_array(F.collect_list(F.struct("rank", "line"))).alias("x"))
     return g.select(by, F.array_join(F.transform("x", lambda t: t["line"]), "\n").alias("block"))

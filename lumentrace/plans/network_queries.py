@@ -130,7 +130,7 @@ def service_board_expansion(s, d):
 
 @add(
     "expand_series_to_boards",
-    sql("WITH r AS (SELECT DISTINCT id, node FROM fns WHERE role LIKE 'RELAY%'), x AS (SELECT r.id, t, bbe AS value FROM r JOIN metrics m ON m.board = r.node), f AS (SELECT board, min(id) AS id FROM fnboards WHERE id IN (SELECT id FROM x) GROUP BY board) SELECT f.board, t, value, x.id FROM x JOIN f ON f.id = x.id", "fnboards", "metrics"),
+    sql("WITH r AS (SELECT DISTINCT id, node FROM fns WHERE role LIKE 'RELAY%' AND node IN (SELECT board FROM metrics)), f AS MATERIALIZED (SELECT board, min(id) AS id FROM fnboards WHERE id IN (SELECT id FROM r) GROUP BY board) SELECT f.board, t, bbe AS value, r.id FROM f JOIN r ON r.id = f.id JOIN metrics m ON m.board = r.node", "fnboards", "metrics"),
 )
 def expand_series(s, d):
     f = materialise(_functions(s, d), "functions")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("topology_queries", "series_queries", "evaluation_queries", "text_queries", "answer_queries", "flow_queries", "measure_queries", "network_queries", "study_queries")
+MODULES = ("topology_queries", "series_queries", "evaluation_queries", "text_queries", "answer_queries", "flow_queries", "measure_queries", "network_queries", "study_queries", "chain_queries")
 
 
 def _all(name: str) -> dict:

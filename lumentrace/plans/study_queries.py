@@ -230,13 +230,17 @@ def sft_example(s, d):
     return U.sft_examples(truth)
 
 
-@add("rank_hits_block", "WITH h AS (SELECT doc_id, source, text, (row_number() OVER (PARTITION BY source ORDER BY doc_id))::INT AS rank FROM documents) SELECT source, string_agg('[' || rank || '] score=' || printf('%.4f', 1.0 / rank) || ' path=' || doc_id || ' chunk=0' || chr(10) || '  ' || CASE WHEN length(t) > 280 THEN left(t, 280) || '...' ELSE t END, chr(10) ORDER BY rank) AS block FROM (SELECT *, trim(replace(text, chr(10), ' ')) AS t FROM h) GROUP BY source")
+@add(
+    "rank_hits_block",
+    """WITH u AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE / sqrt(list_sum(list_transform(embedding, lambda y: y::DOUBLE * y::DOUBLE)))) AS v FROM embeddings), y AS (SELECT q.vec_id AS query_id, u.vec_id, round(list_dot_product(u.v, q.v), 9) AS score FROM u JOIN u q ON q.vec_id % 20 = 0 AND q.vec_id <> u.vec_id),
+z AS (SELECT *, (row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id))::INT AS rank FROM y), h AS (SELECT query_id, rank, score, vec_id, trim(replace(text, chr(10), ' ')) AS t FROM z JOIN documents ON doc_id = vec_id WHERE rank <= 5)
+SELECT query_id, string_agg('[' || rank || '] score=' || printf('%.4f', score) || ' path=' || vec_id || ' chunk=0' || chr(10) || '  ' || CASE WHEN length(t) > 280 THEN left(t, 280) || '...' ELSE t END, chr(10) ORDER BY rank) AS block FROM h GROUP BY query_id""",
+)
 def rank_hits_block(s, d):
-    from pyspark.sql import Window as W
-
-    rank = F.row_number().over(W.partitionBy("source").orderBy("doc_id"))
-    h = B.table(s, d, "documents").select("source", "text", rank.alias("rank"), F.col("doc_id").alias("path"), F.lit(0).alias("chunk"))
-    return U.hits_block(h.withColumn("score", F.lit(1.0) / F.col("rank")), "source")
+    v = B.table(s, d, "embeddings").select("vec_id", "embedding")
+    hits = R.topk_inner_product(v, v.filter("vec_id % 20 = 0"), 8).withColumn("score", F.round("score", 9))
+    texts = B.table(s, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
+    return U.hits_block(hits.join(texts, "vec_id").withColumns({"path": F.col("vec_id"), "chunk": F.lit(0)}), "query_id", 5)
 
 
 @add(

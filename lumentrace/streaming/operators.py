@@ -19,32 +19,60 @@ LATE = "1 hour"
 
 
 class _Rise(StatefulProcessor):
-    """Keeps each board's last value and reports samples that are high and have risen."""
+    """Holds a board's samples back until the watermark has passed them, then compares each with the one before it.
+
+    A timer at each waiting time releases what is as old, in order of time and id; samples behind the watermark are dropped.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
         self.last = handle.getValueState("last", "value double")
+        self.waiting = handle.getListState("waiting", "event_id long, ts timestamp, value double")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        df = pd.concat(list(rows)).sort_values(["ts", "event_id"])
-        before = self.last.get()[0] if self.last.exists() else df["value"].iloc[0]
-        rise = df["value"].diff()
-        rise.iloc[0] = df["value"].iloc[0] - before
-        self.last.update((float(df["value"].iloc[-1]),))
-        spike = (df["value"] >= 4) & (rise >= 2)
-        shift = (df["value"] >= 2) & (rise >= 1) & ~spike
-        out = df.assign(alarm="SHIFT").mask(spike, df.assign(alarm="SPIKE"))[spike | shift]
-        yield out[["board", "event_id", "ts", "value", "alarm"]]
+        mark = timerValues.getCurrentWatermarkInMs()
+        for df in rows:
+            at = df["ts"].astype("datetime64[us]").astype("int64") // 1000
+            fresh = df[at > mark] if mark > 0 else df
+            for row in fresh[["event_id", "ts", "value"]].itertuples(index=False):
+                self.waiting.appendValue((int(row.event_id), row.ts.to_pydatetime(), float(row.value)))
+            for ms in sorted(set(at[fresh.index].tolist())):
+                self.handle.registerTimer(ms)
+        return iter(())
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+        until = expiredTimerInfo.getExpiryTimeInMs()
+        held = sorted(self.waiting.get(), key=lambda r: (r[1], r[0]))
+        ready = [r for r in held if pd.Timestamp(r[1]).value // 1_000_000 <= until]
+        before = self.last.get()[0] if self.last.exists() else None
+        out = []
+        for event_id, ts, value in ready:
+            rise = value - (value if before is None else before)
+            before = value
+            alarm = "SPIKE" if value >= 4 and rise >= 2 else "SHIFT" if value >= 2 and rise >= 1 else None
+            if alarm:
+                out.append((key[0], event_id, ts, value, alarm))
+        if ready:
+            self.last.update((before,))
+            rest = held[len(ready) :]
+            self.waiting.put([tuple(r) for r in rest]) if rest else self.waiting.clear()
+        return iter([pd.DataFrame(out, columns=["board", "event_id", "ts", "value", "alarm"])] if out else ())
 
     def close(self) -> None:
         pass
 
 
-def stream_local_alarms(samples: DataFrame) -> DataFrame:
-    """SPIKE and SHIFT per board as samples arrive; needs the RocksDB state store."""
+def stream_local_alarms(samples: DataFrame, late: str = LATE) -> DataFrame:
+    """SPIKE and SHIFT per board in order of time, whatever order samples arrive in; those later than ``late`` are dropped.
+
+    A sample's alarm comes out once the watermark has passed it. Needs the RocksDB state store; state holds a board's last value and
+    the samples of the last ``late``.
+    """
     return (
         samples.select("board", "event_id", "ts", "value")
+        .withWatermark("ts", late)
         .groupBy("board")
-        .transformWithStateInPandas(_Rise(), "board long, event_id long, ts timestamp, value double, alarm string", "Append", "None")
+        .transformWithStateInPandas(_Rise(), "board long, event_id long, ts timestamp, value double, alarm string", "Append", "EventTime")
     )
 
 

@@ -118,14 +118,37 @@ def test_stream_dedupe_and_join(spark, stream):
     assert {(r["failure_id"], r["count"]) for r in got} == {(r["event_id"], r["n_after"]) for r in want}
 
 
-def test_stream_local_alarms(spark, stream):
+def test_stream_local_alarms(spark, tmp_path):
+    """Samples in any order within the allowed lateness give what the batch form gives; later ones are dropped."""
+    import random
+    from datetime import datetime, timedelta
+
+    rng, start = random.Random(3), datetime(2024, 1, 1)
+    rows = [(b, b * 1000 + i, start + timedelta(minutes=i), float(rng.choice([0, 1, 2, 3, 4, 6, 9]))) for b in range(1, 5) for i in range(60)]
+    schema = "board long, event_id long, ts timestamp, value double"
+    # Files of twenty minutes each, shuffled inside; a sample may come a file later. The last file moves the watermark on.
+    parts = [[] for _ in range(6)]
+    for r in rows:
+        k = int((r[2] - start).total_seconds() // 1200)
+        parts[k + (rng.random() < 0.4)].append(r)
+    too_late = (1, 9, start - timedelta(hours=3), 99.0)
+    parts[4].append((99, 1, start + timedelta(hours=5), 0.0))
+    parts[5] += [too_late, (99, 2, start + timedelta(hours=9), 0.0)]
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        got = drain(spark, ST.stream_local_alarms(stream()), "rises")
-        want = series.local_alarms(B.metrics(spark, SF))
-        assert got.groupBy("board", "alarm").count().orderBy("board", "alarm").collect() == want.groupBy("board", "alarm").count().orderBy("board", "alarm").collect()
+        (tmp_path / "in").mkdir()
+        for part in parts:
+            rng.shuffle(part)
+            spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+            df = ST.stream_local_alarms(spark.readStream.schema(schema).parquet(str(tmp_path / "in")))
+            q = df.writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
+            assert q.awaitTermination(180)
     finally:
         spark.conf.unset("spark.sql.streaming.stateStore.providerClass")
+    got = spark.read.parquet(str(tmp_path / "out")).filter("board < 99").select("board", "event_id", "value", "alarm").collect()
+    batch = spark.createDataFrame(rows, schema).withColumns({"t": F.col("event_id"), "bbe": F.col("value")})
+    want = series.local_alarms(batch).select("board", "t", "bbe", "alarm").collect()
+    assert sorted(map(tuple, got)) == sorted(map(tuple, want)) and len(got) > 50
 
 
 def test_stream_append(spark, stream, tmp_path):
