@@ -9,12 +9,13 @@
    periods that are multiples of a smaller one. All comparisons of a tile are of whole numbers that stand for its words.
 3. What a tile finds is an interval of places that equal the place ``q`` further on. Intervals that are long
    enough, or reach the tile's end, are shuffled by document and period and stitched; what is long enough then is a run.
+4. Texts in which something was found are written beside the intervals, so only these are exchanged to be collapsed.
 
 Tiles of an octave are solved together, and work grows with words times octaves, whatever they repeat.
 
-Defined results: null, empty and blank texts have no words and no runs; rows with equal id and text, null ids among
-them, are one document in step 3 and each get its result; an empty table gives an empty table; other columns of the
-table pass through ``collapse`` whatever their names.
+Defined results: null, empty and blank texts have no words and no runs; rows with equal id and text are one document
+in step 3 and each get its result; a null id stands as 0 beside the ``text_key``, which tells it from a real 0; an
+empty table gives an empty table; other columns of the table pass through ``collapse`` whatever their names.
 """
 
 from __future__ import annotations
@@ -26,13 +27,13 @@ from functools import lru_cache
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import materialise, words
 
-FRAGMENTS = "doc_id long, text_key long, n long, period long, low long, high long"
+PIECES = "doc_id long, text_key long, n long, period long, low long, high long, text binary"
 TILES = "doc_id long, text_key long, n long, octave int, core long, ids binary"
 
 
@@ -181,106 +182,138 @@ def _solve(tiles: list[tuple], how: Runs) -> Iterator[tuple]:
                     yield doc, n, q, low, high
 
 
-def _solved(tiles: Iterator[tuple], how: Runs) -> Iterator[pa.RecordBatch]:
-    """Fragments of all tiles, with a bounded number of words at a time."""
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [()] * 7
+    names = ["doc_id", "text_key", "n", "period", "low", "high", "text"]
+    return pa.RecordBatch.from_arrays([*[pa.array(c, pa.int64()) for c in columns[:6]], pa.array(columns[6], pa.binary())], names)
+
+
+def _solved(tiles: Iterator[tuple], how: Runs, texts: dict | None = None) -> Iterator[pa.RecordBatch]:
+    """Fragments of all tiles, with a bounded number of words at a time, and what ``texts`` holds of documents with any (period 0)."""
     waiting: dict[int, list[tuple]] = {}
     size = 0
 
     def out() -> pa.RecordBatch:
-        rows = [(*doc, n, q, low, high) for same in waiting.values() for doc, n, q, low, high in _solve(same, how)]
-        columns = list(zip(*rows, strict=True)) or [()] * 6
-        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], ["doc_id", "text_key", "n", "period", "low", "high"])
+        rows = [(*doc, n, q, low, high, None) for same in waiting.values() for doc, n, q, low, high in _solve(same, how)]
+        if texts is not None:
+            rows += [(*doc, 0, 0, 0, 0, texts[doc]) for doc in {r[:2] for r in rows}]
+            texts.clear()
+        return _batch(rows)
 
     for t in tiles:
-        waiting.setdefault(t[2], []).append(t)
-        size += len(t[4])
-        if size >= how.together:
+        # A document's tiles follow one another; a new document may start a new round.
+        if size >= how.together and (texts is None or t[3] == 0 and t[2] == 2):
             yield out()
             waiting, size = {}, 0
+        if texts is not None and t[5] is not None:
+            texts[t[0]] = t[5]
+        waiting.setdefault(t[2], []).append(t[:5])
+        size += len(t[4])
     if waiting:
         yield out()
 
 
-def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text).alias("text_key"), text.alias("text"))
+def key_of(id_col: str, text_col: str) -> list[Column]:
+    """``doc_id`` (0 for null) and ``text_key`` (a hash of the text and of the id's absence)."""
+    text, number = F.coalesce(F.col(text_col).cast("string"), F.lit("")), F.col(id_col).cast("long")
+    return [F.coalesce(number, F.lit(0)).alias("doc_id"), F.xxhash64(number.isNull(), text).alias("text_key")]
 
 
-def fragments(docs: DataFrame, how: Runs) -> DataFrame:
-    """Intervals found in the tiles of ``docs`` (doc_id, text_key, text)."""
+def pieces(docs: DataFrame, how: Runs) -> DataFrame:
+    """One pass over ``docs`` (doc_id, text_key, text): fragments of texts that are solved here (period above 0), the texts of these
+    documents (period 0), and texts that are to be dealt (period -1)."""
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-        for batch in batches:
-            for doc, key, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
-                yield from _tiles((doc.as_py(), key.as_py()), _ids(text.as_py()), how)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        far: list[tuple] = []
+
+        def near() -> Iterator[tuple]:
+            for batch in batches:
+                for doc, key, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                    raw, doc = text.as_py(), (doc.as_py(), key.as_py())
+                    if len(raw) > how.near:
+                        far.append((*doc, 0, -1, 0, 0, raw))
+                    else:
+                        for t in _tiles(doc, _ids(raw), how):
+                            yield *t, raw
+
+        for batch in _solved(near(), how, {}):
+            yield batch
+            if far:
+                yield _batch(far)
+                far.clear()
+        if far:
+            yield _batch(far)
+
+    return docs.withColumn("text", F.col("text").cast("binary")).mapInArrow(run, PIECES)
 
-    def solve_here(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        yield from _solved(read(batches), how)
+
+def dealt_fragments(far: DataFrame, how: Runs) -> DataFrame:
+    """Fragments of long texts (doc_id, text_key, text), whose tiles are dealt over tasks."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for (doc, key), n, m, at, ids in read(batches):
-            columns = [pa.array([v], t) for v, t in ((doc, pa.int64()), (key, pa.int64()), (n, pa.int64()), (m, pa.int32()), (at, pa.int64()), (ids.tobytes(), pa.binary()))]
-            yield pa.RecordBatch.from_arrays(columns, ["doc_id", "text_key", "n", "octave", "core", "ids"])
+        for batch in batches:
+            for doc, key, text in zip(batch.column(0), batch.column(1), batch.column(2), strict=True):
+                for _, n, m, at, ids in _tiles((doc, key), _ids(text.as_py()), how):
+                    columns = [doc.as_py()], [key.as_py()], [n], [m], [at], [ids.tobytes()]
+                    kinds = pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.binary()
+                    yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["doc_id", "text_key", "n", "octave", "core", "ids"])
 
-    def solve_dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def solve(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def rows() -> Iterator[tuple]:
             for batch in batches:
                 for doc, key, n, m, at, ids in zip(*batch.columns, strict=True):
-                    yield (doc.as_py(), key.as_py()), n.as_py(), m.as_py(), at.as_py(), np.frombuffer(ids.as_py(), "<i4")
+                    yield (doc.as_py(), key.as_py()), n.as_py(), m.as_py(), at.as_py(), np.frombuffer(ids.as_py(), "<i4"), None
 
         yield from _solved(rows(), how)
 
-    raw = docs.withColumn("text", F.col("text").cast("binary"))
-    long = F.length("text") > how.near
-    here = raw.filter(~long).mapInArrow(solve_here, FRAGMENTS)
-    tiles = raw.filter(long).mapInArrow(cut, TILES).repartition("doc_id", "text_key", "octave", "core")
-    return here.unionByName(tiles.mapInArrow(solve_dealt, FRAGMENTS))
+    tiles = far.select("doc_id", "text_key", "text").mapInArrow(cut, TILES).repartition("doc_id", "text_key", "octave", "core")
+    return tiles.mapInArrow(solve, PIECES)
 
 
-def stitched(pieces: DataFrame, how: Runs) -> DataFrame:
+def stitched(found: DataFrame, how: Runs) -> DataFrame:
     """Runs (``doc_id``, ``text_key``, ``start``, ``length``, ``period``) from the intervals of each document and period."""
     key = ["doc_id", "text_key", "period"]
     order = W.partitionBy(*key).orderBy("low", "high")
-    pieces = pieces.distinct().withColumn("reach", F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1)))
-    pieces = pieces.withColumn("part", F.sum(F.when(F.col("low") <= F.col("reach"), 0).otherwise(1)).over(order))
-    whole = pieces.groupBy(*key, "part").agg(F.min("low").alias("start"), F.max("high").alias("high"))
+    rows = found.select(*key, "low", "high").distinct().withColumn("reach", F.max("high").over(order.rowsBetween(W.unboundedPreceding, -1)))
+    rows = rows.withColumn("part", F.sum(F.when(F.col("low") <= F.col("reach"), 0).otherwise(1)).over(order))
+    whole = rows.groupBy(*key, "part").agg(F.min("low").alias("start"), F.max("high").alias("high"))
     length = F.col("high") - F.col("start") + F.col("period")
     enough = length >= F.greatest(F.lit(how.least), F.col("period") * how.times)
     return whole.filter(enough).select("doc_id", "text_key", "start", length.alias("length"), "period")
 
 
-def runs_of(docs: DataFrame, how: Runs | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All runs: ``doc_id``, ``text_key`` (a hash of the text, which tells rows of equal id apart), ``start``, ``length``, ``period``."""
-    how = how or Runs()
-    return stitched(fragments(_keyed(docs, id_col, text_col), how), how)
-
-
 def collapsed(text: pd.Series, low: pd.Series, high: pd.Series) -> pd.Series:
-    """The words of each text, joined by single spaces, without those from a ``low`` up to its ``high``; null for null."""
+    """The words of each text, joined by single spaces, without those from a ``low`` up to its ``high``."""
 
-    def one(value: str | None, lows: np.ndarray, highs: np.ndarray) -> str | None:
-        if value is None:
-            return None
-        found = value.encode("utf-8", "surrogatepass").split()
+    def one(value: bytes, lows: np.ndarray, highs: np.ndarray) -> str:
+        found = value.split()
         edge = np.zeros(len(found) + 1, np.int64)
         np.add.at(edge, lows, 1)
         np.add.at(edge, highs, -1)
-        return b" ".join([w for w, gone in zip(found, np.cumsum(edge).tolist(), strict=False) if not gone]).decode("utf-8", "surrogatepass")
+        return b" ".join([w for w, gone in zip(found, np.cumsum(edge).tolist(), strict=False) if not gone]).decode("utf-8", "replace")
 
     return pd.Series([one(*row) for row in zip(text, low, high, strict=True)], dtype=object)
 
 
-def collapse(docs: DataFrame, how: Runs | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with two columns more: ``runs`` (by start, then period; empty where there are none) and ``collapsed``, the text's
-    words without what repeats, joined by single spaces. Columns of these names are replaced."""
+def documents_with_runs(docs: DataFrame, how: Runs | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row for each document with a run: ``doc_id``, ``text_key``, ``runs`` (by start, then period) and ``collapsed``, its words
+    without what repeats, joined by single spaces."""
     how = how or Runs()
-    found = materialise(runs_of(docs, how, id_col, text_col), "runs")
-    per = found.groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
+    rows = docs.select(*key_of(id_col, text_col), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    found = materialise(pieces(rows, how), "periods")
+    fragments = found.filter("period > 0").drop("text").unionByName(dealt_fragments(found.filter("period = -1"), how).drop("text"))
+    per = stitched(fragments, how).groupBy("doc_id", "text_key").agg(F.array_sort(F.collect_list(F.struct("start", "period", "length"))).alias("runs"))
+    texts = found.filter("period <= 0").groupBy("doc_id", "text_key").agg(F.first("text").alias("text"))
+    drop = F.transform("runs", lambda r: r["start"] + r["period"]), F.transform("runs", lambda r: r["start"] + r["length"])
+    return per.join(texts, ["doc_id", "text_key"]).select("doc_id", "text_key", "runs", F.pandas_udf(collapsed, "string")("text", *drop).alias("collapsed"))
+
+
+def collapse(docs: DataFrame, how: Runs | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` with two columns more: ``runs`` (empty where there are none) and ``collapsed``. Columns of these names are replaced."""
+    found = documents_with_runs(docs, how, id_col, text_col)
     rest = [c for c in docs.columns if c not in ("runs", "collapsed")]
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("body"))
-    rows = rows.withColumn("key", F.xxhash64("body"))
-    joined = rows.join(per, F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("key") == F.col("text_key")), "left")
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row"), *key_of(id_col, text_col), F.col(text_col).cast("string").alias("body"))
+    joined = rows.join(found, ["doc_id", "text_key"], "left")
     none = F.array().cast("array<struct<start:bigint,period:bigint,length:bigint>>")
-    drop = F.when(F.col("runs").isNotNull(), F.col("body")), F.transform("runs", lambda r: r["start"] + r["period"]), F.transform("runs", lambda r: r["start"] + r["length"])
-    text = F.coalesce(F.pandas_udf(collapsed, "string")(*drop), F.array_join(words(F.col("body")), " "))
+    text = F.coalesce("collapsed", F.array_join(words(F.col("body")), " "))
     return joined.select("row", F.coalesce("runs", none).alias("runs"), text.alias("collapsed")).select("row.*", "runs", "collapsed")

@@ -102,9 +102,8 @@ def op11_golay_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 def with_periods(docs: DataFrame) -> DataFrame:
     """Documents (doc_id, text) in which one in ten, drawn by a checksum of the id, repeats its words from some place on."""
     h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
-    rows = docs.select("doc_id", "text", words(F.col("text")).alias("w"), (F.floor(h / 10)).alias("g"), (h % 10 == 0).alias("drawn"))
-    rows = rows.withColumn("n", F.size("w").cast("long"))
-    rows = rows.withColumn("a", F.when(F.col("drawn") & (F.col("n") > 0), F.col("g") % F.col("n")))
+    rows = docs.select("doc_id", "text", F.when(h % 10 == 0, words(F.col("text"))).alias("w"), F.floor(h / 10).alias("g"))
+    rows = rows.withColumn("n", F.size("w").cast("long")).withColumn("a", F.when(F.col("n") > 0, F.col("g") % F.col("n")))
     rows = rows.withColumn("p", F.floor((F.col("n") - F.col("a")) / (F.col("g") % 8 + 3)) + 1)
     times = F.ceil((F.col("n") - F.col("a")) / F.col("p")).cast("int")
     unit = F.slice("w", (F.col("a") + 1).cast("int"), F.col("p").cast("int"))
@@ -115,18 +114,24 @@ def with_periods(docs: DataFrame) -> DataFrame:
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = with_periods(table(spark, sf_dir, "documents").select("doc_id", "text"))
-    out = periodic_runs.collapse(docs)
-    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
     told = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    sha = F.sha2(F.concat(told, F.lit("\n")), 256)
+    found = periodic_runs.documents_with_runs(docs).select("doc_id", "text_key", F.size("runs").cast("long").alias("n_runs"), longest.alias("x"), sha.alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+    # Texts stay where they are read: what is joined is a digest of each.
+    plain = F.sha2(F.array_join(words(F.col("text")), " "), 256).alias("plain")
+    light = docs.select(F.col("doc_id").alias("id"), *periodic_runs.key_of("doc_id", "text"), plain)
+    out = light.join(found, ["doc_id", "text_key"], "left")
     return out.select(
-        "doc_id",
-        F.size("runs").cast("long").alias("n_runs"),
-        (-longest["start"]).alias("start"),
-        longest["length"].alias("length"),
-        (-longest["period"]).alias("period"),
-        F.sha2(F.when(F.size("runs") > 0, F.concat(told, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"),
-        F.sha2("collapsed", 256).alias("collapsed_sha256"),
-    ).withColumn("exponent_milli", F.floor(F.col("length") * 1000 / F.col("period")))
+        F.col("id").alias("doc_id"),
+        F.coalesce("n_runs", F.lit(0)).alias("n_runs"),
+        (-F.col("x.start")).alias("start"),
+        F.col("x.length").alias("length"),
+        (-F.col("x.period")).alias("period"),
+        F.floor(F.col("x.length") * 1000 / -F.col("x.period")).alias("exponent_milli"),
+        F.coalesce("runs_sha256", F.sha2(F.lit(""), 256)).alias("runs_sha256"),
+        F.coalesce("collapsed_sha256", "plain").alias("collapsed_sha256"),
+    )
 
 
 def op13_gkl_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,9 +63,9 @@ def test_suspects_miss_nothing_where_sums_meet(spark):
     w = ["a"]
     for _ in range(11):
         w += [{"a": "b", "b": "a"}[x] for x in w]
-    got = periodic_runs.runs_of(spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:100] * 5))], "doc_id long, text string")).collect()
-    assert {r["doc_id"] for r in got} == {2}
-    assert {(r["start"], r["period"], r["length"]) for r in got} == {(s, q, n) for s, q, n in plain_runs(w[:100] * 5)}
+    got = periodic_runs.documents_with_runs(spark.createDataFrame([(1, " ".join(w)), (2, " ".join(w[:100] * 5))], "doc_id long, text string")).collect()
+    assert [r["doc_id"] for r in got] == [2]
+    assert [(x["start"], x["period"], x["length"]) for x in got[0]["runs"]] == plain_runs(w[:100] * 5)
 
 
 def test_op12_equals_plain_loops(spark):
