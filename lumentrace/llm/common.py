@@ -53,3 +53,13 @@ def discard(*tables: DataFrame) -> None:
 def words(text: Column) -> Column:
     """Maximal runs without ASCII white space; none for null."""
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), WHITE, -1), "")
+
+
+def aside(docs: DataFrame, **needed: Column) -> DataFrame:
+    """``needed`` columns under names of the operator's own, and each row whole in the struct ``row``, where no name clashes."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in needed.items()])
+
+
+def restored(df: DataFrame, columns: list[str], **new: Column) -> DataFrame:
+    """The rows that ``aside`` put away, those of ``new`` replaced."""
+    return df.select(*[new[c].alias(c) if c in new else F.col("row").getField(c).alias(c) for c in columns])

@@ -8,8 +8,9 @@ independent rows: one pass in Arrow batches, no shuffle, memory bounded by the b
 
 Time and output grow in proportion to the markup, whatever it holds: markup is read once from left to right (a tag,
 quote or comment without end swallows the rest, as in browsers), open elements are found by tag, not by search, and
-alignment is bounded: ``MAX_COLUMNS``, ``MAX_CELL``, ``MAX_LINE``, ``MAX_INDENT`` and ``MAX_TABLES`` say beyond which
-column, width, place, list and nested table text is written without further padding. No text is lost by them.
+the blanks that align a table are bounded in all, by a multiple of its text: cells of any width are aligned, and only a table
+that would need more blanks than that leaves its widest cells out of the columns' widths. ``Layout`` holds this bound
+(None: always as many as it takes) and those on columns, indentation and nested tables. No text is lost by them.
 
 Defined results: null markup gives a null text and no blocks, empty markup an empty text; broken markup is
 repaired, never an error; any depth of nesting works, as nothing recurses; repeated rows are rendered each; an
@@ -20,12 +21,27 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
 from html import unescape
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+
+
+@dataclass(frozen=True)
+class Layout:
+    #: Blanks that may align a table: so many for each character of its text, and so many beside; ``share`` None: no bound.
+    share: int | None = 16
+    free: int = 1 << 16
+    #: Columns that are aligned, as many as HTML lets one cell span.
+    columns: int = 1000
+    #: Characters of indentation, and tables within tables that keep columns.
+    indent: int = 40
+    tables: int = 8
+
+
 #: Elements without content.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 #: Elements that are never shown.
@@ -69,10 +85,6 @@ SCOPE = frozenset("td th caption li dd dt div section article table button objec
 SPACE = re.compile(r"[\x20\t\n\r\f]+")
 INVISIBLE = re.compile(r"display\s*:\s*none|visibility\s*:\s*(hidden|collapse)", re.I)
 VISIBLE = re.compile(r"display\s*:|visibility\s*:\s*visible", re.I)
-#: Columns of a table that are aligned; the widest cell and the last place that others are aligned to.
-MAX_COLUMNS, MAX_CELL, MAX_LINE = 64, 60, 240
-#: Characters of indentation, and tables within tables that keep columns.
-MAX_INDENT, MAX_TABLES = 40, 8
 
 TAG_NAME = re.compile(r"[^\t\n\f\r />]+")
 GAP = re.compile(r"[\t\n\f\r /]*")
@@ -339,8 +351,8 @@ class Flow:
             self.parts.append(" ")
         self.breaks, self.space = 0, False
 
-    def inner_indent(self, outer: str, mark: str) -> str:
-        return (outer + " " * len(mark))[: max(MAX_INDENT, len(mark))]
+    def inner_indent(self, outer: str, mark: str, most: int) -> str:
+        return (outer + " " * len(mark))[: max(most, len(mark))]
 
     def text(self, data: str) -> None:
         words = SPACE.sub(" ", data)
@@ -366,55 +378,77 @@ def span(node: Node, name: str, most: int) -> int:
     return min(int(value), most) if value.isascii() and value.isdigit() and len(value) < 9 else 1
 
 
-def placed(rows: list[list[tuple[str, int, int]]]) -> list[list[tuple[int, int, list[str]]]]:
+def placed(rows: list[list[tuple[str, int, int]]], columns: int) -> list[list[tuple[int, int, list[str]]]]:
     """Cells (text, columns, rows) as (first column, column after it, lines): what reaches down from above pushes cells aside."""
-    until = [0] * MAX_COLUMNS
+    until: list[int] = []
     out = []
     for r, row in enumerate(rows):
         at, cells = 0, []
         for text, wide, high in row:
-            while at < MAX_COLUMNS and until[at] > r:
+            while at < len(until) and until[at] > r:
                 at += 1
-            after = at + max(1, min(wide, MAX_COLUMNS - at))
-            until[at:after] = [r + high] * len(until[at:after])
+            after = min(at + max(1, wide), max(columns, at + 1))
+            if at < columns:
+                until += [0] * (after - len(until))
+                until[at:after] = [r + high] * (after - at)
             cells.append((at, after, text.split("\n")))
             at = after
         out.append(cells)
     return out
 
 
-def aligned(rows: list[list[tuple[str, int, int]]]) -> str:
-    """Cells in columns; further lines of a cell stand below its first."""
-    grid = placed(rows)
+def offsets_of(grid: list[list[tuple[int, int, list[str]]]], limit: int, columns: int) -> list[int]:
+    """Where each column starts, if cells wider than ``limit`` do not count."""
     widths: dict[tuple[int, int], int] = {}
     for row in grid:
         for at, after, lines in row:
             wide = max(map(len, lines))
-            if after <= MAX_COLUMNS and wide <= MAX_CELL:
+            if after <= columns and wide <= limit:
                 widths[at, after] = max(widths.get((at, after), 0), wide)
-    offsets = [0] * (MAX_COLUMNS + 1)
     ends: dict[int, list[tuple[int, int]]] = {}
     for (at, after), wide in widths.items():
         ends.setdefault(after, []).append((at, wide))
-    for c in range(1, MAX_COLUMNS + 1):
-        offsets[c] = min(MAX_LINE, max([offsets[c - 1], *(offsets[at] + wide + 2 for at, wide in ends.get(c, ()))]))
-    out = []
+    offsets = [0]
+    for c in range(1, max(ends, default=0) + 1):
+        offsets.append(max([offsets[c - 1], *(offsets[at] + wide + 2 for at, wide in ends.get(c, ()))]))
+    return offsets
+
+
+def lines_of(grid: list[list[tuple[int, int, list[str]]]], offsets: list[int]) -> Iterator[list[tuple[int, str]]]:
+    """Each line of the table as its cells' lines with the blanks before them."""
+    last = len(offsets) - 1
     for row in grid:
         # A row without text takes no line.
         k, live = 0, row if any(any(lines) for _, _, lines in row) else []
         while live:
             parts, length = [], 0
             for at, _, lines in live:
-                pad = max(offsets[min(at, MAX_COLUMNS)] - length, 2 if length else 0)
-                parts += [" " * pad, lines[k]]
+                pad = max(offsets[min(at, last)] - length, 2 if length else 0)
+                parts.append((pad, lines[k]))
                 length += pad + len(lines[k])
-            out.append("".join(parts).rstrip())
+            yield parts
             k += 1
             live = [c for c in live if len(c[2]) > k]
-    return "\n".join(out)
 
 
-def render(html: str) -> str:
+def aligned(rows: list[list[tuple[str, int, int]]], how: Layout) -> str:
+    """Cells in columns; further lines of a cell stand below its first."""
+    grid = placed(rows, how.columns)
+    low, high = 0, max(max(map(len, lines)) for row in grid for _, _, lines in row)
+    offsets = offsets_of(grid, high, how.columns)
+    if how.share is not None:
+        most = how.free + how.share * sum(len(text) for row in rows for text, _, _ in row)
+        blanks = lambda offsets: sum(pad for line in lines_of(grid, offsets) for pad, text in line if text)
+        if blanks(offsets) > most:
+            # The widest limit that keeps the bound; without any width cells stand two blanks apart.
+            while low < high:
+                limit = (low + high + 1) // 2
+                low, high = (limit, high) if blanks(offsets_of(grid, limit, how.columns)) <= most else (low, limit - 1)
+            offsets = offsets_of(grid, low, how.columns)
+    return "\n".join("".join(" " * pad + text for pad, text in line).rstrip() for line in lines_of(grid, offsets))
+
+
+def render(html: str, how: Layout = Layout()) -> str:  # noqa: B008
     """Visible text of a page."""
     tree = Tree(html)
     rules = style_rules(tree.sheets)
@@ -460,11 +494,11 @@ def render(html: str) -> str:
                 kind = lists[-1] if lists else ["ul", 1, flow.indent]
                 mark = f"{kind[1]}. " if kind[0] == "ol" else "- "
                 kind[1] += 1
-                flow.mark, flow.indent = mark, flow.inner_indent(kind[2], mark)
+                flow.mark, flow.indent = mark, flow.inner_indent(kind[2], mark, how.indent)
             elif tag == "br":
                 flow.gap(flow.breaks + 1)
             elif tag == "table":
-                if len(tables) < MAX_TABLES:
+                if len(tables) < how.tables:
                     tables.append([])
                 else:
                     deep += 1
@@ -491,7 +525,7 @@ def render(html: str) -> str:
             elif tag == "table" and tables:
                 rows = tables.pop()
                 if any(text for row in rows for text, _, _ in row):
-                    flow.raw(aligned(rows))
+                    flow.raw(aligned(rows, how))
             elif tag in ("ul", "ol") and lists:
                 flow.indent, flow.mark = lists.pop()[2], ""
             elif tag in ("pre", "xmp", "listing", "plaintext"):
@@ -508,12 +542,13 @@ def render(html: str) -> str:
     return flows[0].done()
 
 
-def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html") -> DataFrame:
+def extract(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", how: Layout | None = None) -> DataFrame:
     """``page_id``, ``text``, ``n_chars`` and ``n_blocks`` (pieces between blank lines) of every page."""
+    how = how or Layout()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if (h := v.as_py()) is None else render(h) for v in batch.column(1)]
+            texts = [None if (h := v.as_py()) is None else render(h, how) for v in batch.column(1)]
             chars = [len(t or "") for t in texts]
             blocks = [sum(1 for b in (t or "").split("\n\n") if b.strip()) for t in texts]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string()), pa.array(chars, pa.int64()), pa.array(blocks, pa.int64())], ["page_id", "text", "n_chars", "n_blocks"])

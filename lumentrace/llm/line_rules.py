@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import WHITE, words
+from .common import WHITE, aside, restored, words
 
 #: Characters counted as symbols.
 SYMBOLS = r"[^#*$%&|<>]+"
@@ -66,13 +66,13 @@ def judge(docs: DataFrame, text: str = "text", rules: LineRules | None = None) -
     """Add the measures, ``_lt_clean`` (the text without its failing lines) and ``_lt_kept`` to every row.
 
     Measures are the columns ``_lt_n_words``, ``_lt_word_chars``, ``_lt_n_symbols``, ``_lt_n_dup_lines``,
-    ``_lt_n_repeat_words``, ``_lt_base_failed`` and ``_lt_lost_chars``.
+    ``_lt_n_repeat_words``, ``_lt_base_failed`` and ``_lt_lost_chars``; given columns that begin with ``_lt_`` are not returned.
     """
     rules = rules or LineRules()
     body = F.coalesce(F.col(text), F.lit(""))
     tokens, grams, pairs, starts = (F.col(f"_lt_{x}") for x in ("tokens", "grams", "pairs", "starts"))
 
-    df = docs.withColumn("_lt_tokens", words(F.col(text)))
+    df = docs.drop(*(c for c in docs.columns if c.startswith("_lt_") and c != text)).withColumn("_lt_tokens", words(F.col(text)))
     df = df.withColumn("_lt_n_words", F.size(tokens).cast("long"))
     # Windows of five words as 64-bit hashes; only texts that repeat one are sorted.
     df = df.withColumn(
@@ -131,9 +131,9 @@ def judge(docs: DataFrame, text: str = "text", rules: LineRules | None = None) -
 def clean(docs: DataFrame, text: str = "text", rules: LineRules | None = None) -> DataFrame:
     """Kept rows only, in the columns of ``docs``, each text without its failing lines (``n_chars`` follows it)."""
     # The row number keeps the filter above the projections: pushed below, it would repeat their work many times over.
-    df = judge(docs, text, rules).withColumn("_lt_row", F.monotonically_increasing_id())
+    df = judge(aside(docs, text=F.col(text)), "text", rules).withColumn("_lt_row", F.monotonically_increasing_id())
     df = df.filter(F.col("_lt_kept") & (F.col("_lt_row") >= 0))
     new = {text: F.col("_lt_clean")}
     if "n_chars" in docs.columns:
         new["n_chars"] = F.length("_lt_clean").cast("long")
-    return df.withColumns(new).select(*docs.columns)
+    return restored(df, docs.columns, **new)

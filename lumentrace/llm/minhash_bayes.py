@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, materialise
+from .common import aside, discard, materialise, restored
 
 
 @dataclass(frozen=True)
@@ -357,5 +357,6 @@ def near_components(docs: DataFrame, how: Near | None = None, id_col: str = "doc
 
 def keep_one(docs: DataFrame, how: Near | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the near duplicates of a document with a smaller id; rows that share an id are one document and stay together."""
-    gone = near_components(docs, how, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("_lt_gone")).distinct()
-    return docs.join(gone, F.col(id_col).cast("long") == F.col("_lt_gone"), "left_anti").select(*docs.columns)
+    gone = near_components(docs, how, id_col, text_col).filter(~F.col("kept")).select(F.col("doc_id").alias("gone")).distinct()
+    rows = aside(docs, id=F.col(id_col).cast("long"))
+    return restored(rows.join(gone, F.col("id") == F.col("gone"), "left_anti"), docs.columns)

@@ -11,7 +11,7 @@ is found by a window. A source with a third of all rows is spread over many grou
 
 Defined results: a null text has size 0; null is a source of its own, last in order; repeated rows are
 sampled each; ties in size and id are equal rows whose order does not matter; no rows give no rows; other
-columns pass through ``sample`` whatever their names (those added start with ``_lt_``).
+columns pass through ``mix`` whatever their names, and through ``sample`` unless named as one of its own.
 """
 
 from __future__ import annotations
@@ -20,12 +20,14 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import words
+from .common import aside, restored, words
 
 WEIGHTS = (5, 2, 1)
 CAP = 3
 #: Documents for which one more salt is used: bounds a group whatever the table's size.
 PER_SALT = 5_000
+#: Names of the columns that ``sample`` adds or works with, after ``_lt_``.
+OWN = ("size", "source_size", "target", "copies", "s", "null", "salt", "bucket", "n", "before", "inner", "rank", "w", "ratio", "level")
 
 
 def unit(c: Column) -> Column:
@@ -49,7 +51,9 @@ def targets(sizes: DataFrame, weights=WEIGHTS, cap: float = CAP) -> DataFrame:
 
 
 def sample(docs: DataFrame, source_col="source", text_col="text", id_col="doc_id", weights=WEIGHTS, cap: float = CAP, seed: int = 11) -> DataFrame:
-    """``docs`` with ``_lt_size``, ``_lt_source_size``, ``_lt_target`` and ``_lt_copies``."""
+    """``docs`` with ``_lt_size``, ``_lt_source_size``, ``_lt_target`` and ``_lt_copies``; given columns of these or the other names
+    that this function works with are not returned."""
+    docs = docs.drop(*(f"_lt_{n}" for n in OWN))
     salts = max(1, -(-docs.count() // PER_SALT))
     keys = ["_lt_s", "_lt_null", "_lt_bucket", "_lt_salt"]
     df = docs.withColumns(
@@ -79,7 +83,8 @@ def sample(docs: DataFrame, source_col="source", text_col="text", id_col="doc_id
     return out.select(*docs.columns, "_lt_size", "_lt_source_size", "_lt_target", "_lt_copies")
 
 
-def mix(docs: DataFrame, **options) -> DataFrame:
+def mix(docs: DataFrame, source_col="source", text_col="text", id_col="doc_id", **options) -> DataFrame:
     """``docs``, every row as often as it is taken."""
-    out = sample(docs, **options).filter(F.col("_lt_copies") > 0)
-    return out.withColumn("_lt_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_lt_copies"))).select(*docs.columns)
+    rows = aside(docs, source=F.col(source_col), text=F.col(text_col), doc_id=F.col(id_col))
+    out = sample(rows, **options).filter(F.col("_lt_copies") > 0)
+    return restored(out.withColumn("_lt_copy", F.explode(F.sequence(F.lit(1).cast("long"), "_lt_copies"))), docs.columns)

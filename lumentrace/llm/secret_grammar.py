@@ -27,10 +27,11 @@ from statistics import NormalDist, median
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import materialise
 
 #: Kind, pattern, group that holds the credential, least length; and what a text must hold for the pattern to be tried.
 KINDS = ("assign", "access", "hex")
@@ -277,38 +278,55 @@ def _structs(rows: list[list[tuple]]) -> pa.Array:
     return pa.array([[dict(zip(names, s, strict=True)) for s in r] for r in rows], pa.list_(kind))
 
 
-def extract(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Id and ``base`` spans of every row; ``counts`` of pairs of classes, a batch's in one row."""
+def statistics(docs: DataFrame, how: Grammar, text_col: str) -> DataFrame:
+    """What the automata are learned from, in one pass: ``kind`` and ``value`` of labelled credentials, and counts ``n`` of each ``pair`` of classes.
+
+    A task keeps the ``labelled`` credentials of a kind with the smallest hashes, so that what it hands on is bounded; the smallest
+    of all tasks are the smallest of all texts. Nothing is written down.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[dict[str, int]] = [{} for _ in KINDS]
+        counts = np.zeros(len(SYMBOLS) ** 2, np.int64)
         for batch in batches:
-            base, counts = [], np.zeros(len(SYMBOLS) ** 2, np.int64)
-            for value in batch.column(1):
+            for value in batch.column(0):
                 text = value.as_py() or ""
-                base.append(base_spans(text))
                 counts += pair_counts(text)
-            found = [(SYMBOLS[k // len(SYMBOLS)] + SYMBOLS[k % len(SYMBOLS)], int(counts[k])) for k in np.flatnonzero(counts)]
-            rows = [found, *[[]] * (len(batch) - 1)] if len(batch) else []
-            yield pa.RecordBatch.from_arrays([batch.column(0), _structs(base), pa.array(rows, pa.map_(pa.string(), pa.int64()))], ["doc_id", "base", "counts"])
+                for kind, _, _, secret in base_spans(text):
+                    kept[kind][secret] = _order(secret)
+            for kind, some in enumerate(kept):
+                if len(some) > how.labelled:
+                    kept[kind] = dict(sorted(some.items(), key=lambda x: (x[1], x[0]))[: how.labelled])
+        rows = [(kind, v, h, None, 0) for kind, some in enumerate(kept) for v, h in some.items()]
+        rows += [(None, None, None, SYMBOLS[k // len(SYMBOLS)] + SYMBOLS[k % len(SYMBOLS)], int(counts[k])) for k in np.flatnonzero(counts).tolist()]
+        columns = list(zip(*rows, strict=True)) or [()] * 5
+        kinds = pa.int32(), pa.string(), pa.int64(), pa.string(), pa.int64()
+        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["kind", "value", "h", "pair", "n"])
+
+    found = docs.select(F.col(text_col).alias("text")).mapInArrow(run, "kind int, value string, h long, pair string, n long")
+    return found.groupBy("kind", "value", "h", "pair").agg(F.sum("n").alias("n"))
+
+
+def _order(secret: str) -> int:
+    return xxhash.xxh64_intdigest(secret.encode("utf-8", "surrogatepass"), 42) - (1 << 63)
 
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id long, base {FOUND}, counts map<string,long>")
 
+def train(docs: DataFrame, how: Grammar, text_col: str) -> Model:
+    """Automata from at most ``how.labelled`` distinct base credentials a kind, held against the pairs of classes in all texts.
 
-def train(found: DataFrame, how: Grammar) -> Model:
-    """Automata from at most ``how.labelled`` distinct base credentials a kind, held against the pairs of classes in all texts."""
-    values = found.select(F.explode("base").alias("s")).select("s.kind", "s.value").distinct()
-    labelled = {}
-    for kind in range(len(KINDS)):
-        some = values.filter(F.col("kind") == kind).orderBy(F.xxhash64("value"), "value").limit(how.labelled)
-        if rows := [r["value"] for r in some.select("value").collect()]:
-            labelled[kind] = rows
-    overall = found.select(F.explode("counts").alias("c", "n")).groupBy("c").agg(F.sum("n").alias("n"))
-    return learn(labelled, how, {r["c"]: r["n"] for r in overall.collect()})
+    The driver gets these credentials and a count for each pair of classes.
+    """
+    place = F.row_number().over(W.partitionBy("kind").orderBy("h", "value"))
+    found = statistics(docs, how, text_col).withColumn("place", place).filter(F.col("kind").isNull() | (F.col("place") <= how.labelled)).collect()
+    labelled: dict[int, list[str]] = {}
+    for r in sorted((r for r in found if r["kind"] is not None), key=lambda r: (r["kind"], r["place"])):
+        labelled.setdefault(r["kind"], []).append(r["value"])
+    return learn(labelled, how, {r["pair"]: r["n"] for r in found if r["kind"] is None})
 
 
 def scan(docs: DataFrame, how: Grammar | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Id, ``base`` spans and ``learned`` spans of every row; kinds are numbers of ``KINDS``."""
-    model = train(materialise(extract(docs, id_col, text_col), "secrets"), how or Grammar())
+    model = train(docs, how or Grammar(), text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -323,7 +341,7 @@ def scan(docs: DataFrame, how: Grammar | None = None, id_col: str = "doc_id", te
 
 def redact(docs: DataFrame, how: Grammar | None = None, id_col: str = "doc_id", text_col: str = "text", mask: str = "[secret]") -> DataFrame:
     """``docs`` with every span's text replaced by ``mask``; ``n_chars`` follows the text."""
-    model = train(materialise(extract(docs, id_col, text_col), "secrets"), how or Grammar())
+    model = train(docs, how or Grammar(), text_col)
     names = docs.columns
     at, chars = names.index(text_col), names.index("n_chars") if "n_chars" in names else None
 

@@ -4,8 +4,9 @@ A window of ``window`` tokens is open while partly filled; N(h) counts the open
 document of s tokens goes to the level (or to a new window) after which the sum of N(h) squared is least; only
 the array of levels decides, so a document is placed when it is seen and never moved. Documents longer than
 a window first fill whole windows of their own, the rest is placed as any other. At the end of a partition the
-windows still open are laid end to end and cut anew, and the last part is cut into powers of two, so that
-padding comes to nothing.
+windows still open are joined whole, the fullest first, each with the fullest others that fit; then the least filled
+are cut to fill what gaps the others have, and what is left of the last one is cut into powers of two. So padding comes to
+nothing, and all but the few tokens of the windows that are cut (some per cent of those placed) stay as the levels put them.
 
 Every Spark partition packs its own rows: nothing is shuffled, memory holds one batch and the open windows,
 and a task that is run again repeats its own sequences only. Sequence ids are the partition's number in the
@@ -22,6 +23,7 @@ import base64
 import json
 import re
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -77,6 +79,8 @@ class Packer:
         self.window, self.next, self.levels = window, base, Levels(window)
         self.held: dict[int, list[tuple]] = {}
         self.rows: list[tuple] = []
+        #: Tokens of the windows that ``finish`` has cut.
+        self.cut_tokens = 0
 
     def _new(self) -> int:
         self.next += 1
@@ -99,15 +103,50 @@ class Packer:
                     self._emit(d, start, part, n, at, off)
 
     def finish(self) -> None:
-        """Lay the open windows end to end and cut them anew."""
-        waiting = [p for at in sorted(self.held) for p in self.held[at]]
-        left = sum(len(p[2]) for p in waiting)
-        sizes = iter([self.window] * (left // self.window) + powers(left % self.window))
-        at, room, offset = None, 0, 0
-        for doc, start, ids, total, _ in waiting:
+        """Join the open windows, then cut the least filled ones into the gaps of the others."""
+        size = {at: sum(len(p[2]) for p in pieces) for at, pieces in self.held.items()}
+        by_level: dict[int, list[int]] = {}
+        for at in sorted(self.held, reverse=True):
+            by_level.setdefault(size[at], []).append(at)
+        levels = sorted(by_level)
+        joined: list[list[int]] = []
+        while levels:
+            group, room = [], self.window
+            while levels and (k := bisect_right(levels, room)):
+                level = levels[k - 1]
+                group.append(by_level[level].pop())
+                room -= level
+                if not by_level[level]:
+                    levels.pop(k - 1)
+            joined.append(group)
+        filled = [sum(size[at] for at in group) for group in joined]
+        order = sorted(range(len(joined)), key=lambda g: (-filled[g], g))
+        # From the fullest on, as many stay whole as their gaps can be filled by the rest.
+        gaps, left, stay = 0, sum(filled), 0
+        for g in order:
+            if left - filled[g] < gaps + self.window - filled[g]:
+                break
+            gaps, left, stay = gaps + self.window - filled[g], left - filled[g], stay + 1
+        loose = [p for g in reversed(order[stay:]) for at in joined[g] for p in self.held[at]]
+        self.cut_tokens = left
+        places: list[tuple[int, int, int]] = []
+        for g in order[:stay]:
+            at, offset = self._new(), 0
+            for window in joined[g]:
+                for doc, start, ids, total, _ in self.held[window]:
+                    self._emit(doc, start, ids, total, at, offset)
+                    offset += len(ids)
+            if offset < self.window:
+                places.append((at, offset, self.window - offset))
+        rest = left - gaps
+        fresh = [self.window] * (rest // self.window) + powers(rest % self.window)
+        takes = iter([*places, *((None, 0, n) for n in fresh)])
+        at, offset, room = None, 0, 0
+        for doc, start, ids, total, _ in loose:
             while len(ids):
                 if not room:
-                    at, room, offset = self._new(), next(sizes), 0
+                    at, offset, room = next(takes)
+                    at = self._new() if at is None else at
                 part, ids = ids[:room], ids[room:]
                 self._emit(doc, start, part, total, at, offset)
                 start, room, offset = start + len(part), room - len(part), offset + len(part)

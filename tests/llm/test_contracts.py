@@ -549,3 +549,91 @@ def test_op4_and_op8_leave_clashing_columns_out(spark):
     plain, mixed = (chat_format.read_back(chat_format.format_chats(df)).collect() for df in (chats, chats.withColumns(clash)))
     assert [tuple(r[c] for c in ("conv_id", "turns", "learned", "valid")) for r in plain] == [tuple(r[c] for c in ("conv_id", "turns", "learned", "valid")) for r in mixed]
     assert chat_format.read_back(chat_format.format_chats(chats.limit(0))).count() == 0
+
+
+def own_names():
+    """Every name with the operators' prefix that their code mentions, and others that it uses."""
+    import re
+    from pathlib import Path
+
+    code = "".join(p.read_text() for p in Path(line_rules.__file__).parent.glob("*.py"))
+    return sorted({*re.findall(r"_lt_[a-z_]+\b", code), "row", "id", "gone", "kept", "component_id", "size", "digest", "rep", "value", "pair", "kind", "key", "text_key", "runs"} - {"_lt_n"})
+
+
+CLASH_DOCS = [
+    (1, "The quick brown fox jumps over the lazy dog near the old stone bridge today.\nhome > shop > cart\npassword = hunter2secret", "en", "a", 9),
+    (2, "The quick brown fox jumps over the lazy dog near the old stone bridge today.\nhome > shop > cart\npassword = hunter2secret", "en", "a", 9),
+    (3, "Licensed under the MIT License, you may use this work freely and share it.\nMore words that tell nothing new but fill the line well.", "en", "b", 9),
+    (3, "Licensed under the MIT License, you may use this work freely and share it.\nMore words that tell nothing new but fill the line well.", "en", "b", 9),
+    (4, None, "en", None, None),
+    (None, "A text without any id, which is kept like all others, as it has enough words.", "de", "b", 3),
+]
+
+
+def test_stages_keep_columns_of_any_name(spark):
+    """Columns named as the operators' own come back with their values, and change nothing."""
+    import corpus_pipeline
+
+    names = own_names()
+    assert len(names) > 30 and "_lt_tokens" in names and "_lt_copies" in names
+    plain = spark.createDataFrame(CLASH_DOCS, "doc_id long, text string, lang string, source string, n_chars long")
+    # Each value is the row's own, so that a mix-up shows.
+    clash = plain.withColumns({n: F.concat(F.lit(n + " "), F.coalesce(F.col("doc_id").cast("string"), F.lit("-"))) for n in names})
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        without, with_ = stage(spark, plain, None), stage(spark, clash, None)
+        assert with_.columns == clash.columns, name
+        rows = with_.collect()
+        assert sorted([tuple(r[c] for c in plain.columns) for r in rows], key=str) == sorted([tuple(r) for r in without.collect()], key=str), name
+        for r in rows:
+            assert all(r[n] == f"{n} {'-' if r['doc_id'] is None else r['doc_id']}" for n in names), name
+    packed, other = (sorted(map(tuple, corpus_pipeline.STAGES[-1][1](spark, df.coalesce(1), None).collect()), key=str) for df in (plain, clash))
+    assert packed == other
+
+
+def test_operators_ignore_columns_of_any_name(spark):
+    plain = spark.createDataFrame(CLASH_DOCS, "doc_id long, text string, lang string, source string, n_chars long")
+    clash = plain.withColumns({n: F.lit("x") for n in own_names()})
+    html = lambda df: df.select(F.col("doc_id").alias("page_id"), F.concat(F.lit("http://bad.com/en/"), F.coalesce("doc_id", F.lit(0))).alias("url"), F.col("text").alias("html"), *[c for c in df.columns if c.startswith("_lt_")])
+    measures = ["doc_id", *[f"_lt_{n}" for n in ("n_words", "word_chars", "n_dup_lines", "n_repeat_words", "base_failed", "lost_chars", "kept", "clean")]]
+    for run in (
+        license_scan.scan,
+        lambda df: line_rules.judge(df).select(*measures),
+        minhash_bayes.near_components,
+        secret_grammar.scan,
+        lambda df: mixing.sample(df).select("doc_id", "text", "_lt_size", "_lt_source_size", "_lt_target", "_lt_copies"),
+        lambda df: url_filter.filter_urls(html(df)).select("page_id", "host", "path", "rule", "verdict"),
+    ):
+        one, other = (sorted(map(tuple, run(df).collect()), key=str) for df in (plain, clash))
+        assert one == other
+
+
+def test_op6_levels_keep_what_they_place(spark, docs):
+    """Few of the tokens that the levels placed are cut at a partition's end, and only the last sequences are short."""
+    encode = ss_packing.load_encoder(*queries.byte_bpe())
+    texts = [t or "" for _, t, _ in sorted(docs, key=lambda d: str(d[0]))]
+    for parts in (1, 4):
+        placed = cut = 0
+        for k in range(parts):
+            packer = ss_packing.Packer()
+            for d, text in enumerate(texts[k::parts]):
+                ids = np.array([*encode(text), 1], "<u4")
+                placed += len(ids) % packer.window
+                packer.add(d, ids)
+            packer.finish()
+            cut += packer.cut_tokens
+            filled = defaultdict(int)
+            for row in packer.rows:
+                filled[row[5]] += row[2]
+            short = [n for n in filled.values() if n < packer.window]
+            assert all(n & (n - 1) == 0 for n in short) and len(short) <= 11
+        assert cut < 0.05 * placed
+
+
+def test_op7_writes_no_credential_down(spark):
+    from pathlib import Path
+
+    rows = [(i, f"password = q7Zk93mVx2LpT8sWc4Rd{i} and some words") for i in range(20)]
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(shared.iterdir())
+    out = secret_grammar.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert not any("q7Zk93" in r["text"] for r in out) and set(shared.iterdir()) == before

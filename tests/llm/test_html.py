@@ -7,7 +7,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from lumentrace.llm import queries
-from lumentrace.llm.html_layout import extract, render
+from lumentrace.llm.html_layout import Layout, extract, render
 from tests.llm.brute_html import html_text
 
 CASES = [
@@ -130,3 +130,27 @@ def test_a_megabyte_of_anything_takes_seconds(name):
     start = time.monotonic()
     assert len(render(HOSTILE[name])) < 15_000_000
     assert time.monotonic() - start < 40
+
+
+def table(rows):
+    return "<table>" + "".join("<tr>" + "".join(f"<td>{c}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
+
+
+@pytest.mark.parametrize("wide", [61, 70, 240, 3000])
+def test_wide_cells_are_aligned(wide):
+    got = render(table([["x" * wide, "B"], ["short", "C"], ["", "D"]])).split("\n")
+    assert got == ["x" * wide + "  B", "short" + " " * (wide - 3) + "C", " " * (wide + 2) + "D"]
+    many = render(table([[f"c{i}" for i in range(300)], ["y"] * 300])).split("\n")
+    assert all(many[0].index(f"c{i} ") == [j for j, c in enumerate(many[1]) if c == "y"][i] for i in range(299))
+
+
+def test_blanks_are_bounded_in_all():
+    """One cell of 100,000 characters above 3,000 short rows: the widest cell leaves the widths, the others keep their columns."""
+    rows = [["z" * 100_000, "end"]] + [[f"row {i}", "b", "c"] for i in range(3000)]
+    text = render(table(rows))
+    lines = text.split("\n")
+    assert len(text) < 20 * sum(len(c) for r in rows for c in r) + (1 << 17)
+    assert lines[0] == "z" * 100_000 + "  end" and {line.index("b") for line in lines[1:]} == {10}
+    assert render(table(rows[:20]), Layout(share=None)).split("\n")[1].index("b") == 100_002
+    nested = "<table><tr><td>a</td><td>"
+    assert render(nested * 7 + "x" + "</td></tr></table>" * 7) == "a  " * 7 + "x"
