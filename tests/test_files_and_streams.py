@@ -154,3 +154,15 @@ def test_stream_local_alarms(spark, tmp_path):
 def test_stream_append(spark, stream, tmp_path):
     ST.stream_ow_append(stream(), str(tmp_path / "out"), str(tmp_path / "ck")).awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "out")).count() == B.events(spark, SF).count()
+
+
+def test_written_tables_can_be_cleared(spark):
+    from pathlib import Path
+
+    from lumentrace.sources import storage
+
+    shared = Path(spark.conf.get("spark.checkpoint.dir"))
+    table = storage.materialise(spark.range(5), "some")
+    assert table.count() == 5 and any(p.name.startswith("some-") for p in shared.iterdir())
+    storage.remove(spark, table._lt_path)
+    assert not any(p.name.startswith("some-") for p in shared.iterdir())
