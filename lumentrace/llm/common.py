@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lumentrace.sources.storage import materialise, remove
+
+__all__ = ["WHITE", "aside", "discard", "materialise", "restored", "table", "words"]
+
 #: ASCII white space, the only separators of words here.
 WHITE = r"[\x20\x09-\x0D]+"
 
@@ -16,38 +17,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share.
-
-    ``spark.checkpoint.dir`` names it. A local session without the setting gets a temporary folder;
-    on a cluster without it there is no safe choice, so that is an error.
-    """
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if found:
-        return found
-    if not spark.sparkContext.master.startswith("local["):
-        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
-    made = tempfile.mkdtemp(prefix="lumentrace-")
-    spark.conf.set("spark.checkpoint.dir", made)
-    return made
-
-
-def materialise(df: DataFrame, tag: str) -> DataFrame:
-    """Write ``df`` as Parquet in the shared folder and read it again: cuts the lineage, survives lost executors."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    table = spark.read.schema(df.schema).parquet(path)
-    table._lt_path = path
-    return table
-
-
 def discard(*tables: DataFrame) -> None:
-    """Remove tables that ``materialise`` wrote and that no later plan reads."""
+    """Remove tables that ``materialise`` wrote and that no later plan reads; what stays goes with ``storage.clear``."""
     for t in tables:
-        spark = t.sparkSession
-        path = spark._jvm.org.apache.hadoop.fs.Path(t._lt_path)
-        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+        remove(t.sparkSession, t._lt_path)
 
 
 def words(text: Column) -> Column:
