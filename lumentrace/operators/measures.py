@@ -32,14 +32,13 @@ def event_shapes(spark: SparkSession) -> DataFrame:
 def board_measures(m: DataFrame) -> DataFrame:
     """Maxima of the three counters, samples, and samples above the burst threshold."""
     peaks = m.groupBy("board").agg(*[F.max(c).alias(f"{c}_max") for c in METRICS], F.count(F.lit(1)).alias("samples"))
-    w = m.withColumn("peak", F.max("bbe").over(M.whole()))
-    high = w.groupBy("board").agg(F.count_if(F.col("bbe") > M.threshold(F.col("peak"))).alias("elevated"))
+    high = M.per_board(m, peak=F.max("bbe")).groupBy("board").agg(F.count_if(F.col("bbe") > M.threshold(F.col("peak"))).alias("elevated"))
     return peaks.join(high, "board")
 
 
 def pattern_features(m: DataFrame, gap: int = 500, width: int = 15, least: int = 100) -> DataFrame:
     """The features of every board with ``least`` samples or more, rounded as they are written."""
-    df = m.withColumn("_n", F.count(F.lit(1)).over(M.whole())).filter(F.col("_n") >= least).drop("_n")
+    df = M.per_board(m, _n=F.count(F.lit(1))).filter(F.col("_n") >= least).drop("_n")
     g = df.groupBy("board").agg(F.max("bbe").alias("_bbe"), F.max("bber").alias("_bber"), F.avg(F.when(F.col("es") > 0.5, 1.0).otherwise(0.0)).alias("_es"))
     j = g.join(M.burst_regions(df), "board").join(M.pattern_kind(df, gap, width, least).select("board", "pattern_kind"), "board")
     return j.select(
@@ -66,7 +65,7 @@ def missing_board_help(asked: DataFrame, m: DataFrame, n: int = 20) -> DataFrame
 
 def event_derived(m: DataFrame, shapes: DataFrame) -> DataFrame:
     """bber and es of boards with an event (m: board, t, bbe, event): the plain ones times the event's multiplier, es from a lowered threshold."""
-    s = M.smooth(m).join(F.broadcast(shapes.select("event", "bber_mult", "es_mult")), "event", "left")
+    s = M.smooth(m).join(shapes.select("event", "bber_mult", "es_mult"), "event", "left")
     bber = F.col("smooth") / 1000 * F.coalesce("bber_mult", F.lit(1.0))
     es = F.least(F.greatest(F.col("smooth") / (9 * F.coalesce("es_mult", F.lit(1.0))), F.lit(0.0)), F.lit(1.0))
     return s.select("board", "t", "bbe", bber.alias("bber"), es.alias("es"), F.when(F.col("smooth") >= 9 * F.coalesce("es_mult", F.lit(1.0)), 1).otherwise(0).alias("es_hard"))
@@ -75,18 +74,17 @@ def event_derived(m: DataFrame, shapes: DataFrame) -> DataFrame:
 def zscores(m: DataFrame, before: int, alpha: float) -> DataFrame:
     """Largest distance of the three counters from their means before ``before``, in sample deviations (0 counts as 1), times ``alpha``."""
 
-    def z(c: str) -> Column:
-        base = F.when(F.col("t") < before, F.col(c))
-        sd = F.stddev_samp(base).over(M.whole())
-        return F.abs(F.col(c) - F.avg(base).over(M.whole())) / F.when(sd > 0, sd).otherwise(1.0)
-
-    return m.select("board", "t", (F.greatest(*[z(c) for c in METRICS]) * alpha).alias("z"))
+    base = {c: F.when(F.col("t") < before, F.col(c)) for c in METRICS}
+    df = M.per_board(m, **{f"_mean_{c}": F.avg(v) for c, v in base.items()}, **{f"_sd_{c}": F.stddev_samp(v) for c, v in base.items()})
+    z = [F.abs(F.col(c) - F.col(f"_mean_{c}")) / F.when(F.col(f"_sd_{c}") > 0, F.col(f"_sd_{c}")).otherwise(1.0) for c in METRICS]
+    return df.select("board", "t", (F.greatest(*z) * alpha).alias("z"))
 
 
 def anomalies(m: DataFrame) -> DataFrame:
     """Largest distance of the three counters from a board's means, in population deviations."""
-    z = [F.abs(F.col(c) - F.avg(c).over(M.whole())) / F.greatest(F.stddev_pop(c).over(M.whole()), F.lit(1e-9)) for c in METRICS]
-    return m.select("board", "t", F.round(F.greatest(*z), 6).alias("score"))
+    df = M.per_board(m, **{f"_mean_{c}": F.avg(c) for c in METRICS}, **{f"_sd_{c}": F.stddev_pop(c) for c in METRICS})
+    z = [F.abs(F.col(c) - F.col(f"_mean_{c}")) / F.greatest(F.col(f"_sd_{c}"), F.lit(1e-9)) for c in METRICS]
+    return df.select("board", "t", F.round(F.greatest(*z), 6).alias("score"))
 
 
 def top_times(scored: DataFrame, k: int) -> DataFrame:

@@ -1,4 +1,9 @@
-"""Metric series per board: (board, t, bbe). Windows hold one board's series; bursts are islands of running sums."""
+"""Metric series per board: (board, t, bbe).
+
+A series is cut into chunks of ``CHUNK`` time steps, and windows hold one chunk of one board, so a board with a large share of all
+samples is many tasks' work. What crosses a chunk's edge (the last value, a run still open, a count so far) is carried
+by a second pass over a row per chunk. What a sample needs of its whole series is an aggregate that is joined back.
+"""
 
 from __future__ import annotations
 
@@ -9,12 +14,40 @@ from pyspark.sql import functions as F
 from .preparation import ranked
 
 
-def in_order() -> WindowSpec:
-    return W.partitionBy("board").orderBy("t")
+#: Time steps of a series that one window holds.
+CHUNK = 4096
+
+
+def per_board(m: DataFrame, **of: Column) -> DataFrame:
+    """``m`` with aggregates of each board's series."""
+    return m.join(m.groupBy("board").agg(*[c.alias(n) for n, c in of.items()]), "board")
+
+
+def _cut(m: DataFrame, order: str, chunk: int) -> tuple[DataFrame, WindowSpec]:
+    return m.withColumn("_chunk", F.floor(F.col(order) / chunk)), W.partitionBy("board", "_chunk").orderBy(order)
+
+
+def _chunks() -> WindowSpec:
+    """Chunks of a board in order."""
+    return W.partitionBy("board").orderBy("_chunk")
 
 
-def whole() -> WindowSpec:
-    return W.partitionBy("board")
+def previous(m: DataFrame, value: str, name: str, order: str = "t", chunk: int = CHUNK) -> DataFrame:
+    """``m`` with each sample's ``value`` one before it as ``name``, null for a board's first; ``order`` tells a board's samples apart."""
+    c, inside = _cut(m, order, chunk)
+    ends = c.groupBy("board", "_chunk").agg(F.max_by(value, order).alias("_end"))
+    ends = ends.select("board", "_chunk", F.lag("_end").over(_chunks()).alias("_end"))
+    c = c.withColumns({name: F.lag(value).over(inside), "_place": F.row_number().over(inside)}).join(ends, ["board", "_chunk"])
+    return c.withColumn(name, F.when(F.col("_place") > 1, F.col(name)).otherwise(F.col("_end"))).drop("_chunk", "_place", "_end")
+
+
+def running_total(m: DataFrame, value: str, name: str, order: str = "t", chunk: int = CHUNK) -> DataFrame:
+    """``m`` with the sum of ``value`` up to and with each sample as ``name``."""
+    c, inside = _cut(m, order, chunk)
+    before = c.groupBy("board", "_chunk").agg(F.sum(value).alias("_sum"))
+    before = before.select("board", "_chunk", F.coalesce(F.sum("_sum").over(_chunks().rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    c = c.withColumn(name, F.sum(value).over(inside)).join(before, ["board", "_chunk"])
+    return c.withColumn(name, F.col(name) + F.col("_before")).drop("_chunk", "_before")
 
 
 def board_max(m: DataFrame) -> DataFrame:
@@ -35,31 +68,42 @@ def threshold(peak: Column) -> Column:
 
 
 def board_metrics(m: DataFrame) -> DataFrame:
-    w = m.withColumn("peak", F.max("bbe").over(whole()))
-    return w.groupBy("board").agg(F.max("bbe").alias("bbe_max"), F.count(F.lit(1)).alias("samples"), F.count_if(F.col("bbe") > threshold(F.col("peak"))).alias("elevated"), F.avg(F.when(F.col("bbe") > threshold(F.col("peak")), 1.0).otherwise(0.0)).alias("elevated_frac"))
-
+    high = F.col("bbe") > threshold(F.col("peak"))
+    return per_board(m, peak=F.max("bbe")).groupBy("board").agg(F.max("bbe").alias("bbe_max"), F.count(F.lit(1)).alias("samples"), F.count_if(high).alias("elevated"), F.avg(F.when(high, 1.0).otherwise(0.0)).alias("elevated_frac"))
 
-def islands(m: DataFrame, high: Column, keep=()) -> DataFrame:
-    """Maximal runs of samples with ``high``: board, start, stop (exclusive), length."""
-    df = m.withColumn("_high", high.cast("int"))
-    df = df.withColumn("_new", F.when((F.col("_high") == 1) & (F.coalesce(F.lag("_high").over(in_order()), F.lit(0)) == 0), 1).otherwise(0))
-    df = df.withColumn("_run", F.sum("_new").over(in_order())).filter("_high = 1")
-    return df.groupBy("board", "_run", *keep).agg(F.min("t").alias("start"), (F.max("t") + 1).alias("stop"), F.count(F.lit(1)).alias("length"))
 
+def islands(m: DataFrame, high: Column, chunk: int = CHUNK) -> DataFrame:
+    """Maximal runs of samples with ``high``: board, start, stop (exclusive), length.
 
-def burst_regions(m: DataFrame) -> DataFrame:
+    Runs are found inside chunks first. One that is open at a chunk's end goes on in the board's next chunk if that begins high; which
+    run a chunk's first part belongs to follows from the chunks' ends, and the parts of a run are added up.
+    """
+    c, inside = _cut(m.withColumn("_high", F.coalesce(high, F.lit(False)).cast("int")), "t", chunk)
+    opens = (F.col("_high") == 1) & (F.coalesce(F.lag("_high").over(inside), F.lit(0)) == 0)
+    c = c.withColumn("_opens", opens.cast("int")).withColumn("_k", F.sum("_opens").over(inside))
+    parts = c.filter("_high = 1").groupBy("board", "_chunk", "_k").agg(F.min("t").alias("start"), (F.max("t") + 1).alias("stop"), F.count(F.lit(1)).alias("length"))
+    ends = c.groupBy("board", "_chunk").agg(F.min_by("_high", "t").alias("first"), F.max_by("_high", "t").alias("last"), F.min("_high").alias("all"), F.max("_k").alias("k"))
+    ends = ends.withColumn("goes_on", (F.col("first") == 1) & (F.coalesce(F.lag("last").over(_chunks()), F.lit(0)) == 1))
+    # A chunk that a run fills from end to end hands on what came to it; any other its own last run.
+    own = F.when(~(F.col("goes_on") & (F.col("all") == 1)), F.struct(F.col("_chunk").alias("c"), F.col("k").alias("k")))
+    ends = ends.withColumn("own", own).withColumn("run", F.last("own", ignorenulls=True).over(_chunks().rowsBetween(W.unboundedPreceding, -1)))
+    j = parts.join(ends.filter("goes_on").select("board", "_chunk", "run"), ["board", "_chunk"], "left")
+    run = F.when(F.col("run").isNotNull() & (F.col("_k") == 1), F.col("run")).otherwise(F.struct(F.col("_chunk").alias("c"), F.col("_k").alias("k")))
+    return j.withColumn("run", run).groupBy("board", "run").agg(F.min("start").alias("start"), F.max("stop").alias("stop"), F.sum("length").alias("length")).drop("run")
+
+
+def burst_regions(m: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """Runs above half the peak: their number, and the longest one's share."""
-    df = m.withColumn("peak", F.max("bbe").over(whole()))
-    g = islands(df, F.col("bbe") > threshold(F.col("peak"))).groupBy("board").agg(F.count(F.lit(1)).alias("burst_regions"), (F.max("length") / F.sum("length")).alias("longest_burst_frac"))
+    runs = islands(per_board(m, peak=F.max("bbe")), F.col("bbe") > threshold(F.col("peak")), chunk)
+    g = runs.groupBy("board").agg(F.count(F.lit(1)).alias("burst_regions"), (F.max("length") / F.sum("length")).alias("longest_burst_frac"))
     return m.select("board").distinct().join(g, "board", "left").select("board", F.coalesce("burst_regions", F.lit(0)).alias("burst_regions"), F.coalesce("longest_burst_frac", F.lit(0.0)).alias("longest_burst_frac"))
 
 
-def pattern_kind(m: DataFrame, gap: int = 500, width: int = 15, least: int = 100) -> DataFrame:
+def pattern_kind(m: DataFrame, gap: int = 500, width: int = 15, least: int = 100, chunk: int = CHUNK) -> DataFrame:
     """step, ramp, step_recovery or burst, from the runs above 0.9 of the peak in their widest cluster."""
-    df = m.withColumns({"peak": F.max("bbe").over(whole()), "samples": F.count(F.lit(1)).over(whole())}).filter(F.col("samples") >= least)
-    runs = islands(df, F.col("bbe") > F.col("peak") * 0.9)
-    w = W.partitionBy("board").orderBy("start")
-    runs = runs.withColumn("apart", F.when(F.col("start") - F.lag("stop").over(w) > gap, 1).otherwise(0)).withColumn("cluster", F.sum("apart").over(w))
+    df = per_board(m, peak=F.max("bbe"), samples=F.count(F.lit(1))).filter(F.col("samples") >= least)
+    runs = previous(islands(df, F.col("bbe") > F.col("peak") * 0.9, chunk), "stop", "before", "start", chunk)
+    runs = running_total(runs.withColumn("apart", F.when(F.col("start") - F.col("before") > gap, 1).otherwise(0)), "apart", "cluster", "start", chunk)
     per = runs.groupBy("board", "cluster").agg(F.count(F.lit(1)).alias("n_runs"), F.sum("length").alias("total"), F.min("start").alias("first"), F.max("stop").alias("last"))
     best = per.groupBy("board").agg(F.min_by(F.struct("n_runs", "total", "first", "last"), F.struct(-F.col("total"), "cluster")).alias("c")).select("board", "c.*")
     # Between the runs of the cluster: inside its span and not above the threshold.
@@ -72,16 +116,25 @@ def pattern_kind(m: DataFrame, gap: int = 500, width: int = 15, least: int = 100
     return j.select("board", "bbe_max", n.alias("n_runs"), "inter_mean", kind.alias("pattern_kind"))
 
 
-def local_alarms(m: DataFrame) -> DataFrame:
+def local_alarms(m: DataFrame, chunk: int = CHUNK) -> DataFrame:
     """SPIKE or SHIFT where a value is high and has risen; the first sample has not."""
-    d = F.coalesce(F.col("bbe") - F.lag("bbe").over(in_order()), F.lit(0.0))
+    d = F.coalesce(F.col("bbe") - F.col("_before"), F.lit(0.0))
     kind = F.when((F.col("bbe") >= 4) & (F.col("d") >= 2), "SPIKE").when((F.col("bbe") >= 2) & (F.col("d") >= 1), "SHIFT")
-    return m.withColumn("d", d).withColumn("alarm", kind).filter("alarm is not null").select("board", "t", "bbe", "alarm", F.when(F.col("alarm") == "SPIKE", "Major").otherwise("Minor").alias("severity"))
+    rises = previous(m, "bbe", "_before", chunk=chunk).withColumn("d", d).withColumn("alarm", kind).filter("alarm is not null")
+    return rises.select("board", "t", "bbe", "alarm", F.when(F.col("alarm") == "SPIKE", "Major").otherwise("Minor").alias("severity"))
+
 
+def smooth(m: DataFrame, chunk: int = CHUNK) -> DataFrame:
+    """Ten-sample moving sum over -5..+4, zeros beyond the ends, divided by ten.
 
-def smooth(m: DataFrame) -> DataFrame:
-    """Ten-sample moving sum over -5..+4, zeros beyond the ends, divided by ten."""
-    return m.withColumn("smooth", F.sum("bbe").over(in_order().rowsBetween(-5, 4)) / 10)
+    Samples are numbered, and blocks of ``chunk`` (ten or more) of them get copies of the five before and the four after.
+    """
+    n = running_total(m.withColumn("_one", F.lit(1)), "_one", "_r", chunk=chunk).withColumn("_r", F.col("_r") - 1)
+    place = F.col("_r") % chunk
+    also = F.array_compact(F.array(F.lit(0), F.when(place < 4, -1), F.when(place >= chunk - 5, 1)))
+    n = n.withColumn("_to", F.explode(also)).withColumn("_block", F.floor(F.col("_r") / chunk) + F.col("_to"))
+    w = W.partitionBy("board", "_block").orderBy("t")
+    return n.withColumn("smooth", F.sum("bbe").over(w.rowsBetween(-5, 4)) / 10).filter("_to = 0").drop("_one", "_r", "_to", "_block")
 
 
 def derive_bber_es(m: DataFrame) -> DataFrame:
@@ -93,14 +146,14 @@ def derive_bber_es(m: DataFrame) -> DataFrame:
 def zscore_baseline(m: DataFrame, before: int) -> DataFrame:
     """Distance from the mean of the samples before ``before``, in their sample deviations (0 counts as 1)."""
     base = F.when(F.col("t") < before, F.col("bbe"))
-    sd = F.stddev_samp(base).over(whole())
-    return m.select("board", "t", (F.abs(F.col("bbe") - F.avg(base).over(whole())) / F.when(sd > 0, sd).otherwise(1.0)).alias("z"))
+    df = per_board(m, _mean=F.avg(base), _sd=F.stddev_samp(base))
+    return df.select("board", "t", (F.abs(F.col("bbe") - F.col("_mean")) / F.when(F.col("_sd") > 0, F.col("_sd")).otherwise(1.0)).alias("z"))
 
 
 def pseudo_anomaly(m: DataFrame, k: int) -> DataFrame:
-    """The k most unusual samples of each board by global z-score; earliest first among equals."""
-    sd = F.greatest(F.stddev_pop("bbe").over(whole()), F.lit(1e-9))
-    z = m.withColumn("z", F.round(F.abs(F.col("bbe") - F.avg("bbe").over(whole())) / sd, 6))
+    """The k most unusual samples of each board by global z-score; earliest first among equals. Tasks cut to k before rows are exchanged."""
+    df = per_board(m, _mean=F.avg("bbe"), _sd=F.stddev_pop("bbe"))
+    z = df.withColumn("z", F.round(F.abs(F.col("bbe") - F.col("_mean")) / F.greatest(F.col("_sd"), F.lit(1e-9)), 6))
     return z.withColumn("place", F.row_number().over(W.partitionBy("board").orderBy(F.desc("z"), "t"))).filter(F.col("place") <= k).select("board", "t", "z", "place")
 
 
@@ -108,10 +161,10 @@ def series_stats(m: DataFrame) -> DataFrame:
     return m.groupBy("board").agg(F.avg("bbe").alias("mean"), F.stddev_pop("bbe").alias("sd"), F.percentile("bbe", F.lit(0.95)).alias("p95"), F.max("bbe").alias("max"))
 
 
-def threshold_spans(m: DataFrame, k: float, least: int) -> DataFrame:
+def threshold_spans(m: DataFrame, k: float, least: int, chunk: int = CHUNK) -> DataFrame:
     """Runs of ``least`` samples or more above mean + k deviations."""
-    df = m.withColumns({"mu": F.avg("bbe").over(whole()), "sd": F.stddev_pop("bbe").over(whole())})
-    return islands(df, F.col("bbe") >= F.round(F.col("mu") + F.col("sd") * k, 9)).filter(F.col("length") >= least).select("board", "start", "stop", "length")
+    df = per_board(m, mu=F.avg("bbe"), sd=F.stddev_pop("bbe"))
+    return islands(df, F.col("bbe") >= F.round(F.col("mu") + F.col("sd") * k, 9), chunk).filter(F.col("length") >= least).select("board", "start", "stop", "length")
 
 
 def worst_case(m: DataFrame, groups: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from lumentrace.operators import evaluation as E
 from lumentrace.operators import rootcause as R
@@ -70,13 +71,11 @@ def test_stagger_equals_a_loop(spark):
 
 @pytest.mark.parametrize(("peak", "category", "event"), [(55.0, "Fiber", "Fiber_Cut"), (33.9, "Fiber", "Fiber_Aging"), (100.0, "XCON", "XCON_Fabric_Fault"), (0.0, "Line", "Line_Disconnect"), (-1.0, "unknown", "unknown")])
 def test_root_cause_without_pattern(spark, peak, category, event):
-    from pyspark.sql import functions as F
 
     assert spark.range(1).select(R.root_cause(F.lit(category), F.lit("unknown"), F.lit(peak))).first()[0] == event
 
 
 def test_set_prf_edges(spark):
-    from pyspark.sql import functions as F
 
     df = spark.createDataFrame([([], []), ([1], []), ([1, 2], [2, 3, 4])], "p array<int>, t array<int>")
     m = E.set_prf(F.col("p"), F.col("t"))
@@ -89,3 +88,52 @@ def test_group_advantage(spark):
     df = spark.createDataFrame([("a", 1.0), ("a", 3.0), ("b", 2.0), ("b", 2.0)], "g string, reward double")
     got = sorted(round(r["advantage"], 4) for r in E.group_advantage(df, "g").collect())
     assert got == [-1.0, 0.0, 0.0, 1.0]
+
+
+def plain_runs(values, high):
+    out, at = [], None
+    for i, v in enumerate([*values, None]):
+        if v is not None and high(v):
+            at = i if at is None else at
+        elif at is not None:
+            out.append((at, i))
+            at = None
+    return out
+
+
+@pytest.mark.parametrize("chunk", [10, 16, 64, 4096])
+def test_hot_board_is_cut_into_chunks(spark, chunk):
+    """One board with nine tenths of the samples, gaps in time and runs over many chunks: results as over whole series."""
+    import random
+
+    rng = random.Random(chunk)
+    series = {1: [], 2: [1.0], 3: [9.0] * 50}
+    while len(series[1]) < 900:
+        series[1] += [rng.choice([0.0, 1.0, 2.0, 5.0, 10.0])] * rng.choice([1, 1, 2, 3, 9, 40, 130])
+    series[4] = [float(rng.choice([0, 4, 9])) for _ in range(60)]
+    times = {b: (sorted(rng.sample(range(5000), len(v))) if b == 1 else list(range(len(v)))) for b, v in series.items()}
+    m = spark.createDataFrame([(b, t, v) for b in series for t, v in zip(times[b], series[b], strict=True)], "board long, t long, bbe double").repartition(7)
+
+    got = sorted(map(tuple, M.islands(m, F.col("bbe") > 4, chunk).select("board", "start", "stop", "length").collect()))
+    want = sorted((b, times[b][i], times[b][j - 1] + 1, j - i) for b, v in series.items() for i, j in plain_runs(v, lambda x: x > 4))
+    assert got == want
+    before = {(r["board"], r["t"]): r["p"] for r in M.previous(m, "bbe", "p", chunk=chunk).collect()}
+    assert before == {(b, t): (series[b][i - 1] if i else None) for b in series for i, t in enumerate(times[b])}
+    total = {(r["board"], r["t"]): r["s"] for r in M.running_total(m, "bbe", "s", chunk=chunk).collect()}
+    assert total == {(b, t): sum(series[b][: i + 1]) for b in series for i, t in enumerate(times[b])}
+    smooth = {(r["board"], r["t"]): r["smooth"] for r in M.smooth(m, chunk).collect()}
+    assert smooth == {(b, t): pytest.approx(sum(series[b][max(0, i - 5) : i + 5]) / 10) for b in series for i, t in enumerate(times[b])}
+    if chunk < 4096:
+        for f in (M.burst_regions, M.local_alarms, lambda m, chunk=M.CHUNK: M.pattern_kind(m, 12, 2, 20, chunk), lambda m, chunk=M.CHUNK: M.threshold_spans(m, 0.5, 2, chunk)):
+            assert sorted(map(str, f(m, chunk=chunk).collect())) == sorted(map(str, f(m).collect()))
+
+
+def test_windows_hold_a_chunk(spark):
+    """No window of samples is partitioned by the board alone."""
+    import re
+
+    m = spark.createDataFrame([(1, 1, 1.0)], "board long, t long, bbe double")
+    for df in (M.burst_regions(m), M.pattern_kind(m), M.local_alarms(m), M.smooth(m), M.threshold_spans(m, 1.0, 2), M.zscore_baseline(m, 5)):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        specs = re.findall(r"windowspecdefinition\(([^)]*?)specified", plan)
+        assert not any(re.match(r"board#\d+L?, (t|start)#", s) for s in specs)
