@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.functions import udtf
+from pyspark.sql.udtf import AnalyzeArgument, AnalyzeResult
 
 from lumentrace.operators import propagation, rootcause, series, topology
 from lumentrace.sources.storage import materialise
@@ -51,8 +54,31 @@ class Engine:
             getattr(self, name).createOrReplaceTempView(name)
 
 
+class CsvTable:
+    """Rows of a CSV block under its own header line, in the columns that the call's ``header`` names."""
+
+    @staticmethod
+    def analyze(block: AnalyzeArgument, header: AnalyzeArgument) -> AnalyzeResult:
+        if not header.isConstantExpression or not isinstance(header.value, str):
+            raise ValueError("csv_table needs its header as a constant text")
+        schema = T.StructType().add("n", T.IntegerType())
+        for name in dict.fromkeys(header.value.split(",")):
+            schema = schema.add(name.strip(), T.StringType())
+        return AnalyzeResult(schema)
+
+    def eval(self, block: str, header: str):
+        white = " \t\n\x0b\f\r"
+        lines = [x for line in (block or "").split("\n") if (x := line.strip(white))]
+        own = [h.strip(white) for h in lines[0].split(",")] if lines else []
+        at = [own.index(h) if h in own else None for h in dict.fromkeys(h.strip() for h in header.split(","))]
+        rows = [f for line in lines[1:] if len(f := line.split(",")) >= min(len(own), 6)]
+        for n, f in enumerate(rows):
+            yield (n, *[f[i].strip(white) if i is not None and i < len(f) else None for i in at])
+
+
 def register_functions(spark: SparkSession) -> None:
-    """``chunk_text(text, size, overlap)`` as a SQL table function, in SQL itself."""
+    """SQL table functions: ``csv_table(block, header)``, whose columns follow the header, and ``chunk_text(text, size, overlap)``, in SQL itself."""
+    spark.udtf.register("csv_table", udtf(CsvTable))
     spark.sql(r"""CREATE OR REPLACE TEMPORARY FUNCTION chunk_text(text STRING, size INT, overlap INT) RETURNS TABLE (chunk INT, part STRING)
 RETURN SELECT chunk, part FROM (SELECT c.pos AS chunk, substring(chunk_text.text, c.col + 1, chunk_text.size) AS part
 FROM (SELECT 1) LATERAL VIEW posexplode(sequence(0, greatest(length(chunk_text.text) - 1, 0), greatest(1, chunk_text.size - chunk_text.overlap))) c AS pos, col

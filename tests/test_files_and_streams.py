@@ -166,3 +166,73 @@ def test_written_tables_can_be_cleared(spark):
     assert table.count() == 5 and any(p.name.startswith("some-") for p in shared.iterdir())
     storage.remove(spark, table._lt_path)
     assert not any(p.name.startswith("some-") for p in shared.iterdir())
+
+
+def test_csv_table_equals_csv_rows(spark):
+    from lumentrace.operators import texts as X
+
+    register_functions(spark)
+    blocks = [(1, "Board, Alarm ,Hop\nb1,LOS,0\n\n b2 , AIS,1,x\nshort,row\n"), (2, ""), (3, None), (4, "Alarm,Other\nA,1\nB,2"), (5, "a,b,c,d,e,f,g,Board\n1,2,3,4,5,6\n1,2,3,4,5\n1,2,3,4,5,6,7,z")]
+    df = spark.createDataFrame(blocks, "id long, block string")
+    df.createOrReplaceTempView("blocks")
+    got = spark.sql("SELECT id, n, Board, Alarm, Hop FROM blocks, LATERAL csv_table(block, 'Board,Alarm,Hop')")
+    assert got.columns == ["id", "n", "Board", "Alarm", "Hop"]
+    long = X.csv_rows(df, "id", "block")
+    seen = {(r["id"], r["n"], c): r[c] for r in got.collect() for c in ("Board", "Alarm", "Hop") if r[c] is not None}
+    assert seen == {(r["id"], r["n"], r["column"]): r["value"] for r in long.filter("column in ('Board', 'Alarm', 'Hop')").collect()}
+    assert len(seen) == 9
+    with pytest.raises(Exception, match="constant"):
+        spark.sql("SELECT * FROM blocks, LATERAL csv_table(block, block)").collect()
+
+
+def test_windows_round_trip_without_exchange(spark, tmp_path):
+    from lumentrace.sources import windows as WN
+
+    root = str(tmp_path / "ow")
+    make = spark.createDataFrame
+    parts = {
+        "metrics": make([(w, 0, f"b{i}", t, float(t), 0.0, 0.0, 0) for w in range(40) for i in range(3) for t in range(5)], WN.SCHEMAS["metrics"]),
+        "alarms": make([(w, "b1", "LOS", 0) for w in range(0, 40, 2)] + [(0, "b0", "AIS", 1)], "ow_id long, board string, alarm string, hop int"),
+        "labels": make([(w, 0, "b1" if w % 3 else None) for w in range(40)], "ow_id long, domain_id int, root_board string"),
+        "boards": make([(0, "n1", f"b{i}", "OA", "optical") for i in range(3)], WN.SCHEMAS["boards"]),
+        "edges": make([(0, "b0", "b1"), (0, "b1", "b2")], WN.SCHEMAS["edges"]),
+        "lightpaths": make([(1, ["b0", "b1", "b2"], ["n1"], 0)], WN.SCHEMAS["lightpaths"]),
+        "services": make([("s", 1, 2, [1, 2], ["1-2"])], WN.SCHEMAS["services"]),
+    }
+    counts = WN.write_windows(parts, root, "ow_test", 4)
+    assert counts == {"metrics_n": 600, "metrics_last_t": 4, "alarms_n": 20, "alarms_n_alarms": 21, "labels_n": 40, "labels_unlabelled": 14}
+    for part in WN.WINDOWED:
+        spark.sql(f"DROP TABLE ow_test_{part}")
+    back = WN.read_windows(spark, root, "ow_test")
+    assert set(back) == {*WN.SCHEMAS, "domain_stats", "stats"}
+    for part in (*WN.STATIC, "metrics"):
+        assert back[part].schema == parts[part].schema and sorted(map(str, back[part].collect())) == sorted(map(str, parts[part].collect()))
+    assert [tuple(r) for r in back["domain_stats"].collect()] == [(0, 1, 3, 2, 1, 3.0)]
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        whole = WN.windows(back)
+        assert "Exchange" not in whole._jdf.queryExecution().executedPlan().toString()
+        rows = {r["ow_id"]: r for r in whole.collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert len(rows) == 40 and all(r["samples"] == 15 for r in rows.values())
+    assert [a["alarm"] for a in rows[0]["alarms"]] == ["AIS", "LOS"] and rows[1]["alarms"] == []
+    again = WN.write_windows(parts | {"labels": parts["labels"].limit(3)}, root, "ow_test", 4)
+    assert again["labels_n"] == 3 and WN.read_windows(spark, root, "ow_test")["labels"].count() == 3
+
+
+def test_scores_of_a_rerun_replace_their_own(spark, tmp_path):
+    from lumentrace.sources import windows as WN
+
+    schema = "model_name string, sample_index int, gt_event string, pred_event string, event_correct int, e2e_score double"
+    one = spark.createDataFrame([("m1", 1, "Fiber_Cut", "Fiber_Cut", 1, 1.0), ("m1", 2, "Fiber_Cut", "guess", 0, 0.0), ("m2", 1, "Fiber_Crack", None, 0, 0.25)], schema)
+    root = str(tmp_path / "scores")
+    assert WN.write_scores(one, root) == {"rows": 3}
+    assert WN.write_scores(one.filter("model_name = 'm1'").limit(1), root) == {"rows": 1}
+    back = WN.read_scores(spark, root)
+    assert back["per_example"].groupBy("model_name").count().orderBy("model_name").collect() == [("m1", 1), ("m2", 1)]
+    assert {r["model_name"]: (r["n_examples"], r["event_correct"], r["e2e_score"]) for r in back["summary"].collect()} == {"m1": (1, 1.0, 1.0), "m2": (1, 0.0, 0.25)}
+    table = {(r["model_name"], r["gt"]): r for r in back["confusion"].collect()}
+    assert len(table) == 2 * len(WN.LABELS) and table["m1", "Fiber_Cut"]["Fiber_Cut"] == 1 and table["m2", "Fiber_Crack"]["(none)"] == 1
+    assert sum(r[label] for r in table.values() for label in WN.LABELS) == 2
