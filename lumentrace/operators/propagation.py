@@ -104,3 +104,53 @@ def regen_compliance(flow: DataFrame, typed: DataFrame) -> DataFrame:
         F.count_if((F.col("ftype") == "ODUk-Termination") & (S.alarm_family(F.col("alarm")) == "ODUk")).alias("termination_oduk"),
     )
     return g.withColumn("compliant", (F.col("otuk_on_termination") == 0) & ((F.col("regen_ais") == 0) | (F.col("termination_oduk") > 0)))
+
+
+def _regen_counts(flow: DataFrame, typed: DataFrame) -> DataFrame:
+    alarm, at = F.upper("alarm"), F.col("ftype")
+    f = flow.join(typed.select("board", "ftype", "kind"), "board")
+    otuk, oduk = S.alarm_family(F.col("alarm")) == "OTUk", alarm.contains("ODUK")
+    g = f.groupBy("root").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(otuk).alias("otuk"), F.count_if(oduk).alias("oduk"), F.count_if(F.col("kind").startswith("REGEN")).alias("at_regen"),
+        F.count_if(at == "OTUk-RegenIn").alias("n_in"), F.count_if(at == "OTUk-RegenOut").alias("n_out"), F.count_if((at == "OTUk-RegenIn") & alarm.rlike("OTUK|R_LOS|LOF")).alias("in_otuk"),
+        F.count_if((at == "OTUk-RegenOut") & alarm.contains("AIS")).alias("out_ais"), F.count_if((at == "ODUk-Termination") & oduk).alias("term_oduk"),
+    )
+    return g.join(typed.select(F.col("board").alias("root"), F.col("ftype").alias("root_type")), "root")
+
+
+def regen_issues(flow: DataFrame, typed: DataFrame) -> DataFrame:
+    """What breaks the rules of regenerators, a row an issue: root, check, board, alarm, issue.
+
+    1: an OTUk alarm that came over the regenerator's boundary to an electrical board. 2: an optical failure whose flow meets
+    regenerators, but no OTUk alarm at an ingress. 3: an optical failure with an AIS at an egress, but no ODUk alarm at a
+    termination. 4: an OTUk loss that came over the boundary to a relay. Checks 2 and 3 are about a flow, so they name no board.
+    """
+    f = flow.join(typed.select("board", "ftype"), "board").filter((F.col("board") != F.col("root")) & F.col("edge_type").contains("regen_boundary"))
+    place = F.concat(F.col("board").cast("string"), F.lit("/"), F.col("alarm"))
+    row = lambda n, text: [F.col("root"), F.lit(n).alias("check"), "board", "alarm", F.concat(F.lit(text), place).alias("issue")]
+    one = f.filter(F.col("ftype").isin("ODUk-Termination", "ODUk-Creation") & (S.alarm_family(F.col("alarm")) == "OTUk")).select(*row(1, "OTUk alarm over the regenerator at electrical board: "))
+    four = f.filter((F.col("ftype") == "OTUk-Relay") & F.upper("alarm").rlike("OTUK_LOS|OTUK_LOF")).select(*row(4, "OTUk alarm over the regenerator at relay: "))
+    g = _regen_counts(flow, typed).filter(F.col("root_type") == "OTUk-Relay")
+    told = lambda n, text: ["root", F.lit(n).alias("check"), F.lit(None).cast("long").alias("board"), F.lit(None).cast("string").alias("alarm"), F.lit(text).alias("issue")]
+    two = g.filter("n_in + n_out > 0 and in_otuk = 0").select(*told(2, "optical failure without an OTUk alarm at the ingress"))
+    three = g.filter("n_out > 0 and out_ais > 0 and term_oduk = 0").select(*told(3, "AIS at the egress without an ODUk alarm at a termination"))
+    return one.unionByName(two).unionByName(three).unionByName(four)
+
+
+def regen_status(flow: DataFrame, typed: DataFrame) -> DataFrame:
+    """Per root: its type, alarms in all, by family, at regenerators and at terminations, issues, and PASS or FAIL."""
+    found = regen_issues(flow, typed).groupBy("root").agg(F.count(F.lit(1)).alias("issues"))
+    g = _regen_counts(flow, typed).join(found, "root", "left").withColumn("issues", F.coalesce("issues", F.lit(0)))
+    return g.select("root", "root_type", "total", "otuk", "oduk", "at_regen", "term_oduk", "issues", F.when(F.col("issues") == 0, "PASS").otherwise("FAIL").alias("status"))
+
+
+def distinct_failures(failures: DataFrame, lasts_ms: int = 15_000) -> DataFrame:
+    """Failures once by board, event, time, duration and role: rows without a board drop out, no duration is ``lasts_ms``, an event that
+    forces a role has it, else the one given counts, else that of the board's kind."""
+    event = F.coalesce("event", F.lit(""))
+    forced = F.when(event.isin("Line_Disconnect", "XCON_Port_Down", "XCON_Buffer_Overflow", "XCON_Fabric_Fault"), "SRC")
+    of_kind = F.when(F.col("kind").isin("TRIB", "XCON", "LINE"), "SRC").otherwise("RELAY")
+    role = F.coalesce(forced, F.nullif(S.normalize_role(F.coalesce("role", F.lit(""))), F.lit("")), of_kind)
+    lasts = F.coalesce(F.floor(F.col("duration_ms").cast("double")), F.lit(lasts_ms)).cast("long")
+    df = failures.filter("board is not null")
+    return df.select("board", event.alias("event"), "time", lasts.alias("duration_ms"), role.alias("role")).distinct()

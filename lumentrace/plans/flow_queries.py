@@ -181,14 +181,14 @@ _WAIT = "CASE WHEN r.direction = '' THEN 0 WHEN r.edge_type = 'regen_boundary' T
 _HOPS = 4
 
 
-def _flow_sql(name: str, only: str = "true") -> str:
-    """CTEs of a queue's levels, the order kept as a growing list, over the reactions that ``only`` leaves."""
+def _flow_sql(name: str, only: str = "true", by: str = "board, alarm, arrival_s") -> str:
+    """CTEs of a queue's levels, the order kept as a growing list, over the reactions that ``only`` leaves; ``by`` tells a level's rows apart."""
     q = lambda h: f"{name}_q{h}"
     head = f""", {q(0)} AS (SELECT board, event AS alarm, start_s AS arrival_s, 0 AS hop, board AS root, [id::BIGINT] AS ord, event AS root_event, event, start_s, duration_s, NULL::BIGINT AS prev, -1 AS rule_idx, '' AS edge_type, '' AS direction, 0 AS delay_s FROM first_errors)"""
     levels = "".join(
         f""", {name}_n{h} AS (SELECT r.to_board AS board, r.to_alarm AS alarm, q.arrival_s + {_WAIT} AS arrival_s, {h} AS hop, q.root, q.ord || [r.rule_idx::BIGINT, r.to_board::BIGINT] AS ord, q.root_event, q.alarm AS event,
 q.arrival_s AS start_s, q.duration_s, q.board AS prev, r.rule_idx, r.edge_type, r.direction, {_WAIT} AS delay_s FROM {q(h - 1)} q JOIN react r ON r.board = q.board AND r.from_alarm = q.alarm WHERE {only}),
-{q(h)} AS MATERIALIZED (SELECT * FROM {name}_n{h} QUALIFY row_number() OVER (PARTITION BY board, alarm, arrival_s ORDER BY ord) = 1)"""
+{q(h)} AS MATERIALIZED (SELECT * FROM {name}_n{h} QUALIFY row_number() OVER (PARTITION BY {by} ORDER BY ord) = 1)"""
         for h in range(1, _HOPS + 1)
     )
     return head + levels + f", {name} AS (" + " UNION ALL ".join(f"SELECT * FROM {q(h)}" for h in range(_HOPS + 1)) + ")"
@@ -198,17 +198,20 @@ _TIMED = TQ._REACT + _flow_sql("aflow")
 _NEEDS = ("hops", "typed", "edges", "rules", "ev", "first_errors")
 
 
-def _timed(s, d, regen: bool = True):
-    hops, typed, react, _ = TQ._flow_parts(s, d)
+def _failures(s, d, typed):
     e = B.events(s, d).filter("alarm = 'error'").groupBy("board").agg(F.min(F.struct("ts", "event_id")).alias("x"))
     f = e.join(typed.select("board", "ftype"), "board").withColumn("id", F.col("x.event_id"))
     bad = F.col("id") % 17 == 0
-    failures = f.select(
+    return f.select(
         "id", F.when(~bad, F.col("board")).alias("board"), P.root_event(F.col("ftype")).alias("event"), F.date_trunc("second", "x.ts").alias("time"), F.when(F.col("id") % 5 > 0, F.col("id") % 30000 + 1000).alias("duration_ms"), F.lit("").alias("board_role")
     )
+
+
+def _timed(s, d, regen: bool = True):
+    hops, typed, react, _ = TQ._flow_parts(s, d)
     if not regen:
         react = react.filter("edge_type <> 'regen_boundary'")
-    return hops, typed, W.alarm_flow(W.seeds_of(failures, typed.select("board", "role")), react, materialise, max_hops=_HOPS)
+    return hops, typed, W.alarm_flow(W.seeds_of(_failures(s, d, typed), typed.select("board", "role")), react, materialise, max_hops=_HOPS)
 
 
 @add("alarm_flow", sql(_TIMED + " SELECT board, alarm, arrival_s, hop, root, root_event, event, start_s, duration_s, prev, rule_idx, edge_type, direction, delay_s FROM aflow", *_NEEDS, recursive=True))
@@ -320,6 +323,66 @@ def flow_pair_table(s, d):
     return W.pair_table(_timed(s, d)[2])
 
 
+# Regenerators: roles count for electrical boards only, so that optical failures occur, and rules lead to regenerators.
+
+_MORE = (*B.RULES, ("OTUk-Relay", "Fiber_Cut", "Transmit Downstream", "OTUk-RegenIn", "OTUk_LOS"), ("OTUk-RegenIn", "OTUk_LOS", "Transmit Downstream RegenOut", "OTUk-RegenOut", "OTUk_AIS"), ("OTUk-Relay", "Fiber_Cut", "Transmit Upstream", "OTUk-RegenOut", "OTUk_AIS"))
+
+
+def _regen_sql(body: str) -> str:
+    text = sql(TQ._REACT + _flow_sql("rflow", by="board, alarm, arrival_s, root") + body, *_NEEDS, recursive=True)
+    more = ", ".join("(" + ", ".join([str(i), *[f"'{v}'" for v in r]]) + ")" for i, r in enumerate(_MORE))
+    roles = B.CTES["role_map"][1]
+    text = text.replace(roles, roles.replace("WHERE role <> ''", "WHERE role <> '' AND kind IN ('TRIB', 'XCON', 'LINE')"))
+    return text.replace(B.CTES["rules"][1], B.CTES["rules"][1].replace(B._rules_sql, more))
+
+
+_REGEN = f""", f AS (SELECT r.*, ftype, kind FROM rflow r JOIN typed t ON t.board = r.board), g AS (SELECT f.root, t.ftype AS root_type, count(*) AS total, count(*) FILTER ({_OT}) AS otuk, count(*) FILTER ({_OD}) AS oduk, count(*) FILTER (f.kind LIKE 'REGEN%') AS at_regen,
+count(*) FILTER (f.ftype = 'OTUk-RegenIn') AS n_in, count(*) FILTER (f.ftype = 'OTUk-RegenOut') AS n_out, count(*) FILTER (f.ftype = 'OTUk-RegenIn' AND regexp_matches(upper(alarm), 'OTUK|R_LOS|LOF')) AS in_otuk,
+count(*) FILTER (f.ftype = 'OTUk-RegenOut' AND contains(upper(alarm), 'AIS')) AS out_ais, count(*) FILTER (f.ftype = 'ODUk-Termination' AND {_OD}) AS term_oduk FROM f JOIN typed t ON t.board = f.root GROUP BY ALL),
+i AS (SELECT root, 1 AS "check", board, alarm, 'OTUk alarm over the regenerator at electrical board: ' || board || '/' || alarm AS issue FROM f WHERE board <> root AND edge_type = 'regen_boundary' AND ftype IN ('ODUk-Termination', 'ODUk-Creation') AND {_OT}
+UNION ALL SELECT root, 4, board, alarm, 'OTUk alarm over the regenerator at relay: ' || board || '/' || alarm FROM f WHERE board <> root AND edge_type = 'regen_boundary' AND ftype = 'OTUk-Relay' AND regexp_matches(upper(alarm), 'OTUK_LOS|OTUK_LOF')
+UNION ALL SELECT root, 2, NULL, NULL, 'optical failure without an OTUk alarm at the ingress' FROM g WHERE root_type = 'OTUk-Relay' AND n_in + n_out > 0 AND in_otuk = 0
+UNION ALL SELECT root, 3, NULL, NULL, 'AIS at the egress without an ODUk alarm at a termination' FROM g WHERE root_type = 'OTUk-Relay' AND n_out > 0 AND out_ais > 0 AND term_oduk = 0)"""
+
+
+def _regen_flow(s, d):
+    hops = materialise(B.hops(s, d), "hops")
+    electrical = hops.withColumn("role", F.when(F.col("kind").isin("TRIB", "XCON", "LINE"), F.col("role")).otherwise(""))
+    typed = materialise(T.typed_boards(B.boards(s, d), electrical), "typed")
+    rules = s.createDataFrame([(i, *r) for i, r in enumerate(_MORE)], B.RULE_SCHEMA)
+    react = materialise(P.reactions(rules, typed, T.nearest_of_type(hops, typed, sectioned=True), T.adjacency(hops)), "reactions")
+    return materialise(W.alarm_flow(W.seeds_of(_failures(s, d, typed), typed.select("board", "role")), react, materialise, max_hops=_HOPS, per_root=True), "regen-flow"), typed
+
+
+@add("regen_issues", _regen_sql(_REGEN + ' SELECT root, "check", board, alarm, issue FROM i'))
+def regen_issues(s, d):
+    return P.regen_issues(*_regen_flow(s, d))
+
+
+@add("regen_status", _regen_sql(_REGEN + ", n AS (SELECT root, count(*) AS n FROM i GROUP BY root) SELECT g.root, root_type, total, otuk, oduk, at_regen, term_oduk, coalesce(n, 0) AS issues, CASE WHEN n IS NULL THEN 'PASS' ELSE 'FAIL' END AS status FROM g LEFT JOIN n ON n.root = g.root"))
+def regen_status(s, d):
+    return P.regen_status(*_regen_flow(s, d))
+
+
+@add(
+    "distinct_failures",
+    sql(
+        """WITH x AS (SELECT CASE WHEN event_id % 19 > 0 THEN e.board END AS board, kind, CASE WHEN alarm = 'error' THEN 'Fiber_Cut' WHEN alarm = 'click' THEN 'XCON_Port_Down' WHEN event_id % 2 = 0 THEN '' END AS event, date_trunc('day', ts) AS time,
+CASE WHEN event_id % 3 = 0 THEN NULL ELSE event_id % 3 * 1000 END AS duration_ms, CASE WHEN event_id % 4 = 0 THEN 'TERMINATION' WHEN event_id % 4 = 1 THEN 'RELAY' WHEN event_id % 4 = 2 THEN '' END AS role FROM ev e JOIN boards b ON b.board = e.board)
+SELECT DISTINCT board, coalesce(event, '') AS event, time, coalesce(duration_ms, 15000)::BIGINT AS duration_ms, CASE WHEN event = 'XCON_Port_Down' THEN 'SRC' WHEN role = 'TERMINATION' THEN 'SNK' WHEN role <> '' THEN role WHEN kind IN ('TRIB', 'XCON', 'LINE') THEN 'SRC' ELSE 'RELAY' END AS role FROM x WHERE board IS NOT NULL""",
+        "ev",
+        "boards",
+    ),
+)
+def distinct_failures(s, d):
+    k = F.col("event_id")
+    e = B.events(s, d).join(B.boards(s, d).select("board", "kind"), "board")
+    event = F.when(F.col("alarm") == "error", "Fiber_Cut").when(F.col("alarm") == "click", "XCON_Port_Down").when(k % 2 == 0, "")
+    role = F.when(k % 4 == 0, "TERMINATION").when(k % 4 == 1, "RELAY").when(k % 4 == 2, "")
+    rows = e.select(F.when(k % 19 > 0, F.col("board")).alias("board"), "kind", event.alias("event"), F.date_trunc("day", "ts").cast("timestamp_ntz").alias("time"), F.when(k % 3 > 0, k % 3 * 1000).alias("duration_ms"), role.alias("role"))
+    return P.distinct_failures(rows)
+
+
 @add("distinct_events", sql("SELECT alarm, (row_number() OVER (ORDER BY min((ts, event_id))))::INT AS place FROM ev GROUP BY alarm", "ev"))
 def distinct_events(s, d):
     return W.distinct_events(B.events(s, d), "alarm", F.col("ts"), F.col("event_id"))

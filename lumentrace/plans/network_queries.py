@@ -230,9 +230,11 @@ def domain_report(s, d):
     return N.domain_report(materialise(B.hops(s, d), "hops"), B.boards(s, d))
 
 
-@add("untraversed_boards", sql("SELECT board, domain FROM boards WHERE board NOT IN (SELECT board FROM hops WHERE n > 5)", "boards", "hops"))
+# Boards with samples, whether the catalogue knows them or not.
+@add("untraversed_boards", sql("SELECT DISTINCT m.board, domain FROM metrics m LEFT JOIN boards b ON b.board = m.board WHERE m.board NOT IN (SELECT board FROM hops)", "boards", "hops", "metrics"))
 def untraversed(s, d):
-    return N.untraversed(B.hops(s, d).filter("n > 5"), B.boards(s, d))
+    seen = B.metrics(s, d).select("board").distinct().join(B.boards(s, d).select("board", "domain"), "board", "left")
+    return N.untraversed(B.hops(s, d), seen)
 
 
 _DNAMES = ["FIU1", "OA1", "OD1", "OM1", "OA2", "FIU2", "OA3", "OD2", "OM2", "OA4", "Line3", "Line4", "XCON1", "Tributary1"]

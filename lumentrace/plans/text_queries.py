@@ -168,11 +168,11 @@ def sequences(s, d):
     return g.groupBy("sequence").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "sequence").limit(10)
 
 
-@add("unused_endpoints", sql("WITH ends AS (SELECT DISTINCT board FROM hops WHERE pos = 1 OR pos = n) SELECT board, (row_number() OVER (ORDER BY board))::INT AS id FROM boards WHERE kind IN ('TRIB', 'LINE') AND board NOT IN (SELECT board FROM ends)", "boards", "hops"))
+@add("unused_endpoints", sql("WITH ends AS (SELECT DISTINCT board FROM hops WHERE pos = 1 OR pos = n), seen AS (SELECT DISTINCT board FROM metrics WHERE board % 9 IN (0, 2)) SELECT board, (row_number() OVER (ORDER BY board))::INT AS id FROM seen WHERE board NOT IN (SELECT board FROM ends)", "metrics", "hops"))
 def unused(s, d):
     ends = B.hops(s, d).filter("pos = 1 or pos = n").select("board").distinct()
-    b = B.boards(s, d).filter("kind in ('TRIB', 'LINE')").select("board").join(ends, "board", "left_anti")
-    return D.ranked(b, F.col("board")).select("board", F.col("k").cast("int").alias("id"))
+    seen = B.metrics(s, d).select("board").distinct().filter(B.kind_of(F.col("board")).isin("TRIB", "LINE"))
+    return D.ranked(seen.join(ends, "board", "left_anti"), F.col("board")).select("board", F.col("k").cast("int").alias("id"))
 
 
 @add("resolve_failure_location", sql("WITH q AS (SELECT event_id, CASE WHEN event_id % 2 = 0 THEN 'b' || board ELSE board || '_' || (board + 1) END AS place, board FROM ev WHERE alarm = 'error') SELECT event_id, CASE WHEN event_id % 2 = 0 THEN (SELECT name FROM boards b WHERE b.board = q.board) ELSE (SELECT 'fibre ' || least(q.board, q.board + 1) || '_' || greatest(q.board, q.board + 1) WHERE EXISTS (SELECT 1 FROM edges e WHERE (e.src = q.board AND e.dst = q.board + 1) OR (e.dst = q.board AND e.src = q.board + 1))) END AS element FROM q", "ev", "boards", "edges"))

@@ -164,20 +164,6 @@ def downstream_region(s, d):
     return T.downstream_region(B.hops(s, d), 4)
 
 
-@add(
-    "upstream_downstream_sets",
-    sql(
-        """WITH f AS (SELECT DISTINCT board FROM ev WHERE alarm = 'error' AND board <= 20), x AS (SELECT DISTINCT a.board AS failed, CASE WHEN b.pos < a.pos THEN 'up' ELSE 'down' END AS side, b.board
-FROM hops a JOIN f ON a.board = f.board JOIN hops b ON a.path_id = b.path_id AND a.pos <> b.pos) SELECT failed, side, count(*) AS n, min(board) AS first_board FROM x GROUP BY failed, side""",
-        "hops",
-        "ev",
-    ),
-)
-def stream_sets(s, d):
-    failed = B.events(s, d).filter("alarm = 'error' and board <= 20").select("board").distinct()
-    return T.stream_sides(B.hops(s, d), failed).groupBy("failed", "side").agg(F.count(F.lit(1)).alias("n"), F.min("board").alias("first_board"))
-
-
 @add("upstream_downstream_sets", sql("WITH f AS (SELECT DISTINCT board FROM ev WHERE alarm = 'error'), x AS (SELECT DISTINCT a.board AS failed, CASE WHEN b.pos < a.pos THEN 'up' ELSE 'down' END AS side, b.board FROM hops a JOIN f ON a.board = f.board JOIN hops b ON a.path_id = b.path_id AND a.pos <> b.pos) SELECT failed, side, count(*) AS n, min(board) AS first_board FROM x GROUP BY failed, side", "hops", "ev"))
 def stream_sets_whole(s, d):
     failed = B.events(s, d).filter("alarm = 'error'").select("board").distinct()

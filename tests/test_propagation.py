@@ -99,3 +99,62 @@ def test_regen_compliance(spark):
     seeds = spark.createDataFrame([(5, 5, "Fiber_Cut")], "root long, board long, alarm string")
     row = P.regen_compliance(P.propagate(seeds, react, 4, materialise), typed).first()
     assert row["compliant"] and row["regen_ais"] == 1
+
+
+def test_regenerator_checks(spark):
+    """Each of the four checks on flows made for it, and the status that follows."""
+    from lumentrace.operators import propagation as P
+
+    typed = spark.createDataFrame(
+        [(1, "OTUk-Relay", "OA"), (2, "OTUk-RegenIn", "REGENIN"), (3, "OTUk-RegenOut", "REGENOUT"), (4, "ODUk-Termination", "LINE"), (5, "OTUk-Relay", "OA"), (6, "ODUk-Creation", "LINE"), (7, "OTUk-Relay", "FIU"), (8, "OTUk-Relay", "FIU")],
+        "board long, ftype string, kind string",
+    )
+    over = "regen_boundary"
+    rows = [
+        (1, 1, "Fiber_Cut", ""), (1, 2, "OTUk_LOS", "x"), (1, 3, "OTUk_AIS", over), (1, 4, "ODUk_PM_AIS", "y"),  # all in order
+        (5, 5, "Fiber_Cut", ""), (5, 3, "OTUk_AIS", "x"),  # no alarm at the ingress, none at a termination
+        (6, 6, "Line_Disconnect", ""), (6, 4, "OTUk_BDI", over), (6, 1, "OTUk_LOF", over), (6, 1, "OTUk_AIS", over),  # over the boundary, twice
+        (7, 7, "Fiber_Cut", ""), (7, 2, "LOM", "x"),  # an alarm at the ingress, but none of the right kind
+        (8, 8, "Fiber_Cut", ""), (8, 1, "R_LOS", "x"),  # no regenerator near
+    ]
+    flow = spark.createDataFrame(rows, "root long, board long, alarm string, edge_type string")
+    issues = sorted((r["root"], r["check"], r["board"], r["alarm"]) for r in P.regen_issues(flow, typed).na.fill(0, ["board"]).na.fill("", ["alarm"]).collect())
+    assert issues == [(5, 2, 0, ""), (5, 3, 0, ""), (6, 1, 4, "OTUk_BDI"), (6, 4, 1, "OTUk_LOF"), (7, 2, 0, "")]
+    status = {r["root"]: (r["total"], r["at_regen"], r["term_oduk"], r["issues"], r["status"]) for r in P.regen_status(flow, typed).collect()}
+    assert status == {1: (4, 2, 1, 0, "PASS"), 5: (2, 1, 0, 2, "FAIL"), 6: (4, 0, 0, 2, "FAIL"), 7: (2, 1, 0, 1, "FAIL"), 8: (2, 0, 0, 0, "PASS")}
+
+
+def test_flow_counts_first_in_the_queue(spark):
+    """Four hops over a random network against a plain queue."""
+    import random
+
+    from lumentrace.operators import flows as W
+    from lumentrace.sources.storage import materialise
+
+    rng = random.Random(4)
+    alarms = ["a", "b", "c"]
+    react = sorted({(rng.randrange(8), rng.choice(alarms), rng.randrange(8), rng.choice(alarms), rng.randrange(5), *rng.choice([("", ""), ("D", "regen_boundary"), ("U", "x"), ("D", "y")])) for _ in range(70)})
+    react = [r for i, r in enumerate(react) if all(r[:3] + r[4:5] != q[:3] + q[4:5] for q in react[:i])]
+    seeds = [(i * 3, rng.randrange(8), rng.choice(alarms), 100 + rng.randrange(6), 15.0) for i in range(12)]
+    for per_root in (False, True):
+        queue = [dict(board=b, alarm=a, at=t, hop=0, root=b, root_event=a, rule=-1, prev=None) for _, b, a, t, _ in sorted(seeds)]
+        seen, want = set(), []
+        while queue:
+            cur = queue.pop(0)
+            key = (cur["board"], cur["alarm"], cur["at"], cur["hop"], cur["root"] if per_root and cur["hop"] else None)
+            if key in seen:
+                continue
+            seen.add(key)
+            want.append((cur["board"], cur["alarm"], cur["at"], cur["hop"], cur["root"], cur["root_event"], cur["rule"], cur["prev"]))
+            if cur["hop"] < 4:
+                for b, a, tb, ta, rule, direction, edge in sorted(react, key=lambda r: (r[4], r[2])):
+                    if (b, a) == (cur["board"], cur["alarm"]):
+                        wait = 0 if direction == "" else 1 if edge == "regen_boundary" else 4
+                        queue.append(dict(board=tb, alarm=ta, at=cur["at"] + wait, hop=cur["hop"] + 1, root=cur["root"], root_event=cur["root_event"], rule=rule, prev=b))
+        flow = W.alarm_flow(
+            spark.createDataFrame(seeds, "id long, board long, event string, start_s long, duration_s double"),
+            spark.createDataFrame(react, "board long, from_alarm string, to_board long, to_alarm string, rule_idx int, direction string, edge_type string"),
+            materialise, per_root=per_root,
+        )
+        got = [tuple(r) for r in flow.select("board", "alarm", "arrival_s", "hop", "root", "root_event", "rule_idx", "prev").collect()]
+        assert sorted(got, key=str) == sorted(want, key=str) and max(r[3] for r in got) == 4
