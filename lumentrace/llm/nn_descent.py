@@ -232,6 +232,18 @@ def build_graph(nodes: DataFrame, how: Descent) -> DataFrame:
     return graph
 
 
+def _lengths(gap: np.ndarray) -> np.ndarray:
+    """Euclidean lengths of rows; where squares would leave the range of doubles, of rows brought to size 1 first."""
+    with np.errstate(over="ignore", under="ignore"):
+        out = np.sqrt((gap * gap).sum(axis=1))
+    odd = ~((out > 1e-140) & (out < 1e150))
+    if odd.any():
+        size = np.abs(gap[odd]).max(axis=1)
+        size[size == 0] = 1.0
+        out[odd] = size * np.sqrt(((gap[odd] / size[:, None]) ** 2).sum(axis=1))
+    return out
+
+
 def _measure(pairs: DataFrame) -> DataFrame:
     """(q, node, qv, v) -> (q, node, dist) in double precision."""
 
@@ -239,7 +251,7 @@ def _measure(pairs: DataFrame) -> DataFrame:
         for batch in batches:
             if len(batch):
                 gap = _rows(batch.column(2), "<f8") - _rows(batch.column(3), "<f8")
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.sqrt((gap * gap).sum(axis=1)))], ["q", "node", "dist"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(_lengths(gap))], ["q", "node", "dist"])
 
     return pairs.select("q", "node", "qv", "v").mapInArrow(run, "q long, node long, dist double")
 
@@ -286,7 +298,7 @@ def exactly(nodes: DataFrame, starts: DataFrame, keep: int) -> DataFrame:
                 asked, some = batch.column(0).slice(i, 1).flatten(), batch.column(1).slice(i, 1).flatten()
                 ids, m = some.field("node").to_numpy(), _rows(some.field("v"), "<f8")
                 for q, v in zip(asked.field("node").to_numpy(), _rows(asked.field("v"), "<f8"), strict=True):
-                    dist = np.sqrt(((m - v) ** 2).sum(axis=1))
+                    dist = _lengths(m - v)
                     best = np.lexsort((ids, dist))[:keep]
                     yield pa.RecordBatch.from_arrays([pa.array(np.full(len(best), q)), pa.array(ids[best]), pa.array(dist[best])], ["q", "node", "dist"])
 

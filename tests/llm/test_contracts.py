@@ -637,3 +637,12 @@ def test_op7_writes_no_credential_down(spark):
     before = set(shared.iterdir())
     out = secret_grammar.redact(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert not any("q7Zk93" in r["text"] for r in out) and set(shared.iterdir()) == before
+
+
+def test_op4_distances_of_any_size(spark):
+    """Vectors whose squares leave the range of doubles keep their distances and their order."""
+    rows = [(0, [1e200, 0.0]), (1, [2e200, 0.0]), (2, [4e200, 0.0]), (3, [1e200, 3e199]), (100, [3e-200, 4e-200]), (101, [3e-200, 1e-200]), (102, [1e-200, 4e-200])]
+    got = [(r["query_id"], r["vec_id"], r["score"]) for r in nn_descent.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), F.col("vec_id") % 100 == 0, 3).orderBy("query_id", "rank").collect()]
+    want = [(0, 3, 3e199), (0, 1, 1e200), (0, 100, 1e200), (100, 102, 2e-200), (100, 101, 3e-200), (100, 0, 1e200)]
+    assert [g[:2] for g in got] == [w[:2] for w in want]
+    assert all(abs(g[2] / w[2] - 1) < 1e-12 for g, w in zip(got, want, strict=True))
