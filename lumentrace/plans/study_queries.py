@@ -117,6 +117,32 @@ def prompt_features(s, d):
     return prompts(s, d).select("id", *[c.alias(n) for n, c in U.features_of_prompt(F.col("text")).items()])
 
 
+_PATTERNS, _TYPES = ["ramp", "step", "step_recovery", "burst", "flat"], ["OA", "XCON", "LINE", "FIU", "TRIB", "QQ", "OD", "XCON"]
+_TOLD = " ".join(f"WHEN category = '{c}' AND p = '{p}' THEN '{what}: {cause}'" for (c, p), (what, cause) in U.CAUSES.items())
+
+
+@add(
+    "reasoning_steps",
+    f"""WITH o AS (SELECT o_orderkey AS id, {_TYPES}[(o_orderkey % 8 + 1)::INT] AS t, {_PATTERNS}[(o_orderkey // 8 % 5 + 1)::INT] AS p, 'ROADM' || (o_orderkey % 9) || '-' || {_TYPES}[(o_orderkey % 8 + 1)::INT] || '001$0' AS board FROM orders),
+c AS (SELECT *, CASE WHEN t IN ('OA', 'FIU', 'OD') THEN 'Fiber' WHEN t = 'XCON' THEN 'XCON' WHEN t = 'QQ' THEN 'unknown' ELSE 'Line' END AS category FROM o),
+l AS (SELECT id, CASE WHEN id % 7 = 0 THEN ['Step 1: no pattern features, so other evidence decides.', 'Conclusion: the alarms point to E' || id % 3 || '.'] ELSE list_filter([
+'Step 1: the peak board ' || board || CASE WHEN category = 'unknown' THEN ' is of no known kind, so the series decides.' ELSE ' is a ' || t || ' board, category ' || category || '.' END,
+CASE WHEN category <> 'unknown' THEN 'Step 2: pattern_kind=' || p || CASE WHEN id % 3 > 0 THEN ', burst_regions=' || id % 11 ELSE '' END || ' shows ' || CASE WHEN category = 'Line' THEN 'a line card that lost its signal: Line_Disconnect' {_TOLD} ELSE 'no usual pattern of ' || category || ', further features decide' END || '.' END,
+'Step 3: bber_bbe_ratio=' || printf('%.2f', id % 4 + 0.125) || CASE WHEN id % 5 > 0 THEN ', es_frac=' || printf('%.4f', (id % 10) / 10.0) ELSE '' END || ', bbe_max=' || printf('%.1f', id % 60 + 0.25) || ' agree with E' || id % 3 || '.',
+'Conclusion: E' || id % 3 || ' on board ' || board || '.'], lambda x: x IS NOT NULL) END AS lines FROM c) SELECT id, array_to_string(lines, chr(10)) AS reasoning FROM l""",
+)
+def reasoning_steps(s, d):
+    k = F.col("o_orderkey")
+    pick = lambda names, i: F.element_at(F.array(*[F.lit(x) for x in names]), (i % len(names) + 1).cast("int"))
+    number = lambda c: c.cast("string")
+    text = F.concat(
+        F.lit("board bbe_max=99.0\npattern_features: "), F.when(k % 3 > 0, F.concat(F.lit("burst_regions="), number(k % 11))).otherwise(""), F.lit(" bbe_max="), number(k % 60), F.lit(".25 es_frac="), F.when(k % 5 > 0, F.concat(F.lit("0."), number(k % 10))).otherwise("none"),
+        F.lit(" bber_bbe_ratio="), number(k % 4), F.lit(".125 pattern_kind="), pick(_PATTERNS, F.floor(k / 8)), F.lit(" peak_board=ROADM"), number(k % 9), F.lit("-"), pick(_TYPES, k), F.lit("001$0"),
+    )
+    summary = F.when(k % 7 == 0, "no features").otherwise(text)
+    return B.table(s, d, "orders").select(k.alias("id"), F.array_join(U.reasoning_steps(summary, F.concat(F.lit("E"), number(k % 3))), "\n").alias("reasoning"))
+
+
 @add("lightpath_lines", sql("SELECT o_custkey AS id, (row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderkey) - 1)::INT AS n, 'ROADM' || (o_orderkey % 9) || '-LINE' || o_orderkey || '$0,ROADM1-OA002$0' AS line FROM orders WHERE o_custkey % 4 > 0"))
 def lightpath_lines(s, d):
     return prompts(s, d).select("id", F.posexplode(U.prompt_paths(F.col("text"))).alias("n", "line"))
