@@ -11,7 +11,6 @@ from lumentrace.operators import preparation as D
 from lumentrace.operators import series as M
 from lumentrace.operators import texts as X
 from lumentrace.operators import topology as T
-from lumentrace.sources.storage import materialise
 
 from . import bindings as B
 from . import evaluation_queries as EV
