@@ -46,6 +46,16 @@ def test_op1(spark):
             assert r["verdict"] == ("block" if seed("block") - seed("allow") >= 0.5 else "allow")
 
 
+def test_op1_says_what_the_contract_lists(spark):
+    urls = {
+        "https://a.com/en/x": ("com/en/", "block"), "https://Example.com/en/7": ("example.com/en/7", "allow"), "http://a.net/de/1": ("net/de/", "allow"),
+        "http://example.net/de/8": ("example.net/de/8", "block"), "http://example.net/de/7": ("net/de/", "allow"), "http://a.org/es/?q": ("org/es/", "block"),
+    }
+    rows = [(i, u, None) for i, u in enumerate(urls)]
+    out = url_filter.filter_urls(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert {rows[r["page_id"]][1]: (r["rule"], r["verdict"]) for r in out} == urls
+
+
 def test_op2(spark, docs):
     out = by_id(queries.op2_license_scan(spark, SF))
     assert len(out) == len(docs)
