@@ -75,13 +75,17 @@ def constrained_trails(edges: DataFrame, vertices: DataFrame, materialise, most:
     """Shortest trails of at most ``most`` steps between stops whose inner vertices are none: a, b, steps, trail (a < b).
 
     ``vertices``: v, stop. The search goes out from every stop, level by level, and never leaves a stop it has reached; of
-    several shortest trails the smallest counts. Each root keeps what it has seen, so a trail is not walked twice.
+    several shortest trails the smallest counts. Each root keeps what it has seen, so a trail is not walked twice. The last
+    step goes to stops only, as no trail leads on from it: else it would hold each root with all vertices of its neighbourhood.
     """
     e = both_ways(edges).join(vertices.select(F.col("v").alias("b"), "stop"), "b")
     front = seen = vertices.filter("stop").select(F.col("v").alias("root"), F.col("v").alias("at"), F.array("v").alias("trail"), F.lit(False).alias("stop"))
     ends = None
-    for _ in range(most):
-        step = front.filter("not stop").drop("stop").join(e, F.col("at") == F.col("a")).select("root", F.col("b").alias("at"), "stop", F.concat("trail", F.array("b")).alias("trail"))
+    for k in range(most):
+        # The root's trails to smaller stops are those of the smaller stop.
+        to = e if k < most - 1 else e.filter("stop")
+        on = F.col("at") == F.col("a") if k < most - 1 else (F.col("at") == F.col("a")) & (F.col("root") < F.col("b"))
+        step = front.filter("not stop").drop("stop").join(to, on).select("root", F.col("b").alias("at"), "stop", F.concat("trail", F.array("b")).alias("trail"))
         step = step.groupBy("root", "at", "stop").agg(F.min("trail").alias("trail"))
         front = materialise(step.join(seen.select("root", "at"), ["root", "at"], "left_anti").select("root", "at", "trail", "stop"), "trails")
         if front.isEmpty():

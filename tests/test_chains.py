@@ -101,6 +101,24 @@ def test_trails_pass_no_stop(spark):
     assert C.constrained_trails(spark.createDataFrame([], "src long, dst long"), v, materialise, 4).count() == 0
 
 
+def test_last_step_of_trails_keeps_stops_only(spark):
+    """A hub with many vertices that are no stops: the last level must not hold every root with all of them."""
+    hub, roots, others = 1000, 20, 200
+    edges = [(r, 100 + r) for r in range(roots)] + [(100 + r, hub) for r in range(roots)] + [(hub, 2000 + i) for i in range(others)]
+    v = spark.createDataFrame([(x, x < roots) for x in {x for e in edges for x in e}], "v long, stop boolean")
+    levels = []
+
+    def kept(df, tag):
+        out = materialise(df, tag)
+        levels.append(out.count())
+        return out
+
+    assert C.constrained_trails(spark.createDataFrame(edges, "src long, dst long"), v, kept, 3).count() == 0
+    assert levels == [roots, roots, 0]
+    got = C.constrained_trails(spark.createDataFrame(edges, "src long, dst long"), v, kept, 4)
+    assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a in range(roots) for b in range(a + 1, roots)}
+
+
 def test_legacy_tokens(spark):
     rows = [
         (1, ["R1-OTU3$2", "R1-OM2$0", "R1-OTU4"]),
