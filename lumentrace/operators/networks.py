@@ -110,19 +110,30 @@ def expand_series(series: DataFrame, of_function: DataFrame) -> DataFrame:
 
 
 def optical_reach(hops: DataFrame, materialise, most: int = 8) -> DataFrame:
-    """From each mux (OM) the nearest mux of another node over optical edges, within ``most`` hops: board, other, hops."""
+    """From each mux (OM) the nearest mux of another node over optical edges, within ``most`` hops: board, other, hops.
+
+    All muxes search together, level by level, and a mux leaves the search at the level where it finds one: what is kept
+    grows with the edges around the muxes, not with the pairs of a mux and a board it can reach.
+    """
     p = T.pairs(hops).filter(F.col("src_kind").isin(*OPTICAL) & F.col("dst_kind").isin(*OPTICAL))
     e = materialise(p.select(F.col("src").alias("a"), F.col("dst").alias("b")).filter("a <> b").distinct(), "optical-edges")
-    mux = hops.filter(F.col("kind") == "OM").select("board", "node").distinct()
-    seen = frontier = mux.select(F.col("board").alias("root"), "board", F.lit(0).alias("hop"))
-    for h in range(1, most + 1):
-        step = frontier.join(e, F.col("board") == F.col("a")).select("root", F.col("b").alias("board")).distinct()
-        frontier = materialise(step.join(seen, ["root", "board"], "left_anti").withColumn("hop", F.lit(h)), "optical-reach")
-        if frontier.isEmpty():
-            break
-        seen = seen.unionByName(frontier)
-    ends = seen.join(mux.withColumnRenamed("node", "there"), "board").join(mux.select(F.col("board").alias("root"), "node"), "root").filter("node <> there")
-    return ends.groupBy(F.col("root").alias("board")).agg(F.min(F.struct("hop", "board")).alias("x")).select("board", F.col("x.board").alias("other"), F.col("x.hop").alias("hops"))
+    mux = materialise(hops.filter(F.col("kind") == "OM").select("board", "node").distinct(), "muxes")
+    there, here = mux.withColumnRenamed("node", "there"), mux.select(F.col("board").alias("root"), "node")
+    level = seen = mux.select(F.col("board").alias("root"), "board").distinct().withColumn("hop", F.lit(0))
+    found = None
+    for h in range(most + 1):
+        if h:
+            step = level.join(e, F.col("board") == F.col("a")).select("root", F.col("b").alias("board")).distinct()
+            level = materialise(step.join(seen.select("root", "board"), ["root", "board"], "left_anti").withColumn("hop", F.lit(h)), "optical-reach")
+            if level.isEmpty():
+                break
+            seen = seen.unionByName(level)
+        # The first level that holds a mux of another node decides; such a root's search ends there.
+        ends = level.join(there, "board").join(here, "root").filter("node <> there")
+        ends = materialise(ends.groupBy("root").agg(F.min("board").alias("other"), F.min("hop").alias("hops")), "optical-ends")
+        level = level.join(ends.select("root"), "root", "left_anti")
+        found = ends if found is None else found.unionByName(ends)
+    return found.select(F.col("root").alias("board"), "other", "hops")
 
 
 def impact_spread(edges: DataFrame, roots: DataFrame, materialise, max_hops: int = 3, decay: float = 0.5, least: float = 0.1) -> DataFrame:

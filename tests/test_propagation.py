@@ -101,6 +101,28 @@ def test_regen_compliance(spark):
     assert row["compliant"] and row["regen_ais"] == 1
 
 
+def test_optical_reach_ends_at_the_first_mux(spark):
+    """A mux that has found another leaves the search: the ring of amplifiers behind it is not walked."""
+    from lumentrace.operators import networks as N
+
+    chain = [(1, 1, "OM"), (2, 2, "OM"), *[(i, 3, "OA") for i in range(3, 9)], (9, 1, "OM")]
+    alone = [(20, 5, "OM"), (21, 5, "OA"), (22, 6, "OM")]
+    rows = [(p, i + 1, len(x), b, n, 0, k, "") for p, x in enumerate((chain, alone)) for i, (b, n, k) in enumerate(x)]
+    hops = spark.createDataFrame(rows, "path_id long, pos int, n int, board long, node int, domain int, kind string, role string")
+    walked = []
+
+    def kept(df, tag):
+        out = materialise(df, tag)
+        if tag == "optical-reach":
+            walked.append(out.count())
+        return out
+
+    got = {tuple(r) for r in N.optical_reach(hops, kept, 8).select("board", "other", "hops").collect()}
+    # 1 finds 2 at once; 2 walks the amplifiers up to 9; 20 finds 22 behind its amplifier.
+    assert got == {(1, 2, 1), (2, 9, 7), (20, 22, 2)}
+    assert sum(walked) == 1 + 7 + 2
+
+
 def test_regenerator_checks(spark):
     """Each of the four checks on flows made for it, and the status that follows."""
     from lumentrace.operators import propagation as P
