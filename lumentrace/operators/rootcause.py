@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -49,8 +51,8 @@ def root_cause(category: Column, pattern: Column, peak: Column) -> Column:
 
 #: Cases of a bucket for which one more salt is used.
 PER_SALT = 5_000
-#: Queries up to which the stated set is broadcast, and vectors in a block beyond.
-MAX_QUERIES, BLOCK = 2_000, 2_000
+#: Vectors and queries in a block, queries taken at once, and how far sums of another order and rounding to 9 digits can part two scores.
+BLOCK, SLICE, NEAR = 8_192, 256, 2e-9
 
 
 def similar_cases(cases: DataFrame, asked: DataFrame, span: float, top: int) -> DataFrame:
@@ -78,21 +80,54 @@ def chunk_text(texts: DataFrame, id_col: str, size: int, overlap: int) -> DataFr
 
 
 def topk_inner_product(vectors: DataFrame, queries: DataFrame, top: int) -> DataFrame:
-    """Exact search of a stated set of queries against all rows; scores are cosines.
+    """Exact search of a stated set of queries against all rows; scores are cosines, rounded to 9 digits.
 
-    Up to ``MAX_QUERIES`` queries are broadcast, which the count of the stated set decides; more are dealt to blocks that
-    meet blocks of rows under a common key. Partitions keep their own best before anything is exchanged.
+    Vectors and queries are dealt to blocks, every two of which meet in a task of their own. There a matrix product finds
+    what can be among a block's best: it lets through all that lies within ``NEAR`` of the last place, as its sums may differ in
+    their last bits. Their scores are summed anew in the order of the components, and the best of all blocks are ranked. Vectors
+    that are null, of another length than the longest, or hold null or non-finite components meet the rest in a plain join.
     """
     unit = lambda v: F.transform(v, lambda x: x.cast("double") / F.sqrt(F.aggregate(v, F.lit(0.0), lambda a, y: a + y.cast("double") * y.cast("double"))))
-    n = vectors.select("vec_id", unit(F.col("embedding")).alias("v"))
-    q = queries.select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("qv"))
+    size = vectors.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("d")).first()
+    blocks, q_blocks = max(1, -(-size["n"] // BLOCK)), max(1, -(-queries.count() // BLOCK))
+    sound = F.coalesce((F.size("embedding") == (size["d"] or 0)) & F.forall("embedding", lambda x: F.coalesce(F.abs(x) < float("inf"), F.lit(False))), F.lit(False))
+    n = lambda cond, *cols: vectors.filter(F.col("vec_id").isNotNull() & cond).select("vec_id", unit(F.col("embedding")).alias("v"), *cols)
+    q = lambda cond, *cols: queries.filter(F.col("vec_id").isNotNull() & cond).select(F.col("vec_id").alias("query_id"), unit(F.col("embedding")).alias("qv"), *cols)
+    dealt = lambda k, name: F.pmod(F.xxhash64("vec_id"), F.lit(k)).cast("int").alias(name)
+    each = lambda k, name: F.explode(F.sequence(F.lit(0), F.lit(k - 1))).alias(name)
+    at = ["block", "q_block"]
+    asked = q(sound, each(blocks, "block"), dealt(q_blocks, "q_block")).groupBy(*at)
+    met = asked.cogroup(n(sound, dealt(blocks, "block"), each(q_blocks, "q_block")).groupBy(*at)).applyInPandas(lambda a, b: block_best(a, b, top), "query_id long, vec_id long, score double")
+
+    # A null score is one as well, the last of all.
     dot = F.aggregate(F.zip_with("v", "qv", lambda a, b: a * b), F.lit(0.0), lambda a, x: a + x)
-    if queries.count() <= MAX_QUERIES:
-        met = n.join(F.broadcast(q), F.col("vec_id") != F.col("query_id"))
-    else:
-        parts = max(1, -(-vectors.count() // BLOCK))
-        dealt = n.withColumn("part", F.pmod(F.xxhash64("vec_id"), F.lit(parts)))
-        met = q.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(parts - 1).cast("long")))).join(dealt, "part").filter(F.col("vec_id") != F.col("query_id"))
-    j = met.select("query_id", "vec_id", F.round(dot, 9).alias("score"))
+    odd = n(~sound, each(q_blocks, "part")).join(q(F.lit(True), dealt(q_blocks, "part")), "part").unionByName(n(sound, dealt(blocks, "part")).join(q(~sound, each(blocks, "part")), "part"))
+    odd = odd.filter("vec_id <> query_id").select("query_id", "vec_id", dot.alias("score"))
+    j = met.unionByName(odd).withColumn("score", F.round("score", 9))
     w = W.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top)
+
+
+def block_best(queries: pd.DataFrame, vectors: pd.DataFrame, top: int) -> pd.DataFrame:
+    """Of each query the vectors of one block that can be among its ``top`` by rounded score, with scores summed component by component."""
+    empty = pd.DataFrame({"query_id": np.empty(0, "int64"), "vec_id": np.empty(0, "int64"), "score": np.empty(0)})
+    if queries.empty or vectors.empty:
+        return empty
+    vectors = vectors.sort_values("vec_id")
+    ids, m = vectors["vec_id"].to_numpy(), np.stack(vectors["v"].to_numpy())
+    out = [empty]
+    for at in range(0, len(queries), SLICE):
+        some = queries.iloc[at : at + SLICE]
+        q_ids, qm = some["query_id"].to_numpy(), np.stack(some["qv"].to_numpy())
+        s = qm @ m.T
+        s[q_ids[:, None] == ids[None, :]] = -np.inf
+        last = np.partition(s, -top, axis=1)[:, -top] if s.shape[1] > top else np.full(len(s), -np.inf)
+        i, k = np.nonzero((s >= last[:, None] - NEAR) & (s > -np.inf))
+        score = np.zeros(len(i))
+        for d in range(m.shape[1]):
+            score += m[k, d] * qm[i, d]
+        # Of equal scores, as copies have them, the first ids are enough.
+        found = pd.DataFrame({"query_id": q_ids[i], "vec_id": ids[k], "score": score})
+        found = found.sort_values(["query_id", "score", "vec_id"], kind="stable")
+        out.append(found[found.groupby(["query_id", "score"]).cumcount() < top])
+    return pd.concat(out)

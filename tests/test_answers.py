@@ -3,6 +3,7 @@
 import re
 from difflib import SequenceMatcher
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from lumentrace.operators import texts as X
@@ -61,3 +62,34 @@ def test_blocks_of_awkward_texts(spark):
     df = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "i int, text string")
     got = [r["block"] for r in df.select("i", X.csv_block(F.col("text")).alias("block")).orderBy("i").collect()]
     assert got == [None if t is None else block_of(t) for t in texts]
+
+
+def test_topk_by_blocks_equals_all_pairs(spark):
+    """Many copies, odd vectors and more than one block of vectors and of queries, against plain loops."""
+    import math
+    import random
+
+    from lumentrace.operators import rootcause as R
+
+    rng = random.Random(6)
+    rows = [(i, [rng.choice((-1.0, 0.5, 2.0)) for _ in range(5)]) for i in range(150)] + [(i, [1.0, 2.0, 3.0, 4.0, 5.0]) for i in range(150, 220)]
+    rows += [(220, None), (221, [1.0, 2.0]), (222, [1.0, None, 1.0, 1.0, 1.0]), (223, [1e-9, 0.0, 0.0, 0.0, 0.0])]
+    unit = {i: [x / math.sqrt(sum(y * y for y in v)) for x in v] for i, v in rows if v and len(v) == 5 and None not in v}
+    want = {}
+    for a in (x for x in unit if x % 3 == 0):
+        found = sorted((-round(sum(x * y for x, y in zip(unit[a], unit[b], strict=True)), 9), b) for b in unit if b != a)[:7]
+        want[a] = [(b, -s) for s, b in found]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    before, R.BLOCK = R.BLOCK, 40
+    try:
+        got = R.topk_inner_product(df, df.filter("vec_id % 3 = 0"), 7).collect()
+    finally:
+        R.BLOCK = before
+    out = {}
+    for r in sorted(got, key=lambda r: (r["query_id"], r["rank"])):
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+    assert {a: out[a] for a in want} == want
+    # A null question scores null with all, as its SQL says.
+    assert [s for _, s in out[222]] == [None] * 7
+    few = R.block_best(*[pd.DataFrame({c: range(300), v: [[0.6, 0.8]] * 300}) for c, v in (("query_id", "qv"), ("vec_id", "v"))], 4)
+    assert len(few) == 1200
