@@ -150,21 +150,27 @@ CAUSES = {
 def reasoning_steps(summary: Column, event: Column) -> Column:
     """Lines that lead from a summary's features to ``event``: the peak board's kind and category; what its pattern tells in that category;
     further features that the summary gives; the conclusion. Without a peak board two lines say that other evidence decides."""
-    f = features_of_prompt(summary)
-    kind = S.parse_board(f["peak_board"])["kind"]
-    category = F.when(kind == "UNKNOWN", "unknown").otherwise(S.board_category(kind))
-    shown = F.concat(F.lit("pattern_kind="), F.coalesce(f["pattern_kind"], F.lit("unknown")), F.coalesce(F.concat(F.lit(", burst_regions="), f["burst_regions"].cast("string")), F.lit("")))
-    told = F.when(category == "Line", "a line card that lost its signal: Line_Disconnect")
-    for (c, p), (what, cause) in CAUSES.items():
-        told = told.when((category == c) & (f["pattern_kind"] == p), f"{what}: {cause}")
-    told = told.otherwise(F.concat(F.lit("no usual pattern of "), category, F.lit(", further features decide")))
-    first = F.concat(F.lit("Step 1: the peak board "), f["peak_board"], F.when(category == "unknown", " is of no known kind, so the series decides.").otherwise(F.concat(F.lit(" is a "), kind, F.lit(" board, category "), category, F.lit("."))))
-    second = F.when(category != "unknown", F.concat(F.lit("Step 2: "), shown, F.lit(" shows "), told, F.lit(".")))
-    given = F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), S.fixed(f[n], d)) for n, d in (("bber_bbe_ratio", 2), ("es_frac", 4), ("bbe_max", 1))])
-    third = F.when(given != "", F.concat(F.lit("Step 3: "), given, F.lit(" agree with "), event, F.lit(".")))
-    last = F.concat(F.lit("Conclusion: "), event, F.lit(" on board "), f["peak_board"], F.lit("."))
-    none = F.array(F.lit("Step 1: no pattern features, so other evidence decides."), F.concat(F.lit("Conclusion: the alarms point to "), event, F.lit(".")))
-    return F.when(f["peak_board"].isNull(), none).otherwise(F.array_compact(F.array(first, second, third, last)))
+    # Each value is computed once and given a name: written out in place, the expression would grow with the product of its parts.
+    let = lambda value, body: F.get(F.transform(F.array(value), body), F.lit(0))
+    features = features_of_prompt(summary)
+
+    def lines(f: Column, kind: Column, category: Column) -> Column:
+        shown = F.concat(F.lit("pattern_kind="), F.coalesce(f["pattern_kind"], F.lit("unknown")), F.coalesce(F.concat(F.lit(", burst_regions="), f["burst_regions"].cast("string")), F.lit("")))
+        told = F.when(category == "Line", "a line card that lost its signal: Line_Disconnect")
+        for (c, p), (what, cause) in CAUSES.items():
+            told = told.when((category == c) & (f["pattern_kind"] == p), f"{what}: {cause}")
+        told = told.otherwise(F.concat(F.lit("no usual pattern of "), category, F.lit(", further features decide")))
+        first = F.concat(F.lit("Step 1: the peak board "), f["peak_board"], F.when(category == "unknown", " is of no known kind, so the series decides.").otherwise(F.concat(F.lit(" is a "), kind, F.lit(" board, category "), category, F.lit("."))))
+        second = F.when(category != "unknown", F.concat(F.lit("Step 2: "), shown, F.lit(" shows "), told, F.lit(".")))
+        given = F.concat_ws(", ", *[F.concat(F.lit(f"{n}="), S.fixed(f[n], d)) for n, d in (("bber_bbe_ratio", 2), ("es_frac", 4), ("bbe_max", 1))])
+        third = let(given, lambda g: F.when(g != "", F.concat(F.lit("Step 3: "), g, F.lit(" agree with "), event, F.lit("."))))
+        last = F.concat(F.lit("Conclusion: "), event, F.lit(" on board "), f["peak_board"], F.lit("."))
+        none = F.array(F.lit("Step 1: no pattern features, so other evidence decides."), F.concat(F.lit("Conclusion: the alarms point to "), event, F.lit(".")))
+        return F.when(f["peak_board"].isNull(), none).otherwise(F.array_compact(F.array(first, second, third, last)))
+
+    category = lambda kind: F.when(kind == "UNKNOWN", "unknown").otherwise(S.board_category(kind))
+    with_kind = lambda f: let(S.parse_board(f["peak_board"])["kind"], lambda kind: let(category(kind), lambda c: lines(f, kind, c)))
+    return let(F.struct(*[c.alias(n) for n, c in features.items()]), with_kind)
 
 
 def triage(prompt: Column) -> tuple[Column, Column]:

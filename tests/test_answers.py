@@ -93,3 +93,15 @@ def test_topk_by_blocks_equals_all_pairs(spark):
     assert [s for _, s in out[222]] == [None] * 7
     few = R.block_best(*[pd.DataFrame({c: range(300), v: [[0.6, 0.8]] * 300}) for c, v in (("query_id", "qv"), ("vec_id", "v"))], 4)
     assert len(few) == 1200
+
+
+def test_reasoning_steps_name_each_value_once(spark):
+    """The expression holds each pattern a few times only: it took longer than a minute to plan when values were written out in place."""
+    from lumentrace.operators import studies as U
+
+    column = U.reasoning_steps(F.col("text"), F.lit("E1"))
+    assert str(column).count("peak_board=") <= 3
+    text = "pattern_features: bbe_max=3.25 pattern_kind=step peak_board=ROADM1-XCON001$0"
+    got = spark.createDataFrame([(text,), ("nothing",)], "text string").select(column).collect()
+    assert got[0][0] == ["Step 1: the peak board ROADM1-XCON001$0 is a XCON board, category XCON.", "Step 2: pattern_kind=step shows a sudden and lasting rise: XCON_Port_Down.", "Step 3: bbe_max=3.2 agree with E1.", "Conclusion: E1 on board ROADM1-XCON001$0."]
+    assert got[1][0] == ["Step 1: no pattern features, so other evidence decides.", "Conclusion: the alarms point to E1."]
