@@ -101,6 +101,17 @@ def test_regen_compliance(spark):
     assert row["compliant"] and row["regen_ais"] == 1
 
 
+def test_summaries_of_masks_equal_those_of_rows(spark):
+    """More roots than one mask has bits; and no row of a single root and board is exchanged for the summary."""
+    boards, hops, typed, react = make(spark, SECTIONED)
+    seeds = spark.createDataFrame([(1000 + i, i % 12, ("Fiber_Cut", "Line_Disconnect", "ODUk_PM_AIS")[i % 3]) for i in range(150)], "root long, board long, alarm string")
+    walked, roots = P.walk(seeds, react, 4, materialise)
+    flow = P.propagate(seeds, react, 4, materialise)
+    rows = lambda df: sorted(map(tuple, df.select(*sorted(df.columns)).collect()))
+    assert rows(P.summary_of_walk(walked, roots)) == rows(P.flow_summary(flow)) and roots.count() == 150
+    assert rows(P.compliance_of_walk(walked, roots, typed)) == rows(P.regen_compliance(flow, typed))
+
+
 def test_optical_reach_ends_at_the_first_mux(spark):
     """A mux that has found another leaves the search: the ring of amplifiers behind it is not walked."""
     from lumentrace.operators import networks as N
