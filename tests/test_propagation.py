@@ -112,6 +112,37 @@ def test_summaries_of_masks_equal_those_of_rows(spark):
     assert rows(P.compliance_of_walk(walked, roots, typed)) == rows(P.regen_compliance(flow, typed))
 
 
+def test_khop_regions_travel_as_masks(spark):
+    """More roots than a mask has bits against plain search; a level holds a row a board and mask, not one a root and board."""
+    import random
+
+    rng = random.Random(3)
+    edges = sorted({(rng.randrange(130), rng.randrange(130)) for _ in range(150)})
+    near = {}
+    for a, b in edges:
+        near.setdefault(a, set()).add(b)
+        near.setdefault(b, set()).add(a)
+    want = set()
+    for root in range(130):
+        hop, level = {root: 0}, {root}
+        for h in (1, 2, 3):
+            level = {x for v in level for x in near.get(v, ())} - set(hop)
+            hop |= dict.fromkeys(level, h)
+        want |= {(root, b, h) for b, h in hop.items()}
+    levels = []
+
+    def kept(df, tag):
+        out = materialise(df, tag)
+        if tag == "khop":
+            levels.append(out.count())
+        return out
+
+    roots = spark.createDataFrame([(i,) for i in range(130)], "board long")
+    got = T.khop_region(spark.createDataFrame(edges, "src long, dst long"), roots, 3, kept).collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert all(n <= 3 * 130 for n in levels) and len(want) > 2 * sum(levels)
+
+
 def test_optical_reach_ends_at_the_first_mux(spark):
     """A mux that has found another leaves the search: the ring of amplifiers behind it is not walked."""
     from lumentrace.operators import networks as N
