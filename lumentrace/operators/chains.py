@@ -11,10 +11,11 @@ from pyspark.sql import functions as F
 from .preparation import draw
 
 
-def both_ways(edges: DataFrame) -> DataFrame:
-    """``a``, ``b`` of edges (src, dst) in both directions, once each, without loops."""
+def both_ways(edges: DataFrame, dealt: bool = False) -> DataFrame:
+    """``a``, ``b`` of edges (src, dst) in both directions, once each, without loops; ``dealt`` by ``a``, which a join by it can use."""
     there = edges.select(F.col("src").alias("a"), F.col("dst").alias("b"))
-    return there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b").distinct()
+    both = there.unionByName(there.select(F.col("b").alias("a"), F.col("a").alias("b"))).filter("a <> b")
+    return (both.repartition("a") if dealt else both).distinct()
 
 
 def connected_regions(edges: DataFrame, roots: DataFrame, materialise, seed: int = 0) -> DataFrame:
@@ -24,18 +25,24 @@ def connected_regions(edges: DataFrame, roots: DataFrame, materialise, seed: int
     them as its quota leaves, so a level is cut only where a region is complete; all that is taken touches the level before.
     Roots with a quota under 1, or none, have the root alone; a root given twice keeps its larger quota.
     """
-    e = both_ways(edges)
+    e = both_ways(edges, dealt=True)
     quota = roots.filter("root is not null").groupBy("root").agg(F.greatest(F.lit(1), F.coalesce(F.max("k"), F.lit(1))).alias("k"))
     front = region = materialise(quota.select("root", F.col("root").alias("board"), F.lit(0).alias("hop"), F.lit(1).cast("long").alias("have"), "k"), "region")
     most = int(quota.agg(F.max("k")).first()[0] or 1)
-    order = W.partitionBy("root").orderBy(draw(F.col("board") * 31 + F.col("root"), seed), "board")
+    drawn = (draw(F.col("board") * 31 + F.col("root"), seed), F.col("board"))
+    order, near = W.partitionBy("root").orderBy(*drawn), W.partitionBy("root", "a").orderBy(*drawn)
     hop = 0
     while True:
         hop += 1
         open_ = front.filter("have < k").select("root", F.col("board").alias("a"), "have", "k")
-        step = open_.join(e, "a").select("root", F.col("b").alias("board"), "have", "k").distinct().join(region.select("root", "board"), ["root", "board"], "left_anti")
-        # The first filter, by a number, lets tasks cut their candidates before these are exchanged.
-        taken = step.withColumn("place", F.row_number().over(order)).filter(F.col("place") < most).filter(F.col("place") <= F.col("k") - F.col("have"))
+        # Of a board's neighbours at most ``have`` lie inside, so the first ``k`` in the order hold all that can be taken. They are cut
+        # where the join leaves them, dealt by neighbour however it is done; the first filter, by a number, keeps the sorted rows few.
+        step = open_.repartition("a").join(e, "a").withColumnRenamed("b", "board").withColumn("near", F.row_number().over(near)).filter(F.col("near") <= most).filter("near <= k")
+        # What lies inside goes along, so that one exchange by root serves the distinct rows, those left out and the order.
+        inside = region.select("root", "board", F.lit(None).cast("long").alias("have"), F.lit(None).cast("long").alias("k"))
+        both = step.select("root", "board", "have", F.col("k").cast("long").alias("k")).unionByName(inside).repartition("root")
+        new = both.groupBy("root", "board").agg(F.max("have").alias("have"), F.max("k").alias("k"), F.max(F.col("have").isNull()).alias("known")).filter("not known").drop("known")
+        taken = new.withColumn("place", F.row_number().over(order)).filter(F.col("place") < most).filter(F.col("place") <= F.col("k") - F.col("have"))
         taken = taken.withColumn("have", F.col("have") + F.count(F.lit(1)).over(W.partitionBy("root"))).withColumn("hop", F.lit(hop))
         front = materialise(taken.select("root", "board", "hop", "have", "k"), "region")
         if front.isEmpty():

@@ -56,6 +56,23 @@ def test_regions_hold_their_quota_and_are_connected(spark):
     assert C.connected_regions(spark.createDataFrame([], "src long, dst long"), roots.limit(0), materialise).count() == 0
 
 
+def test_regions_exchange_what_a_root_can_take_and_that_once(spark):
+    plans = []
+
+    def kept(df, tag):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return materialise(df, tag)
+
+    hub = spark.range(1, 400).selectExpr("0L AS src", "id AS dst")
+    roots = spark.range(0, 400).selectExpr("id AS root", "4L AS k")
+    rows = C.connected_regions(hub, roots, kept, 4)
+    assert rows.count() == 1600 and rows.distinct().count() == 1600
+    # A level has one exchange of candidates, by root, and cuts them by root and neighbour before it.
+    for plan in plans[1:]:
+        assert plan.count("Exchange hashpartitioning(root") == 1 and "Exchange hashpartitioning(board" not in plan
+        assert plan.index("Exchange hashpartitioning(root") < plan.index("WindowGroupLimit [root", plan.index("Exchange hashpartitioning(root"))
+
+
 def test_chains_and_classes(spark):
     links = [(1, 2), (2, 3), (3, 4), (4, 5), (2, 9)]
     got = sorted(C.hop_chains(spark.createDataFrame(links, "src long, dst long")).collect(), key=str)
