@@ -222,3 +222,29 @@ def test_flow_counts_first_in_the_queue(spark):
         )
         got = [tuple(r) for r in flow.select("board", "alarm", "arrival_s", "hop", "root", "root_event", "rule_idx", "prev").collect()]
         assert sorted(got, key=str) == sorted(want, key=str) and max(r[3] for r in got) == 4
+
+
+def test_flow_looks_past_the_first_rows_for_targets_left_out_only(spark, monkeypatch):
+    """With one row of a class first, the rest leads to what that row leaves out, and the flow stays the same."""
+    from lumentrace.operators import flows as W
+    from lumentrace.sources.storage import materialise
+
+    # Board 0 tells boards 1 to 40; each of these tells the ten boards from 100 + its number on; board 200 is apart, at the same time.
+    react = [(0, "a", i, "b", 0, "D", "x") for i in range(1, 41)] + [(i, "b", 100 + (i + j) % 50, "c", 1, "D", "x") for i in range(1, 41) for j in range(10)] + [(200, "a", 201, "c", 2, "D", "x")]
+    react = spark.createDataFrame(react, "board long, from_alarm string, to_board long, to_alarm string, rule_idx int, direction string, edge_type string")
+    seeds = spark.createDataFrame([(1, 200, "a", 100, 15.0), (2, 0, "a", 100, 15.0)], "id long, board long, event string, start_s long, duration_s double")
+    gaps = []
+
+    def kept(df, tag):
+        table = materialise(df, tag)
+        if tag == "flow-gaps":
+            gaps.append(table.count())
+        return table
+
+    monkeypatch.setattr(W, "COVER", 0.1)
+    got = [tuple(r) for r in W.alarm_flow(seeds, react, kept, max_hops=2).select("board", "arrival_s", "hop", "root", "prev").collect()]
+    # The first cause is the least board that names a target.
+    want = {(200, 100, 0, 200, None), (0, 100, 0, 0, None), (201, 104, 1, 200, 200)} | {(i, 104, 1, 0, 0) for i in range(1, 41)}
+    want |= {(100 + t, 108, 2, 0, min(i for i in range(1, 41) if (t - i) % 50 < 10)) for t in range(50) if any((t - i) % 50 < 10 for i in range(1, 41))}
+    assert len(got) == len(set(got)) and set(got) == want
+    assert gaps[0] == 0 and 0 < gaps[1] < 50
