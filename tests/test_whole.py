@@ -33,3 +33,17 @@ def test_topology_takes_all_edges_and_boards(spark, tables):
     assert rows(spark, tables, "khop_region") == near
     assert rows(spark, tables, "bounded_shortest_path") == {(a, b, abs(a - b)) for a in (1, 2, 3) for b in (1, 2, 3) if a != b} | {(30, 31, 1), (31, 30, 1)}
     assert rows(spark, tables, "upstream_downstream_sets") == {(31, "up", 1, 30)}
+
+
+def test_parts_of_path_windows_follow_the_lines(spark, tables, monkeypatch):
+    """With two lines a task, five lines are dealt by path in as many parts as that takes, and the rows stay the same."""
+    from lumentrace.plans import bindings as B
+
+    before = {n: rows(spark, tables, n) for n in ("path_hops", "nearest_of_type")}
+    monkeypatch.setattr(B, "LINES_A_TASK", 2)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        assert B.path_parts(spark, tables) == 3 and B.hops(spark, tables).rdd.getNumPartitions() == 3
+        assert {n: rows(spark, tables, n) for n in before} == before
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "4")
