@@ -248,3 +248,26 @@ def test_flow_looks_past_the_first_rows_for_targets_left_out_only(spark, monkeyp
     want |= {(100 + t, 108, 2, 0, min(i for i in range(1, 41) if (t - i) % 50 < 10)) for t in range(50) if any((t - i) % 50 < 10 for i in range(1, 41))}
     assert len(got) == len(set(got)) and set(got) == want
     assert gaps[0] == 0 and 0 < gaps[1] < 50
+
+
+def test_flow_reads_causes_off_its_places(spark, monkeypatch):
+    """Places in the queue that fit a number need no ranking of a level; where they do not, ranks give the same rows."""
+    import random
+
+    from lumentrace.operators import flows as W
+
+    rng = random.Random(5)
+    react = sorted({(rng.randrange(6), rng.choice("ab"), rng.randrange(6), rng.choice("ab"), i % 4, *rng.choice([("", ""), ("D", "regen_boundary"), ("U", "x")])) for i in range(30)})
+    react = spark.createDataFrame([r for i, r in enumerate(react) if all(r[:5] != q[:5] for q in react[:i])], "board long, from_alarm string, to_board long, to_alarm string, rule_idx int, direction string, edge_type string")
+    seeds = spark.createDataFrame([(i * 3, rng.randrange(6), rng.choice("ab"), 100 + rng.randrange(4), 15.0) for i in range(8)], "id long, board long, event string, start_s long, duration_s double")
+    ranks = {}
+    for most in (W.MAX_PLACE, 1):
+        monkeypatch.setattr(W, "MAX_PLACE", most)
+        tags = []
+        flow = W.alarm_flow(seeds, react, lambda df, tag: tags.append(tag) or materialise(df, tag), max_hops=3)  # noqa: B023
+        ranks[most] = tags.count("alarm-flow"), sorted(map(str, flow.collect()))
+        if most > 1:
+            brief = W.alarm_flow(seeds, react, materialise, max_hops=3, brief=True)
+            assert sorted(map(str, flow.select(brief.columns).collect())) == sorted(map(str, brief.collect()))
+    (few, rows), (more, same) = ranks.values()
+    assert (few, more) == (1, 3) and rows == same and len(rows) > 20
