@@ -271,3 +271,33 @@ def test_flow_reads_causes_off_its_places(spark, monkeypatch):
             assert sorted(map(str, flow.select(brief.columns).collect())) == sorted(map(str, brief.collect()))
     (few, rows), (more, same) = ranks.values()
     assert (few, more) == (1, 3) and rows == same and len(rows) > 20
+
+
+def test_timed_flows_travel_as_masks(spark, monkeypatch):
+    """More roots than a mask has bits against plain loops, dealt in slices or exchanged; a level holds masks, not a row a root."""
+    import random
+
+    rng = random.Random(6)
+    react = sorted({(rng.randrange(9), rng.choice("ab"), rng.randrange(9), rng.choice("ab"), rng.randrange(4), *rng.choice([("", ""), ("D", "regen_boundary"), ("U", "x"), ("D", "y")])) for _ in range(50)})
+    seeds = [(500 + i, rng.randrange(9), rng.choice("ab")) for i in range(130)]
+    want = set()
+    for root, board, alarm in seeds:
+        level = {(board, alarm): (0, board, -1)}
+        for h in range(4):
+            want |= {(root, b, a, h, *x) for (b, a), x in level.items()}
+            nxt = {}
+            for (b, a), (at, *_) in level.items():
+                for fb, fa, tb, ta, rule, direction, edge in react:
+                    if (fb, fa) == (b, a):
+                        x = (at + (0 if direction == "" else 1 if edge == "regen_boundary" else 4), b, rule)
+                        nxt[tb, ta] = min(nxt.get((tb, ta), x), x)
+            level = nxt
+    given = spark.createDataFrame(react, "board long, from_alarm string, to_board long, to_alarm string, rule_idx int, direction string, edge_type string")
+    for most in (P.MAX_EDGES, 0):
+        monkeypatch.setattr(P, "MAX_EDGES", most)
+        monkeypatch.setattr(P, "EDGES_A_TASK", 15)
+        levels = []
+        kept = lambda df, tag: levels.append(materialise(df, tag)) or levels[-1] if tag == "flow" else materialise(df, tag)  # noqa: B023, E731
+        got = [tuple(r) for r in P.timed(spark.createDataFrame(seeds, "root long, board long, alarm string"), given, 3, 4, kept).select("root", "board", "alarm", "hop", "arrival_s", "prev", "rule_idx").collect()]
+        assert len(got) == len(set(got)) and set(got) == want
+        assert 3 * sum(t.count() for t in levels) < len(want)
