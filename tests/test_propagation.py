@@ -301,3 +301,22 @@ def test_timed_flows_travel_as_masks(spark, monkeypatch):
         got = [tuple(r) for r in P.timed(spark.createDataFrame(seeds, "root long, board long, alarm string"), given, 3, 4, kept).select("root", "board", "alarm", "hop", "arrival_s", "prev", "rule_idx").collect()]
         assert len(got) == len(set(got)) and set(got) == want
         assert 3 * sum(t.count() for t in levels) < len(want)
+
+
+def test_nearest_boards_are_read_in_one_pass(spark):
+    """Random paths against plain loops; no window looks at the rest of its path anew for every row."""
+    import random
+
+    rng = random.Random(7)
+    ftype = {b: rng.choice(T.FTYPES) for b in range(30)}
+    paths = [rng.sample(range(30), rng.randrange(1, 12)) for _ in range(20)]
+    hops = spark.createDataFrame([(p, i + 1, b, "OA") for p, path in enumerate(paths) for i, b in enumerate(path)], "path_id long, pos int, board long, kind string")
+    got = T.nearest_of_type(hops, spark.createDataFrame(list(ftype.items()), "board long, ftype string"))
+    want = set()
+    for path in paths:
+        for way, p in (("D", path), ("U", path[::-1])):
+            for i, b in enumerate(p):
+                for t in T.FTYPES:
+                    want |= {(b, way, t, x) for x in [y for y in p[i + 1 :] if ftype[y] == t][:1]}
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
