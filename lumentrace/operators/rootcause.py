@@ -9,6 +9,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from lumentrace.functions import scalars as S
+from lumentrace.sources.storage import materialise
+
+from .preparation import ranked
 
 #: Reference peak of each event, in ascending order.
 PEAKS = ((28.0, "Fiber_Aging"), (32.0, "XCON_Port_Down"), (36.0, "Line_Disconnect"), (42.0, "Fiber_Crack"), (46.0, "XCON_Buffer_Overflow"), (50.4, "XCON_Fabric_Fault"), (55.0, "Fiber_Cut"))
@@ -49,23 +52,64 @@ def root_cause(category: Column, pattern: Column, peak: Column) -> Column:
     return F.coalesce(pattern_event(category, pattern), nearest_event(peak, category), default)
 
 
-#: Cases of a bucket for which one more salt is used.
-PER_SALT = 5_000
 #: Vectors and queries in a block, queries taken at once, and how far sums of another order and rounding to 9 digits can part two scores.
 BLOCK, SLICE, NEAR = 8_192, 256, 2e-9
 
 
-def similar_cases(cases: DataFrame, asked: DataFrame, span: float, top: int) -> DataFrame:
-    """Best cases of each question by pattern, kind and peak. Peak buckets of width ``span`` are the equi key of the range."""
-    bucket = F.floor(F.col("peak") / span)
-    # A common peak's bucket is dealt to as many salts as it has thousands of cases; a question looks into all of them.
-    salts = cases.groupBy(bucket.alias("bucket")).agg(F.ceil(F.count(F.lit(1)) / PER_SALT).cast("int").alias("salts"))
-    c = cases.select("case_id", F.col("kind").alias("c_kind"), F.col("pattern").alias("c_pattern"), F.col("peak").alias("c_peak"), bucket.alias("bucket")).join(salts, "bucket")
-    c = c.withColumn("salt", F.pmod(F.xxhash64("case_id"), F.col("salts")).cast("int")).drop("salts")
-    q = asked.withColumn("bucket", F.explode(F.array(bucket - 1, bucket, bucket + 1))).join(salts, "bucket").withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("salts") - 1))).drop("salts")
-    j = q.join(c, ["bucket", "salt"]).filter((F.abs(F.col("peak") - F.col("c_peak")) <= span) & (F.col("case_id") != F.col("q_id")))
+#: Width of a unit of peaks, as a share of the span: peaks that a whole unit parts have scores that rounding to 9 digits keeps apart.
+UNIT = 1e-8
+
+
+def _levelled(df: DataFrame, pattern: str, kind: str, peak: str) -> DataFrame:
+    """Rows once for each level at which they can meet others: 0 anyone, 1 of their pattern, 2 of their kind, 3 of both."""
+    x = df.withColumn("level", F.explode(F.array(*map(F.lit, range(4)))))
+    by_pattern, by_kind = F.col("level").isin(1, 3), F.col("level").isin(2, 3)
+    x = x.filter((~by_pattern | F.col(pattern).isNotNull()) & (~by_kind | F.col(kind).isNotNull()))
+    none = F.lit("")
+    return x.withColumns({"p": F.when(by_pattern, F.col(pattern).cast("string")).otherwise(none), "k": F.when(by_kind, F.col(kind).cast("string")).otherwise(none), "unit": F.rint(F.col(peak).cast("double") / F.lit(UNIT))})
+
+
+def near_cases(cases: DataFrame, asked: DataFrame, span: float, top: int) -> DataFrame:
+    """Scored pairs (kind, pattern, peak, case_id, score) of each distinct question that hold its ``top + 1`` best cases.
+
+    Among the cases that agree with a question in the same ways, nearness of the peak decides. So at each level only the cases of the
+    ``top + 2`` nearest units of peaks on either side can be among the best, and of equal peaks those with the smallest ids. The units of cases
+    are numbered along a sorted order, in which a question's units have their place, and a question meets the numbers around its own:
+    pairs grow with the questions, however many peaks are alike.
+    """
+    group, m, scaled = ["level", "p", "k"], top + 1, lambda c: F.col(c) / F.lit(float(span))
+    c = _levelled(cases.withColumn("s", scaled("c_peak")), "c_pattern", "c_kind", "s").drop("s")
+    few = W.partitionBy(*group, "unit", "c_peak").orderBy("case_id")
+    members = materialise(c.withColumn("n", F.row_number().over(few)).filter(F.col("n") <= m).drop("n"), "case-units")
+    cells = _levelled(asked.select("kind", "pattern", "peak").distinct().withColumn("s", scaled("peak")), "pattern", "kind", "s").drop("s")
+    cells = materialise(cells, "question-units")
+    units = lambda df, case: df.select(*group, "unit", F.lit(case).alias("case"), F.lit(1 - case).alias("question")).distinct()
+    both = units(members, 1).unionByName(units(cells, 0)).groupBy(*group, "unit").agg(F.max("case").alias("case"), F.max("question").alias("question"))
+    placed = materialise(ranked(both, *map(F.col, [*group, "unit"]), of="case", name="at"), "placed-units")
+    there = placed.filter("case = 1").select(*group, F.col("unit").alias("c_unit"), "at")
+    around = placed.filter("question = 1").select(*group, "unit", F.explode(F.sequence(F.col("at") - m, F.col("at") + m + 1)).alias("at"))
+    near = around.join(there, ["at", *group]).drop("at").filter(F.abs(F.col("unit") - F.col("c_unit")) * F.lit(UNIT) <= 1 + 4 * UNIT)
+    j = cells.join(near, [*group, "unit"]).drop("unit").join(members.withColumnRenamed("unit", "c_unit"), [*group, "c_unit"])
+    same = lambda a, b: F.coalesce(F.col(a) == F.col(b), F.lit(False))
+    # Pairs that agree in more than their level asks for are met at their own.
+    j = j.filter((same("pattern", "c_pattern") == F.col("level").isin(1, 3)) & (same("kind", "c_kind") == F.col("level").isin(2, 3)) & (F.abs(F.col("peak") - F.col("c_peak")) <= span))
     score = F.when(F.col("pattern") == F.col("c_pattern"), 0.4).otherwise(0.0) + F.when(F.col("kind") == F.col("c_kind"), 0.3).otherwise(0.0) + 0.3 * F.greatest(F.lit(0.0), 1 - F.abs(F.col("peak") - F.col("c_peak")) / span)
-    j = j.withColumn("score", F.round(score, 9))
+    return j.select("kind", "pattern", "peak", "case_id", F.round(score, 9).alias("score"))
+
+
+def similar_cases(cases: DataFrame, asked: DataFrame, span: float, top: int) -> DataFrame:
+    """Best cases (case_id, kind, pattern, peak) of each question (q_id, kind, pattern, peak) by pattern, kind and peak, itself left out.
+
+    Questions alike in all three are answered once, with one case more than asked for, and take that answer without themselves.
+    """
+    finite = F.abs(F.col("peak").cast("double")) < float("inf")
+    c = cases.filter(finite & F.col("case_id").isNotNull()).select("case_id", F.col("kind").alias("c_kind"), F.col("pattern").alias("c_pattern"), F.col("peak").alias("c_peak"))
+    q = asked.filter(finite & F.col("q_id").isNotNull()).select("q_id", "kind", "pattern", "peak")
+    w = W.partitionBy("kind", "pattern", "peak").orderBy(F.desc("score"), "case_id")
+    best = near_cases(c, q, span, top).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top + 1).drop("rank")
+    a, b = q.alias("a"), best.alias("b")
+    alike = F.col("a.kind").eqNullSafe(F.col("b.kind")) & F.col("a.pattern").eqNullSafe(F.col("b.pattern")) & (F.col("a.peak") == F.col("b.peak"))
+    j = a.join(b, alike).filter("case_id <> q_id").select("q_id", "case_id", "score")
     w = W.partitionBy("q_id").orderBy(F.desc("score"), "case_id")
     return j.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= top).select("q_id", "rank", "case_id", "score")
 

@@ -9,6 +9,7 @@ from lumentrace.functions import scalars as S
 from lumentrace.operators import preparation as D
 from lumentrace.operators import rootcause as R
 from lumentrace.operators import series as M
+from lumentrace.sources.storage import materialise
 
 from . import bindings as B
 from .bindings import sql
@@ -201,6 +202,7 @@ FROM c q JOIN c ON abs(q.peak - c.peak) <= 8.0 AND q.id <> c.id), z AS (SELECT *
 def similar(s, d):
     k = M.pattern_kind(B.metrics(s, d), gap=12, width=2, least=20)
     c = k.join(B.boards(s, d).select("board", "kind"), "board").select("board", "kind", F.col("pattern_kind").alias("pattern"), F.col("bbe_max").alias("peak"))
+    c = materialise(c, "cases")
     return R.similar_cases(c.withColumnRenamed("board", "case_id"), c.withColumnRenamed("board", "q_id"), 8.0, 3)
 
 

@@ -137,3 +137,29 @@ def test_windows_hold_a_chunk(spark):
         plan = df._jdf.queryExecution().optimizedPlan().toString()
         specs = re.findall(r"windowspecdefinition\(([^)]*?)specified", plan)
         assert not any(re.match(r"board#\d+L?, (t|start)#", s) for s in specs)
+
+
+def test_similar_cases_equal_all_pairs(spark):
+    """Copies, ties on both sides, peaks closer than rounding tells apart, nulls and far ones, against plain loops."""
+    rng = random.Random(8)
+    peaks = [5.0, 5.1, 4.9, 5.0 + 1e-9, 5.0 + 3e-8, 13.0, 13.1, -3.0, 700.0, 707.9, 1e9, None, float("nan"), float("inf")]
+    rows = [(i, rng.choice(["OA", "XCON", None]), rng.choice(["step", "ramp", None]), rng.choice([*peaks, round(rng.random() * 20, 1)])) for i in range(400)]
+    want = {}
+    for q, kind, pattern, peak in rows:
+        found = []
+        for c, c_kind, c_pattern, c_peak in rows:
+            if q != c and None not in (peak, c_peak) and abs(peak - c_peak) <= 8.0:
+                score = (0.4 if pattern and pattern == c_pattern else 0.0) + (0.3 if kind and kind == c_kind else 0.0) + 0.3 * max(0.0, 1 - abs(peak - c_peak) / 8.0)
+                found.append((-round(score, 9), c))
+        want |= {(q, n): (c, -s) for n, (s, c) in enumerate(sorted(found)[:3], 1)}
+    df = spark.createDataFrame(rows, "case_id long, kind string, pattern string, peak double")
+    got = R.similar_cases(df, df.withColumnRenamed("case_id", "q_id"), 8.0, 3).collect()
+    assert {(r["q_id"], r["rank"]): (r["case_id"], r["score"]) for r in got} == want
+
+
+def test_pairs_of_similar_cases_grow_with_the_questions(spark):
+    """All peaks lie within the span, so every question met every case; now each meets a bounded number."""
+    for n in (500, 2000):
+        df = spark.range(n).select(F.col("id").alias("case_id"), F.lit("OA").alias("c_kind"), F.lit("step").alias("c_pattern"), (F.col("id") * 8.0 / n).alias("c_peak"))
+        asked = df.toDF("q_id", "kind", "pattern", "peak")
+        assert n * 4 <= R.near_cases(df, asked, 8.0, 3).count() <= n * 10
