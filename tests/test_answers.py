@@ -105,3 +105,32 @@ def test_reasoning_steps_name_each_value_once(spark):
     got = spark.createDataFrame([(text,), ("nothing",)], "text string").select(column).collect()
     assert got[0][0] == ["Step 1: the peak board ROADM1-XCON001$0 is a XCON board, category XCON.", "Step 2: pattern_kind=step shows a sudden and lasting rise: XCON_Port_Down.", "Step 3: bbe_max=3.2 agree with E1.", "Conclusion: E1 on board ROADM1-XCON001$0."]
     assert got[1][0] == ["Step 1: no pattern features, so other evidence decides.", "Conclusion: the alarms point to E1."]
+
+
+def test_tables_are_read_once_for_all_their_columns(spark):
+    """Lines and values were written out in place wherever they were used, inside loops over rows and kinds too."""
+    x = F.col("lines_")
+    for column in (X.csv_column(x, "Hop"), X.table_boards(x), X.table_reward(x, F.col("b"), F.col("a")), X.overlap(x, F.col("a"))):
+        assert str(column).count("lines_") == 1
+    assert str(X.event_reward(F.col("text_"), F.col("e"))).count("text_") == 1
+    plan = X.per_example(answer_queries.answers(spark, SF))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("PropToBoard), ") <= 2
+
+
+def test_overlap_and_likeness_equal_plain_loops(spark):
+    """Few and many kinds, nothing on a side, words alike in all letters, the truth among the words; and one text of many rows in one go."""
+    from collections import Counter
+
+    rows = [([], []), (["a"], []), ([], ["a"]), (["a", "a", "b"], ["a", "b", "b", "c"]), ([str(i % 90) for i in range(400)], [str(i % 70) for i in range(300)])]
+    for (p, t), r in zip(rows, spark.createDataFrame(rows, "p array<string>, t array<string>").select(X.overlap(F.col("p"), F.col("t"))).collect(), strict=True):
+        a, b = Counter(p), Counter(t)
+        assert r[0] == ((a & b).total() / (a | b).total() if p or t else 1.0)
+    words = ["FIBER CUT", "FIBER TUC", "CUT FIBER", "XCON DOWN", "FIBER CRACK", "", "Z"]
+    pairs = [(w, [v for v in words if v != w][::s]) for w in words for s in (1, -1)] + [("FIBER CUT", words), ("X", []), ("X", None)]
+    got = spark.createDataFrame(pairs, "t string, m array<string>").coalesce(1).select(X.best_similarity("t", "m")).collect()
+    assert [r[0] for r in got] == [max((ratio(t, m) for m in ms or ()), default=0.0) for t, ms in pairs]
+    n = 3000
+    text = "alarm_flow rows:\nSourceBoard,e,t,r,PropToBoard,PropAlarm,Severity\n" + "\n".join(f"ROADM1-A{i},e,t,r,ROADM2-B{i}, K{i % 50} ,S" for i in range(n))
+    lines = X.csv_lines(X.csv_block(F.col("text")))
+    r = spark.createDataFrame([(text,)], "text string").select(F.size(X.table_boards(lines)), X.table_values(lines, "PropAlarm").alias("k")).first()
+    assert (r[0], Counter(r["k"])) == (2 * n, Counter({f"K{i}": n // 50 for i in range(50)}))
