@@ -56,10 +56,22 @@ def service_candidates(functions: DataFrame, existing: DataFrame) -> DataFrame:
     return functions.select("path_id", "node", "id").distinct().join(existing.select("id").distinct(), "id", "left_semi").select("path_id", "node", "id")
 
 
-def first_roles(functions: DataFrame) -> DataFrame:
-    """One record per function: that of its first service, and how many services share it."""
-    g = functions.groupBy("id").agg(F.min_by(F.struct("role", "node", "path_id"), F.struct("path_id", "step", "k")).alias("x"), F.countDistinct("path_id").alias("n_services"))
-    return g.select("id", "x.role", "x.node", F.col("x.path_id").alias("first_service"), "n_services")
+def first_roles(functions: DataFrame, parts: int | None = None) -> DataFrame:
+    """One record per function: that of its first service, and how many services share it.
+
+    A service's repeats are left out where its rows lie, so services are counted without an exchange of the pairs of function and service.
+    Relays, which many services share, are then summed up before their exchange; all other ids name their service, and
+    nothing can be summed up. ``parts``: of their exchange, so that what a task holds need not grow with the services.
+    """
+    here = W.partitionBy("path_id", "id").orderBy("step", "k")
+    once = functions.withColumn("_n", F.row_number().over(here)).filter("_n = 1")
+    shared = F.coalesce(F.col("id").rlike("^(in|out):"), F.lit(False))
+    own = once.filter(~shared)
+    out = None
+    for rows in (once.filter(shared), own if parts is None else own.repartition(parts, "id")):
+        g = rows.groupBy("id").agg(F.min(F.struct("path_id", "step", "k", "role", "node")).alias("x"), F.count("path_id").alias("n_services"))
+        out = g if out is None else out.unionByName(g)
+    return out.select("id", "x.role", "x.node", F.col("x.path_id").alias("first_service"), "n_services")
 
 
 def relay_groups(functions: DataFrame) -> DataFrame:

@@ -77,7 +77,7 @@ def service_candidates(s, d):
 
 @add("dedupe_roles", sql("SELECT id, x.role AS role, x.node AS node, x.path_id AS first_service, n_services FROM (SELECT id, arg_min({'role': role, 'node': node, 'path_id': path_id}, (path_id, step, k)) AS x, count(DISTINCT path_id) AS n_services FROM fns GROUP BY id)", "fns"))
 def dedupe_roles(s, d):
-    return N.first_roles(_functions(s, d))
+    return N.first_roles(_functions(s, d), B.path_parts(s, d))
 
 
 @add("relay_groups", sql("SELECT segment, string_agg(id, ',' ORDER BY id) AS relays FROM (SELECT DISTINCT string_split(id, ':')[3] AS segment, id FROM fns WHERE role LIKE 'RELAY%') GROUP BY segment", "fns"))
