@@ -50,13 +50,20 @@ def connected_regions(edges: DataFrame, roots: DataFrame, materialise, seed: int
         region = region.unionByName(front)
 
 
-def hop_chains(links: DataFrame, most: int = 3) -> DataFrame:
-    """All chains of one to ``most`` links (src, dst): columns ``h0`` to ``h{most}``, null beyond a chain's end."""
-    step = links.select(F.col("src").alias("at"), F.col("dst").alias("on"))
-    chain = links.select(F.col("src").alias("h0"), F.col("dst").alias("h1"))
+def hop_chains(links: DataFrame, most: int = 3, with_: dict[str, str] | None = None, keep: tuple[str, ...] = (), parts: int | None = None) -> DataFrame:
+    """All chains of one to ``most`` links (src, dst): columns ``h0`` to ``h{most}``, null beyond a chain's end.
+
+    ``with_`` names what goes along with each place, so that it need not be looked up afterwards: links hold it as src_<name> and
+    dst_<name>, chains as <prefix>0 to <prefix>{most}. ``keep`` are columns of a chain's first link. ``parts``: of the exchanges by place.
+    """
+    named = with_ or {}
+    step = links.select(F.col("src").alias("at"), F.col("dst").alias("on"), *[F.col(f"dst_{c}").alias(f"on_{p}") for c, p in named.items()])
+    chain = links.select(F.col("src").alias("h0"), F.col("dst").alias("h1"), *[F.col(f"{end}_{c}").alias(f"{p}{i}") for c, p in named.items() for i, end in enumerate(("src", "dst"))], *keep)
     out = [chain]
     for n in range(2, most + 1):
-        chain = chain.join(step, F.col(f"h{n - 1}") == F.col("at")).select(*[f"h{i}" for i in range(n)], F.col("on").alias(f"h{n}"))
+        dealt = chain if parts is None else chain.repartition(parts, f"h{n - 1}")
+        new = [F.col("on").alias(f"h{n}"), *[F.col(f"on_{p}").alias(f"{p}{n}") for p in named.values()]]
+        chain = dealt.join(step if parts is None else step.repartition(parts, "at"), F.col(f"h{n - 1}") == F.col("at")).select(*chain.columns, *new)
         out.append(chain)
     return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), out)
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -56,6 +58,9 @@ def connected_region(s, d):
     return C.connected_regions(materialise(links.distinct(), "links"), roots, materialise, 4)
 
 
+#: Links that one task joins.
+LINKS_A_TASK = 250_000
+
 # Chains of events: a board's next event is a hop; features are the alarms along the chain.
 
 B.CTES["next_events"] = ((), "SELECT *, lead(event_id) OVER w AS e1, lead(event_id, 2) OVER w AS e2, lead(event_id, 3) OVER w AS e3 FROM ev WINDOW w AS (PARTITION BY board ORDER BY ts, event_id)")
@@ -77,11 +82,11 @@ SELECT h0, h1, h2, h3, gt, score, CASE WHEN h2 IS NULL THEN 1 WHEN h3 IS NULL TH
 )
 def chain_classes(s, d):
     e = B.events(s, d)
-    nxt = F.lead("event_id").over(W.partitionBy("board").orderBy("ts", "event_id"))
-    links = materialise(e.select("event_id", nxt.alias("dst")).filter("dst is not null").withColumnRenamed("event_id", "src"), "event-links")
-    c = C.hop_chains(links)
-    at = lambda i, *more: e.select(F.col("event_id").alias(f"h{i}"), F.col("alarm").alias(f"f{i}"), F.col("value").alias(f"v{i}"), *more)
-    c = c.join(at(0, "board"), "h0").join(at(1), "h1").join(at(2), "h2", "left").join(at(3), "h3", "left")
+    order = W.partitionBy("board").orderBy("ts", "event_id")
+    ends = [F.col(c).alias(f"src_{c}") for c in ("alarm", "value")] + [F.lead(c).over(order).alias(f"dst_{c}") for c in ("alarm", "value")]
+    links = materialise(e.select("board", F.col("event_id").alias("src"), F.lead("event_id").over(order).alias("dst"), *ends).filter("dst is not null"), "event-links")
+    parts = max(math.ceil(links.count() / LINKS_A_TASK), int(s.conf.get("spark.sql.shuffle.partitions")))
+    c = C.hop_chains(links, with_={"alarm": "f", "value": "v"}, keep=("board",), parts=parts)
     score = F.round(F.greatest(*[F.coalesce(f"v{i}", F.lit(0)) for i in range(4)]) / 20, 9)
     c = c.withColumn("score", score).withColumn("gt", F.when(F.col("score") > 0.8, 1).otherwise(0))
     return C.filter_chains(c, c.filter("board % 7 = 0"), ["f0", "f1", "f2", "f3"])

@@ -167,3 +167,30 @@ def test_fixed_rounds_the_binary_value(spark, digits):
     df = spark.createDataFrame([(i, float(v)) for i, v in enumerate(values)], "i int, v double")
     got = [r[0] for r in df.orderBy("i").select(S.fixed(F.col("v"), digits)).collect()]
     assert got == [f"{v:.{digits}f}" for v in values]
+
+
+def test_chains_take_along_what_their_places_hold(spark):
+    """What lies at a place was looked up by four joins afterwards; a link's ends now carry it."""
+    rows = [(i, i + 1, f"a{i}", f"a{i + 1}", i // 10) for i in range(6)]
+    df = spark.createDataFrame(rows, "src long, dst long, src_alarm string, dst_alarm string, board long")
+    got = C.hop_chains(df, with_={"alarm": "f"}, keep=("board",), parts=3).collect()
+    assert len(got) == 6 + 5 + 4
+    for r in got:
+        assert [r[f"f{i}"] for i in range(4)] == [None if r[f"h{i}"] is None else f"a{r[f'h{i}']}" for i in range(4)] and r["board"] == 0
+    from lumentrace.plans import registry
+
+    plan = registry.queries()["chain_classes"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" not in plan
+
+
+def test_first_roles_count_services_once(spark):
+    """A relay that a service passes twice counts once, and no pair of function and service is exchanged to be counted."""
+    from lumentrace.operators import networks as N
+
+    rows = [(2, 1, 0, 7, "SRC", "src:7:2"), (2, 1, 1, 7, "RELAY_OUT", "out:7:s"), (2, 3, 0, 7, "RELAY_OUT", "out:7:s"), (1, 4, 1, 7, "RELAY_X", "out:7:s"), (1, 5, 0, 8, "SNK", "snk:8:1")]
+    df = spark.createDataFrame(rows, "path_id long, step int, k int, node long, role string, id string")
+    want = [("out:7:s", "RELAY_X", 7, 1, 2), ("snk:8:1", "SNK", 8, 1, 1), ("src:7:2", "SRC", 7, 2, 1)]
+    for parts in (None, 3):
+        out = N.first_roles(df, parts)
+        assert sorted(map(tuple, out.collect())) == want
+        assert "distinct" not in out._jdf.queryExecution().optimizedPlan().toString()
