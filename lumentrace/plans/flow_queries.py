@@ -66,7 +66,7 @@ def _failed(s, d):
 
 @add("cascade_candidates", sql(_candidates("failed"), "failed", "crules", "places", "crossed", "hops", "boards"))
 def cascade_candidates(s, d):
-    return C.candidates(_failed(s, d), C.load_rules(s), B.boards(s, d), materialise(B.hops(s, d), "hops"))
+    return C.candidates(_failed(s, d), C.load_rules(s), B.boards(s, d), materialise(B.hops(s, d), "hops"), parts=B.path_parts(s, d))
 
 
 _DRAW = "(({}) * 2654435761 + {}) % 1000003"
