@@ -320,3 +320,21 @@ def test_nearest_boards_are_read_in_one_pass(spark):
                     want |= {(b, way, t, x) for x in [y for y in p[i + 1 :] if ftype[y] == t][:1]}
     assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
     assert "unboundedfollowing" not in got._jdf.queryExecution().optimizedPlan().toString().lower()
+
+
+def test_components_leave_edges_where_they_lie(spark):
+    """Edges were made distinct and exchanged anew in every round; few labels now go to them, many still meet them by exchange."""
+    rows = [(1, 2), (2, 1), (2, 3), (2, 3), (5, 4), (6, 6), (9, 8), (8, 7), (7, 10)]
+    edges = spark.createDataFrame(rows, "src long, dst long")
+    boards = spark.range(1, 12).select(F.col("id").alias("board"))
+    want = {1: 1, 2: 1, 3: 1, 4: 4, 5: 4, 6: 6, 7: 7, 8: 7, 9: 7, 10: 7, 11: 11}
+    plans = []
+
+    def kept(df, tag):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return materialise(df, tag)
+
+    for most in (100, 3):
+        assert {r["board"]: r["component"] for r in T.connected_components(edges, boards, kept, most).collect()} == want
+        if most == 100:
+            assert not any("Aggregate [a#" in p for p in plans)
