@@ -56,6 +56,22 @@ def test_continuous_reward_equals_plain_loops(spark):
         assert abs(got[a["sample_index"]] - smooth(a)) < 1e-6, a["sample_index"]
 
 
+def test_continuous_reward_covers_the_form(spark):
+    """The reward of the form was left to another query; header, full rows and their number against plain loops."""
+    answers = answer_queries.answers(spark, SF).collect()
+    got = {r["sample_index"]: r["format_reward"] for r in registry.queries()["reward_continuous"](spark, SF).collect()}
+    for a in answers:
+        lines = [x for x in block_of(a["text"]).split("\n") if x.strip()]
+        want = 0.0
+        if lines:
+            data = lines[1:] if lines[0].count(",") >= 19 else lines
+            want = 0.05 * sum(h.upper() in lines[0].upper() for h in X.HEADER) / len(X.HEADER)
+            if data:
+                want += 0.10 * sum(x.count(",") >= 19 for x in data) / len(data) + 0.05 * min(len(data), a["gt_rows"]) / max(len(data), a["gt_rows"])
+        assert abs(got[a["sample_index"]] - want) < 1e-6, a["sample_index"]
+    assert len(set(got.values())) > 3
+
+
 def test_blocks_of_awkward_texts(spark):
     wide = "," * 19
     texts = [None, "", "no table", "alarm_flow rows:\n\nRCA reasoning: x", "SourceBoard,SourceAlarm,a\nb,c", f"x\n{wide}\ny", "alarm_flow CSV:\n a,b \nFix 1\nc", "Predicted alarm_flow\na\n\n\nb", "alarm_flow rows:\nRCA reasoning: x"]
