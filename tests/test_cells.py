@@ -62,6 +62,20 @@ def test_flows_in_cells_equal_those_by_level(network, monkeypatch, a_cell, cover
     assert lines(brief) == lines(want, *brief.columns)
 
 
+def test_regions_in_cells_equal_those_by_level(spark, monkeypatch):
+    """Every level exchanged all boards' masks before; a root alone, one given twice and loops among them."""
+    rng = random.Random(10)
+    links = spark.createDataFrame(sorted({(100 * p + rng.randrange(40), 100 * p + rng.randrange(40)) for p in range(4) for _ in range(45)}), "src long, dst long")
+    roots = spark.createDataFrame([(100 * p + i,) for p in range(4) for i in range(40)] + [(999,), (0,)], "board long")
+    want = lines(T.khop_region(links, roots, 2, materialise))
+    for a_cell in (10**6, 50):
+        monkeypatch.setattr(C, "A_CELL", a_cell)
+        tags = []
+        assert lines(P.khop_in_cells(links, roots, 2, lambda df, tag: tags.append(tag) or materialise(df, tag))) == want and "khop" not in tags  # noqa: B023
+    monkeypatch.setattr(C, "MAX_PART", 5)
+    assert lines(P.khop_in_cells(links, roots, 2, materialise)) == want
+
+
 def test_large_parts_and_places_go_by_level(spark, network, monkeypatch):
     """Parts beyond a task, and queues beyond a number, give the same rows level by level. Ranks of the latter put waiting before the board led to."""
     react, starts = network
