@@ -85,31 +85,42 @@ def filter_chains(candidates: DataFrame, training: DataFrame, features: list[str
     return scored.join(known, same, "left_semi").select(*places, "gt", "score", "n_hops")
 
 
-def constrained_trails(edges: DataFrame, vertices: DataFrame, materialise, most: int) -> DataFrame:
+def trail_links(edges: DataFrame, vertices: DataFrame) -> DataFrame:
+    """What trails go along: a, b both ways, and whether b is a stop. ``vertices``: v, stop."""
+    return both_ways(edges).join(vertices.select(F.col("v").alias("b"), "stop"), "b")
+
+
+def constrained_trails(edges: DataFrame, vertices: DataFrame, materialise, most: int, links: DataFrame | None = None) -> DataFrame:
     """Shortest trails of at most ``most`` steps between stops whose inner vertices are none: a, b, steps, trail (a < b).
 
     ``vertices``: v, stop. The search goes out from every stop, level by level, and never leaves a stop it has reached; of
     several shortest trails the smallest counts. Each root keeps what it has seen, so a trail is not walked twice. The last
     step goes to stops only, as no trail leads on from it: else it would hold each root with all vertices of its neighbourhood.
+
+    A root's trails to smaller stops are those of the smaller stop, so no level holds them. Rows hold the inner vertices only, and what a root
+    has seen goes along with a level's rows, so that one exchange by root serves both. ``links``: ``trail_links``, written down, as every level reads them.
     """
-    e = both_ways(edges).join(vertices.select(F.col("v").alias("b"), "stop"), "b")
-    front = seen = vertices.filter("stop").select(F.col("v").alias("root"), F.col("v").alias("at"), F.array("v").alias("trail"), F.lit(False).alias("stop"))
+    e = trail_links(edges, vertices) if links is None else links
+    front = seen = vertices.filter("stop").select(F.col("v").alias("root"), F.col("v").alias("at"), F.expr("slice(array(v), 1, 0)").alias("inner"), F.lit(False).alias("stop"))
     ends = None
     for k in range(most):
-        # The root's trails to smaller stops are those of the smaller stop.
-        to = e if k < most - 1 else e.filter("stop")
-        on = F.col("at") == F.col("a") if k < most - 1 else (F.col("at") == F.col("a")) & (F.col("root") < F.col("b"))
-        step = front.filter("not stop").drop("stop").join(to, on).select("root", F.col("b").alias("at"), "stop", F.concat("trail", F.array("b")).alias("trail"))
-        step = step.groupBy("root", "at", "stop").agg(F.min("trail").alias("trail"))
-        front = materialise(step.join(seen.select("root", "at"), ["root", "at"], "left_anti").select("root", "at", "trail", "stop"), "trails")
+        last = k == most - 1
+        step = front.filter("not stop").drop("stop").join(e.filter("stop") if last else e, F.col("at") == F.col("a")).filter(F.col("root") < F.col("b") if last else ~F.col("stop") | (F.col("root") < F.col("b")))
+        inner = F.concat("inner", F.array("at")) if k else F.col("inner")
+        step = step.select("root", F.col("b").alias("at"), inner.alias("inner"), "stop", F.lit(False).alias("known"))
+        before = seen.filter("stop") if last else seen
+        both = step.unionByName(before.select("root", "at", F.lit(None).cast(step.schema["inner"].dataType).alias("inner"), "stop", F.lit(True).alias("known"))).repartition("root")
+        new = both.groupBy("root", "at").agg(F.min("inner").alias("inner"), F.max("stop").alias("stop"), F.max("known").alias("known")).filter("not known")
+        front = materialise(new.select("root", "at", "inner", "stop"), "trails")
         if front.isEmpty():
             break
         seen = seen.unionByName(front)
-        got = front.filter("stop").filter("root < at")
+        got = front.filter("stop")
         ends = got if ends is None else ends.unionByName(got)
     if ends is None:
         ends = front.filter("stop")
-    return ends.select(F.col("root").alias("a"), F.col("at").alias("b"), (F.size("trail") - 1).alias("steps"), "trail")
+    trail = F.concat(F.array("root"), "inner", F.array("at"))
+    return ends.select(F.col("root").alias("a"), F.col("at").alias("b"), (F.size("inner") + 1).alias("steps"), trail.alias("trail"))
 
 
 #: Marks by which a neighbour of an endpoint token tells its side. In the first grammar either neighbour may be a mux or

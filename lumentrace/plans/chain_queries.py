@@ -112,7 +112,7 @@ def constrained_trails(s, d):
     of = lambda df, a, i, b, j: df.select((F.col(a) * 4 + i).cast("long").alias("src"), (F.col(b) * 4 + j).cast("long").alias("dst"))
     e = of(o, "o_orderkey", 0, "o_custkey", 1).unionByName(of(c, "c_custkey", 1, "c_nationkey", 2)).unionByName(of(n, "n_nationkey", 2, "n_regionkey", 3))
     v = e.select(F.explode(F.array("src", "dst")).alias("v")).distinct().withColumn("stop", (F.col("v") % 4).isin(0, 3))
-    return C.constrained_trails(e, v, materialise, 3)
+    return C.constrained_trails(e, v, materialise, 3, links=materialise(C.trail_links(e, v), "trail-links"))
 
 
 # Legacy tokens: electrical hops are endpoint tokens, optical ones muxes and others of side 1 or 2.

@@ -136,6 +136,25 @@ def test_last_step_of_trails_keeps_stops_only(spark):
     assert {(r["a"], r["b"]) for r in got.collect()} == {(a, b) for a in range(roots) for b in range(a + 1, roots)}
 
 
+def test_levels_of_trails_leave_out_smaller_stops(spark):
+    """A level held each root's trails to smaller stops too, whole, and was exchanged by root and place after it was by root, place and kind."""
+    roots = 12
+    edges = [(r, 100) for r in range(roots)] + [(r, 101) for r in range(roots)] + [(100, 102), (102, 200)]
+    v = spark.createDataFrame([(x, x < roots or x == 200) for x in {x for e in edges for x in e}], "v long, stop boolean")
+    levels, plans = [], []
+
+    def kept(df, tag):
+        plans.append(df._jdf.queryExecution().optimizedPlan().toString())
+        levels.append(materialise(df, tag))
+        return levels[-1]
+
+    df = spark.createDataFrame(edges, "src long, dst long")
+    got = {(r["a"], r["b"]): (r["steps"], r["trail"]) for r in C.constrained_trails(df, v, kept, 3, links=materialise(C.trail_links(df, v), "links")).collect()}
+    want = {(a, b): (2, [a, 100, b]) for a in range(roots) for b in range(a + 1, roots)} | {(a, 200): (3, [a, 100, 102, 200]) for a in range(roots)}
+    assert got == want
+    assert not any(t.filter("stop and at < root").count() for t in levels) and not any("LeftAnti" in p for p in plans)
+
+
 def test_legacy_tokens(spark):
     rows = [
         (1, ["R1-OTU3$2", "R1-OM2$0", "R1-OTU4"]),
